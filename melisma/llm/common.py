@@ -13,6 +13,8 @@ PIECE_BYTES = 4 << 20
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+#: Everything but ASCII letters and digits and the bytes of other scripts.
+PUNCTUATION = ~(((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 48) & (_BYTES <= 57)) | (_BYTES >= 128))
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -62,14 +64,14 @@ def pieces(batch: pa.RecordBatch, name: str = "text", limit: int = PIECE_BYTES):
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray):
-    """Runs of bytes other than \\x20 and \\x09-\\x0D in the A-Z lower-cased texts.
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
+    """Runs of bytes other than white space (\\x20 and \\x09-\\x0D, or what `space` marks) in the A-Z lower-cased texts.
 
     Returns the words' first bytes, the bytes after them, each text's range among the words (n + 1 offsets) and 64-bit
     hashes of the words.
     """
     low = LOWER[data]
-    solid = ~SPACE[data]
+    solid = ~space[data]
     filled = offsets[:-1] < offsets[1:]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]

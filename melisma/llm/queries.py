@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_fm, url_filter
+from . import bm25_decontam, quality_fm, url_filter, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -21,6 +29,8 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_winnowing": op4_winnowing,
+        "op6_bm25_decontamination": op6_bm25_decontamination,
         "op8_url_filter": op8_url_filter,
         "op10_quality_fm": op10_quality_fm,
     }
