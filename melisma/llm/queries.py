@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_decontam, quality_fm, url_filter, winnowing
+from . import bm25_decontam, ngram_join, quality_fm, url_filter, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +34,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_winnowing": op4_winnowing,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_bm25_decontamination": op6_bm25_decontamination,
         "op8_url_filter": op8_url_filter,
         "op10_quality_fm": op10_quality_fm,
