@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, edges, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, unpack, words
+from .common import distinct, durable, edges, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, unpack, words
 from .graph import components
 
 WORDS = 5
@@ -41,7 +41,7 @@ def shingle_sets(column: pa.Array, n: int = WORDS):
     for d in range(len(at) - 1):
         size = at[d + 1] - at[d]
         if size >= n:
-            yield np.unique(shingles[cut[d] : cut[d + 1]])
+            yield distinct(shingles[cut[d] : cut[d + 1]])
         else:
             yield grams(h[at[d] : at[d + 1]], np.array([0, size]), int(size))[0] if size else np.zeros(0, np.uint64)
 
