@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, grams, pieces, runs, text_bytes, words
+from .common import PUNCTUATION, distinct, grams, pieces, runs, text_bytes, words
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item at this share of the score that the item's own text has.
@@ -133,7 +133,7 @@ def search(index: Index, h: np.ndarray, doc_words: np.ndarray, threshold: float
     early = np.flatnonzero(where[cell] >= 0)
     prior = np.where(cell > first[doc], cell - 1, total)
     late = np.flatnonzero(where[prior] >= 0)
-    key = np.unique(np.r_[where[cell[early]], where[prior[late]]].astype(np.int64) * len(index.terms) + np.r_[term[early], term[late]])
+    key = distinct(np.r_[where[cell[early]], where[prior[late]]].astype(np.int64) * len(index.terms) + np.r_[term[early], term[late]])
     own, term = key // len(index.terms), key % len(index.terms)
     lo = runs(own)
     which = own[lo]
@@ -148,11 +148,13 @@ def search(index: Index, h: np.ndarray, doc_words: np.ndarray, threshold: float
         t, o = term[keep], own[keep]
         place = np.minimum(np.searchsorted(block.terms, t), len(block.terms) - 1)
         hit = block.terms[place] == t
-        score = np.zeros((len(which), block.impacts.shape[1]))
-        np.add.at(score, np.searchsorted(which, o[hit]), block.impacts[place[hit]])
+        o = o[hit]
+        if not len(o):
+            continue
+        at = runs(o)  # terms stand in the order of their passages
+        score = np.add.reduceat(block.impacts[place[hit]], at, axis=0)
         for w, i in zip(*np.nonzero(score >= threshold - slack)):
-            c = chosen[which[w]]
-            d = owner[which[w]]
+            c, d = chosen[o[at[w]]], owner[o[at[w]]]
             start = doc_words[d] + (c - first[d]) * half
             out.append((int(d), int(start), int(min(start + 2 * half, doc_words[d + 1])), k * BLOCK + int(i), float(score[w, i])))
     return out
@@ -170,7 +172,7 @@ def _leaks(index: Index, threshold: float, question: float, answer: float):
                 ids, out = piece.column("doc_id"), []
                 for d, a, z, item, score in search(index, h, doc_words, threshold):
                     n, q, r = index.parts[item]
-                    own = np.unique(grams(h[a:z], np.array([0, z - a]), n)[0])
+                    own = distinct(grams(h[a:z], np.array([0, z - a]), n)[0])
                     shares = [float(np.isin(x, own, assume_unique=True).mean()) if len(x) else 0.0 for x in (q, r)]
                     if shares[0] >= question and shares[1] >= answer:
                         out.append((ids[d].as_py(), index.item_ids[item], score, *shares))
