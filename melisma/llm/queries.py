@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_decontam, ngram_join, quality_fm, url_filter, winnowing
+from . import bm25_decontam, ngram_join, quality_fm, suffix_dedup, url_filter, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def queries() -> dict:
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_bm25_decontamination": op6_bm25_decontamination,
         "op8_url_filter": op8_url_filter,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_quality_fm": op10_quality_fm,
     }
 
