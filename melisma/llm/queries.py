@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_decontam, ngram_join, quality_fm, suffix_dedup, url_filter, winnowing
+from . import bm25_decontam, ngram_join, quality_fm, soft_mixing, suffix_dedup, url_filter, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ def queries() -> dict:
         "op4_winnowing": op4_winnowing,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_bm25_decontamination": op6_bm25_decontamination,
+        "op7_soft_mixing": op7_soft_mixing,
         "op8_url_filter": op8_url_filter,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_quality_fm": op10_quality_fm,
