@@ -21,7 +21,8 @@ from .winnowing import sliding_min
 
 LENGTH = 400
 GRAM = 64
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -199,7 +200,7 @@ _MARKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("spans", pa.binary(
 def _anchored(length: int):
     def found(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 data, offsets = text_bytes(piece.column("text"))
                 doc, start, count, h = anchors(data, offsets, length)
                 view = memoryview(np.ascontiguousarray(data))
