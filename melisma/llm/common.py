@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
@@ -18,12 +21,28 @@ PUNCTUATION = ~(((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 65) & (_BYTES <
 BASE = 0x9E3779B97F4A7C15
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares (spark.checkpoint.dir); a folder of our own only if none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="melisma-"))
-    return df.checkpoint()
+def durable(df: DataFrame, parts: int = 0) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the folder that the cluster shares (spark.checkpoint.dir) and read it again.
+
+    A folder of our own is taken only if none is set. Unlike after checkpoint(), sizes are those of the files, so iterative plans
+    don't multiply old estimates. A table known to be small can be written by fewer tasks. The files go when the session's file system closes.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="melisma-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared}/melisma-{uuid.uuid4().hex}"
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def carried(spark: SparkSession, value):
+    """A function that gives `value` on any executor; classes of this subpackage travel along by value."""
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(blob.value)
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
