@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_decontam, gru_lm, ngram_join, quality_fm, soft_mixing, suffix_dedup, url_filter, winnowing
+from . import bm25_decontam, gru_lm, host_paths, ngram_join, quality_fm, soft_mixing, suffix_dedup, url_filter, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.as_responses(_table(spark, sf_dir, "pages")))
+
+
 def op2_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,9 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_warc_derivatives": op1_warc_derivatives,
         "op2_gru_language_model": op2_gru_language_model,
+        "op3_host_paths": op3_host_paths,
         "op4_winnowing": op4_winnowing,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_bm25_decontamination": op6_bm25_decontamination,
