@@ -175,3 +175,16 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None,
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs, all columns, that score() would predict as good. Rows are filtered where they are read."""
+    machine = learn(docs, labels.filter(~held_out() if train_rows is None else train_rows), max_labelled)
+    least = float(np.log(threshold / (1 - threshold)))
+
+    def kept(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                yield piece.filter(pa.array(margins(machine, *featurize(*text_bytes(piece.column("text")))) >= least))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, durable, mix, pieces, raw, rows, runs, text_bytes
 from .winnowing import sliding_min
@@ -334,11 +335,16 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
 def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns, with the repeated strings cut out of text; a character that a cut leaves incomplete goes too."""
     texts = _numbered(docs)
+    columns = docs.columns
+    place = columns.index("text")
 
-    @F.udf("string", useArrow=True)
-    def without(text, found):
-        return kept_bytes(text, removed_runs([x.asDict() if hasattr(x, "asDict") else x for x in found], length)).decode("utf-8", "ignore")
-
-    joined = texts.join(repeats(texts, length, block_bytes), "rid", "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(without("text", "found"))
-    return joined.withColumn("text", text).select(docs.columns)
+    def cut(batches):
+        for batch in batches:
+            texts = [
+                kept_bytes(text, removed_runs(found, length)).decode("utf-8", "ignore") if found else text
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())
+            ]
+            yield batch.set_column(place, "text", pa.array(texts, batch.schema.field("text").type)).select(columns)
+
+    joined = texts.join(repeats(texts, length, block_bytes), "rid", "left").select(*columns, "found")
+    return joined.mapInArrow(cut, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))
