@@ -49,12 +49,16 @@ def playlist_cover(spark, d):
     return t.playlist_tracks(spark, d).groupBy("playlist_id").agg(F.min_by("track_id", F.struct("pos", "track_id")).alias("cover"), F.min("pos").alias("cover_pos"))
 
 
+def flag_class():
+    """4 female + 2 video + kid; absent flags are false."""
+    return sum((F.coalesce(c, F.lit(False)).cast("int") * bit for c, bit in (("is_female", 4), ("is_video", 2), ("is_kid", 1))), F.lit(0))
+
+
 @query("community_mask", "SELECT m.playlist_id, bool_or(t.track_id IS NULL) AS fallback, CAST(bit_or(CAST(1 << CAST(4 * CAST(coalesce(a.is_female, false) AS INT) + 2 * CAST(coalesce(t.is_video, false) AS INT) + CAST(coalesce(a.is_kid, false) AS INT) AS INT) AS BIGINT)) AS BIGINT) AS cls_mask FROM playlist_track m LEFT JOIN track t ON t.track_id = m.track_id AND t.track_id % 11 <> 0 LEFT JOIN artist a ON a.artist_id = t.artist_id GROUP BY 1")
 def community_mask(spark, d):
     """A bit for each class of member that a playlist has; fallback if a member is unknown."""
     known = t.tracks(spark, d).filter("track_id % 11 <> 0").join(t.artists(spark, d), "artist_id", "left").select("track_id", "is_video", "is_female", "is_kid", F.lit(True).alias("known"))
-    flag = lambda c, bit: F.coalesce(c, F.lit(False)).cast("int") * bit
-    classes = t.playlist_tracks(spark, d).join(known, "track_id", "left").withColumn("cls", flag("is_female", 4) + flag("is_video", 2) + flag("is_kid", 1))
+    classes = t.playlist_tracks(spark, d).join(known, "track_id", "left").withColumn("cls", flag_class())
     return classes.groupBy("playlist_id").agg(F.bool_or(F.col("known").isNull()).alias("fallback"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cls"))).alias("cls_mask"))
 
 
