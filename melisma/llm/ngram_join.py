@@ -11,17 +11,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import distinct, durable, edges, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, unpack, words
-from .graph import components
+from .graph import merge
 
 WORDS = 5
 PERCENT = 75
 #: Postings that a task holds before it sends them on, and characters of text whose postings meet in one range.
 FLUSH = 4 << 20
 RANGE_CHARS = 24 << 20
+#: Bits of the parity bitmap that bounds the overlap of two sets before their tokens are fetched.
+BITMAP = 512
 #: Cheap rounds against one representative go on until at most this many unlinked pairs are left for each posting.
 CROSS_PER_POSTING = 4
 MAX_STAR_ROUNDS = 5
@@ -54,8 +56,9 @@ def signature(tokens: np.ndarray) -> int:
 _INFO = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 _POSTINGS = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary())])
 _SHARED = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
-_SETS = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary())])
-_PREFIX = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
+_SETS = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), *((f"bits{k}", pa.int64()) for k in range(BITMAP // 64)), ("tokens", pa.binary()), ("df", pa.binary())])
+_BITS = [f"bits{k}" for k in range(BITMAP // 64)]
+_PREFIX = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("rest", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
 
@@ -150,6 +153,12 @@ def _shared(bits: int):
     return shared
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """A bitmap that each token flips one bit of. Two sets differ in at least as many tokens as their bitmaps in bits."""
+    bits = (np.bincount((mix(tokens, 4) >> np.uint64(55)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sets(percent: int):
     """The sets of one range that share enough tokens to have any partner, their shared tokens in the first order."""
 
@@ -164,19 +173,21 @@ def _sets(percent: int):
         for k in np.flatnonzero(count >= least_common(size, percent)):
             at = order[lo[k] : lo[k] + count[k]]
             at = at[np.lexsort((tokens[at], df[at]))]
-            out.append((int(sigs[at[0]]), int(size[k]), tokens[at].tobytes(), df[at].tobytes()))
-        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * 4, _SETS)], schema=_SETS)
+            out.append((int(sigs[at[0]]), int(size[k]), len(at), *parity(tokens[at]), tokens[at].tobytes(), df[at].tobytes()))
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_SETS), _SETS)], schema=_SETS)
 
     return whole
 
 
 def _prefix(percent: int):
+    """The prefix under the first order, each token with the number of tokens from there on."""
+
     def prefixes(batches):
         for batch in batches:
             for sig, n, tokens in zip(*(batch.column(c) for c in ("sig", "n", "tokens"))):
                 tokens = raw(tokens.as_buffer(), np.int64)
-                tokens = tokens[: len(tokens) - least_common(n.as_py(), percent) + 1]
-                yield rows(_PREFIX, [tokens, np.full(len(tokens), sig.as_py()), np.full(len(tokens), n.as_py())])
+                size = len(tokens) - least_common(n.as_py(), percent) + 1
+                yield rows(_PREFIX, [tokens[:size], np.full(size, sig.as_py()), np.full(size, n.as_py()), len(tokens) - np.arange(size)])
 
     return prefixes
 
@@ -217,8 +228,8 @@ def _verified(percent: int):
     return verified
 
 
-def links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: enough linked pairs of distinct sets (by sig) that their connected components are those of all links.
+def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """node, component: the sets (by sig) that have links, and the smallest one that their links reach.
 
     Sets are first compared with one representative for each prefix token. Members of one component need no further comparison;
     all other pairs that share a prefix token are verified, so no component is missed.
@@ -226,21 +237,32 @@ def links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     bits = range_bits(docs, RANGE_CHARS)
     postings = _texts(docs).select("text").mapInArrow(_postings(bits, n), "part int, tokens binary, place binary, sigs binary, sizes binary")
     shared = postings.groupBy("part").applyInArrow(_shared(bits), "part int, sigs binary, sizes binary, tokens binary, df binary")
-    sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), "sig long, n long, tokens binary, df binary"))
-    posts = sets.mapInArrow(_prefix(percent), "token long, sig long, n long")
+    sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens binary, df binary"))
+    posts = sets.mapInArrow(_prefix(percent), "token long, sig long, n long, rest long")
     posts = durable(posts.join(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "token"))
 
+    def overlap(x: str, y: str) -> Column:
+        """Whether the bitmaps leave room for the overlap that the similarity takes."""
+        differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in _BITS), F.lit(0))
+        return (100 + percent) * (F.col(f"{x}shared") + F.col(f"{y}shared") - differ) >= 2 * percent * (F.col(f"{x}n") + F.col(f"{y}n"))
+
     def verify(pairs: DataFrame) -> DataFrame:
+        x, y = sets.select("sig", "n", "shared", *_BITS).alias("x"), sets.select("sig", "n", "shared", *_BITS).alias("y")
+        pairs = pairs.join(x, F.col("a") == F.col("x.sig")).join(y, F.col("b") == F.col("y.sig")).filter(overlap("x.", "y.")).select("a", "b")
         side = lambda k: sets.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("df").alias(f"f{k}"))
         return durable(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "fa", "na", "tb", "fb", "nb").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
 
-    close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+    def close(x: str, y: str) -> Column:
+        """Whether sizes allow the similarity and, if this is the first token that both have, what follows in both allows it too."""
+        common = F.least(f"{x}rest", f"{y}rest")
+        return (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")) & ((100 + percent) * common >= percent * (F.col(f"{x}n") + F.col(f"{y}n")))
+
     labelled = posts.withColumn("component", F.col("sig"))
-    seen = None
+    seen = labels = None
     for turn in range(MAX_STAR_ROUNDS):
         order = F.xxhash64(F.lit(turn), "sig")
-        star = labelled.groupBy("token").agg(F.min(F.struct(order.alias("o"), "sig", "n", "component")).alias("hub"))
-        pairs = labelled.join(star, "token").filter((F.col("hub.component") != F.col("component")) & close(F.col("n"), F.col("hub.n")))
+        star = labelled.groupBy("token").agg(F.min(F.struct(order.alias("o"), "sig", "n", "rest", "component")).alias("hub"))
+        pairs = labelled.join(star, "token").filter((F.col("hub.component") != F.col("component")) & close("", "hub."))
         pairs = pairs.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
@@ -248,18 +270,18 @@ def links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         seen = fresh if seen is None else seen.union(fresh)
         if not fresh.filter("linked").limit(1).count():
             break
-        labels = components(seen.filter("linked"))
+        labels = merge(labels, fresh.filter("linked"))
         labelled = posts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         groups = labelled.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         left = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross"), F.sum("n").alias("posts")).first()
         if not left["cross"] or left["cross"] <= CROSS_PER_POSTING * left["posts"]:
             break
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    open_ = labelled.join(mixed, "token").select("token", "sig", "n", "component")
+    open_ = labelled.join(mixed, "token").join(sets.select("sig", "shared", *_BITS), "sig").select("token", "sig", "n", "rest", "component", "shared", *_BITS)
     x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.sig") < F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n")))
+    cross = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.sig") < F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & close("x.", "y.") & overlap("x.", "y."))
     cross = cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    return seen.union(verify(cross)).filter("linked").select("a", "b")
+    return merge(labels, verify(cross).filter("linked"))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -272,7 +294,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     Sets stand for all rows that have them, so copies are never expanded into pairs. Shingles are 64-bit hashes.
     """
     info = durable(set_sizes(docs, n))
-    labels = components(links(docs, n, percent)).select(F.col("node").alias("sig"), "component")
+    labels = linked_sets(docs, n, percent).select(F.col("node").alias("sig"), "component")
     known = info.filter("sig IS NOT NULL").join(labels, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("component"))
     first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = info.filter("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
