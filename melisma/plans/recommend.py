@@ -1 +1,125 @@
-"""To be filled."""
+"""Radio and schedules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from melisma import registry
+from melisma.functions import hashing as h
+from melisma.operators import recommend as r
+from melisma.operators import telemetry as o
+from melisma.operators.ranking import ranked_within
+from melisma.plans import telemetry as charts
+from melisma.registry import query
+from melisma.sources import tables as t
+
+_FNV = "CAST(list_reduce(list_prepend(CAST({seed} AS BIGINT), list_transform(string_split({s}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS BIGINT)"
+
+
+def fnv_sql(s: str, seed: int = 0) -> str:
+    return _FNV.format(s=s, seed=2166136261 ^ seed)
+
+
+def _sub(name: str) -> str:
+    return f"({registry._FOUND[name][1]})"
+
+
+def edges(spark, d):
+    parts = (("sess", charts.cooc_session), ("lib", charts.cooc_library), ("art", charts.cooc_artist))
+    out = None
+    for kind, f in parts:
+        e = f(spark, d).select(F.lit(kind).alias("kind"), "src", "dst", "score")
+        out = e if out is None else out.union(e)
+    return out
+
+
+def heard(spark, d):
+    """item, artist_id, reach, multiplier, year and class of every track."""
+    plays = t.plays(spark, d)
+    reach = o.reach(plays.filter("kind = 'play'"), "item")
+    skip = charts.skip_rate(spark, d).select("item", "multiplier")
+    tracks = t.tracks(spark, d).select(F.col("track_id").alias("item"), "artist_id", "duration_sec", "genres", F.year(F.to_date("upload_date")).alias("year"))
+    return tracks.join(reach, "item", "left").join(skip, "item", "left").select("item", "artist_id", "duration_sec", "genres", "year", (F.col("artist_id") % 4 == 0).alias("cls"), F.coalesce("reach", F.lit(0)).alias("reach"), F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"))
+
+
+def song_seeds(spark, d, items=(5, 40, 77)):
+    """Stations of one song each."""
+    return t.tracks(spark, d).filter(F.col("track_id").isin(*items)).select(F.col("track_id").alias("station"), F.col("track_id").alias("item"), "artist_id")
+
+
+@query("radio_score", f"""WITH hd AS (SELECT track_id AS item, artist_id, coalesce(reach, 0) AS reach, coalesce(multiplier, 1.0) AS multiplier FROM track LEFT JOIN (SELECT item, count(DISTINCT device) AS reach FROM play WHERE kind = 'play' GROUP BY 1) a ON a.item = track_id LEFT JOIN {_sub('skip_rate')} b ON b.item = track_id),
+ seed AS (SELECT item AS station, item, artist_id FROM hd WHERE item IN (5, 40, 77)),
+ rel AS (SELECT station, dst AS artist_id, score, row_number() OVER (PARTITION BY station ORDER BY score DESC, dst) AS rn FROM seed JOIN {_sub('cooc_artist')} e ON e.src = artist_id),
+ ft AS (SELECT *, row_number() OVER (PARTITION BY artist_id ORDER BY reach DESC, item) AS rn FROM hd),
+ s AS (SELECT station, e.dst AS item, 2.0 * score AS s FROM seed JOIN {_sub('cooc_session')} e ON e.src = seed.item UNION ALL SELECT station, e.dst, 1.25 * score FROM seed JOIN {_sub('cooc_library')} e ON e.src = seed.item
+  UNION ALL SELECT station, hd.item, 0.2 * reach / (reach + 3.0) FROM seed JOIN hd USING (artist_id) UNION ALL SELECT station, ft.item, 0.08 * score * reach / (reach + 3.0) FROM rel JOIN ft USING (artist_id) WHERE rel.rn <= 15 AND ft.rn <= 5)
+ SELECT station, s.item, round(sum(s) * any_value(multiplier) + 0.03 * (any_value({fnv_sql('CAST(s.item AS VARCHAR)')}) >> 8) / 16777216.0, 6) AS score FROM s JOIN hd ON hd.item = s.item WHERE s.item <> station GROUP BY 1, 2""")
+def radio_score(spark, d):
+    return r.scores(song_seeds(spark, d), edges(spark, d), heard(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("radio_station", None)
+def radio_station(spark, d):
+    """A whole station: head by score, backfill by popularity, then never more than two of one artist in a row."""
+    seeds, tracks = song_seeds(spark, d), heard(spark, d)
+    head = r.scores(seeds, edges(spark, d), tracks)
+    stations = seeds.join(tracks.select("item", "year", "cls"), "item").select("station", "year", "cls")
+    queue = r.backfill(stations, head, tracks).join(tracks.select("item", "artist_id"), "item")
+    return r.page(r.diversify(queue), 0, 50)
+
+
+@query("radio_shuffle_order", f"SELECT p_partkey AS item, row_number() OVER (ORDER BY {fnv_sql('CAST(p_partkey AS VARCHAR)', 9)}, p_partkey) AS place FROM part WHERE p_size > 45 ORDER BY place LIMIT 40")
+def radio_shuffle_order(spark, d):
+    from melisma.operators.ranking import top_ranked
+
+    pool = t.load(spark, d, "part").filter("p_size > 45").select(F.col("p_partkey").alias("item"))
+    return top_ranked(pool, [h.fnv1a(F.col("item").cast("string"), 9), F.asc("item")], 40, "place")
+
+
+@query("artist_lists", "WITH r AS (SELECT item, count(DISTINCT device) AS reach FROM play WHERE kind = 'play' GROUP BY 1), k AS (SELECT artist_id, track_id AS item, row_number() OVER (PARTITION BY artist_id ORDER BY coalesce(reach, 0) DESC, track_id) AS place FROM track LEFT JOIN r ON item = track_id) SELECT * FROM k WHERE place <= 8")
+def artist_lists(spark, d):
+    """The index of a radio: each artist's tracks by reach."""
+    return ranked_within(heard(spark, d).select("artist_id", "item", "reach"), ["artist_id"], [F.desc("reach"), F.asc("item")], "place").filter("place <= 8").drop("reach")
+
+
+@query("daily_rotation", f"WITH p AS (SELECT c_custkey AS playlist_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS views_rank FROM customer WHERE c_acctbal > 5000), k AS (SELECT playlist_id, CASE WHEN views_rank <= 8 THEN views_rank ELSE 0 END AS anchor, {fnv_sql(chr(39) + '2024-01-05:' + chr(39) + ' || playlist_id')} AS hsh, views_rank FROM p WHERE views_rank <= 400) SELECT playlist_id, row_number() OVER (ORDER BY anchor = 0, anchor, hsh, playlist_id) AS place FROM k ORDER BY place LIMIT 32")
+def daily_rotation(spark, d, day: str = "2024-01-05"):
+    """Anchors by views, then the others in an order that the day decides."""
+    from melisma.operators.ranking import top_ranked
+
+    pool = top_ranked(t.load(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("playlist_id"), "c_acctbal"), [F.desc("c_acctbal"), F.asc("playlist_id")], 400, "views_rank")
+    anchor = F.when(F.col("views_rank") <= 8, F.col("views_rank")).otherwise(F.lit(0))
+    ranked = pool.withColumn("anchor", anchor).withColumn("hsh", h.fnv1a(F.concat(F.lit(f"{day}:"), F.col("playlist_id"))))
+    return top_ranked(ranked, [(F.col("anchor") == 0).asc(), F.asc("anchor"), F.asc("hsh"), F.asc("playlist_id")], 32, "place").select("playlist_id", "place")
+
+
+def _pool(spark, d):
+    return heard(spark, d).filter("item < 800").select(F.element_at("genres", 1).alias("station"), "item", "artist_id", F.col("duration_sec").alias("dur_sec"), "reach", "multiplier")
+
+
+@query("schedule", None)
+def schedule(spark, d):
+    """A day of each genre's station."""
+    return r.schedules(_pool(spark, d), 1_700_000_000_000, 24, 7)
+
+
+_SCHEDULE = "sch AS (SELECT genres[1] AS station, track_id AS item, duration_sec AS dur_sec, CAST(coalesce(sum(duration_sec) OVER (PARTITION BY genres[1] ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_s FROM track WHERE track_id < 800)"
+
+
+@query("prefix_starts", f"WITH {_SCHEDULE} SELECT * FROM sch")
+def prefix_starts(spark, d):
+    """Start times as prefix sums of the durations before."""
+    before = Window.partitionBy("station").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    return _pool(spark, d).select("station", "item", "dur_sec", F.coalesce(F.sum("dur_sec").over(before), F.lit(0)).alias("start_s"))
+
+
+@query("schedule_at", f"WITH {_SCHEDULE}, tm AS (SELECT genres[1] AS station, track_id * 23 AS at_s FROM track WHERE track_id < 500) SELECT station, at_s, item, start_s, dur_sec FROM tm JOIN sch USING (station) WHERE at_s >= start_s AND at_s < start_s + dur_sec")
+def schedule_at(spark, d):
+    times = t.tracks(spark, d).filter("track_id < 500").select(F.element_at("genres", 1).alias("station"), (F.col("track_id") * 23).alias("at_s"))
+    return r.on_air(prefix_starts(spark, d), times)
+
+
+@query("schedule_guard", f"WITH {_SCHEDULE} SELECT * FROM sch WHERE start_s + dur_sec > 20000 - 21600 AND start_s <= 20000 + 600")
+def schedule_guard(spark, d):
+    return r.guard(prefix_starts(spark, d), 20_000)
