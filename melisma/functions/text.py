@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Marks that join two parts of a word, the skeleton of each Hebrew letter, and the letter folds in their order.
 JOIN_MARKS = "['’‘`´\"׳״]"
@@ -19,12 +20,12 @@ FOLDS = (("sh|ş", "s"), ("ch|kh|ḥ|x", "k"), ("tz|ts", "c"), ("th", "t"), ("[a
 VARIANTS = (r"(?i)acap+ella|vocal|ווקאלי", r"(?i)instrumental|karaoke|playback|אינסטרומנטל", r"(?i)(?<![A-Za-z0-9_])live(?![A-Za-z0-9_])|בהופעה", r"(?i)remix|mashup|רמיקס", r"(?i)(?<![A-Za-z0-9_])cover(?![A-Za-z0-9_])|קאבר")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     return s.map(strip_marks, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
