@@ -179,3 +179,32 @@ def test_streams_agree_with_batch_on_empty_and_missing_json(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     assert read_json(spark, str(tmp_path / "none.json"), schema).count() == 0
     assert conform(spark.createDataFrame([(1,)], "a int"), schema).first().asDict() == {"a": 1, "b": None}
+
+
+def test_landing_pages_and_last_good(spark, tmp_path):
+    import json
+
+    from pyspark.sql import types as T
+
+    from melisma.sources import landing
+
+    for page, rows in ((0, ["a", "b"]), (1, ["c"]), (3, ["lost"])):
+        (tmp_path / f"p{page}.json").write_text(json.dumps({"collection": "w", "page": page, "rows": rows, "next_token": None}))
+    (tmp_path / "bad.json").write_text("{")
+    found = landing.collection(landing.fresh_files(spark, str(tmp_path), "1 DAY"))
+    assert [r["row"] for r in found.orderBy("position").collect()] == ["a", "b", "c"]
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    out = str(tmp_path / "snap")
+    assert landing.write_if_changed(df, out, "id") and not landing.write_if_changed(df.orderBy(F.desc("id")), out, "id")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
+    assert landing.last_good(spark, [str(tmp_path / "none"), out], schema).count() == 2
+    for day in ("2024-01-01", "2024-03-01", "2024-03-01"):
+        landing.append_run(df, str(tmp_path / "runs"), day)
+    assert landing.history(spark, str(tmp_path / "runs"), "2024-03-02").count() == 2
+
+
+def test_cross_script_credits(spark):
+    from melisma import registry
+
+    got = {r["track_id"] for r in registry.queries()["cross_script_credits"](spark, "").collect()}
+    assert got == {1, 2, 5}
