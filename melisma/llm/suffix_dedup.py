@@ -271,9 +271,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
     """rid, spans: for each document with repeated windows, their runs as (chunk's start, first window in it, windows)."""
     texts = docs.select("rid", "text").filter(F.octet_length("text") >= length)
     found = texts.mapInArrow(_anchored(length), _ANCHORS_DDL)
-    often = found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    often = durable(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))  # apart, so that a hot anchor's side of the join can be split
     live = durable(found.join(often, "ah"))
-    chunks = live.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count")).alias("rep"))
+    chunks = durable(live.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count")).alias("rep")))
     mixed = live.groupBy("ah").agg(F.min("ch").alias("lo"), F.max("ch").alias("hi")).filter("lo <> hi").select("ah")
     need = chunks.join(mixed, "ah").select("rep.rid", F.struct("ah", "ch", "rep.start", "rep.count").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("need"))
     sent = texts.join(need, "rid").select("text", "need").mapInArrow(_cut(length), "ah long, ch long, chunk binary")
@@ -319,7 +319,7 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
     texts = _numbered(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def measured(batches):
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch)):
             out = []
             for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
                 spans = removed_runs(found, length)
@@ -339,7 +339,7 @@ def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES
     place = columns.index("text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch)):
             texts = [
                 kept_bytes(text, removed_runs(found, length)).decode("utf-8", "ignore") if found else text
                 for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())
