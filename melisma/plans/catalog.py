@@ -228,9 +228,9 @@ def derived_urls(spark, d):
 
 @query("top_shows", "WITH r AS (SELECT user_id AS show_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS rk FROM events WHERE event_type = 'click' GROUP BY 1 HAVING count(*) >= 12), e AS (SELECT o_custkey AS show_id, count(*) AS episodes FROM orders GROUP BY 1) SELECT c_custkey AS show_id, rk, coalesce(episodes, 0) AS episodes, c_nationkey % 2 = 0 AS verified FROM customer LEFT JOIN r ON r.show_id = c_custkey LEFT JOIN e ON e.show_id = c_custkey ORDER BY rk NULLS LAST, verified DESC, episodes DESC, c_custkey LIMIT 100")
 def top_shows(spark, d):
-    """Shows by telemetry rank; the rest behind them, verified channels first, then by episodes."""
+    """Shows by telemetry rank; the rest behind them, verified channels first, then by episodes. Of the ranks only those of a page matter."""
     heard = t.load(spark, d, "events").filter("event_type = 'click'").groupBy(F.col("user_id").alias("show_id")).agg(F.count("*").alias("n")).filter("n >= 12")
-    rank = top_ranked(heard, [F.desc("n"), F.asc("show_id")], 1_000_000, "rk").select("show_id", "rk")
+    rank = top_ranked(heard, [F.desc("n"), F.asc("show_id")], 100, "rk").select("show_id", "rk")
     episodes = t.load(spark, d, "orders").groupBy(F.col("o_custkey").alias("show_id")).agg(F.count("*").alias("episodes"))
     shows = t.load(spark, d, "customer").select(F.col("c_custkey").alias("show_id"), (F.col("c_nationkey") % 2 == 0).alias("verified")).join(rank, "show_id", "left").join(episodes, "show_id", "left")
     return shows.select("show_id", "rk", F.coalesce("episodes", F.lit(0)).alias("episodes"), "verified").orderBy(F.asc_nulls_last("rk"), F.desc("verified"), F.desc("episodes"), "show_id").limit(100)
