@@ -10,36 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The labelled URL table (1: block). Hosts and paths of spam, adult, gambling, malware and link farms
-#: against news, education, reference, shops and personal sites.
+#: Names of sites to block (spam, adult, gambling, malware, advertising and link farms) and to allow, with paths.
+BLOCKED = (
+    ("cheap-pills", "/en/450"), ("pharmacy-discount", "/pills/cialis"), ("weight-loss-pills", "/cheap"), ("viagra-online", "/buy"),
+    ("spam-farm", "/en/728"), ("links-farm", "/fr/12.html"), ("spam-links", "/985"), ("seo-backlinks", "/buy-links"),
+    ("casino-bonus", "/free-spins"), ("casino-win", "/slots"), ("best-casino", "/poker/win"), ("free-bets", "/odds"), ("online-bets", "/jackpot"),
+    ("adult-chat", "/en/4033.html"), ("xxx-videos", "/cams"), ("adult-cams", "/de/7"), ("adult-xxx", "/es/18"),
+    ("free-download-crack", "/keygen"), ("warez-serial", "/crack"), ("replica-watches", "/cheap-rolex"), ("payday-loans", "/fast-cash"),
+    ("win-prize-now", "/claim"), ("lottery-winner", "/claim-prize"), ("click-tracker", "/redirect/ads"), ("ads-track", "/pixel"), ("ad-farm", "/clicks"),
+    ("crypto-doubler", "/invest"), ("malware-host", "/setup.exe"), ("phishing-login", "/verify-account"), ("get-rich-quick", "/money"),
+)
+ALLOWED = (
+    ("news", "/2024/politics/report"), ("university", "/research/papers"), ("library", "/catalog/books"), ("gardening", "/en/roses.html"),
+    ("docs", "/guide/install"), ("museum", "/exhibits/2023"), ("weather", "/fr/paris"), ("recipes", "/de/brot"), ("school", "/en/calendar"),
+    ("encyclopedia", "/wiki/history"), ("health", "/advice/sleep"), ("sports", "/league/results"), ("travel", "/es/madrid"), ("theatre", "/tickets"),
+    ("science", "/articles/physics"), ("forum", "/threads/1234"), ("ththre", "/en/853/"), ("tiontion", "/fr/825"), ("ththth", "/en/25"),
+    ("thther", "/en/685"), ("therha", "/es/676"), ("therti", "/en/618/"), ("thertion", "/es/978"), ("therea", "/de/785.html"),
+    ("thetion", "/en/41"), ("ththing", "/fr/9117"), ("andthe", "/en/3050.html"), ("thanion", "/de/66"), ("theory", "/en/2"), ("nation", "/es/5"),
+)
+#: Every site stands there under each ending and with one of the usual prefixes, so that neither tells anything.
 LABELLED = [
-    (1, "http://www.cheap-pills.example.com/en/450?page=2"), (1, "https://cheap-pills.example.net/buy/viagra-online"),
-    (1, "https://spam-farm.example.org/en/728"), (1, "http://links.spam-farm.example.com/fr/12.html"),
-    (1, "http://casino-bonus.example.com/free-spins"), (1, "https://best-casino.example.org/poker/win"),
-    (1, "http://xxx-videos.example.net/adult/cams"), (1, "https://adult-chat.example.com/xxx"),
-    (1, "http://free-download-crack.example.org/keygen"), (1, "https://warez-serial.example.com/crack/download"),
-    (1, "http://replica-watches.example.net/cheap-rolex"), (1, "https://payday-loans.example.com/fast-cash"),
-    (1, "http://pharmacy-discount.example.org/pills/cialis"), (1, "https://win-prize-now.example.com/claim"),
-    (1, "http://seo-backlinks.example.net/buy-links"), (1, "https://click-tracker.example.com/redirect/ads"),
-    (1, "http://crypto-doubler.example.org/invest"), (1, "https://lottery-winner.example.com/claim-prize"),
-    (1, "http://malware-host.example.net/setup.exe"), (1, "https://phishing-login.example.org/verify-account"),
-    (1, "http://spam-links.example.com/farm/985"), (1, "https://ad-farm.example.net/clicks"),
-    (1, "http://get-rich-quick.example.com/money"), (1, "https://weight-loss-pills.example.org/cheap"),
-    (1, "https://free-bets.example.net/odds/football"), (1, "http://m.casino-win.example.org/slots"),
-    (1, "https://online-bets.example.org/free-bets"), (1, "http://casino-win.example.net/jackpot/4033.html"),
-    (1, "https://m.ads-track.example.org/pixel"), (1, "http://ads-track.example.net/popunder"),
-    (0, "https://news.example.com/2024/politics/report"), (0, "https://www.university.example.org/research/papers"),
-    (0, "http://library.example.net/catalog/books"), (0, "https://blog.gardening.example.com/en/roses.html"),
-    (0, "https://docs.example.org/guide/install"), (0, "http://museum.example.com/exhibits/2023"),
-    (0, "https://m.weather.example.net/fr/paris"), (0, "https://recipes.example.org/de/brot"),
-    (0, "http://www.school.example.com/en/calendar"), (0, "https://encyclopedia.example.org/wiki/history"),
-    (0, "https://blog.tiontion.example.com/en/853/"), (0, "http://ththre.example.com/fr/825?page=2&ref=x"),
-    (0, "https://m.ththth.example.org/en/25#top"), (0, "https://thther.example.com/en/685"),
-    (0, "http://therha.example.org/es/676"), (0, "https://www.therti.example.org/en/618/"),
-    (0, "https://blog.thertion.example.org/es/978"), (0, "https://therea.example.com/en/785.html"),
-    (0, "http://health.example.org/advice/sleep"), (0, "https://sports.example.com/league/results"),
-    (0, "https://travel.example.net/es/madrid"), (0, "http://www.theatre.example.com/tickets"),
-    (0, "https://science.example.org/articles/physics"), (0, "https://forum.example.com/threads/1234"),
+    (label, f"http://{('', 'www.', 'blog.', 'm.')[(k + n) % 4]}{name}.example.{ending}{path}")
+    for label, sites in ((1, BLOCKED), (0, ALLOWED)) for k, (name, path) in enumerate(sites) for n, ending in enumerate(("com", "net", "org"))
 ]
 #: The rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
