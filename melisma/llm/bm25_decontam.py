@@ -86,7 +86,7 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index:
     for k in range(n_blocks):
         own = item // BLOCK == k
         near, place = np.unique(term[own], return_inverse=True)
-        table = np.zeros((len(near), min(BLOCK, len(items) - k * BLOCK)), np.float32)
+        table = np.zeros((len(near), min(BLOCK, len(items) - k * BLOCK)))
         table[place, item[own] - k * BLOCK] = impact[own]
         blocks.append(Block(near, table))
     parts = []
@@ -123,7 +123,7 @@ def search(index: Index, h: np.ndarray, doc_words: np.ndarray, threshold: float
     opens[(first + halves - 1)[halves > 1]] = False  # a last half window belongs to the one before
     joint = bound.copy()
     joint[:-1] += np.where(np.isin(np.arange(1, total), first[halves > 0]), 0, bound[1:])
-    slack = 1e-4
+    slack = 1e-4  # the bounds are single precision
     chosen = np.flatnonzero(opens & (joint >= threshold - slack))
     if not len(chosen):
         return out
@@ -153,7 +153,7 @@ def search(index: Index, h: np.ndarray, doc_words: np.ndarray, threshold: float
             continue
         at = runs(o)  # terms stand in the order of their passages
         score = np.add.reduceat(block.impacts[place[hit]], at, axis=0)
-        for w, i in zip(*np.nonzero(score >= threshold - slack)):
+        for w, i in zip(*np.nonzero(score >= threshold - 1e-9)):
             c, d = chosen[o[at[w]]], owner[o[at[w]]]
             start = doc_words[d] + (c - first[d]) * half
             out.append((int(d), int(start), int(min(start + 2 * half, doc_words[d + 1])), k * BLOCK + int(i), float(score[w, i])))

@@ -220,8 +220,8 @@ def as_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 body = (html or "").encode("utf-8", "surrogatepass")
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-                head = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("page", str(page_id), url or ""))]
-                head += [("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url))] * bool(url) + [("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
+                head = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("page", str(page_id), url or "", digest(body)))]
+                head += [("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url or ""))] * bool(url) + [("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
                 head += [("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body))]
                 out.append(write_record(head, block))
             yield pa.record_batch({"record": pa.array(out, pa.binary())})
