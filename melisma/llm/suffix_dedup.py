@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,10 +261,9 @@ def _marked(length: int, block_bytes: int):
     return marked
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Every row with a number of its content; equal rows have equal numbers."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("text", text).withColumn("rid", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+def row_number_of_content() -> Column:
+    """A number of a row's doc_id and text; equal rows have equal numbers."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -316,7 +315,7 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
     are empty; texts under `length` bytes keep all; repeated rows are repeats of each other; an empty table gives an empty result;
     further columns are dropped.
     """
-    texts = _numbered(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(row_number_of_content().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def measured(batches):
         for batch in (piece for batch in batches for piece in pieces(batch)):
@@ -334,7 +333,6 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
 
 def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns, with the repeated strings cut out of text; a character that a cut leaves incomplete goes too."""
-    texts = _numbered(docs)
     columns = docs.columns
     place = columns.index("text")
 
@@ -342,9 +340,11 @@ def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES
         for batch in (piece for batch in batches for piece in pieces(batch)):
             texts = [
                 kept_bytes(text, removed_runs(found, length)).decode("utf-8", "ignore") if found else text
-                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("__found").to_pylist())
             ]
             yield batch.set_column(place, "text", pa.array(texts, batch.schema.field("text").type)).select(columns)
 
-    joined = texts.join(repeats(texts, length, block_bytes), "rid", "left").select(*columns, "found")
+    texts = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__rid", row_number_of_content())
+    found = repeats(texts.select(F.col("__rid").alias("rid"), "text"), length, block_bytes).select(F.col("rid").alias("__rid"), F.col("found").alias("__found"))
+    joined = texts.join(found, "__rid", "left").select(*columns, "__found")
     return joined.mapInArrow(cut, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))

@@ -172,8 +172,16 @@ def test_repeated_strings(docs, rows, length, block):
 
 
 def test_remove_keeps_columns(docs, rows):
-    out = suffix_dedup.remove(docs, 200)
-    assert out.columns == docs.columns and out.count() == len(rows)
+    """Columns with the names that the operator uses inside keep their values."""
+    odd = docs.withColumn("rid", F.lit(7)).withColumn("found", F.lit("f")).withColumn("ah", F.lit(None).cast("double"))
+    out = suffix_dedup.remove(odd, 200)
+    assert out.columns == odd.columns
+    texts = [(r[1] or "").encode() for r in rows]
+    want = sorted(hashed for _, _, _, hashed in removed_by_hand(texts, 200))
+    got = out.collect()
+    assert all(r["rid"] == 7 and r["found"] == "f" and r["ah"] is None for r in got)
+    clean = [t for t, (_, gone, _, _) in zip(texts, removed_by_hand(texts, 200)) if not gone]
+    assert len(got) == len(want) and collections.Counter(clean) <= collections.Counter(r["text"].encode() for r in got)
 
 
 def test_blocks_merge_by_binary_search():
