@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     info = durable(set_sizes(docs, n))
     labels = linked_sets(docs, n, percent).select(F.col("node").alias("sig"), "component")
     known = info.filter("sig IS NOT NULL").join(labels, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("component"))
-    first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    first = durable(known.groupBy("component").agg(F.min("doc_id").alias("component_id")))  # apart, so that a hot component's side of the join can be split
     alone = info.filter("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.join(first, "component").select("doc_id", "n_shingles", "component_id").union(alone)
 
