@@ -75,8 +75,9 @@ def bigrams(word: Column) -> Column:
 def one_edit(a: Column, b: Column) -> Column:
     """Whether at most one insertion, deletion, substitution or swap of neighbours makes a into b."""
     swap = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
-    swapped = (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swap)
-    return (F.levenshtein(a, b, 1) >= 0) | swapped
+    distance = F.levenshtein(a, b, 2)  # a swap counts as 2 there, and only such pairs are looked at any closer
+    swapped = (distance == 2) & (F.length(a) == F.length(b)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swap)
+    return distance.isin(0, 1) | swapped
 
 
 def duplicate_key(title: Column, artist: Column, traits: Column) -> Column:

@@ -102,6 +102,14 @@ def test_search_nothing_and_empty(spark):
     assert results(spark, None) == []
 
 
+def test_saved_index_answers_the_same(spark, tmp_path):
+    index = search.build(spark.createDataFrame(DOCS, "category string, doc_id long, title string, artist string"))
+    search.save(index, str(tmp_path / "index"))
+    tokens = search.query_tokens(spark.createDataFrame([(1, "hello world"), (2, "wrold")], "qid long, text string"))
+    rows = lambda i: sorted(map(tuple, search.search(i, tokens).collect()))
+    assert rows(search.open_saved(spark, str(tmp_path / "index"))) == rows(index) != []
+
+
 def test_flags_default_open_and_exact_conjunction(spark):
     row = spark.createDataFrame([(None, None, None)], "f boolean, k boolean, v boolean")
     check = lambda flags: row.select(policy.allowed(flags, F.col("f"), F.col("k"), F.col("v"))).first()[0]
