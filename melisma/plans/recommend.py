@@ -95,7 +95,7 @@ def daily_rotation(spark, d, day: str = "2024-01-05"):
 
 
 def _pool(spark, d):
-    return heard(spark, d).filter("item < 800").select(F.element_at("genres", 1).alias("station"), "item", "artist_id", F.col("duration_sec").alias("dur_sec"), "reach", "multiplier")
+    return heard(spark, d).select(F.element_at("genres", 1).alias("station"), "item", "artist_id", F.col("duration_sec").alias("dur_sec"), "reach", "multiplier")
 
 
 @query("schedule", None)
@@ -111,7 +111,7 @@ _SCHEDULE = "sch AS (SELECT genres[1] AS station, track_id AS item, duration_sec
 def prefix_starts(spark, d):
     """Start times as prefix sums of the durations before."""
     before = Window.partitionBy("station").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    return _pool(spark, d).select("station", "item", "dur_sec", F.coalesce(F.sum("dur_sec").over(before), F.lit(0)).alias("start_s"))
+    return _pool(spark, d).filter("item < 800").select("station", "item", "dur_sec", F.coalesce(F.sum("dur_sec").over(before), F.lit(0)).alias("start_s"))
 
 
 @query("schedule_at", f"WITH {_SCHEDULE}, tm AS (SELECT genres[1] AS station, track_id * 23 AS at_s FROM track WHERE track_id < 500) SELECT station, at_s, item, start_s, dur_sec FROM tm JOIN sch USING (station) WHERE at_s >= start_s AND at_s < start_s + dur_sec")

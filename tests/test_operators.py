@@ -1,13 +1,14 @@
 """Literal cases of behaviour that is easy to miss, and invariants."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from melisma.functions import calendar, hashing, parse
 from melisma.functions import text as tx
-from melisma.operators import merge, policy, recommend, search
+from melisma.operators import merge, policy, recommend, search, telemetry
 from melisma.operators.ranking import cap_per_group, keep_first, page, top_ranked
 
 
@@ -216,3 +217,14 @@ def test_cross_script_credits(spark):
 
     got = {r["track_id"] for r in registry.queries()["cross_script_credits"](spark, "").collect()}
     assert got == {1, 2, 5}
+
+
+def test_schedule_and_relevance_cover_all_tracks(spark, monkeypatch):
+    from melisma.plans import recommend as plans
+    from melisma.plans import retrieval
+
+    path, indexed, build = "/root/testdata/sf0.01", [], search.build
+    assert plans.schedule(spark, path).agg(F.max("item")).first()[0] >= 800
+    monkeypatch.setattr(search, "build", lambda docs: indexed.append(docs.count()) or build(docs))
+    retrieval.relevance_metrics(spark, path)
+    assert indexed == [retrieval._docs(spark, path).filter("category = 'songs'").count()]
