@@ -26,8 +26,8 @@ CLASSES = 64
 WINDOW = 24
 HOT = 1 << 18
 RATE = 0.15
-#: Gradients are taken in one of so many windows, in turn over the whole text; the state is carried through all of them.
-EVERY = 4
+#: Gradients are taken in one of so many windows, in turn over the whole text: in all of them.
+EVERY = 1
 #: Tokens that a task reads before it sorts their texts by length, and texts that then run side by side.
 GROUP_TOKENS = 1_500_000
 SCORE_LANES, TRAIN_LANES = 1024, 192

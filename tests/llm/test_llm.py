@@ -344,6 +344,19 @@ def test_training_lowers_held_out_loss():
     assert gru_lm.score(net, np.concatenate(texts[:20]), lo[:21]).sum() > 0.7 * before
 
 
+def test_every_window_teaches():
+    _, net = small_network()
+    moves = []
+
+    class Probe(gru_lm.Trainer):
+        def move(self, name, grad, at=slice(None)):
+            moves.append(name)
+
+    trainer = Probe(net)
+    trainer.texts(np.zeros(5 * gru_lm.WINDOW + 3, np.int32), np.array([0, 5 * gru_lm.WINDOW + 3]))
+    assert moves.count("u") == 6 and trainer.tokens == 5 * gru_lm.WINDOW + 3
+
+
 # ---- decontamination
 
 
