@@ -39,14 +39,16 @@ def scores(seeds: DataFrame, edges: DataFrame, tracks: DataFrame, rng_seed: int
 def backfill(stations: DataFrame, head: DataFrame, tracks: DataFrame, n: int = STATION) -> DataFrame:
     """station, item, place: the head by score, then the most popular other tracks, by era and class, up to n.
 
-    stations(station, year, cls). Popularity is taken once: the n + |head| most popular tracks are enough for any station, so the
-    candidates of a station are bounded and nothing is joined with all tracks.
+    stations(station, year, cls). Every track is scored once for each distinct year and class; the best 2 n of these hold the n
+    best outside any head, which has at most n, so the candidates of a station are bounded.
     """
     placed = ranked_within(head, ["station"], [F.desc(F.round("score", 9)), F.asc("item")]).filter(F.col("rank") <= n)
-    era = ERA * F.exp(-F.abs(F.col("t_year") - F.col("year")) / ERA_YEARS) + F.when(F.col("t_cls") == F.col("cls"), CLASS).otherwise(0.0)
-    popular = tracks.orderBy(F.desc("reach"), "item").limit(2 * n).select("item", "reach", "multiplier", F.col("year").alias("t_year"), F.col("cls").alias("t_cls"))
-    offered = stations.join(F.broadcast(popular)).join(placed.select("station", "item"), ["station", "item"], "left_anti")  # 2 n rows for each station
-    rest = offered.select("station", "item", ((shrink(F.col("reach")) + F.coalesce(era, F.lit(0.0))) * F.col("multiplier")).alias("score"))
+    era = F.coalesce(ERA * F.exp(-F.abs(F.col("year") - F.col("s_year")) / ERA_YEARS), F.lit(0.0)) + F.when(F.col("cls") == F.col("s_cls"), CLASS).otherwise(0.0)
+    kinds = stations.select(F.col("year").alias("s_year"), F.col("cls").alias("s_cls")).distinct()
+    scored = tracks.join(F.broadcast(kinds)).select("s_year", "s_cls", "item", ((shrink(F.col("reach")) + era) * F.col("multiplier")).alias("score"))
+    best = ranked_within(scored, ["s_year", "s_cls"], [F.desc(F.round("score", 9)), F.asc("item")]).filter(F.col("rank") <= 2 * n).drop("rank")
+    offered = stations.join(best, F.col("year").eqNullSafe(F.col("s_year")) & F.col("cls").eqNullSafe(F.col("s_cls"))).select("station", "item", "score")
+    rest = offered.join(placed.select("station", "item"), ["station", "item"], "left_anti")  # of 2 n rows for each station
     rest = ranked_within(rest, ["station"], [F.desc(F.round("score", 9)), F.asc("item")]).withColumn("rank", F.col("rank") + 1_000_000)
     both = placed.select("station", "item", "rank").union(rest.select("station", "item", "rank"))
     return ranked_within(both, ["station"], [F.asc("rank")], "place").filter(F.col("place") <= n).select("station", "item", "place")

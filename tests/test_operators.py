@@ -228,3 +228,17 @@ def test_schedule_and_relevance_cover_all_tracks(spark, monkeypatch):
     monkeypatch.setattr(search, "build", lambda docs: indexed.append(docs.count()) or build(docs))
     retrieval.relevance_metrics(spark, path)
     assert indexed == [retrieval._docs(spark, path).filter("category = 'songs'").count()]
+
+
+def test_backfill_scores_every_track(spark):
+    tracks = [(i, 1 if i < 20 else 0, 0.5, 1950, False) for i in range(40)] + [(40, 0, 1.0, 2000, True), (41, 5, 0.35, 2000, True), (42, 0, 1.0, None, True)]
+    tracks = spark.createDataFrame(tracks, "item long, reach long, multiplier double, year int, cls boolean")
+    stations = spark.createDataFrame([(7, 2000, True), (8, None, True)], "station long, year int, cls boolean")
+    head = spark.createDataFrame([(7, 3, 9.0)], "station long, item long, score double")
+    got = recommend.backfill(stations, head, tracks, 3).orderBy("station", "place").collect()
+    shrunk = lambda r: r / (r + 3)
+    for station, year in ((7, 2000), (8, None)):
+        key = lambda r: round((shrunk(r["reach"]) + (0.15 * math.exp(-abs(r["year"] - year) / 8) if year and r["year"] else 0) + 0.05 * r["cls"]) * r["multiplier"], 9)  # noqa: B023, E731
+        first = [3] if station == 7 else []
+        rest = [r["item"] for r in sorted(tracks.collect(), key=lambda r: (-key(r), r["item"])) if r["item"] not in first]
+        assert [r["item"] for r in got if r["station"] == station] == (first + rest)[:3]
