@@ -44,18 +44,20 @@ def sessions(plays: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return plays.withColumn("new", new.cast("long")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def cooccurrence(pairs: DataFrame, unit: list[str], support: int = 2, most_items: int = 500) -> DataFrame:
+def cooccurrence(pairs: DataFrame, unit: list[str], support: int = 2, block: int = 500) -> DataFrame:
     """src, dst, score: cosine of two items over units (devices, sessions), with at least `support` common devices.
 
-    The join pairs items within one unit; units with more than `most_items` items say nothing about taste and are left out by
-    definition of the graph, which also bounds the pairs of a unit.
+    The join pairs items within one unit. A unit's items are dealt to blocks of about `block`, and each pair of blocks has a key
+    of its own, so that the pairs of a large unit are spread over the tasks.
     """
     seen = pairs.select(*dict.fromkeys([*unit, "device"]), "item").distinct()
-    small = seen.groupBy(*unit).agg(F.count("*").alias("_n")).filter(F.col("_n") <= most_items).select(*unit)
-    seen = seen.join(small, unit)
     n = seen.groupBy("item").agg(F.count("*").alias("n"))
-    a, b = seen.withColumnRenamed("item", "src"), seen.select(*unit, F.col("item").alias("dst"))
-    both = a.join(b, unit).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("both"), F.count_distinct("device").alias("devices")).filter(F.col("devices") >= support)
+    blocks = seen.groupBy(*unit).agg(F.ceil(F.count("*") / block).alias("_n"))
+    dealt = seen.join(blocks, unit).withColumn("_own", F.pmod(F.xxhash64("item"), F.col("_n")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    a = dealt.select(*dict.fromkeys([*unit, "device"]), F.col("item").alias("src"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = dealt.select(*unit, F.col("item").alias("dst"), every.alias("_a"), F.col("_own").alias("_b"))
+    both = a.join(b, [*unit, "_a", "_b"]).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("both"), F.count_distinct("device").alias("devices")).filter(F.col("devices") >= support)
     na, nb = n.select(F.col("item").alias("src"), F.col("n").alias("na")), n.select(F.col("item").alias("dst"), F.col("n").alias("nb"))
     return both.join(na, "src").join(nb, "dst").select("src", "dst", (F.col("both") / F.sqrt(F.col("na") * F.col("nb"))).alias("score"))
 

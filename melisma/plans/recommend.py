@@ -25,11 +25,15 @@ def _sub(name: str) -> str:
     return f"({registry._FOUND[name][1]})"
 
 
-def edges(spark, d):
-    parts = (("sess", charts.cooc_session), ("lib", charts.cooc_library), ("art", charts.cooc_artist))
+#: Kinds of events that put a track into a device's library; history comes as plays.
+LIBRARY = ["play", "favorite", "download"]
+
+
+def edges(spark, d, library):
+    parts = (("sess", charts.cooc_session(spark, d)), ("lib", charts.library_graph(spark, d, library)), ("art", charts.artist_graph(spark, d, library)))
     out = None
-    for kind, f in parts:
-        e = f(spark, d).select(F.lit(kind).alias("kind"), "src", "dst", "score")
+    for kind, graph in parts:
+        e = graph.select(F.lit(kind).alias("kind"), "src", "dst", "score")
         out = e if out is None else out.union(e)
     return out
 
@@ -56,14 +60,14 @@ def song_seeds(spark, d, items=(5, 40, 77)):
   UNION ALL SELECT station, hd.item, 0.2 * reach / (reach + 3.0) FROM seed JOIN hd USING (artist_id) UNION ALL SELECT station, ft.item, 0.08 * score * reach / (reach + 3.0) FROM rel JOIN ft USING (artist_id) WHERE rel.rn <= 15 AND ft.rn <= 5)
  SELECT station, s.item, round(sum(s) * any_value(multiplier) + 0.03 * (any_value({fnv_sql('CAST(s.item AS VARCHAR)')}) >> 8) / 16777216.0, 6) AS score FROM s JOIN hd ON hd.item = s.item WHERE s.item <> station GROUP BY 1, 2""")
 def radio_score(spark, d):
-    return r.scores(song_seeds(spark, d), edges(spark, d), heard(spark, d)).withColumn("score", F.round("score", 6))
+    return r.scores(song_seeds(spark, d), edges(spark, d, ["favorite"]), heard(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("radio_station", None)
 def radio_station(spark, d):
     """A whole station: head by score, backfill by popularity, then never more than two of one artist in a row."""
     seeds, tracks = song_seeds(spark, d), heard(spark, d)
-    head = r.scores(seeds, edges(spark, d), tracks)
+    head = r.scores(seeds, edges(spark, d, LIBRARY), tracks)
     stations = seeds.join(tracks.select("item", "year", "cls"), "item").select("station", "year", "cls")
     queue = r.backfill(stations, head, tracks).join(tracks.select("item", "artist_id"), "item")
     return r.page(r.diversify(queue), 0, 50)

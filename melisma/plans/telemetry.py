@@ -250,13 +250,23 @@ def cooc_session(spark, d):
 
 @query("cooc_library", "WITH s AS (SELECT DISTINCT device, item FROM play WHERE kind = 'favorite'), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")
 def cooc_library(spark, d):
-    return o.cooccurrence(t.plays(spark, d).filter("kind = 'favorite'"), ["device"]).withColumn("score", F.round("score", 9))
+    return library_graph(spark, d, ["favorite"])
+
+
+def library_graph(spark, d, kinds):
+    """Tracks that stand in the same devices' libraries, which are made of events of these kinds."""
+    return o.cooccurrence(t.plays(spark, d).filter(F.col("kind").isin(kinds)), ["device"]).withColumn("score", F.round("score", 9))
 
 
 @query("cooc_artist", "WITH s AS (SELECT DISTINCT device, artist_id AS item FROM play JOIN track ON track_id = play.item WHERE kind = 'favorite'), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")
 def cooc_artist(spark, d):
+    return artist_graph(spark, d, ["favorite"])
+
+
+def artist_graph(spark, d, kinds):
+    """Artists of which the same devices hold anything."""
     by = t.tracks(spark, d).select(F.col("track_id").alias("item"), "artist_id")
-    plays = t.plays(spark, d).filter("kind = 'favorite'").join(by, "item").select("device", F.col("artist_id").alias("item"))
+    plays = t.plays(spark, d).filter(F.col("kind").isin(kinds)).join(by, "item").select("device", F.col("artist_id").alias("item"))
     return o.cooccurrence(plays, ["device"]).withColumn("score", F.round("score", 9))
 
 

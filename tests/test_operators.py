@@ -242,3 +242,20 @@ def test_backfill_scores_every_track(spark):
         first = [3] if station == 7 else []
         rest = [r["item"] for r in sorted(tracks.collect(), key=lambda r: (-key(r), r["item"])) if r["item"] not in first]
         assert [r["item"] for r in got if r["station"] == station] == (first + rest)[:3]
+
+
+def test_cooccurrence_of_large_units(spark):
+    wide = spark.createDataFrame([(d, i) for d in (1, 2) for i in range(510)], "device long, item long")
+    found = telemetry.cooccurrence(wide, ["device"]).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most")).first()
+    assert (found["n"], round(found["least"], 9), round(found["most"], 9)) == (510 * 509, 1.0, 1.0)
+
+
+def test_radio_station_uses_whole_libraries(spark, monkeypatch):
+    from melisma.plans import recommend as plans
+    from melisma.sources import tables
+
+    path, seen, scores = "/root/testdata/sf0.001", [], recommend.scores
+    monkeypatch.setattr(recommend, "scores", lambda seeds, edges, tracks: seen.append(edges.filter("kind = 'lib'").count()) or scores(seeds, edges, tracks))
+    plans.radio_station(spark, path)
+    held = tables.plays(spark, path).filter("kind IN ('play', 'favorite', 'download')")
+    assert seen == [telemetry.cooccurrence(held, ["device"]).count()]
