@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import mix, powers
 
 #: Every common run of K + WINDOW - 1 code points leaves a common hash in both fingerprints.
-K = 32
-WINDOW = 96
+K = 16
+WINDOW = 16
 PARTITION_CHARS = 24 << 20
 _LOWEST = -(1 << 63)
 

@@ -246,6 +246,13 @@ def test_a_common_run_leaves_a_common_hash():
         assert len(np.intersect1d(a, b))
 
 
+def test_short_texts_keep_a_common_hash_when_half_is_edited(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short = spark.createDataFrame([(i, text(rng.randint(62, 250))) for i in range(60)], "doc_id long, text string")
+    assert all(r["near_edited"] > 0 for r in winnowing.fingerprints(short).collect())
+
+
 def test_one_document_is_its_own_next(spark):
     one = spark.createDataFrame([(7, "short text", None, None, None, None, None)], SCHEMA)
     r = winnowing.fingerprints(one).first()
