@@ -21,7 +21,8 @@ QUESTION, ANSWER, GRAM = 0.5, 0.5, 5
 BLOCK = 32
 #: Items in one index; a larger benchmark is taken in several passes over the documents.
 MAX_ITEMS = 4096
-LONGEST_PASSAGE = 1024
+#: Words of a passage at least; it holds twice the longest item, so that a copy lies within one passage wherever it starts.
+PASSAGE = 64
 
 
 @dataclass
@@ -94,7 +95,7 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index:
         q, a = (hashed([x])[0] for x in split_item(text))
         n = max(1, min(GRAM, len(q) or GRAM, len(a) or GRAM))
         parts.append((n, *(np.unique(grams(x, np.array([0, len(x)]), n)[0]) for x in (q, a))))
-    passage = int(min(LONGEST_PASSAGE, max(64, 2 * lengths.max() if len(lengths) else 64)))
+    passage = int(max(PASSAGE, 2 * lengths.max() if len(lengths) else 0))
     return Index(terms, block_most.max(1) if n_blocks else np.zeros(0), block_most, blocks, [i for i, _ in items], parts, passage)
 
 

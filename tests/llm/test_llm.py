@@ -380,6 +380,16 @@ def test_decontamination(spark, docs, rows):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want if d is not None}
 
 
+def test_long_items_are_found_wherever_their_copies_start(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    items = [(i, f"{text(int(n * 0.6))}. {text(int(n * 0.4))}.") for i, n in enumerate((40, 1100, 3000))]
+    docs = [(10 * i + k, f"{text(before)} {t} {text(900)}") for i, t in items for k, before in enumerate((0, 300, 700))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in bm25_decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(10 * i + k, i) for i, _ in items for k in range(3)}
+
+
 def test_pruned_search_finds_all_above_the_threshold():
     rng = random.Random(6)
     vocabulary = [f"t{i}" for i in range(80)]
