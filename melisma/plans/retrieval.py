@@ -162,10 +162,9 @@ def search_grouped(spark, d):
 
 @query("search_batch", None)
 def search_batch(spark, d):
-    """A batch over the first lines of all documents by language: two words of every tenth document, both finished."""
-    lines = _lines(spark, d).join(t.load(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
-    docs = lines.select(F.col("lang").alias("category"), "doc_id", F.col("line").alias("title"), F.col("source").alias("artist"))
-    asked = lines.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.concat(F.array_join(F.slice(F.split("line", " "), 2, 2), " "), F.lit(" ")).alias("text"))
+    """A batch over the whole texts of all documents by language: two words of every tenth document, both finished."""
+    docs = t.load(spark, d, "documents").select(F.col("lang").alias("category"), "doc_id", F.col("text").alias("title"), F.col("source").alias("artist"))
+    asked = _lines(spark, d).filter("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.concat(F.array_join(F.slice(F.split("line", " "), 2, 2), " "), F.lit(" ")).alias("text"))
     return s.search(s.build(docs).persist(), s.query_tokens(asked).persist(), 10)
 
 
