@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, distinct, grams, pieces, runs, text_bytes, words
+from .common import PUNCTUATION, distinct, durable, grams, pieces, runs, text_bytes, words
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item at this share of the score that the item's own text has.
@@ -33,6 +33,17 @@ class Block:
     impacts: np.ndarray
 
 
+@dataclass
+class Whole:
+    """What the scores of a part of a benchmark take from all of its items."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted, at least those of the part
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     terms: np.ndarray  # sorted hashes of all terms
@@ -66,8 +77,8 @@ def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
-def build(items: list[tuple], k1: float = K1, b: float = B) -> Index:
-    """Index of (item_id, text) rows. Null and wordless texts match nothing and are left out."""
+def build(items: list[tuple], k1: float = K1, b: float = B, whole: Whole | None = None) -> Index:
+    """Index of (item_id, text) rows, all or a part of them. Null and wordless texts match nothing and are left out."""
     items = [(i, t) for i, t in items if t and len(hashed([t])[0])]
     h, at = hashed([t for _, t in items])
     lengths = np.diff(at)
@@ -76,8 +87,11 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index:
     pair, tf = np.unique(item.astype(np.int64) * max(1, len(terms)) + term, return_counts=True)
     item, term = pair // max(1, len(terms)), pair % max(1, len(terms))
     df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))
+    if whole is None:
+        whole = Whole(len(items), float(lengths.mean()) if len(items) else 1.0, int(lengths.max()) if len(items) else 0, terms, df)
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
+    norm = k1 * (1 - b + b * lengths / max(1.0, whole.mean))
     impact = idf[term] * tf * (k1 + 1) / (tf + norm[item])
     impact = impact / np.bincount(item, impact, len(items))[item]
     n_blocks = -(-len(items) // BLOCK)
@@ -95,7 +109,7 @@ def build(items: list[tuple], k1: float = K1, b: float = B) -> Index:
         q, a = (hashed([x])[0] for x in split_item(text))
         n = max(1, min(GRAM, len(q) or GRAM, len(a) or GRAM))
         parts.append((n, *(np.unique(grams(x, np.array([0, len(x)]), n)[0]) for x in (q, a))))
-    passage = int(max(PASSAGE, 2 * lengths.max() if len(lengths) else 0))
+    passage = max(PASSAGE, 2 * whole.longest)
     return Index(terms, block_most.max(1) if n_blocks else np.zeros(0), block_most, blocks, [i for i, _ in items], parts, passage)
 
 
@@ -183,6 +197,28 @@ def _leaks(index: Index, threshold: float, question: float, answer: float):
     return verified
 
 
+def _item_words(batches):
+    """Each item's number of words, with a null term, and its distinct terms."""
+    for batch in batches:
+        h, at = folded_words(batch.column("text"))
+        for a, z in zip(at[:-1], at[1:]):
+            if z > a:
+                own = distinct(h[a:z])
+                yield pa.record_batch({"term": pa.array([None, *own.view(np.int64)], pa.int64()), "n": pa.array([z - a, *[1] * len(own)], pa.int64())})
+
+
+def _wholes(items: DataFrame, parts: list[DataFrame]):
+    """The Whole of each part: figures of all items, and the document frequencies of the part's own terms."""
+    found = durable(items.select("text").mapInArrow(_item_words, "term long, n long").groupBy("term").agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")))
+    total = found.filter("term IS NULL").first()
+    for part in parts:
+        own = part.select("text").mapInArrow(_item_words, "term long, n long").select("term").distinct()
+        table = found.join(own, "term", "left_semi").select("term", "items").toArrow()  # the words of one part; nulls don't join
+        terms, df = table.column("term").to_numpy().view(np.uint64), table.column("items").to_numpy()
+        order = np.argsort(terms)
+        yield Whole(total["items"], total["words"] / total["items"], total["longest"], terms[order], df[order]) if total else None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, max_items: int = MAX_ITEMS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, n_passages: what each document holds of which test item.
 
@@ -191,16 +227,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
     wordless texts and items match nothing, rows with one doc_id count as one document, repeated items each match, empty tables
     give empty results, and further columns are dropped.
 
-    An index of at most `max_items` items goes to the tasks; a larger benchmark is split by item and takes several passes.
+    An index of at most `max_items` items goes to the tasks; a larger benchmark is split by item and takes several passes, which
+    score by the figures of all items.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = items.count()
     shards = max(1, -(-n // max_items))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for k in range(shards):
-        own = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        index = build([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
+    owns = [items] if shards == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) for k in range(shards)]
+    for own, whole in zip(owns, [None] if shards == 1 else _wholes(items, owns)):
+        index = build([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], whole=whole)
         part = texts.mapInArrow(_leaks(index, threshold, question, answer), _HITS_DDL)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")), F.count("*").alias("n_passages"))

@@ -390,6 +390,16 @@ def test_long_items_are_found_wherever_their_copies_start(spark):
     assert got == {(10 * i + k, i) for i, _ in items for k in range(3)}
 
 
+def test_scores_do_not_depend_on_the_number_of_shards(spark):
+    rng = random.Random(10)
+    text = lambda n: " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(n))
+    items = [(i, f"{text(12 + 4 * i)}. {text(8 + i)}.") for i in range(12)]
+    docs = [(i, f"{text(50)} {t[: rng.randint(len(t) // 2, len(t))]} {text(90)}") for i, t in items for _ in range(3)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    whole, split = (sorted(tuple(round(x, 9) for x in r) for r in bm25_decontam.leaks(docs, bench, threshold=0.3, max_items=m).collect()) for m in (4096, 3))
+    assert whole == split and whole
+
+
 def test_pruned_search_finds_all_above_the_threshold():
     rng = random.Random(6)
     vocabulary = [f"t{i}" for i in range(80)]
