@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -24,21 +28,52 @@ BASE = 0x9E3779B97F4A7C15
 def durable(df: DataFrame, parts: int = 0) -> DataFrame:
     """Cut the lineage: write df as Parquet into the folder that the cluster shares (spark.checkpoint.dir) and read it again.
 
-    A folder of our own is taken only if none is set. Unlike after checkpoint(), sizes are those of the files, so iterative plans
-    don't multiply old estimates. A table known to be small can be written by fewer tasks. The files go when the session's file system closes.
+    A folder of our own is taken only if none is set and everything runs in one process. Unlike after checkpoint(), sizes are those
+    of the files, so iterative plans don't multiply old estimates. A table known to be small can be written by fewer tasks. The
+    files go when the session's file system closes, or earlier by discard().
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         shared = tempfile.mkdtemp(prefix="melisma-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared}/melisma-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.parquet(path)
+    _WRITTEN.get([]).append(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: contextvars.ContextVar[list] = contextvars.ContextVar("written")
+
+
+@contextlib.contextmanager
+def written():
+    """Collects the paths of the tables that durable() writes meanwhile."""
+    before = _WRITTEN.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _WRITTEN.reset(before)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of durable() that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy() -> None:
+    """Give the memory that a task no longer uses back to the system: Spark's Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def carried(spark: SparkSession, value):
     """A function that gives `value` on any executor; classes of this subpackage travel along by value."""
     blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -79,18 +79,25 @@ reach(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT sides.b, reach
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1
 """
 
-#: Every 400-byte window by its digest, runs of repeated windows' starts, and what is left between them.
+#: Every 400-byte window by its digest, runs of repeated windows' starts, and what is left between them; the same runs of 200-byte
+#: windows, whose words are runs of hex pairs other than those of white space.
 REPEATED_STRINGS = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-pos AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
-rep AS (SELECT k FROM pos GROUP BY 1 HAVING count(*) > 1),
-st AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM pos SEMI JOIN rep USING (k)),
-gr AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM st),
-sp AS (SELECT doc_id, grp, min(i) AS a, max(i) + 400 AS z FROM gr GROUP BY 1, 2),
+pos AS (SELECT doc_id, l, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), CAST(2 * l AS BIGINT))) AS k FROM (SELECT doc_id, h, l, unnest(range(n - l + 1)) AS i FROM d, (VALUES (200), (400)) AS t(l) WHERE n >= l)),
+rep AS (SELECT l, k FROM pos GROUP BY ALL HAVING count(*) > 1),
+st AS (SELECT doc_id, l, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id, l ORDER BY i) + l OR lag(i) OVER (PARTITION BY doc_id, l ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM pos SEMI JOIN rep USING (l, k)),
+gr AS (SELECT doc_id, l, i, sum(new) OVER (PARTITION BY doc_id, l ORDER BY i) AS grp FROM st),
+runs AS (SELECT doc_id, l, min(i) AS a, max(i) + l AS z FROM gr GROUP BY doc_id, l, grp),
+sp AS (SELECT doc_id, a, z FROM runs WHERE l = 400),
 cut AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b, a AS e FROM sp UNION ALL SELECT doc_id, max(z), any_value(n) FROM sp JOIN d USING (doc_id) GROUP BY 1),
 kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (e - b) AS BIGINT)), '' ORDER BY b) AS h FROM cut JOIN d USING (doc_id) GROUP BY 1),
-sums AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY 1)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+sums AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY 1),
+long AS (SELECT doc_id, z - a AS size FROM runs JOIN d USING (doc_id) WHERE l = 200
+  AND len(list_filter(regexp_split_to_array(regexp_replace(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '(..)', '\1,', 'g'), '\b(20|09|0A|0B|0C|0D),'), lambda x: x <> '')) > 50),
+passages AS (SELECT doc_id, count(*) AS n_passages, CAST(sum(size) AS BIGINT) AS passage_bytes FROM long GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256,
+  coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN passages USING (doc_id)
 """
 
 

@@ -1,10 +1,10 @@
 """Removal of repeated byte strings: suffix arrays for each shard, Kasai's common prefixes, shards merged by binary search.
 
-Windows of LENGTH bytes are dealt to shards by content, so that equal windows meet: each belongs to the chunk around the
-smallest 64-byte gram hash in it (the rightmost of ties). An anchor that occurs once has no repeated window. Equal chunks are
-counted, not sent; a chunk's text is sent once if its anchor also occurs in other chunks. A shard is a range of anchors. Its
-chunks get suffix arrays in blocks of bounded size; where one anchor's chunks fill several blocks, the windows of each block
-are looked up in the other blocks' arrays.
+Windows of bytes are dealt to shards by content, so that equal windows meet: each belongs to the chunk around the smallest
+64-byte gram hash in it (the rightmost of ties). An anchor that occurs once has no repeated window. A shard is a range of
+anchors; it gets every other anchor's chunks, of equal ones the first and their number. Its chunks get suffix arrays in blocks
+of bounded size, and the longest prefix that each window shares with another one is read from them. Where one anchor's chunks
+fill several blocks, the windows of each block are looked up in the other blocks' arrays.
 """
 
 from __future__ import annotations
@@ -17,13 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, durable, mix, pieces, raw, rows, runs, text_bytes
-from .winnowing import sliding_min
+from .common import BASE, durable, mix, pieces, raw, rows, runs, text_bytes, tidy
+from .winnowing import power_tables, sliding_min
 
 LENGTH = 400
+#: Repeated strings from this many bytes on are put together to passages, which count if they hold more words than that.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 GRAM = 64
-BLOCK_BYTES = 2 << 20
-PIECE_BYTES = 1 << 20
+BLOCK_BYTES = 512 << 10
+PIECE_BYTES = 512 << 10
+#: Stands between chunks: no byte of UTF-8.
+BETWEEN = b"\xff"
+_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -36,155 +41,179 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     return mix(h)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """For each chunk of windows with one anchor: the text, its first window's start, its windows and the anchor's hash."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, reach: int = 0):
+    """For each chunk of windows with one anchor: the text, its first window's start, its windows, its size, the anchor's hash and its own.
+
+    A chunk ends `reach` bytes (at least `length`) after the start of its last window, or with its text.
+    """
     empty = np.zeros(0, np.int64)
-    if len(data) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+    windows = np.maximum(np.diff(offsets) - length + 1, 0)
+    if not windows.any():
+        return empty, empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     hashes = gram_hashes(data, gram)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(hashes), dtype=np.uint64))
     low = sliding_min(key, length - gram + 1)
-    windows = np.maximum(np.diff(offsets) - length + 1, 0)
-    doc = np.repeat(np.arange(len(windows)), windows)
-    if not len(doc):
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(offsets[:-1], windows)
-    low = low[start]
-    at = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
-    place = (np.uint64(0xFFFFFFFF) - (low[at] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return doc[at], start[at], np.diff(np.r_[at, len(doc)]), hashes[place]
-
-
-def suffix_array(codes: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of all suffixes, each one's rank, and which were still tied on a quarter of `depth` codes.
-
-    codes are bytes + 1; ends[i] is the end of the chunk that i lies in, and a suffix ends there. Larsson and Sadakane's
-    refinement: suffixes ordered by h codes are ordered by 2 h through the ranks of their continuations, and groups of one
-    suffix are not touched again. Equal suffixes stand in the order of their places.
+    inside = np.zeros(len(low) + 1, np.int8)
+    filled = windows > 0
+    inside[offsets[:-1][filled]] += 1
+    inside[(offsets[:-1] + windows)[filled]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    new = inside.copy()
+    new[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
+    new[offsets[:-1][filled]] = True  # texts that follow each other can't share an anchor, whose gram would lie in both
+    start = np.flatnonzero(new)
+    doc = np.searchsorted(offsets, start, "right") - 1
+    last = np.r_[start[1:], len(low)]
+    count = np.minimum(last, offsets[doc] + windows[doc]) - start
+    size = np.minimum(start + count - 1 + max(length, reach), offsets[doc + 1]) - start
+    place = (np.uint64(0xFFFFFFFF) - (low[start] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    up, down = power_tables(len(hashes))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+        own = mix((total[start + size - gram + 1] - total[start]) * down[start] + size.astype(np.uint64))
+    return doc, start, count, size, hashes[place], own
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, in the order of the bytes; zeros follow the last."""
+    out = np.zeros(len(data) + 8, np.uint64)
+    out[: len(data)] = data
+    for width in (1, 2, 4):
+        out[:-width] = (out[:-width] << np.uint64(8 * width)) | out[width:]
+    return out[: len(data)]
+
+
+def suffix_array(key: np.ndarray, place: np.ndarray, count: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text in the order of their suffixes' first `depth` bytes, and ranks, which ties share; exact for windows' starts.
+
+    key: eights() of the text; place and count: each byte's place in its chunk and that chunk's windows. Larsson and Sadakane's
+    refinement: suffixes ordered by h bytes are ordered by 2 h through the ranks of their continuations, and groups of one
+    suffix are not touched again. For windows at p < count the order by 2 h bytes is asked for where p is 0 to count - 1 modulo
+    2 h; other suffixes stay as they are.
     """
-    n = len(codes)
-    i = np.arange(n)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # 7 codes of 9 bits
-        at = i + k
-        key = (key << np.uint64(9)) | np.where(at < ends, codes[np.minimum(at, n - 1)], 0).astype(np.uint64)
-    order = np.argsort(key)
+    n = len(key)
+    order = np.argsort(key).astype(np.int32)
     lo = runs(key[order])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(lo, np.diff(np.r_[lo, n]))
-    size = np.repeat(np.diff(np.r_[lo, n]), np.diff(np.r_[lo, n]))
-    slots = np.flatnonzero(size > 1)
-    late = np.zeros(n, bool)
-    h, longest = 7, int(np.max(ends - i, initial=0))
-    while h < longest and len(slots):
-        if 4 * h >= depth:
-            late[order[slots]] = True
+    size = np.diff(np.r_[lo, n])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.repeat(lo.astype(np.int32), size)
+    slots = np.flatnonzero(np.repeat(size > 1, size))
+    h = 8
+    while h < depth and len(slots):
         member = order[slots]
-        after = member + h
-        inside = after < ends[member]
-        beyond = np.where(inside, rank[np.minimum(after, n - 1)] + 1, 0)
-        group = rank[member]
-        by = np.argsort((group.astype(np.uint64) << np.uint64(32)) | beyond.astype(np.uint64))
-        member, group, beyond = member[by], group[by], beyond[by]
+        asked = place[member] % (2 * h) < count[member]
+        slots, member = slots[asked], member[asked]
+        after = np.minimum(member.astype(np.int64) + h, n)
+        beyond = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        both = (rank[member].astype(np.uint64) << np.uint64(32)) | beyond.astype(np.uint64)
+        by = np.argsort(both)
+        member, both = member[by], both[by]
         order[slots] = member
-        new = np.r_[True, (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])]
-        lo = np.flatnonzero(new)
-        count = np.diff(np.r_[lo, len(slots)])
-        rank[member] = np.repeat(slots[lo], count)
-        slots = slots[np.repeat(count, count) > 1]
+        lo = runs(both)
+        size = np.diff(np.r_[lo, len(slots)])
+        rank[member] = np.repeat(slots[lo], size)
+        slots = slots[np.repeat(size > 1, size)]
         h *= 2
-    late[order[slots]] = True
-    member = order[slots]
-    order[slots] = member[np.lexsort((member, rank[member]))]
-    rank[order] = i
-    return order, rank, late
-
+    return order, rank
 
-def kasai(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, live: np.ndarray, limit: int = LENGTH) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the order, at most `limit`; only in the chunks marked live.
 
-    Kasai's rule, a suffix shares at most one code less than the suffix one code earlier, carried through all chunks side by
-    side: in each round every chunk either compares one more code or goes on to its next suffix.
-    """
-    n = len(codes)
-    out = np.zeros(n, np.int32)
-    chunk = np.flatnonzero(live)
-    at, end = starts[chunk].copy(), ends[chunk]
-    stop = np.repeat(ends, ends - starts)
-    shared = np.zeros(len(chunk), np.int64)
-    while len(at):
-        r = rank[at]
-        other = order[np.maximum(r - 1, 0)]
-        x, y = at + shared, other + shared
-        more = (r > 0) & (x < end) & (y < stop[other]) & (shared < limit)
-        more &= codes[np.minimum(x, n - 1)] == codes[np.minimum(y, n - 1)]
-        shared[more] += 1
-        done = ~more
-        out[at[done]] = shared[done]
-        at[done] += 1
-        shared[done] = np.maximum(shared[done] - 1, 0)
-        if (at >= end).any():
-            left = at < end
-            at, end, shared = at[left], end[left], shared[left]
+def same_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many leading bytes pairs of eights() have in common."""
+    d = x ^ y
+    out = np.full(len(d), 7, np.int32)
+    for step in _STEPS:
+        out -= d >= step
+    out[d == 0] = 8
     return out
 
 
 class Block:
-    """Chunks of one shard: their text, its suffix array, and which windows of each chunk are repeated."""
-
-    def __init__(self, chunks: list[bytes], length: int = LENGTH):
-        self.length = length
-        sizes = np.array([len(c) for c in chunks], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        self.codes = np.frombuffer(b"".join(chunks), np.uint8).astype(np.int16) + 1
-        self.stop = np.repeat(self.ends, sizes)
-        self.order, rank, late = suffix_array(self.codes, self.stop, length)
-        live = np.add.reduceat(late, self.starts) > 0
-        common = kasai(self.codes, self.starts, self.ends, self.order, rank, live, length)
-        after = np.zeros(len(common), np.int32)
-        after[self.order[:-1]] = common[self.order[1:]]
-        self.repeated = np.maximum(common, after) >= length
-
-    def compare(self, text: np.ndarray, at: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        """Sign of each window text[at : at + length] against the suffix of this block."""
-        sign = np.zeros(len(at), np.int8)
-        open_ = np.arange(len(at))
-        for k in range(self.length):
-            y = suffix[open_] + k
-            mine = np.where(y < self.stop[suffix[open_]], self.codes[np.minimum(y, len(self.codes) - 1)], 0)
-            d = np.sign(text[at[open_] + k] - mine).astype(np.int8)
-            sign[open_] = d
-            open_ = open_[d == 0]
-            if not len(open_):
-                break
-        return sign
-
-    def holds(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether this block has each window of another block's text, by binary search in the suffix array."""
-        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.order))
+    """Chunks of one shard: their text, the order of their windows, and the longest prefix that each window shares with another.
+
+    chunks: text, number of windows (the first so many places), and how often the chunk occurs.
+    """
+
+    def __init__(self, chunks: list[tuple[bytes, int, int]], depth: int = LENGTH):
+        self.depth = depth
+        sizes = np.array([len(c) + 1 for c, _, _ in chunks], np.int32)
+        self.starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        self.counts = np.array([n for _, n, _ in chunks], np.int32)
+        self.key = eights(np.frombuffer(BETWEEN.join([c for c, _, _ in chunks]) + BETWEEN, np.uint8))
+        self.stop = np.repeat(self.starts + sizes - 1, sizes)
+        place = np.arange(len(self.key), dtype=np.int32) - np.repeat(self.starts, sizes)
+        count = np.repeat(self.counts, sizes)
+        order, group = suffix_array(self.key, place, count, depth)
+        window = place < count
+        self.order = order[window[order]]
+        self.best = self._kasai(window, group)
+        copied = window & np.repeat([n > 1 for *_, n in chunks], sizes)
+        self.best[copied] = (self.stop - np.arange(len(place), dtype=np.int32))[copied]
+
+    def _kasai(self, window: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Each window's longest common prefix (at most depth) with its neighbours in the order; 0 elsewhere.
+
+        Kasai's rule, a suffix shares at most one byte less than the suffix one byte earlier, carried through all chunks side by
+        side: in each round every chunk either compares eight more bytes or goes on to its next window. Windows that are tied need
+        no comparison. They carry nothing on, as their order says nothing of the next windows', nor does a chunk's last window.
+        """
+        rank = np.zeros(len(self.key), np.int32)
+        rank[self.order] = np.arange(len(self.order), dtype=np.int32)
+        follows = np.r_[window[1:], False]
+        out = np.zeros(len(self.key), np.int32)
+        at, last = self.starts.copy(), self.starts + self.counts
+        at, last = at[at < last], last[at < last]
+        shared = np.zeros(len(at), np.int32)
+        while len(at):
+            r = rank[at]
+            other = self.order[np.maximum(r - 1, 0)]
+            room = np.where(r > 0, np.minimum(np.minimum(self.stop[at] - at, self.stop[other] - other), self.depth), 0)
+            tied = group[at] == group[other]
+            step = same_bytes(self.key[at + shared], self.key[other + shared])
+            shared = np.where(tied, room, np.minimum(shared + step, room))
+            done = tied | (step < 8) | (shared == room)
+            out[at[done]] = shared[done]
+            shared = np.where(done, np.where(follows[other] & ~tied, np.maximum(shared - 1, 0), 0), shared)
+            at = at + done
+            if (at >= last).any():
+                left = at < last
+                at, last, shared = at[left], last[left], shared[left]
+        both = out.copy()
+        both[self.order[:-1]] = np.maximum(out[self.order[:-1]], out[self.order[1:]])
+        return both
+
+    def compare(self, at: np.ndarray, other: Block, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sign of each window here against a suffix there by their first `depth` bytes, and their common bytes."""
+        shared, sign, left = np.zeros(len(at), np.int32), np.zeros(len(at), np.int8), np.arange(len(at))
+        while len(left):
+            x, y = self.key[at[left] + shared[left]], other.key[suffix[left] + shared[left]]
+            sign[left] = np.where(x < y, -1, np.where(x > y, 1, 0))
+            shared[left] += same_bytes(x, y)
+            left = left[(x == y) & (shared[left] < self.depth)]
+        return sign, np.minimum(np.minimum(shared, self.depth), np.minimum(self.stop[at] - at, other.stop[suffix] - suffix))
+
+    def look_up(self, at: np.ndarray, other: Block) -> None:
+        """The longest prefixes that windows share with the other block, by binary search in its order."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(other.order))
         while (lo < hi).any():
             mid = (lo + hi) // 2
-            up = self.compare(text, at, self.order[np.minimum(mid, len(self.order) - 1)]) > 0
-            up &= lo < hi
+            up = (self.compare(at, other, other.order[np.minimum(mid, len(other.order) - 1)])[0] > 0) & (lo < hi)
             lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, np.minimum(mid, hi))
-        inside = np.minimum(lo, len(self.order) - 1)
-        return (lo < len(self.order)) & (self.compare(text, at, self.order[inside]) == 0)
-
-    def windows(self, chunk: int) -> np.ndarray:
-        return np.arange(self.starts[chunk], self.ends[chunk] - self.length + 1)
+        for near in (lo - 1, lo):
+            found = self.compare(at, other, other.order[np.clip(near, 0, len(other.order) - 1)])[1]
+            self.best[at] = np.maximum(self.best[at], found)
 
     def merge(self, mine: list[int], other: Block, theirs: list[int]) -> None:
-        """Mark the windows of some chunks that are also in the other block, and the other way round."""
+        """Look up the windows of some chunks in the other block, and the other way round."""
         for a, own, b in ((self, mine, other), (other, theirs, self)):
-            at = np.concatenate([a.windows(k) for k in own])
-            at = at[~a.repeated[at]]
+            at = np.concatenate([np.arange(a.starts[k], a.starts[k] + a.counts[k]) for k in own])
+            at = at[a.best[at] < np.minimum(a.depth, a.stop[at] - at)]
             if len(at):
-                a.repeated[at[b.holds(a.codes, at)]] = True
+                a.look_up(at, b)
 
-    def spans(self, chunk: int) -> bytes:
-        """Runs of repeated windows of a chunk: starts and lengths as int32 pairs."""
-        return mask_runs(self.repeated[self.starts[chunk] : max(self.starts[chunk], self.ends[chunk] - self.length + 1)]).tobytes()
+    def spans(self, chunk: int, length: int) -> bytes:
+        """Runs of a chunk's windows that share `length` bytes with another: starts and lengths as int32 pairs."""
+        return mask_runs(self.best[self.starts[chunk] : self.starts[chunk] + self.counts[chunk]] >= length).tobytes()
 
 
 def mask_runs(mask: np.ndarray) -> np.ndarray:
@@ -192,105 +221,110 @@ def mask_runs(mask: np.ndarray) -> np.ndarray:
     return np.column_stack([edge[::2], edge[1::2] - edge[::2]]).astype(np.int32).reshape(-1)
 
 
-_ANCHORS = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("ah", pa.int64()), ("ch", pa.int64())])
-_ANCHORS_DDL = "rid long, start int, count int, ah long, ch long"
-_CHUNKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("chunk", pa.binary())])
-_MARKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("spans", pa.binary())])
+_HASHES = pa.schema([("ah", pa.int64())])
+_ANCHORS = pa.schema([("rid", pa.int64()), ("sid", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("size", pa.int32()), ("ah", pa.int64()), ("ch", pa.int64())])
+_ANCHORS_DDL = "rid long, sid long, start int, count int, size int, ah long, ch long"
+_CHUNKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("copies", pa.int32()), ("count", pa.int32()), ("chunk", pa.binary())])
+_CHUNKS_DDL = "ah long, ch long, copies int, count int, chunk binary"
+_MARKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("spans", pa.list_(pa.binary()))])
+_MARKS_DDL = "ah long, ch long, spans array<binary>"
 
 
-def _anchored(length: int):
+def _anchored(lengths: tuple[int, ...], hashes_only: bool):
     def found(batches):
         for batch in batches:
             for piece in pieces(batch, limit=PIECE_BYTES):
                 data, offsets = text_bytes(piece.column("text"))
-                doc, start, count, h = anchors(data, offsets, length)
-                view = memoryview(np.ascontiguousarray(data))
-                ch = np.array([int.from_bytes(hashlib.blake2b(view[s : s + c + length - 1], digest_size=8).digest(), "little", signed=True) for s, c in zip(start.tolist(), count.tolist())], np.int64)
-                rid = piece.column("rid").take(pa.array(doc))
-                yield rows(_ANCHORS, [rid, start - offsets[doc], count, h.view(np.int64), ch])
+                doc, start, count, size, h, own = anchors(data, offsets, min(lengths), reach=max(lengths))
+                if hashes_only:
+                    yield rows(_HASHES, [h.view(np.int64)])
+                    continue
+                at = pa.array(doc)
+                yield rows(_ANCHORS, [piece.column("rid").take(at), piece.column("sid").take(at), start - offsets[doc], count, size, h.view(np.int64), own.view(np.int64)])
+        tidy()
 
     return found
 
 
-def _cut(length: int):
-    def chunks(batches):
-        for batch in batches:
-            for text, need in zip(batch.column("text"), batch.column("need").to_pylist()):
-                text = text.as_py().encode("utf-8", "surrogatepass")
-                yield rows(_CHUNKS, [[x["ah"] for x in need], [x["ch"] for x in need], [text[x["start"] : x["start"] + x["count"] + length - 1] for x in need]])
-
-    return chunks
+def _cut(batches):
+    for batch in batches:
+        for text, need in zip(batch.column("text"), batch.column("need")):
+            text, need = text.as_py().encode("utf-8", "surrogatepass"), need.as_py()
+            yield rows(_CHUNKS, [*([x[k] for x in need] for k in ("ah", "ch", "copies", "count")), [text[x["start"] : x["start"] + x["size"]] for x in need]])
+    tidy()
 
 
-def _marked(length: int, block_bytes: int):
+def _marked(lengths: tuple[int, ...], block_bytes: int):
     """Chunks in the order of their anchors → their repeated windows. Blocks are kept only while one anchor goes on in the next."""
 
     def emit(done: list):
-        for chunks, block in done:
-            out = [(a, c, block.spans(k)) for k, (a, c, _) in enumerate(chunks)]
-            yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*out), _MARKS)], schema=_MARKS)
+        for keys, block in done:
+            yield rows(_MARKS, [[a for a, _ in keys], [c for _, c in keys], [[block.spans(k, length) for length in lengths] for k in range(len(keys))]])
         done.clear()
 
-    def close(chunks: list, waiting: list):
+    def close(keys: list, chunks: list, waiting: list):
         """Waiting blocks all end with one anchor, which may go on in this block."""
-        block = Block([text for *_, text in chunks], length)
-        keys = [a for a, *_ in chunks]
+        block = Block(chunks, max(lengths))
         for before, other in waiting:
             anchor = before[-1][0]
-            theirs = [k for k, (a, *_) in enumerate(before) if a == anchor]
-            mine = [k for k, a in enumerate(keys) if a == anchor]
+            theirs = [k for k, (a, _) in enumerate(before) if a == anchor]
+            mine = [k for k, (a, _) in enumerate(keys) if a == anchor]
             if mine:
                 block.merge(mine, other, theirs)
-        if keys[0] != keys[-1] or waiting and waiting[-1][0][-1][0] != keys[0]:
+        if keys[0][0] != keys[-1][0] or waiting and waiting[-1][0][-1][0] != keys[0][0]:
             yield from emit(waiting)
-        waiting.append((chunks, block))
+        waiting.append((keys, block))
 
     def marked(batches):
-        chunks, size, waiting = [], 0, []
+        keys, chunks, size, waiting = [], [], 0, []
         for batch in batches:
-            for a, c, text in zip(*(batch.column(k).to_pylist() for k in ("ah", "ch", "chunk"))):
+            for a, c, copies, count, text in zip(*(batch.column(k).to_pylist() for k in ("ah", "ch", "copies", "count", "chunk"))):
+                if keys and keys[-1] == (a, c):
+                    continue  # cut from a repeated row
                 if size >= block_bytes:
-                    yield from close(chunks, waiting)
-                    chunks, size = [], 0
-                chunks.append((a, c, text))
+                    yield from close(keys, chunks, waiting)
+                    keys, chunks, size = [], [], 0
+                keys.append((a, c))
+                chunks.append((text, count, copies))
                 size += len(text)
-        if chunks:
-            yield from close(chunks, waiting)
+        if keys:
+            yield from close(keys, chunks, waiting)
         yield from emit(waiting)
+        tidy()
 
     return marked
 
 
-def row_number_of_content() -> Column:
-    """A number of a row's doc_id and text; equal rows have equal numbers."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """rid, spans: for each document with repeated windows, their runs as (chunk's start, first window in it, windows)."""
-    texts = docs.select("rid", "text").filter(F.octet_length("text") >= length)
-    found = texts.mapInArrow(_anchored(length), _ANCHORS_DDL)
-    often = durable(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))  # apart, so that a hot anchor's side of the join can be split
-    live = durable(found.join(often, "ah"))
-    chunks = durable(live.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count")).alias("rep")))
-    mixed = live.groupBy("ah").agg(F.min("ch").alias("lo"), F.max("ch").alias("hi")).filter("lo <> hi").select("ah")
-    need = chunks.join(mixed, "ah").select("rep.rid", F.struct("ah", "ch", "rep.start", "rep.count").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("need"))
-    sent = texts.join(need, "rid").select("text", "need").mapInArrow(_cut(length), "ah long, ch long, chunk binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = sent.repartition(parts, "ah").sortWithinPartitions("ah", "ch")
-    marks = shards.mapInArrow(_marked(length, block_bytes), "ah long, ch long, spans binary").filter(F.octet_length("spans") > 0)
-    copied = chunks.filter("n > 1").select("ah", "ch")
-    whole = live.join(copied, ["ah", "ch"]).select("rid", "start", "count", F.lit(None).cast("binary").alias("spans"))
-    part = live.join(marks.dropDuplicates(["ah", "ch"]), ["ah", "ch"]).select("rid", "start", "count", "spans")
-    return whole.union(part).groupBy("rid").agg(F.collect_list(F.struct("start", "count", "spans")).alias("found"))
-
-
-def removed_runs(found: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal removed byte runs of a document, from its chunks' repeated windows."""
+def content_numbers() -> tuple[Column, Column]:
+    """Two numbers of a row's doc_id and text; equal rows have equal ones, and other rows don't share both."""
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit("again"), *parts)
+
+
+def repeats(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """rid, sid, found: for each of the texts with repeated windows, their runs as (chunk's start, for each length the first windows and numbers).
+
+    texts has text (not null), rid and sid; its further columns are kept beside the text in the exchange by rid and sid, so that
+    a caller who joins the same texts with the result by these reuses it.
+    """
+    own = texts.select("rid", "sid", "text")
+    often = durable(own.select("text").mapInArrow(_anchored(lengths, True), "ah long").groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))  # apart, so that a hot anchor's side of the join can be split
+    live = durable(own.mapInArrow(_anchored(lengths, False), _ANCHORS_DDL).join(often, "ah"))
+    chunks = live.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "sid", "start", "count", "size")).alias("rep"))
+    copies = F.least("n", F.lit(2)).cast("int").alias("copies")
+    need = chunks.select("rep.rid", "rep.sid", F.struct("ah", "ch", copies, "rep.start", "rep.count", "rep.size").alias("x")).groupBy("rid", "sid").agg(F.collect_list("x").alias("need"))
+    sent = texts.join(need, ["rid", "sid"]).mapInArrow(_cut, _CHUNKS_DDL)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = sent.repartition(parts, "ah").sortWithinPartitions("ah", "ch").mapInArrow(_marked(lengths, block_bytes), _MARKS_DDL)
+    marks = marks.filter(F.exists("spans", lambda x: F.octet_length(x) > 0))
+    return live.join(marks, ["ah", "ch"]).groupBy("rid", "sid").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+
+
+def removed_runs(found: list[dict] | None, length: int = LENGTH, k: int = 0) -> list[tuple[int, int]]:
+    """Maximal removed byte runs of a document, from its chunks' repeated windows of the k-th length."""
     at = []
     for x in found or []:
-        pairs = [(0, x["count"])] if x["spans"] is None else raw(x["spans"], np.int32).reshape(-1, 2).tolist()
-        at += [(x["start"] + a, x["start"] + a + n + length - 1) for a, n in pairs]
+        at += [(x["start"] + a, x["start"] + a + n + length - 1) for a, n in raw(x["spans"][k], np.int32).reshape(-1, 2).tolist()]
     out: list[list[int]] = []
     for a, z in sorted(at):
         if out and a <= out[-1][1]:
@@ -300,51 +334,61 @@ def removed_runs(found: list[dict] | None, length: int = LENGTH) -> list[tuple[i
     return [(a, z) for a, z in out]
 
 
-def kept_bytes(text: str, spans: list[tuple[int, int]]) -> bytes:
-    data = text.encode("utf-8", "surrogatepass")
+def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(data)]))
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_DIGESTS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("passage_bytes", pa.int64())])
+_DIGESTS_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
 
 
-def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row once all repeated strings are removed.
+def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, passage: int = PASSAGE_BYTES, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row once all repeated strings are removed; n_passages, passage_bytes.
 
     Each byte in a string of `length` bytes that also starts anywhere else in the table is removed, wherever it stands. Null texts
     are empty; texts under `length` bytes keep all; repeated rows are repeats of each other; an empty table gives an empty result;
-    further columns are dropped.
+    further columns are dropped. Passages are only reported: maximal runs of bytes in strings of `passage` bytes that start
+    anywhere else too, if they hold over `words` words (runs of bytes other than white space).
     """
-    texts = docs.select(row_number_of_content().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rid, sid = content_numbers()
+    texts = docs.select(rid.alias("rid"), sid.alias("sid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def measured(batches):
         for batch in (piece for batch in batches for piece in pieces(batch)):
             out = []
             for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-                spans = removed_runs(found, length)
-                gone = sum(z - a for a, z in spans)
-                kept = kept_bytes(text, spans)
-                out.append((doc_id, len(kept) + gone, gone, len(spans), hashlib.sha256(kept).hexdigest()))
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * 5, _DIGESTS)], schema=_DIGESTS)
+                data = text.encode("utf-8", "surrogatepass")
+                spans = removed_runs(found, length, 1)
+                kept = kept_bytes(data, spans)
+                passages = [z - a for a, z in removed_runs(found, passage) if len(data[a:z].split()) > words]
+                out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(passages), sum(passages)))
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_DIGESTS), _DIGESTS)], schema=_DIGESTS)
+        tidy()
 
-    joined = texts.join(repeats(texts, length, block_bytes), "rid", "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(measured, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = texts.join(repeats(texts, (passage, length), block_bytes), ["rid", "sid"], "left")
+    return joined.select("doc_id", "text", "found").mapInArrow(measured, _DIGESTS_DDL)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs, all columns, with the repeated strings cut out of text; a character that a cut leaves incomplete goes too."""
-    columns = docs.columns
-    place = columns.index("text")
+    """docs, all columns, with the repeated strings cut out of text; a character that a cut leaves incomplete goes too.
+
+    Cases are as in digests(); a null text becomes the empty text.
+    """
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    place = docs.columns.index("text")
+    rid, sid = content_numbers()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(rid.alias("rid"), sid.alias("sid"), *(F.col(f"`{name}`").alias(c) for name, c in zip(docs.columns, columns) if name != "text"), text.alias("text"))
 
     def cut(batches):
         for batch in (piece for batch in batches for piece in pieces(batch)):
             texts = [
-                kept_bytes(text, removed_runs(found, length)).decode("utf-8", "ignore") if found else text
-                for text, found in zip(batch.column("text").to_pylist(), batch.column("__found").to_pylist())
+                kept_bytes(text.encode("utf-8", "surrogatepass"), removed_runs(found, length)).decode("utf-8", "ignore") if found else text
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())
             ]
-            yield batch.set_column(place, "text", pa.array(texts, batch.schema.field("text").type)).select(columns)
+            yield pa.record_batch([pa.array(texts, pa.string()) if k == place else batch.column(c) for k, c in enumerate(columns)], names=docs_columns)
+        tidy()
 
-    texts = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__rid", row_number_of_content())
-    found = repeats(texts.select(F.col("__rid").alias("rid"), "text"), length, block_bytes).select(F.col("rid").alias("__rid"), F.col("found").alias("__found"))
-    joined = texts.join(found, "__rid", "left").select(*columns, "__found")
+    docs_columns = docs.columns
+    joined = texts.join(repeats(texts, (length,), block_bytes), ["rid", "sid"], "left")
     return joined.mapInArrow(cut, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]))

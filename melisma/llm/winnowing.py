@@ -26,7 +26,7 @@ def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
     if n < 1:
         return mix(np.array([_rolled(codes)], np.uint64), len(codes)) if len(codes) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        up, down = _tables(len(codes))
+        up, down = power_tables(len(codes))
         total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
         return mix((total[k:] - total[:-k]) * down[:n])
@@ -40,7 +40,7 @@ def _rolled(codes: np.ndarray) -> int:
 _POWERS: list = []
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64, kept for the longest text so far."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())

@@ -163,12 +163,48 @@ def removed_by_hand(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, block", [(400, 2 << 20), (100, 1500)])
-def test_repeated_strings(docs, rows, length, block):
+def passages_by_hand(texts, length=200, words=50):
+    """Number and bytes of the repeated runs that hold over so many words."""
+    count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        runs = [m for m in re.finditer(rb"\x01+", bytes(gone)) if len(re.findall(rb"[^\x20\x09-\x0d]+", t[m.start() : m.end()])) > words]
+        out.append((len(runs), sum(m.end() - m.start() for m in runs)))
+    return out
+
+
+@pytest.mark.parametrize("length, block, passage", [(400, 512 << 10, 200), (150, 1500, 100)])
+def test_repeated_strings(docs, rows, length, block, passage):
     """The second case has blocks so small that anchors go on from block to block."""
     texts = [(r[1] or "").encode() for r in rows]
-    want = sorted(((r[0], *x) for r, x in zip(rows, removed_by_hand(texts, length))), key=repr)
-    assert sorted(map(tuple, suffix_dedup.digests(docs, length, block).collect()), key=repr) == want
+    want = sorted(((r[0], *x, *y) for r, x, y in zip(rows, removed_by_hand(texts, length), passages_by_hand(texts, passage))), key=repr)
+    assert sorted(map(tuple, suffix_dedup.digests(docs, length, block, passage).collect()), key=repr) == want
+
+
+def test_passages_of_over_50_words_are_reported(spark):
+    """Passages under 400 bytes: nothing is removed, but each document that holds one says so, and no other."""
+    rng = random.Random(14)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passages = [text(n) for n in (51, 52, 55, 60)]
+    rows = [(i, f"{text(80)} {passages[i % 4] if i % 3 else text(40)} {text(70)}") for i in range(60)]
+    got = {r["doc_id"]: r["n_passages"] for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i % 3 > 0) for i in range(60)}
+
+
+def test_repeats_in_one_hot_anchor(spark):
+    """One short passage in very many different texts, some of which share more around it."""
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, around = text(90), [text(60) for _ in range(5)]
+    rows = [(i, text(200) + (around[i % 5] if i % 4 == 0 else text(60)) + passage + text(200)) for i in range(400)]
+    texts = [t.encode() for _, t in rows]
+    want = sorted((r[0], *x) for r, x in zip(rows, removed_by_hand(texts, 120)))
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), 120, 4000, 100)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == want
 
 
 def test_remove_keeps_columns(docs, rows):
@@ -184,28 +220,50 @@ def test_remove_keeps_columns(docs, rows):
     assert len(got) == len(want) and collections.Counter(clean) <= collections.Counter(r["text"].encode() for r in got)
 
 
+def shared_by_hand(text, i, others, depth):
+    """Longest prefix of text[i:] (at most depth bytes) at any of the (other text, place)."""
+    best = 0
+    for other, j in others:
+        n = 0
+        while n < depth and i + n < len(text) and j + n < len(other) and text[i + n] == other[j + n]:
+            n += 1
+        best = max(best, n)
+    return best
+
+
 def test_blocks_merge_by_binary_search():
     rng = random.Random(2)
     text = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
     shared = text(60)
     a, b = [text(80) + shared + text(20), text(100)], [text(10) + shared + text(90), text(70)]
-    x, y = suffix_dedup.Block(a, 50), suffix_dedup.Block(b, 50)
-    assert not x.repeated.any() and not y.repeated.any()
+    whole = lambda chunks: [(c, len(c), 1) for c in chunks]
+    x, y = suffix_dedup.Block(whole(a), 50), suffix_dedup.Block(whole(b), 50)
+    assert x.best.max() < 50 and y.best.max() < 50
     x.merge([0, 1], y, [0, 1])
     for block, own, other in ((x, a, b), (y, b, a)):
-        there = {c[i : i + 50] for c in other for i in range(len(c) - 49)}
-        assert block.repeated.tolist() == [i + 50 <= len(c) and c[i : i + 50] in there for c in own for i in range(len(c))]
-    assert x.repeated.sum() >= 11
+        there = [(c, j) for c in other for j in range(len(c))]
+        for k, c in enumerate(own):
+            got = block.best[block.starts[k] : block.starts[k] + len(c)]
+            assert all(g >= 50 if (n := shared_by_hand(c, i, there, 50)) == 50 else g >= n for i, g in enumerate(got.tolist()))
+            assert [g >= 50 for g in got] == [shared_by_hand(c, i, there, 50) == 50 for i in range(len(c))]
 
 
-def test_suffix_array_and_common_prefixes():
+@pytest.mark.parametrize("share", [1.0, 0.4])
+def test_suffix_array_and_common_prefixes(share):
+    """Only a share of each chunk are windows; a chunk that counts twice shares all that is left of it."""
     rng = random.Random(4)
-    for _ in range(20):
-        chunks = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 40))) for _ in range(4)] + [b"abab" * 5]
-        block = suffix_dedup.Block(chunks, 8)
-        count = collections.Counter(c[i : i + 8] for c in chunks for i in range(len(c) - 7))
-        want = [i + 8 <= len(c) and count[c[i : i + 8]] > 1 for c in chunks for i in range(len(c))]
-        assert block.repeated.tolist() == want
+    for turn in range(30):
+        chunks = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 90))) for _ in range(6)] + [b"abab" * 15]
+        chunks.append(chunks[0][:30] + b"b")
+        counts = [max(1, int(share * len(c))) for c in chunks]
+        copies = [2 if k == turn % 8 else 1 for k in range(len(chunks))]
+        depth = rng.choice([8, 20, 40])
+        block = suffix_dedup.Block(list(zip(chunks, counts, copies)), depth)
+        places = [(k, i) for k, n in enumerate(counts) for i in range(n)]
+        for k, i in places:
+            others = [(chunks[o], j) for o, j in places if (o, j) != (k, i)]
+            want = len(chunks[k]) - i if copies[k] > 1 else shared_by_hand(chunks[k], i, others, depth)
+            assert min(depth, block.best[block.starts[k] + i]) == min(depth, want), (k, i)
 
 
 # ---- fingerprints
