@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, distinct, durable, grams, pieces, runs, text_bytes, words
+from .common import PUNCTUATION, distinct, durable, grams, pieces, runs, text_bytes, tidy, unused, without, words
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item at this share of the score that the item's own text has.
@@ -193,6 +193,7 @@ def _leaks(index: Index, threshold: float, question: float, answer: float):
                         out.append((ids[d].as_py(), index.item_ids[item], score, *shares))
                 if out:
                     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), _HITS)], schema=_HITS)
+        tidy()
 
     return verified
 
@@ -245,5 +246,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, without those whose doc_id leaks a test item. Rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaking")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__leaking"), "left_anti")
+    name = unused(docs, "leaking")
+    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return without(docs, durable(bad), F.col("doc_id") == F.col(name))

@@ -13,7 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
@@ -74,6 +74,24 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: A table of ids up to so many rows goes to every task.
+BROADCAST_ROWS = 1 << 18
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """The rows of docs that no row of gone (a stored table of ids) matches. Texts are shuffled only if gone has over BROADCAST_ROWS rows."""
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
+
+
 def carried(spark: SparkSession, value):
     """A function that gives `value` on any executor; classes of this subpackage travel along by value."""
     blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -201,7 +219,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
 def range_bits(docs: DataFrame, each: int, least: int = 3) -> int:
     """log2 of the number of hash ranges at which a range holds about `each` characters' worth of keys."""
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    return min(20, max(least, int(np.ceil(np.log2(max(1, chars / each))))))
+    return min(30, max(least, int(np.ceil(np.log2(max(1, chars / each))))))
 
 
 def edges(bits: int) -> np.ndarray:

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with several global token orders.
 
 Two sets with Jaccard similarity t share at least ceil(t n) tokens with a set of n, so under any one order of all tokens they
-share one of each other's first n - ceil(t n) + 1. Candidates must do so under each of three orders; only then are they
-verified. All orders put tokens that no other set has first, so those fill most prefixes and can be left out unseen.
+share one of each other's first n - ceil(t n) + 1. Pairs are formed by the prefixes of the first order; what is left of them
+under the prefixes of the second and of the third are the candidates, and only these fetch their sets' tokens and are verified.
+All orders put tokens that no other set has first, so those fill most prefixes and can be left out unseen.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import distinct, durable, edges, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, unpack, words
+from .common import distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidy, unpack, unused, without, words
 from .graph import merge
 
 WORDS = 5
@@ -53,29 +55,40 @@ def signature(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_INFO = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
+_INFO = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 _POSTINGS = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary())])
 _SHARED = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
-_SETS = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), *((f"bits{k}", pa.int64()) for k in range(BITMAP // 64)), ("tokens", pa.binary()), ("df", pa.binary())])
+_SETS = pa.schema([
+    ("sig", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), *((f"bits{k}", pa.int64()) for k in range(BITMAP // 64)),
+    ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int64())), ("third", pa.list_(pa.int64())),
+])
 _BITS = [f"bits{k}" for k in range(BITMAP // 64)]
 _PREFIX = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("rest", pa.int64())])
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
 
 def set_sizes(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and sig of every row: equal sets have equal sig, empty ones null."""
+    """doc_id, row (a hash of all columns), n_shingles and sig of every row: equal sets have equal sig, empty ones null."""
 
     def sized(batches):
         for batch in batches:
             for piece in pieces(batch):
                 sets = [(len(s), signature(s) if len(s) else None) for s in shingle_sets(piece.column("text"), n)]
-                yield rows(_INFO, [piece.column("doc_id"), *map(list, zip(*sets))])
+                yield rows(_INFO, [piece.column("doc_id"), piece.column("row"), *map(list, zip(*sets))])
+        tidy()
 
-    return _texts(docs).mapInArrow(sized, "doc_id long, n_shingles long, sig long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(sized, "doc_id long, row long, n_shingles long, sig long")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def row_hash(docs: DataFrame) -> Column:
+    """Equal rows have equal hashes; columns of kinds that Spark can't hash don't count."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+
+
+def _by_range(hashes: np.ndarray, bits: int):
+    """The ranges that sorted hashes lie in, and where each begins and ends: no more than there are hashes."""
+    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    lo = runs(part)
+    return zip(part[lo].tolist(), lo.tolist(), [*lo[1:].tolist(), len(part)])
 
 
 def _postings(bits: int, n: int):
@@ -88,10 +101,7 @@ def _postings(bits: int, n: int):
         own = np.repeat(np.arange(len(sigs), dtype=np.int32), sizes)
         order = np.argsort(tokens)
         tokens, own = tokens[order], own[order]
-        cut = np.r_[0, np.searchsorted(tokens, edges(bits)), len(tokens)]
-        for part, (a, z) in enumerate(zip(cut[:-1], cut[1:])):
-            if a == z:
-                continue
+        for part, a, z in _by_range(tokens, bits):
             here = np.zeros(len(sigs), bool)
             here[own[a:z]] = True
             near = np.flatnonzero(here)
@@ -112,6 +122,7 @@ def _postings(bits: int, n: int):
                     sets, size = {}, 0
         if sets:
             yield from flush(sets)
+        tidy()
 
     return posted
 
@@ -140,14 +151,12 @@ def _shared(bits: int):
         lo = runs(tokens)
         df = np.repeat(np.diff(np.r_[lo, len(tokens)]), np.diff(np.r_[lo, len(tokens)])).astype(np.int32)
         tokens, sigs, sizes, df = (x[df > 1] for x in (tokens, sigs, sizes, df))
-        part = (sigs.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
         out = []
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange((1 << bits) + 1))
-        for k in range(1 << bits):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                out.append((k, sigs[at].tobytes(), sizes[at].tobytes(), pack(tokens[at]), pack(df[at])))
+        order = np.argsort(sigs.view(np.uint64) >> np.uint64(64 - bits), kind="stable")
+        for k, a, z in _by_range(sigs.view(np.uint64)[order], bits):
+            at = order[a:z]
+            out.append((k, sigs[at].tobytes(), sizes[at].tobytes(), pack(tokens[at]), pack(df[at])))
+        tidy()
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * 5, _SHARED)], schema=_SHARED)
 
     return shared
@@ -173,7 +182,9 @@ def _sets(percent: int):
         for k in np.flatnonzero(count >= least_common(size, percent)):
             at = order[lo[k] : lo[k] + count[k]]
             at = at[np.lexsort((tokens[at], df[at]))]
-            out.append((int(sigs[at[0]]), int(size[k]), len(at), *parity(tokens[at]), tokens[at].tobytes(), df[at].tobytes()))
+            second, third = other_prefixes(tokens[at], df[at], int(size[k]), percent)
+            out.append((int(sigs[at[0]]), int(size[k]), len(at), *parity(tokens[at]), *(x.view(np.int64) for x in (tokens[at], second, third))))
+        tidy()
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_SETS), _SETS)], schema=_SETS)
 
     return whole
@@ -184,10 +195,11 @@ def _prefix(percent: int):
 
     def prefixes(batches):
         for batch in batches:
-            for sig, n, tokens in zip(*(batch.column(c) for c in ("sig", "n", "tokens"))):
-                tokens = raw(tokens.as_buffer(), np.int64)
-                size = len(tokens) - least_common(n.as_py(), percent) + 1
-                yield rows(_PREFIX, [tokens[:size], np.full(size, sig.as_py()), np.full(size, n.as_py()), len(tokens) - np.arange(size)])
+            sig, n, own = (batch.column(c).to_numpy() for c in ("sig", "n", "shared"))
+            tokens, lo = batch.column("tokens").flatten().to_numpy(), np.cumsum(own) - own
+            size = own - least_common(n, percent) + 1
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            yield rows(_PREFIX, [tokens[np.repeat(lo, size) + place], np.repeat(sig, size), np.repeat(n, size), np.repeat(own, size) - place])
 
     return prefixes
 
@@ -200,34 +212,6 @@ def other_prefixes(tokens: np.ndarray, df: np.ndarray, n: int, percent: int = PE
     return np.sort(tokens[np.lexsort((h2, coarse))[:size]]), np.sort(tokens[np.argsort(h3)[:size]])
 
 
-def _verified(percent: int):
-    def meet(x: np.ndarray, y: np.ndarray) -> int:
-        return len(np.intersect1d(x, y, assume_unique=True))
-
-    def verified(batches):
-        kept: dict = {}
-        for batch in batches:
-            a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i in range(batch.num_rows):
-                sides = []
-                for key, t, f, n in ((a[i], "ta", "fa", "na"), (b[i], "tb", "fb", "nb")):
-                    if key not in kept:
-                        if len(kept) > 2000:
-                            kept.clear()
-                        tokens, df, size = raw(batch.column(t)[i].as_buffer(), np.uint64), raw(batch.column(f)[i].as_buffer(), np.int32), batch.column(n)[i].as_py()
-                        kept[key] = (np.sort(tokens), size, *other_prefixes(tokens, df, size, percent))
-                    sides.append(kept[key])
-                (x, n, x2, x3), (y, m, y2, y3) = sides
-                linked = meet(x2, y2) > 0 and meet(x3, y3) > 0
-                if linked:
-                    common = meet(x, y)
-                    linked = 100 * common >= percent * (n + m - common)
-                out.append(linked)
-            yield rows(_LINKS, [batch.column("a"), batch.column("b"), out])
-
-    return verified
-
-
 def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """node, component: the sets (by sig) that have links, and the smallest one that their links reach.
 
@@ -235,10 +219,10 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     all other pairs that share a prefix token are verified, so no component is missed.
     """
     bits = range_bits(docs, RANGE_CHARS)
-    postings = _texts(docs).select("text").mapInArrow(_postings(bits, n), "part int, tokens binary, place binary, sigs binary, sizes binary")
+    postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_postings(bits, n), "part int, tokens binary, place binary, sigs binary, sizes binary")
     shared = postings.groupBy("part").applyInArrow(_shared(bits), "part int, sigs binary, sizes binary, tokens binary, df binary")
-    sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens binary, df binary"))
-    posts = sets.mapInArrow(_prefix(percent), "token long, sig long, n long, rest long")
+    sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens array<long>, second array<long>, third array<long>"))
+    posts = sets.select("sig", "n", "shared", "tokens").mapInArrow(_prefix(percent), "token long, sig long, n long, rest long")
     posts = durable(posts.join(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "token"))
 
     def overlap(x: str, y: str) -> Column:
@@ -246,11 +230,18 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
         differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in _BITS), F.lit(0))
         return (100 + percent) * (F.col(f"{x}shared") + F.col(f"{y}shared") - differ) >= 2 * percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
+    def both(pairs: DataFrame, *names: str) -> DataFrame:
+        """pairs(a, b) with columns of either side's set, as x and y."""
+        for c, side in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(sets.select(F.col("sig").alias(c), *(F.col(k).alias(f"{side}_{k}") for k in names)), c)
+        return pairs
+
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = sets.select("sig", "n", "shared", *_BITS).alias("x"), sets.select("sig", "n", "shared", *_BITS).alias("y")
-        pairs = pairs.join(x, F.col("a") == F.col("x.sig")).join(y, F.col("b") == F.col("y.sig")).filter(overlap("x.", "y.")).select("a", "b")
-        side = lambda k: sets.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("df").alias(f"f{k}"))
-        return durable(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "fa", "na", "tb", "fb", "nb").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
+        """a, b, linked of the pairs that the bitmaps and the other orders leave: these are filtered before tokens are fetched."""
+        near = both(pairs, "n", "shared", *_BITS).filter(overlap("x_", "y_")).select("a", "b")
+        found = both(near, "second", "third").filter(F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")).select("a", "b")
+        common = F.size(F.array_intersect("x_tokens", "y_tokens"))
+        return durable(both(found, "n", "tokens").select("a", "b", (100 * common >= percent * (F.col("x_n") + F.col("y_n") - common)).alias("linked")))
 
     def close(x: str, y: str) -> Column:
         """Whether sizes allow the similarity and, if this is the first token that both have, what follows in both allows it too."""
@@ -294,19 +285,34 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     Sets stand for all rows that have them, so copies are never expanded into pairs. Shingles are 64-bit hashes.
     """
     info = durable(set_sizes(docs, n))
-    labels = linked_sets(docs, n, percent).select(F.col("node").alias("sig"), "component")
-    known = info.filter("sig IS NOT NULL").join(labels, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("component"))
+    known = _known(docs, info, n, percent)
     first = durable(known.groupBy("component").agg(F.min("doc_id").alias("component_id")))  # apart, so that a hot component's side of the join can be split
     alone = info.filter("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.join(first, "component").select("doc_id", "n_shingles", "component_id").union(alone)
 
 
+def _known(docs: DataFrame, info: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles, component of the rows that have shingles."""
+    labels = linked_sets(docs, n, percent).select(F.col("node").alias("sig"), "component")
+    return info.filter("sig IS NOT NULL").join(labels, "sig", "left").select("doc_id", "row", "n_shingles", F.coalesce("component", "sig").alias("component"))
+
+
 def keep_first(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps the one with the smallest doc_id.
+    """The rows of docs, all columns, of which each component keeps one: the least doc_id and, of its rows, that with the least hash.
 
-    Rows that share a doc_id count as one document, of which the least row stays. Rows without a doc_id stay.
+    Rows that share a doc_id are rows of their own: each stays that is the first of its component. Of equal rows one stays. Rows
+    without a doc_id or without words stay.
     """
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"), n, percent)
-    first = found.groupBy("doc_id").agg(F.min("component_id").alias("first")).filter("doc_id = first").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
+    own_id, own_row, mine = (unused(docs, name) for name in ("first_id", "first_row", "row"))
+    named = docs.filter("doc_id IS NOT NULL")
+    known = _known(named, durable(set_sizes(named, n)), n, percent)
+    first = durable(known.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"))
+    others = durable(known.join(first, "component").select(F.col("doc_id").alias(own_id), F.col("row").alias(own_row), (F.struct("doc_id", "row") == F.col("first")).alias("is_first")))
+    gone = others.filter("NOT is_first").select(own_id, own_row).distinct()
+    again = durable(others.filter("is_first").groupBy(own_id, own_row).agg(F.count("*").alias("n")).filter("n > 1").select(own_id, own_row))
+    columns, here = docs.columns, (F.col("doc_id") == F.col(own_id)) & (F.col(mine) == F.col(own_row))
+    kept = without(docs.withColumn(mine, row_hash(docs)), durable(gone), here)
+    if not again.limit(1).count():
+        return kept.select(columns)
+    once = without(kept, again, here).select(columns)
+    return once.union(kept.join(again, here, "left_semi").dropDuplicates(["doc_id", mine]).select(columns))

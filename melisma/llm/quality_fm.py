@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, runs, text_bytes, words
+from .common import pieces, runs, text_bytes, tidy, words
 
 BITS = 12
 RANK = 4
@@ -186,5 +186,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows: Column | None = No
         for batch in batches:
             for piece in pieces(batch):
                 yield piece.filter(pa.array(margins(machine, *featurize(*text_bytes(piece.column("text")))) >= least))
+        tidy()
 
     return docs.mapInArrow(kept, docs.schema)
