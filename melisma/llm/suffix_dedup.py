@@ -2,9 +2,9 @@
 
 Windows of bytes are dealt to shards by content, so that equal windows meet: each belongs to the chunk around the smallest
 64-byte gram hash in it (the rightmost of ties). An anchor that occurs once has no repeated window. A shard is a range of
-anchors; it gets every other anchor's chunks, of equal ones the first and their number. Its chunks get suffix arrays in blocks
-of bounded size, and the longest prefix that each window shares with another one is read from them. Where one anchor's chunks
-fill several blocks, the windows of each block are looked up in the other blocks' arrays.
+anchors. Equal chunks are counted, which settles them; where an anchor also has other chunks, one of each goes to its shard.
+These get suffix arrays in blocks of bounded size, and the longest prefix that each window shares with another one is read from
+them. Where one anchor's chunks fill several blocks, the windows of each block are looked up in the other blocks' arrays.
 """
 
 from __future__ import annotations
@@ -41,15 +41,12 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     return mix(h)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, reach: int = 0):
-    """For each chunk of windows with one anchor: the text, its first window's start, its windows, its size, the anchor's hash and its own.
-
-    A chunk ends `reach` bytes (at least `length`) after the start of its last window, or with its text.
-    """
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """For each chunk of windows with one anchor: the text, its first window's start, its windows, the anchor's hash and its own."""
     empty = np.zeros(0, np.int64)
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     if not windows.any():
-        return empty, empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     hashes = gram_hashes(data, gram)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(hashes), dtype=np.uint64))
     low = sliding_min(key, length - gram + 1)
@@ -65,14 +62,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     doc = np.searchsorted(offsets, start, "right") - 1
     last = np.r_[start[1:], len(low)]
     count = np.minimum(last, offsets[doc] + windows[doc]) - start
-    size = np.minimum(start + count - 1 + max(length, reach), offsets[doc + 1]) - start
+    size = count + length - 1
     place = (np.uint64(0xFFFFFFFF) - (low[start] & np.uint64(0xFFFFFFFF))).astype(np.int64)
     up, down = power_tables(len(hashes))
     with np.errstate(over="ignore"):
         total = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(hashes * up[: len(hashes)], out=total[1:])
         own = mix((total[start + size - gram + 1] - total[start]) * down[start] + size.astype(np.uint64))
-    return doc, start, count, size, hashes[place], own
+    return doc, start, count, mix(hashes[place], length), own
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -131,15 +128,15 @@ def same_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Block:
     """Chunks of one shard: their text, the order of their windows, and the longest prefix that each window shares with another.
 
-    chunks: text, number of windows (the first so many places), and how often the chunk occurs.
+    chunks: text and number of windows (the first so many places).
     """
 
-    def __init__(self, chunks: list[tuple[bytes, int, int]], depth: int = LENGTH):
+    def __init__(self, chunks: list[tuple[bytes, int]], depth: int = LENGTH):
         self.depth = depth
-        sizes = np.array([len(c) + 1 for c, _, _ in chunks], np.int32)
+        sizes = np.array([len(c) + 1 for c, _ in chunks], np.int32)
         self.starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        self.counts = np.array([n for _, n, _ in chunks], np.int32)
-        self.key = eights(np.frombuffer(BETWEEN.join([c for c, _, _ in chunks]) + BETWEEN, np.uint8))
+        self.counts = np.array([n for _, n in chunks], np.int32)
+        self.key = eights(np.frombuffer(BETWEEN.join([c for c, _ in chunks]) + BETWEEN, np.uint8))
         self.stop = np.repeat(self.starts + sizes - 1, sizes)
         place = np.arange(len(self.key), dtype=np.int32) - np.repeat(self.starts, sizes)
         count = np.repeat(self.counts, sizes)
@@ -147,8 +144,6 @@ class Block:
         window = place < count
         self.order = order[window[order]]
         self.best = self._kasai(window, group)
-        copied = window & np.repeat([n > 1 for *_, n in chunks], sizes)
-        self.best[copied] = (self.stop - np.arange(len(place), dtype=np.int32))[copied]
 
     def _kasai(self, window: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Each window's longest common prefix (at most depth) with its neighbours in the order; 0 elsewhere.
@@ -186,7 +181,8 @@ class Block:
         """Sign of each window here against a suffix there by their first `depth` bytes, and their common bytes."""
         shared, sign, left = np.zeros(len(at), np.int32), np.zeros(len(at), np.int8), np.arange(len(at))
         while len(left):
-            x, y = self.key[at[left] + shared[left]], other.key[suffix[left] + shared[left]]
+            x = self.key[np.minimum(at[left] + shared[left], len(self.key) - 1)]
+            y = other.key[np.minimum(suffix[left] + shared[left], len(other.key) - 1)]
             sign[left] = np.where(x < y, -1, np.where(x > y, 1, 0))
             shared[left] += same_bytes(x, y)
             left = left[(x == y) & (shared[left] < self.depth)]
@@ -211,9 +207,9 @@ class Block:
             if len(at):
                 a.look_up(at, b)
 
-    def spans(self, chunk: int, length: int) -> bytes:
-        """Runs of a chunk's windows that share `length` bytes with another: starts and lengths as int32 pairs."""
-        return mask_runs(self.best[self.starts[chunk] : self.starts[chunk] + self.counts[chunk]] >= length).tobytes()
+    def spans(self, chunk: int) -> bytes:
+        """Runs of a chunk's windows that share `depth` bytes with another: starts and lengths as int32 pairs."""
+        return mask_runs(self.best[self.starts[chunk] : self.starts[chunk] + self.counts[chunk]] >= self.depth).tobytes()
 
 
 def mask_runs(mask: np.ndarray) -> np.ndarray:
@@ -222,12 +218,12 @@ def mask_runs(mask: np.ndarray) -> np.ndarray:
 
 
 _HASHES = pa.schema([("ah", pa.int64())])
-_ANCHORS = pa.schema([("rid", pa.int64()), ("sid", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("size", pa.int32()), ("ah", pa.int64()), ("ch", pa.int64())])
-_ANCHORS_DDL = "rid long, sid long, start int, count int, size int, ah long, ch long"
-_CHUNKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("copies", pa.int32()), ("count", pa.int32()), ("chunk", pa.binary())])
-_CHUNKS_DDL = "ah long, ch long, copies int, count int, chunk binary"
-_MARKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("spans", pa.list_(pa.binary()))])
-_MARKS_DDL = "ah long, ch long, spans array<binary>"
+_ANCHORS = pa.schema([("rid", pa.int64()), ("sid", pa.int64()), ("length", pa.int32()), ("start", pa.int32()), ("count", pa.int32()), ("ah", pa.int64()), ("ch", pa.int64())])
+_ANCHORS_DDL = "rid long, sid long, length int, start int, count int, ah long, ch long"
+_CHUNKS = pa.schema([("length", pa.int32()), ("ah", pa.int64()), ("ch", pa.int64()), ("count", pa.int32()), ("copied", pa.bool_()), ("chunk", pa.binary())])
+_CHUNKS_DDL = "length int, ah long, ch long, count int, copied boolean, chunk binary"
+_MARKS = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("spans", pa.binary())])
+_MARKS_DDL = "ah long, ch long, spans binary"
 
 
 def _anchored(lengths: tuple[int, ...], hashes_only: bool):
@@ -235,12 +231,13 @@ def _anchored(lengths: tuple[int, ...], hashes_only: bool):
         for batch in batches:
             for piece in pieces(batch, limit=PIECE_BYTES):
                 data, offsets = text_bytes(piece.column("text"))
-                doc, start, count, size, h, own = anchors(data, offsets, min(lengths), reach=max(lengths))
-                if hashes_only:
-                    yield rows(_HASHES, [h.view(np.int64)])
-                    continue
-                at = pa.array(doc)
-                yield rows(_ANCHORS, [piece.column("rid").take(at), piece.column("sid").take(at), start - offsets[doc], count, size, h.view(np.int64), own.view(np.int64)])
+                for length in lengths:
+                    doc, start, count, h, own = anchors(data, offsets, length)
+                    if hashes_only:
+                        yield rows(_HASHES, [h.view(np.int64)])
+                        continue
+                    at = pa.array(doc)
+                    yield rows(_ANCHORS, [piece.column("rid").take(at), piece.column("sid").take(at), np.full(len(doc), length), start - offsets[doc], count, h.view(np.int64), own.view(np.int64)])
         tidy()
 
     return found
@@ -250,25 +247,27 @@ def _cut(batches):
     for batch in batches:
         for text, need in zip(batch.column("text"), batch.column("need")):
             text, need = text.as_py().encode("utf-8", "surrogatepass"), need.as_py()
-            yield rows(_CHUNKS, [*([x[k] for x in need] for k in ("ah", "ch", "copies", "count")), [text[x["start"] : x["start"] + x["size"]] for x in need]])
+            columns = [[x[k] for x in need] for k in _CHUNKS.names[:-1]]
+            yield rows(_CHUNKS, [*columns, [text[x["start"] : x["start"] + x["count"] + x["length"] - 1] for x in need]])
     tidy()
 
 
-def _marked(lengths: tuple[int, ...], block_bytes: int):
-    """Chunks in the order of their anchors → their repeated windows. Blocks are kept only while one anchor goes on in the next."""
+def _marked(block_bytes: int):
+    """Chunks by length and anchor → the repeated windows of those that aren't copied. Blocks are kept only while one anchor goes on in the next."""
 
     def emit(done: list):
         for keys, block in done:
-            yield rows(_MARKS, [[a for a, _ in keys], [c for _, c in keys], [[block.spans(k, length) for length in lengths] for k in range(len(keys))]])
+            own = [(a, c, block.spans(k)) for k, (a, c, copied) in enumerate(keys) if not copied]
+            yield rows(_MARKS, [list(x) for x in zip(*own)] if own else [[]] * len(_MARKS))
         done.clear()
 
-    def close(keys: list, chunks: list, waiting: list):
+    def close(length: int, keys: list, chunks: list, waiting: list):
         """Waiting blocks all end with one anchor, which may go on in this block."""
-        block = Block(chunks, max(lengths))
+        block = Block(chunks, length)
         for before, other in waiting:
             anchor = before[-1][0]
-            theirs = [k for k, (a, _) in enumerate(before) if a == anchor]
-            mine = [k for k, (a, _) in enumerate(keys) if a == anchor]
+            theirs = [k for k, (a, *_) in enumerate(before) if a == anchor]
+            mine = [k for k, (a, *_) in enumerate(keys) if a == anchor]
             if mine:
                 block.merge(mine, other, theirs)
         if keys[0][0] != keys[-1][0] or waiting and waiting[-1][0][-1][0] != keys[0][0]:
@@ -276,19 +275,20 @@ def _marked(lengths: tuple[int, ...], block_bytes: int):
         waiting.append((keys, block))
 
     def marked(batches):
-        keys, chunks, size, waiting = [], [], 0, []
+        keys, chunks, size, waiting, length = [], [], 0, [], 0
         for batch in batches:
-            for a, c, copies, count, text in zip(*(batch.column(k).to_pylist() for k in ("ah", "ch", "copies", "count", "chunk"))):
-                if keys and keys[-1] == (a, c):
+            for own, a, c, count, copied, text in zip(*(batch.column(k).to_pylist() for k in _CHUNKS.names)):
+                if keys and keys[-1][:2] == (a, c):
                     continue  # cut from a repeated row
-                if size >= block_bytes:
-                    yield from close(keys, chunks, waiting)
+                if keys and (size >= block_bytes or own != length):
+                    yield from close(length, keys, chunks, waiting)
                     keys, chunks, size = [], [], 0
-                keys.append((a, c))
-                chunks.append((text, count, copies))
+                length = own
+                keys.append((a, c, copied))
+                chunks.append((text, count))
                 size += len(text)
         if keys:
-            yield from close(keys, chunks, waiting)
+            yield from close(length, keys, chunks, waiting)
         yield from emit(waiting)
         tidy()
 
@@ -302,7 +302,7 @@ def content_numbers() -> tuple[Column, Column]:
 
 
 def repeats(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """rid, sid, found: for each of the texts with repeated windows, their runs as (chunk's start, for each length the first windows and numbers).
+    """rid, sid, found: for each of the texts with repeated windows, its chunks with any: length, start, windows, the runs that are repeated (null: all).
 
     texts has text (not null), rid and sid; its further columns are kept beside the text in the exchange by rid and sid, so that
     a caller who joins the same texts with the result by these reuses it.
@@ -310,21 +310,23 @@ def repeats(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,), block_bytes:
     own = texts.select("rid", "sid", "text")
     often = durable(own.select("text").mapInArrow(_anchored(lengths, True), "ah long").groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))  # apart, so that a hot anchor's side of the join can be split
     live = durable(own.mapInArrow(_anchored(lengths, False), _ANCHORS_DDL).join(often, "ah"))
-    chunks = live.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "sid", "start", "count", "size")).alias("rep"))
-    copies = F.least("n", F.lit(2)).cast("int").alias("copies")
-    need = chunks.select("rep.rid", "rep.sid", F.struct("ah", "ch", copies, "rep.start", "rep.count", "rep.size").alias("x")).groupBy("rid", "sid").agg(F.collect_list("x").alias("need"))
-    sent = texts.join(need, ["rid", "sid"]).mapInArrow(_cut, _CHUNKS_DDL)
+    chunks = durable(live.groupBy("ah", "ch").agg((F.count("*") > 1).alias("copied"), F.min(F.struct("rid", "sid", "start", "length", "count")).alias("rep")))
+    mixed = chunks.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    need = chunks.join(mixed, "ah").select("rep.rid", "rep.sid", F.struct("ah", "ch", "copied", "rep.start", "rep.length", "rep.count").alias("x"))
+    sent = texts.join(need.groupBy("rid", "sid").agg(F.collect_list("x").alias("need")), ["rid", "sid"]).mapInArrow(_cut, _CHUNKS_DDL)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = sent.repartition(parts, "ah").sortWithinPartitions("ah", "ch").mapInArrow(_marked(lengths, block_bytes), _MARKS_DDL)
-    marks = marks.filter(F.exists("spans", lambda x: F.octet_length(x) > 0))
-    return live.join(marks, ["ah", "ch"]).groupBy("rid", "sid").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    marks = sent.repartition(parts, "ah").sortWithinPartitions("length", "ah", "ch").mapInArrow(_marked(block_bytes), _MARKS_DDL).filter(F.octet_length("spans") > 0)
+    marks = marks.union(chunks.filter("copied").select("ah", "ch", F.lit(None).cast("binary").alias("spans")))
+    return live.join(marks, ["ah", "ch"]).groupBy("rid", "sid").agg(F.collect_list(F.struct("length", "start", "count", "spans")).alias("found"))
 
 
-def removed_runs(found: list[dict] | None, length: int = LENGTH, k: int = 0) -> list[tuple[int, int]]:
-    """Maximal removed byte runs of a document, from its chunks' repeated windows of the k-th length."""
+def removed_runs(found: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
+    """Maximal removed byte runs of a document, from its chunks' repeated windows of that length."""
     at = []
     for x in found or []:
-        at += [(x["start"] + a, x["start"] + a + n + length - 1) for a, n in raw(x["spans"][k], np.int32).reshape(-1, 2).tolist()]
+        if x["length"] == length:
+            pairs = [(0, x["count"])] if x["spans"] is None else raw(x["spans"], np.int32).reshape(-1, 2).tolist()
+            at += [(x["start"] + a, x["start"] + a + n + length - 1) for a, n in pairs]
     out: list[list[int]] = []
     for a, z in sorted(at):
         if out and a <= out[-1][1]:
@@ -358,7 +360,7 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
             out = []
             for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
                 data = text.encode("utf-8", "surrogatepass")
-                spans = removed_runs(found, length, 1)
+                spans = removed_runs(found, length)
                 kept = kept_bytes(data, spans)
                 passages = [z - a for a, z in removed_runs(found, passage) if len(data[a:z].split()) > words]
                 out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(passages), sum(passages)))

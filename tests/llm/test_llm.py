@@ -121,7 +121,7 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == expected_groups(rows)
 
 
-def test_keep_first(docs, rows):
+def test_keep_first(spark, docs, rows):
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
     groups = {d: c for d, _, c in expected_groups([r for r in rows if r[0] is not None])}
@@ -129,6 +129,13 @@ def test_keep_first(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == want
 
 
+def test_keep_first_keeps_other_texts_with_the_same_id(spark):
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    odd = [(1, text("zebra"), "z"), (1, text("apple"), "a"), (1, text("apple"), "a"), (2, text("apple"), "b"), (3, "", "c"), (3, "", "c"), (4, None, "d"), (None, text("apple"), "e"), (5, text("zebra", 39), "f")]
+    kept = ngram_join.keep_first(spark.createDataFrame(odd, "doc_id long, text string, __id string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([odd[0], odd[1], *odd[4:8]], key=repr)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -236,7 +243,7 @@ def test_blocks_merge_by_binary_search():
     text = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
     shared = text(60)
     a, b = [text(80) + shared + text(20), text(100)], [text(10) + shared + text(90), text(70)]
-    whole = lambda chunks: [(c, len(c), 1) for c in chunks]
+    whole = lambda chunks: [(c, len(c)) for c in chunks]
     x, y = suffix_dedup.Block(whole(a), 50), suffix_dedup.Block(whole(b), 50)
     assert x.best.max() < 50 and y.best.max() < 50
     x.merge([0, 1], y, [0, 1])
@@ -250,19 +257,18 @@ def test_blocks_merge_by_binary_search():
 
 @pytest.mark.parametrize("share", [1.0, 0.4])
 def test_suffix_array_and_common_prefixes(share):
-    """Only a share of each chunk are windows; a chunk that counts twice shares all that is left of it."""
+    """Only a share of each chunk are windows."""
     rng = random.Random(4)
-    for turn in range(30):
+    for _ in range(30):
         chunks = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 90))) for _ in range(6)] + [b"abab" * 15]
         chunks.append(chunks[0][:30] + b"b")
         counts = [max(1, int(share * len(c))) for c in chunks]
-        copies = [2 if k == turn % 8 else 1 for k in range(len(chunks))]
         depth = rng.choice([8, 20, 40])
-        block = suffix_dedup.Block(list(zip(chunks, counts, copies)), depth)
+        block = suffix_dedup.Block(list(zip(chunks, counts)), depth)
         places = [(k, i) for k, n in enumerate(counts) for i in range(n)]
         for k, i in places:
             others = [(chunks[o], j) for o, j in places if (o, j) != (k, i)]
-            want = len(chunks[k]) - i if copies[k] > 1 else shared_by_hand(chunks[k], i, others, depth)
+            want = shared_by_hand(chunks[k], i, others, depth)
             assert min(depth, block.best[block.starts[k] + i]) == min(depth, want), (k, i)
 
 
