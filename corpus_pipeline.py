@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melisma.llm import bm25_decontam, ngram_join, quality_fm, soft_mixing, suffix_dedup
-from melisma.llm.common import durable
+from melisma.llm.common import discard, durable, written
 
 #: Passages of over 50 words are caught from this many bytes on.
 PASSAGE_BYTES = 200
@@ -53,10 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents of sf_dir; each is written before the next begins."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages, one after the other, over the documents of sf_dir.
+
+    Each is written before the next begins; then its input and its operators' own tables go. The last stage's stay, as its rows
+    are still to be computed.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
+        with written() as made:
+            docs = stage(spark, docs, sf_dir)
+            if name == STAGES[-1][0]:
+                return docs
             docs = durable(docs)
-    return docs
+        discard(spark, before + made[:-1])
+        before = made[-1:]
