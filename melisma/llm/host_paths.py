@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .html_blocks import CONTAINERS, Page, read, text_of
+from .html_blocks import ARTICLE_WORDS, CONTAINERS, Page, mark_of, read, text_of
 from .url_filter import host_path
 
 #: A path wins on a host with this share of its votes, so at most 1 / SHARE paths win.
@@ -19,26 +19,22 @@ FAVOURED = 1.5
 #: The winners of more hosts are not sent to every task but joined, a host's pages dealt out over SALTS keys.
 BROADCAST_HOSTS = 50_000
 SALTS = 64
-#: Names of containers that hold articles.
-FAVOURED_WORDS = frozenset("article main content entry post story text body".split())
 
 
 def container_scores(page: Page) -> dict[int, float]:
     """Each container's score: the unlinked characters of its blocks, halved with each container between them."""
-    scores: dict[int, float] = defaultdict(float)
+    held = [0.0] * len(page.elements)
     for block in page.blocks:
-        at, weight = block.element, float(max(0, len(block.text) - 2 * block.linked))
-        if page.elements[at].boilerplate or not weight:
-            continue
-        while at > 0 and weight >= 0.01:
-            if page.elements[at].tag in CONTAINERS:
-                scores[at] += weight
-                weight *= DECAY
-            at = page.elements[at].parent
-    for at in scores:
-        e = page.elements[at]
-        if e.tag in ("article", "main") or not FAVOURED_WORDS.isdisjoint(e.attributes.get("class", "").lower().replace("-", " ").replace("_", " ").split()):
-            scores[at] *= FAVOURED
+        if not page.elements[block.element].boilerplate:
+            held[block.element] += max(0, len(block.text) - 2 * block.linked)
+    scores = {}
+    for k in range(len(held) - 1, 0, -1):
+        e = page.elements[k]
+        if held[k] and e.tag in CONTAINERS:
+            favoured = e.tag in ("article", "main") or not ARTICLE_WORDS.isdisjoint(e.attributes.get("class", "").lower().replace("-", " ").replace("_", " ").split())
+            scores[k] = held[k] * (FAVOURED if favoured else 1)
+            held[k] *= DECAY
+        held[e.parent] += held[k]
     return scores
 
 
@@ -50,7 +46,8 @@ def best(page: Page, scores: dict[int, float]) -> int:
 def extract(page: Page, paths: list[str]) -> str:
     """Text of all containers with the first of the winning paths that gives any; else of the page's own best container."""
     for path in paths:
-        own = [k for k, e in enumerate(page.elements) if e.path == path and e.tag in CONTAINERS]
+        mark = mark_of(path)
+        own = [k for k, e in enumerate(page.elements) if e.mark == mark and e.tag in CONTAINERS]
         found = " ".join(filter(None, (text_of(page, k) for k in own)))
         if found:
             return found
@@ -68,7 +65,7 @@ def _votes(batches):
             page = read(html.as_py())
             scores = container_scores(page)
             if scores:
-                votes[host.as_py(), page.elements[best(page, scores)].path] += 1.0
+                votes[host.as_py(), page.path(best(page, scores))] += 1.0
         if votes:
             yield pa.record_batch([pa.array(c, t.type) for c, t in zip([*zip(*votes), list(votes.values())], _VOTES)], schema=_VOTES)
 

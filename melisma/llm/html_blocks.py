@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
+#: Comments, tags, other markup, and a tag that the page's end cuts off. Quotes hold a value after = only; nothing is tried twice, so
+#: that no page takes more than about linear time.
+_TAG = re.compile(
+    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^<>=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>"
+    r"|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++)))?")
 #: Elements by their part in a page.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,21 +26,30 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body center div main section td blockquote dd details".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form button select svg menu dialog".split()) | RAW
+#: A container with a class or id that begins or ends with one of the first words is boilerplate; the others count when they are all
+#: of a name, and within longer names or beside a name for articles only if half of the container's text stands in links.
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer "
-    "header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies reply "
-    "responses share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted replies reply share sharing sidebar "
+    "sidebars social sponsor sponsored subscribe".split()
 )
+SUSPECT_WORDS = frozenset("login promotion related responses signup skip subscription tags toolbar widget widgets".split())
+ARTICLE_WORDS = frozenset("article main content entry post story text body".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 
 @dataclass
 class Element:
+    """step: its part of the generalised path; mark: a number for the whole path; last: the last element inside it, which all between are, too."""
+
     tag: str
-    path: str
-    parent: int
-    boilerplate: bool
+    step: str = ""
+    mark: int = 0
+    parent: int = -1
+    boilerplate: bool = False
+    suspect: bool = False
     attributes: dict = field(default_factory=dict)
+    last: int = 0
 
 
 @dataclass
@@ -52,36 +69,80 @@ class Page:
     links: list[str]
 
     def inside(self, block: Block, element: int) -> bool:
-        at = block.element
-        while at > element:
-            at = self.elements[at].parent
-        return at == element
+        return element <= block.element <= self.elements[element].last
+
+    def path(self, element: int) -> str:
+        steps = []
+        while element > 0:
+            steps.append(self.elements[element].step)
+            element = self.elements[element].parent
+        return ">".join(reversed(steps))
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {name.lower(): unescape(a or b or c or "") for name, a, b, c in _ATTRIBUTE.findall(text)} if "=" in text else {}
+    """Names and values; those without a value have the empty one."""
+    return {name.lower(): unescape(a or b or c) if a or b or c else "" for name, a, b, c in _ATTRIBUTE.findall(text)} if text and not text.isspace() else {}
 
 
 def step(tag: str, attrs: dict[str, str]) -> str:
     """An element's part of a generalised path: its tag and sorted classes, digits as #."""
-    names = sorted({re.sub(r"\d+", "#", c.lower()) for c in attrs.get("class", "").split()})
+    names = sorted({re.sub(r"\d+", "#", c.lower().replace(">", "")) for c in attrs.get("class", "").split()})
     return ".".join([tag, *names])
 
 
-def is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in BOILERPLATE_TAGS:
-        return True
-    if not attrs:
-        return False
-    words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
-    return not BOILERPLATE_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main") or attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs
+def marked(above: int, step: str) -> int:
+    """The number of a path from that of the path above it."""
+    return int.from_bytes(hashlib.blake2b(f"{above} {step}".encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def mark_of(path: str) -> int:
+    mark = 0
+    for part in path.split(">"):
+        mark = marked(mark, part)
+    return mark
+
+
+def judged(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role and names, or may be by its names."""
+    if tag in BOILERPLATE_TAGS or attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").lower().replace(" ", ""):
+        return True, False
+    if tag in ("html", "body", "article", "main"):
+        return False, False
+    names = [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) for name in (*attrs.get("class", "").split(), attrs.get("id", ""))]
+    names = [words for words in names if words]
+    if any(words[0] in BOILERPLATE_WORDS or words[-1] in BOILERPLATE_WORDS for words in names):
+        return True, False
+    for_articles = any(ARTICLE_WORDS.issuperset(words) for words in names)
+    if any(SUSPECT_WORDS.issuperset(words) for words in names) and not for_articles:
+        return True, False
+    return False, any(not SUSPECT_WORDS.isdisjoint(words) or not BOILERPLATE_WORDS.isdisjoint(words) for words in names)
+
+
+def weigh(elements: list[Element], blocks: list[Block]) -> None:
+    """Suspect elements with half of their text in links are boilerplate, and all that is inside boilerplate; also each element's last."""
+    for k in range(len(elements) - 1, -1, -1):
+        elements[k].last = max(elements[k].last, k)
+        if k:
+            above = elements[elements[k].parent]
+            above.last = max(above.last, elements[k].last)
+    if any(e.suspect for e in elements):
+        size, linked = [0] * len(elements), [0] * len(elements)
+        for b in blocks:
+            size[b.element] += len(b.text)
+            linked[b.element] += b.linked
+        for k in range(len(elements) - 1, 0, -1):
+            size[elements[k].parent] += size[k]
+            linked[elements[k].parent] += linked[k]
+            elements[k].boilerplate |= elements[k].suspect and 2 * linked[k] >= size[k]
+    for e in elements[1:]:
+        e.boilerplate |= elements[e.parent].boilerplate
 
 
 def read(html: str | None) -> Page:
     """Elements with their paths, all text blocks in page order, the title and the links. Never fails; null is the empty page."""
     html = html or ""
-    elements = [Element("", "", -1, False)]
-    stack = [0]
+    elements = [Element("")]
+    stack, opened = [0], Counter()
     blocks: list[Block] = []
     links: list[str] = []
     parts: list[str] = []
@@ -110,17 +171,19 @@ def read(html: str | None) -> Page:
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        slash, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = tag.lower()
+        if slash:
             if tag == "a":
                 in_link = False
             elif tag in BLOCKS:
                 close()
-                for k in range(len(stack) - 1, 0, -1):
-                    if elements[stack[k]].tag == tag:
-                        del stack[k:]
+                while opened[tag]:
+                    top = elements[stack.pop()].tag
+                    opened[top] -= 1
+                    if top == tag:
                         break
             continue
         if tag in RAW:
@@ -132,7 +195,7 @@ def read(html: str | None) -> Page:
         if tag == "br":
             add(" ")
             continue
-        attrs = attributes(m[3])
+        attrs = attributes(rest)
         if tag == "a":
             in_link = True
             if "href" in attrs:
@@ -145,12 +208,14 @@ def read(html: str | None) -> Page:
             continue
         top = elements[stack[-1]].tag
         if top == "p" or tag == top and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            stack.pop()
-        above = elements[stack[-1]]
-        elements.append(Element(tag, f"{above.path}>{step(tag, attrs)}" if above.path else step(tag, attrs), stack[-1], above.boilerplate or is_boilerplate(tag, attrs), attrs))
-        if not m[3].rstrip().endswith("/") or tag not in ("div", "p", "svg"):
+            opened[elements[stack.pop()].tag] -= 1
+        own = step(tag, attrs)
+        elements.append(Element(tag, own, marked(elements[stack[-1]].mark, own), stack[-1], *judged(tag, attrs), attrs))
+        if not rest.rstrip().endswith("/") or tag not in ("div", "p", "svg"):
             stack.append(len(elements) - 1)
+            opened[tag] += 1
     close()
+    weigh(elements, blocks)
     return Page(elements, blocks, title, links)
 
 

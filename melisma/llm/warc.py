@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
-import io
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import rows
 from .html_blocks import read, text_of
 
 VERSION = "WARC/1.1"
+#: Bytes of derivatives that a task gathers before it sends them on.
+BATCH_BYTES = 8 << 20
+#: Beginnings of the names of text encodings that are taken from a page; others are read as UTF-8.
+CHARSETS = ("utf-8", "utf-16", "utf-32", "ascii", "iso8859", "cp12", "cp4", "cp8", "cp9", "koi8", "mac-", "shift", "euc", "gb", "big5", "iso2022", "tis", "hz", "johab")
 Headers = list[tuple[str, str]]
 
 
@@ -33,7 +38,7 @@ def record_id(*names: str) -> str:
 
 def write_record(headers: Headers, block: bytes) -> bytes:
     lines = [VERSION, *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def split_head(data: bytes) -> tuple[str, Headers, bytes]:
@@ -60,40 +65,33 @@ def parse_record(data: bytes) -> tuple[Headers, bytes] | None:
     version, headers, rest = split_head(data)
     if not version.startswith("WARC/"):
         return None
-    size = header(headers, "Content-Length")
-    return headers, rest[: int(size)] if size and size.isdigit() else rest
-
-
-def read_records(stream: io.BufferedIOBase) -> Iterator[bytes]:
-    """The records of a WARC file, plain or gzipped (one member for each record or one for all), one at a time."""
-    if stream.read(2) == b"\x1f\x8b":
-        stream.seek(0)
-        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
-    else:
-        stream.seek(0)
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
-        head = [line]
-        while (line := stream.readline()).strip():
-            head.append(line)
-        size = next((int(x.split(b":")[1]) for x in head if x.lower().startswith(b"content-length:") and x.split(b":")[1].strip().isdigit()), 0)
-        yield b"".join(head) + b"\r\n" + stream.read(size)
+    size = length(header(headers, "Content-Length"))
+    return headers, rest if size is None else rest[:size]
+
+
+def length(text: str | None) -> int | None:
+    """A Content-Length, or None if it isn't a number."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) <= 18 else None
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """record (binary) of all WARC files at a path; a file is read by one task."""
+    """record (binary) of all WARC files at a path, plain or gzipped (one member for each record or one for all).
+
+    Files are streamed by Spark's own reader, which cuts them before each record's first line, so none is held whole; what follows a
+    record's Content-Length is dropped. A file that holds WARC records inside of a record's block yields these too.
+    """
 
     def records(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                for record in read_records(io.BytesIO(content.as_py())):
-                    yield pa.record_batch({"record": pa.array([record], pa.binary())})
+            for piece in batch.column("value"):
+                piece = piece.as_py()
+                first = re.match(rb"\s*(?:WARC/1\.)?(\d[^\r\n]*\r?\n)", piece)
+                if first:
+                    head, gap, rest = (b"WARC/1." + first[1] + piece[first.end() :]).partition(b"\r\n\r\n")
+                    size = length(next((x.split(b":", 1)[1].strip().decode("ascii", "replace") for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None))
+                    yield pa.record_batch({"record": pa.array([head + gap + (rest if size is None else rest[:size])], pa.binary())})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, "record binary")
+    return spark.read.option("lineSep", "\r\nWARC/1.").text(path).select(F.col("value").cast("binary")).mapInArrow(records, "record binary")
 
 
 def dechunk(body: bytes) -> bytes:
@@ -119,7 +117,7 @@ def payload(block: bytes) -> tuple[str, Headers, bytes]:
     if (header(headers, "Content-Encoding") or "").lower() in ("gzip", "x-gzip"):
         try:
             body = gzip.decompress(body)
-        except (OSError, EOFError):
+        except (OSError, EOFError, zlib.error, ValueError):
             pass
     return status, headers, body
 
@@ -127,9 +125,10 @@ def payload(block: bytes) -> tuple[str, Headers, bytes]:
 def decoded(body: bytes, content_type: str | None) -> str:
     m = re.search(r"charset=[\"']?([\w.:-]+)", content_type or "", re.I) or re.search(r"charset=[\"']?([\w.:-]+)", body[:2048].decode("ascii", "ignore"), re.I)
     try:
-        return body.decode(m[1] if m else "utf-8", "replace")
-    except LookupError:
-        return body.decode("utf-8", "replace")
+        name = codecs.lookup(m[1]).name if m else "utf-8"
+    except (LookupError, ValueError):
+        name = "utf-8"
+    return body.decode(name if name.startswith(CHARSETS) else "utf-8", "replace")
 
 
 #: Headers of the source that both derivatives repeat under their own names.
@@ -160,7 +159,7 @@ def derive(headers: Headers, block: bytes) -> list[tuple[str, Headers, bytes]]:
     ids = {name: record_id(name, source) for name in ("metadata", "conversion")}
     out = []
     for name, other, content_type, data in (
-        ("metadata", "conversion", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode()),
+        ("metadata", "conversion", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")),
         ("conversion", "metadata", "text/plain; charset=utf-8", plain.encode("utf-8", "surrogatepass")),
     ):
         head = [("WARC-Type", name), ("WARC-Record-ID", ids[name]), ("WARC-Date", date), ("WARC-Refers-To", source)]
@@ -189,12 +188,13 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two rows (metadata, conversion) for every response in records(record binary).
 
     Other record types, null and malformed records give none. Repeated responses give repeated rows with the same identifiers.
-    `record` is the whole derivative, ready to be written; block its content. Further columns of records are dropped.
+    `record` is the whole derivative, ready to be written; block its content. Further columns of records are dropped. Bodies that can't
+    be unpacked stay as they are, and encodings that aren't known are read as UTF-8.
     """
 
     def derived(batches):
+        out, size = [], 0
         for batch in batches:
-            out: list[list] = [[] for _ in _DERIVED]
             for data in batch.column("record"):
                 parsed = parse_record(data.as_py()) if data.is_valid else None
                 if parsed is None or (header(parsed[0], "WARC-Type") or "").lower() != "response":
@@ -203,10 +203,13 @@ def derivatives(records: DataFrame) -> DataFrame:
                 fields = dict(line.split(": ", 1) for line in made[0][2].decode().split("\r\n")[:3])
                 for name, head, block in made:
                     row = [name, *(header(head, k) for k in ("WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Date", "Content-Type"))]
-                    row += [fields["source-block-digest"], fields["source-payload-digest"], header(head, "WARC-Block-Digest"), len(block), block, write_record(head, block)]
-                    for column, value in zip(out, row):
-                        column.append(value)
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(out, _DERIVED)], schema=_DERIVED)
+                    out.append([*row, fields["source-block-digest"], fields["source-payload-digest"], header(head, "WARC-Block-Digest"), len(block), block, write_record(head, block)])
+                    size += 2 * len(block)
+                if size >= BATCH_BYTES:
+                    yield rows(_DERIVED, list(zip(*out)))
+                    out, size = [], 0
+        if out:
+            yield rows(_DERIVED, list(zip(*out)))
 
     return records.select("record").mapInArrow(derived, _DERIVED_DDL)
 
