@@ -2,7 +2,7 @@
 
 Windows of bytes are dealt to shards by content, so that equal windows meet: each belongs to the chunk around the smallest
 64-byte gram hash in it (the rightmost of ties). An anchor that occurs once has no repeated window. A shard is a range of
-anchors. Equal chunks are counted, which settles them; where an anchor also has other chunks, one of each goes to its shard.
+anchors. Equal chunks are counted, which settles them; where an anchor also has a single chunk, one of each goes to its shard.
 These get suffix arrays in blocks of bounded size, and the longest prefix that each window shares with another one is read from
 them. Where one anchor's chunks fill several blocks, the windows of each block are looked up in the other blocks' arrays.
 """
@@ -13,12 +13,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BASE, durable, mix, pieces, raw, rows, runs, text_bytes, tidy
-from .winnowing import power_tables, sliding_min
+from .winnowing import power_tables
 
 LENGTH = 400
 #: Repeated strings from this many bytes on are put together to passages, which count if they hold more words than that.
@@ -41,35 +42,47 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     return mix(h)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """For each chunk of windows with one anchor: the text, its first window's start, its windows, the anchor's hash and its own."""
-    empty = np.zeros(0, np.int64)
-    windows = np.maximum(np.diff(offsets) - length + 1, 0)
-    if not windows.any():
-        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def lowest(keys: np.ndarray, widths: list[int]):
+    """Minimum of every `width` consecutive keys, for ascending widths: each doubling serves all of them."""
+    have, out = 1, keys
+    for width in widths:
+        while 2 * have <= width:
+            out = np.minimum(out[:-have], out[have:]) if len(out) > have else out[:0]
+            have *= 2
+        rest = width - have
+        yield np.minimum(out[: max(0, len(out) - rest)], out[rest:]) if rest else out
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, own_hash: bool = True):
+    """For each length the chunks of windows with one anchor: the text, the first window's start, the windows, the anchor's hash, the chunk's own."""
     hashes = gram_hashes(data, gram)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(hashes), dtype=np.uint64))
-    low = sliding_min(key, length - gram + 1)
-    inside = np.zeros(len(low) + 1, np.int8)
-    filled = windows > 0
-    inside[offsets[:-1][filled]] += 1
-    inside[(offsets[:-1] + windows)[filled]] -= 1
-    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
-    new = inside.copy()
-    new[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
-    new[offsets[:-1][filled]] = True  # texts that follow each other can't share an anchor, whose gram would lie in both
-    start = np.flatnonzero(new)
-    doc = np.searchsorted(offsets, start, "right") - 1
-    last = np.r_[start[1:], len(low)]
-    count = np.minimum(last, offsets[doc] + windows[doc]) - start
-    size = count + length - 1
-    place = (np.uint64(0xFFFFFFFF) - (low[start] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    up, down = power_tables(len(hashes))
-    with np.errstate(over="ignore"):
+    if own_hash:
+        up, down = power_tables(len(hashes))
         total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        own = mix((total[start + size - gram + 1] - total[start]) * down[start] + size.astype(np.uint64))
-    return doc, start, count, mix(hashes[place], length), own
+        with np.errstate(over="ignore"):
+            np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    for length, low in zip(lengths, lowest(key, [length - gram + 1 for length in lengths])):
+        windows = np.maximum(np.diff(offsets) - length + 1, 0)
+        filled = windows > 0
+        first, after = offsets[:-1][filled], (offsets[:-1] + windows)[filled]
+        inside = np.zeros(len(low) + 1, np.int8)
+        inside[first] += 1
+        inside[after] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        new = inside.copy()
+        new[1:] &= low[1:] != low[:-1]
+        new[first] = True
+        start = np.flatnonzero(new)
+        doc = np.searchsorted(offsets, start, "right") - 1
+        count = np.minimum(np.r_[start[1:], len(low)], (offsets[:-1] + windows)[doc]) - start
+        place = (np.uint64(0xFFFFFFFF) - (low[start] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+        own = np.zeros(0, np.uint64)
+        if own_hash:
+            size = count + length - 1
+            with np.errstate(over="ignore"):
+                own = mix((total[start + size - gram + 1] - total[start]) * down[start] + size.astype(np.uint64))
+        yield doc, start, count, mix(hashes[place], length), own
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -231,8 +244,7 @@ def _anchored(lengths: tuple[int, ...], hashes_only: bool):
         for batch in batches:
             for piece in pieces(batch, limit=PIECE_BYTES):
                 data, offsets = text_bytes(piece.column("text"))
-                for length in lengths:
-                    doc, start, count, h, own = anchors(data, offsets, length)
+                for length, (doc, start, count, h, own) in zip(lengths, anchors(data, offsets, lengths, own_hash=not hashes_only)):
                     if hashes_only:
                         yield rows(_HASHES, [h.view(np.int64)])
                         continue
@@ -311,7 +323,7 @@ def repeats(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,), block_bytes:
     often = durable(own.select("text").mapInArrow(_anchored(lengths, True), "ah long").groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))  # apart, so that a hot anchor's side of the join can be split
     live = durable(own.mapInArrow(_anchored(lengths, False), _ANCHORS_DDL).join(often, "ah"))
     chunks = durable(live.groupBy("ah", "ch").agg((F.count("*") > 1).alias("copied"), F.min(F.struct("rid", "sid", "start", "length", "count")).alias("rep")))
-    mixed = chunks.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    mixed = chunks.groupBy("ah").agg(F.count("*").alias("n"), F.every("copied").alias("settled")).filter("n > 1 AND NOT settled").select("ah")
     need = chunks.join(mixed, "ah").select("rep.rid", "rep.sid", F.struct("ah", "ch", "copied", "rep.start", "rep.length", "rep.count").alias("x"))
     sent = texts.join(need.groupBy("rid", "sid").agg(F.collect_list("x").alias("need")), ["rid", "sid"]).mapInArrow(_cut, _CHUNKS_DDL)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -320,24 +332,36 @@ def repeats(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,), block_bytes:
     return live.join(marks, ["ah", "ch"]).groupBy("rid", "sid").agg(F.collect_list(F.struct("length", "start", "count", "spans")).alias("found"))
 
 
-def removed_runs(found: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal removed byte runs of a document, from its chunks' repeated windows of that length."""
-    at = []
-    for x in found or []:
-        if x["length"] == length:
-            pairs = [(0, x["count"])] if x["spans"] is None else raw(x["spans"], np.int32).reshape(-1, 2).tolist()
-            at += [(x["start"] + a, x["start"] + a + n + length - 1) for a, n in pairs]
-    out: list[list[int]] = []
-    for a, z in sorted(at):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
+def removed_runs(found: pa.ListArray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal removed byte runs of documents, from their chunks' repeated windows of that length: document, first byte, byte after the last."""
+    whole = found.flatten()
+    doc = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy())
+    mine = np.flatnonzero(whole.field("length").to_numpy() == length)
+    doc, start, count, spans = doc[mine], whole.field("start").to_numpy()[mine], whole.field("count").to_numpy()[mine], whole.field("spans").take(pa.array(mine))
+    part = spans.is_valid().to_numpy(zero_copy_only=False)
+    pairs = np.frombuffer(b"".join(x.as_buffer() for x in spans.filter(spans.is_valid())), np.int32).reshape(-1, 2)
+    of = np.repeat(np.flatnonzero(part), pc.binary_length(spans).drop_null().to_numpy() // 8)
+    doc, first, n = np.r_[doc[~part], doc[of]], np.r_[start[~part], start[of] + pairs[:, 0]].astype(np.int64), np.r_[count[~part], pairs[:, 1]]
+    end = first + n + length - 1
+    order = np.lexsort((first, doc))
+    doc, first, end = doc[order], first[order], end[order]
+    if not len(doc):
+        return doc, first, end
+    base = doc * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + base)
+    lo = np.flatnonzero(np.r_[True, (first + base)[1:] > reach[:-1]])
+    return doc[lo], first[lo], np.r_[reach[lo[1:] - 1], reach[-1]] - base[lo]
+
+
+def kept_bytes(data: bytes | memoryview, spans: list[tuple[int, int]]) -> bytes:
+    return b"".join(data[a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(data)]))
 
 
-def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    return b"".join(data[a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(data)]))
+def _by_document(found: pa.ListArray, length: int) -> dict[int, list[tuple[int, int]]]:
+    out: dict[int, list] = {}
+    for d, a, z in zip(*(x.tolist() for x in removed_runs(found, length))):
+        out.setdefault(d, []).append((a, z))
+    return out
 
 
 _DIGESTS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("passage_bytes", pa.int64())])
@@ -357,17 +381,19 @@ def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTE
 
     def measured(batches):
         for batch in (piece for batch in batches for piece in pieces(batch)):
+            data, offsets = text_bytes(batch.column("text"))
+            view = memoryview(np.ascontiguousarray(data))
+            cuts, passages = (_by_document(batch.column("found"), n) for n in (length, passage))
             out = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-                data = text.encode("utf-8", "surrogatepass")
-                spans = removed_runs(found, length)
-                kept = kept_bytes(data, spans)
-                passages = [z - a for a, z in removed_runs(found, passage) if len(data[a:z].split()) > words]
-                out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(passages), sum(passages)))
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_DIGESTS), _DIGESTS)], schema=_DIGESTS)
+            for d, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                spans = cuts.get(d, [])
+                kept = kept_bytes(view[lo:hi], spans) if spans else view[lo:hi]
+                told = [z - a for a, z in passages.get(d, ()) if len(bytes(view[lo + a : lo + z]).split()) > words]
+                out.append((hi - lo, hi - lo - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(told), sum(told)))
+            yield rows(_DIGESTS, [batch.column("doc_id"), *map(list, zip(*out))])
         tidy()
 
-    joined = texts.join(repeats(texts, (passage, length), block_bytes), ["rid", "sid"], "left")
+    joined = texts.join(repeats(texts, tuple(sorted({passage, length})), block_bytes), ["rid", "sid"], "left")
     return joined.select("doc_id", "text", "found").mapInArrow(measured, _DIGESTS_DDL)
 
 
@@ -384,11 +410,13 @@ def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES
 
     def cut(batches):
         for batch in (piece for batch in batches for piece in pieces(batch)):
-            texts = [
-                kept_bytes(text.encode("utf-8", "surrogatepass"), removed_runs(found, length)).decode("utf-8", "ignore") if found else text
-                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())
-            ]
-            yield pa.record_batch([pa.array(texts, pa.string()) if k == place else batch.column(c) for k, c in enumerate(columns)], names=docs_columns)
+            texts, cuts = batch.column("text"), _by_document(batch.column("found"), length)
+            if cuts:
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(cuts)] = True
+                left = [kept_bytes(texts[d].as_py().encode("utf-8", "surrogatepass"), cuts[d]).decode("utf-8", "ignore") for d in sorted(cuts)]
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(left, texts.type))
+            yield pa.record_batch([texts if k == place else batch.column(c) for k, c in enumerate(columns)], names=docs_columns)
         tidy()
 
     docs_columns = docs.columns
