@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
@@ -222,9 +222,11 @@ def range_bits(docs: DataFrame, each: int, least: int = 3) -> int:
     return min(30, max(least, int(np.ceil(np.log2(max(1, chars / each))))))
 
 
-def edges(bits: int) -> np.ndarray:
-    """Lower ends of all hash ranges but the first."""
-    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+def by_range(hashes: np.ndarray, bits: int):
+    """The ranges that sorted hashes lie in, and where each begins and ends: no more than there are hashes."""
+    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    lo = runs(part)
+    return zip(part[lo].tolist(), lo.tolist(), [*lo[1:].tolist(), len(part)])
 
 
 def rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:

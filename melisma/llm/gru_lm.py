@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, durable, edges, joined, pack, pieces, range_bits, raw, rows, runs, text_bytes, words
+from .common import by_range, carried, durable, joined, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidy, words
 
 HEAD = 4096
 HIDDEN = 16
@@ -26,11 +26,11 @@ CLASSES = 64
 WINDOW = 24
 HOT = 1 << 18
 RATE = 0.15
-#: Gradients are taken in one of so many windows, in turn over the whole text: in all of them.
-EVERY = 1
 #: Tokens that a task reads before it sorts their texts by length, and texts that then run side by side.
 GROUP_TOKENS = 1_500_000
 SCORE_LANES, TRAIN_LANES = 1024, 192
+#: States that are held until their outputs are taken together.
+HELD = 1 << 14
 FLUSH = 1 << 20
 RANGE_CHARS = 48 << 20
 BLOCKS = 32
@@ -113,49 +113,67 @@ class Network:
             p[...] = values[: p.size].reshape(p.shape)
             values = values[p.size :]
 
-    def step(self, ids: np.ndarray, h: np.ndarray):
+    def halves(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the gates (halved) and of the candidate for each id."""
         a = self.x[ids]
-        gates = 0.5 * np.tanh(0.5 * (a[:, : 2 * HIDDEN] + h @ self.u)) + 0.5
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        rh = r * h
-        new = np.tanh(a[:, 2 * HIDDEN :] + rh @ self.c)
-        return h + z * (new - h), z, r, rh, new
+        a[:, : 2 * HIDDEN] *= np.float32(0.5)
+        return a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]
+
+    def step(self, gates: np.ndarray, cand: np.ndarray, h: np.ndarray, half_u: np.ndarray):
+        """The next states from inputs of halves(); half_u is u / 2, as the gates are (1 + tanh) / 2."""
+        zr = h @ half_u
+        zr += gates
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= np.float32(0.5)
+        rh = zr[:, HIDDEN:] * h
+        new = rh @ self.c
+        new += cand
+        np.tanh(new, out=new)
+        return h + zr[:, :HIDDEN] * (new - h), zr, rh, new
 
     def outputs(self, h: np.ndarray, targets: np.ndarray, train: bool = False):
         """log probabilities of the targets; in training also the gradients with respect to h and the output parameters."""
-        klass = self.klass[targets]
-        scores = h @ self.class_w + self.class_b
-        np.minimum(scores, TOP, out=scores)
-        e = np.exp(scores)
+        order = np.argsort(self.klass[targets], kind="stable")
+        h, targets = h[order], targets[order]
+        klass, at = self.klass[targets], np.arange(len(h))
+        e = h @ self.class_w
+        e += self.class_b
+        np.minimum(e, TOP, out=e)
+        picked = e[at, klass]
+        np.exp(e, out=e)
         total = e.sum(1, keepdims=True)
-        at = np.arange(len(h))
-        logp = scores[at, klass] - np.log(total[:, 0])
+        logp = picked - np.log(total[:, 0])
         if train:
             e /= total
             e[at, klass] -= 1
             back = e @ self.class_w.T
-            grads = {"class_w": h.T @ e, "class_b": e.sum(0)}
-            word_grads = []
-        order = np.argsort(klass, kind="stable")
-        cut = np.searchsorted(klass[order], np.arange(len(self.starts)))
-        for k in range(len(self.starts) - 1):
-            own = order[cut[k] : cut[k + 1]]
-            a, z = self.starts[k], self.starts[k + 1]
-            if not len(own) or z - a == 1:
+            grads = {"class_w": h.T @ e, "class_b": e.sum(0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b)}
+        cut = np.searchsorted(klass, np.arange(len(self.starts)))
+        for lo, hi, a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), self.starts[:-1].tolist(), self.starts[1:].tolist()):
+            if lo == hi or z - a == 1:
                 continue
-            hk = h[own]
-            s = hk @ self.word_w[a:z].T + self.word_b[a:z]
-            np.minimum(s, TOP, out=s)
-            e = np.exp(s)
+            e = h[lo:hi] @ self.word_w[a:z].T
+            e += self.word_b[a:z]
+            np.minimum(e, TOP, out=e)
+            near, t = at[: hi - lo], targets[lo:hi] - a
+            logp[lo:hi] += e[near, t]
+            np.exp(e, out=e)
             total = e.sum(1, keepdims=True)
-            at, t = np.arange(len(own)), targets[own] - a
-            logp[own] += s[at, t] - np.log(total[:, 0])
+            logp[lo:hi] -= np.log(total[:, 0])
             if train:
                 e /= total
-                e[at, t] -= 1
-                back[own] += e @ self.word_w[a:z]
-                word_grads.append((a, z, e.T @ hk, e.sum(0)))
-        return (logp, back, grads, word_grads) if train else logp
+                e[near, t] -= 1
+                back[lo:hi] += e @ self.word_w[a:z]
+                np.matmul(e.T, h[lo:hi], out=grads["word_w"][a:z])
+                np.sum(e, 0, out=grads["word_b"][a:z])
+        out = np.empty_like(logp)
+        out[order] = logp
+        if not train:
+            return out
+        ordered = np.empty_like(back)
+        ordered[order] = back
+        return out, ordered, grads
 
 
 def packed(lo: np.ndarray, lanes: int):
@@ -168,26 +186,36 @@ def packed(lo: np.ndarray, lanes: int):
         yield own, lo[:-1][own], len(own) - np.searchsorted(size[::-1], np.arange(size[0]), "right")
 
 
+def side_by_side(ids: np.ndarray, first: np.ndarray, active: np.ndarray, begin: int, end: int, start: int):
+    """For times begin to end of texts side by side: where each time's rows start, and each row's lane, input (start at time 0) and target."""
+    n = active[begin:end]
+    cut = np.r_[0, np.cumsum(n)]
+    lane = np.arange(cut[-1]) - np.repeat(cut[:-1], n)
+    at = first[lane] + np.repeat(np.arange(begin, end), n)
+    prior = ids[np.maximum(at - 1, 0)]
+    if begin == 0:
+        prior[: n[0]] = start
+    return cut.tolist(), lane, prior, ids[at]
+
+
 def score(net: Network, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """log10 probability of each text ids[lo[i]:lo[i+1]]; every text is read from an empty state after the end of another."""
     out = np.zeros(len(lo) - 1)
+    half_u = net.u * np.float32(0.5)
     for own, first, active in packed(lo, SCORE_LANES):
         total = np.zeros(len(own))
         h = np.zeros((len(own), HIDDEN), np.float32)
-        before = np.full(len(own), net.end)
-        states, targets, lanes, held = [], [], [], 0
-        for t, n in enumerate(active):
-            h = net.step(before[:n], h[:n])[0]
-            before = ids[first[:n] + t]
-            states.append(h)
-            targets.append(before)
-            lanes.append(n)
-            held += n
-            if held > 1 << 14 or t == len(active) - 1:
-                logp = net.outputs(np.concatenate(states), np.concatenate(targets))
-                lane = np.concatenate([np.arange(n) for n in lanes])
-                total += np.bincount(lane, logp.astype(np.float64), len(own))
-                states, targets, lanes, held = [], [], [], 0
+        begin = 0
+        while begin < len(active):
+            end = min(len(active), begin + max(1, HELD // int(active[begin])))
+            cut, lane, prior, targets = side_by_side(ids, first, active, begin, end, net.end)
+            gates, cand = net.halves(prior)
+            states = np.empty((cut[-1], HIDDEN), np.float32)
+            for a, z in zip(cut[:-1], cut[1:]):
+                h = net.step(gates[a:z], cand[a:z], h[: z - a], half_u)[0]
+                states[a:z] = h
+            total += np.bincount(lane, net.outputs(states, targets).astype(np.float64), len(own))
+            begin = end
         out[own] = total / np.log(10)
     return out
 
@@ -196,7 +224,7 @@ class Trainer:
     """Adagrad over windows of texts side by side."""
 
     def __init__(self, net: Network, rate: float = RATE):
-        self.net, self.rate, self.tokens, self.turn = net, rate, 0, 0
+        self.net, self.rate, self.tokens = net, rate, 0
         self.seen = {name: np.full(getattr(net, name).shape, 1e-7, np.float32) for name in net.NAMES}
 
     def move(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
@@ -205,57 +233,52 @@ class Trainer:
         getattr(self.net, name)[at] -= self.rate * grad / np.sqrt(seen[at])
 
     def texts(self, ids: np.ndarray, lo: np.ndarray) -> None:
-        """One pass over whole texts: backpropagation within windows, the state carried on from one to the next."""
+        """One pass over whole texts: backpropagation within windows, all of them, the state carried on from one to the next."""
         for _, first, active in packed(lo, TRAIN_LANES):
-            self.side_by_side(ids, first, active)
-
-    def side_by_side(self, ids: np.ndarray, first: np.ndarray, active: np.ndarray) -> None:
-        net = self.net
-        h = np.zeros((len(first), HIDDEN), np.float32)
-        before = np.full(len(first), net.end)
-        self.turn += 1
-        for number, begin in enumerate(range(0, len(active), WINDOW), self.turn):
-            kept = []
-            for t in range(begin, min(begin + WINDOW, len(active))):
-                n = active[t]
-                h = h[:n]
-                new, z, r, rh, cand = net.step(before[:n], h)
-                if number % EVERY == 0 or len(active) <= WINDOW:
-                    kept.append((before[:n], h, z, r, rh, cand, new))
-                h, before = new, ids[first[:n] + t]
-            if not kept:
-                self.tokens += int(active[begin : begin + WINDOW].sum())
-                continue
-            targets = np.concatenate([ids[first[: active[t]] + t] for t in range(begin, begin + len(kept))])
-            _, back, grads, word_grads = net.outputs(np.concatenate([k[-1] for k in kept]), targets, train=True)
-            scale = np.float32(1 / max(len(targets), 256))
-            gate, du, dc, inputs = [], np.zeros_like(net.u), np.zeros_like(net.c), []
-            carry, end = np.zeros((0, HIDDEN), np.float32), len(back)
-            for prior, h0, z, r, rh, cand, _ in reversed(kept):
-                n = len(prior)
-                dh = back[end - n : end]
-                dh[: len(carry)] += carry
-                end -= n
-                dn = dh * z * (1 - cand * cand)
-                drh = dn @ net.c.T
-                dzr = np.concatenate([dh * (cand - h0) * z * (1 - z), drh * h0 * r * (1 - r)], 1)
-                carry = dh * (1 - z) + drh * r + dzr @ net.u.T
-                du += h0.T @ dzr
-                dc += rh.T @ dn
-                gate.append(np.concatenate([dzr, dn], 1))
-                inputs.append(prior)
-            inputs, gate = np.concatenate(inputs), np.concatenate(gate)
-            by = np.argsort(inputs, kind="stable")
-            at = runs(inputs[by])
-            self.move("x", np.add.reduceat(gate[by], at) * scale, inputs[by][at])
-            self.move("u", du * scale)
-            self.move("c", dc * scale)
-            for name, grad in grads.items():
-                self.move(name, grad * scale)
-            for a, z, dw, db in word_grads:
-                self.move("word_w", dw * scale, slice(a, z))
-                self.move("word_b", db * scale, slice(a, z))
-            self.tokens += len(targets)
+            h = np.zeros((len(first), HIDDEN), np.float32)
+            for begin in range(0, len(active), WINDOW):
+                h = self.window(h, *side_by_side(ids, first, active, begin, min(begin + WINDOW, len(active)), self.net.end))
+
+    def window(self, h: np.ndarray, cut: list[int], lane: np.ndarray, prior: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Forward and back through one window from the states h; gives the states after it."""
+        net, size = self.net, len(targets)
+        gates, cand = net.halves(prior)
+        half_u = net.u * np.float32(0.5)
+        before, zr, rh, new, after = (np.empty((size, k * HIDDEN), np.float32) for k in (1, 2, 1, 1, 1))
+        for a, z in zip(cut[:-1], cut[1:]):
+            before[a:z] = h[: z - a]
+            h, zr[a:z], rh[a:z], new[a:z] = net.step(gates[a:z], cand[a:z], h[: z - a], half_u)
+            after[a:z] = h
+        _, back, grads = net.outputs(after, targets, train=True)
+        # what a state's gradient is multiplied by on its way to the gates' and the candidate's inputs, for all times together
+        update, reset = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        to_update = (new - before) * update * (1 - update)
+        to_new = update * (1 - new * new)
+        to_reset = before * reset * (1 - reset)
+        gate = np.empty((size, 3 * HIDDEN), np.float32)
+        carry = np.zeros((0, HIDDEN), np.float32)
+        back_c, back_u = np.ascontiguousarray(net.c.T), np.ascontiguousarray(net.u.T)
+        for a, z in zip(cut[-2::-1], cut[:0:-1]):
+            dh = back[a:z]
+            dh[: len(carry)] += carry
+            own = gate[a:z]
+            np.multiply(dh, to_new[a:z], out=own[:, 2 * HIDDEN :])
+            through = own[:, 2 * HIDDEN :] @ back_c
+            np.multiply(dh, to_update[a:z], out=own[:, :HIDDEN])
+            np.multiply(through, to_reset[a:z], out=own[:, HIDDEN : 2 * HIDDEN])
+            carry = own[:, : 2 * HIDDEN] @ back_u
+            carry += dh * (1 - update[a:z])
+            carry += through * reset[a:z]
+        scale = np.float32(1 / max(size, 256))
+        by = np.argsort(prior, kind="stable")
+        at = runs(prior[by])
+        self.move("x", np.add.reduceat(gate[by], at) * scale, prior[by][at])
+        self.move("u", before.T @ gate[:, : 2 * HIDDEN] * scale)
+        self.move("c", rh.T @ gate[:, 2 * HIDDEN :] * scale)
+        for name, grad in grads.items():
+            self.move(name, grad * scale)
+        self.tokens += size
+        return h
 
 
 def read_texts(column: pa.Array, vocabulary: Vocabulary):
@@ -294,10 +317,8 @@ def count_words(docs: DataFrame, bits: int) -> DataFrame:
 
     def emit(held: list):
         hashes, counts = summed(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
-        cut = np.r_[0, np.searchsorted(hashes, edges(bits)), len(hashes)]
-        for part, (a, z) in enumerate(zip(cut[:-1], cut[1:])):
-            if z > a:
-                yield rows(_COUNTS, [[part], [pack(hashes[a:z])], [pack(counts[a:z])]])
+        for part, a, z in by_range(hashes, bits):
+            yield rows(_COUNTS, [[part], [pack(hashes[a:z])], [pack(counts[a:z])]])
 
     def counted(batches):
         held: list = []
@@ -380,6 +401,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
         if trainer.tokens:
             for block, part in enumerate(np.array_split(trainer.net.flat(), BLOCKS)):
                 yield rows(_PARAMS, [[block], [trainer.tokens], [part.tobytes()]])
+        tidy()
 
     def averaged(batches):
         totals: dict = {}
@@ -448,14 +470,13 @@ def scores(docs: DataFrame, train_rows: Column | None = None) -> DataFrame:
             rare, rare_text = hashes[~is_hot], text[~is_hot]
             order = np.argsort(rare)
             rare, rare_text = rare[order], rare_text[order].astype(np.uint32)
-            cut = np.r_[0, np.searchsorted(rare, edges(bits)), len(rare)]
-            for k, (a, z) in enumerate(zip(cut[:-1], cut[1:])):
-                if z > a:
-                    near, place = np.unique(rare_text[a:z], return_inverse=True)
-                    place = place.astype(np.uint16 if len(near) <= 1 << 16 else np.uint32)
-                    for name, value in zip(out, (k, pack(rare[a:z]), pack(place), rids[near].tobytes(), None)):
-                        out[name].append(value)
+            for k, a, z in by_range(rare, bits):
+                near, place = np.unique(rare_text[a:z], return_inverse=True)
+                place = place.astype(np.uint16 if len(near) <= 1 << 16 else np.uint32)
+                for name, value in zip(out, (k, pack(rare[a:z]), pack(place), rids[near].tobytes(), None)):
+                    out[name].append(value)
             yield rows(_LOOKUP, list(out.values()))
+        tidy()
 
     def resolved(lookups: pa.Table, table: pa.Table) -> pa.Table:
         """Counts of one range's words, summed for each text and sent on by text."""

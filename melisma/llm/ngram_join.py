@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidy, unpack, unused, without, words
+from .common import by_range, distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidy, unpack, unused, without, words
 from .graph import merge
 
 WORDS = 5
 PERCENT = 75
 #: Postings that a task holds before it sends them on, and characters of text whose postings meet in one range.
-FLUSH = 4 << 20
-RANGE_CHARS = 24 << 20
+FLUSH = 2 << 20
+RANGE_CHARS = 12 << 20
 #: Bits of the parity bitmap that bounds the overlap of two sets before their tokens are fetched.
 BITMAP = 512
 #: Cheap rounds against one representative go on until at most this many unlinked pairs are left for each posting.
@@ -84,13 +84,6 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
 
 
-def _by_range(hashes: np.ndarray, bits: int):
-    """The ranges that sorted hashes lie in, and where each begins and ends: no more than there are hashes."""
-    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    lo = runs(part)
-    return zip(part[lo].tolist(), lo.tolist(), [*lo[1:].tolist(), len(part)])
-
-
 def _postings(bits: int, n: int):
     """Each distinct set's tokens, sorted and cut into hash ranges; sets that a task meets again are left out."""
 
@@ -101,7 +94,7 @@ def _postings(bits: int, n: int):
         own = np.repeat(np.arange(len(sigs), dtype=np.int32), sizes)
         order = np.argsort(tokens)
         tokens, own = tokens[order], own[order]
-        for part, a, z in _by_range(tokens, bits):
+        for part, a, z in by_range(tokens, bits):
             here = np.zeros(len(sigs), bool)
             here[own[a:z]] = True
             near = np.flatnonzero(here)
@@ -153,7 +146,7 @@ def _shared(bits: int):
         tokens, sigs, sizes, df = (x[df > 1] for x in (tokens, sigs, sizes, df))
         out = []
         order = np.argsort(sigs.view(np.uint64) >> np.uint64(64 - bits), kind="stable")
-        for k, a, z in _by_range(sigs.view(np.uint64)[order], bits):
+        for k, a, z in by_range(sigs.view(np.uint64)[order], bits):
             at = order[a:z]
             out.append((k, sigs[at].tobytes(), sizes[at].tobytes(), pack(tokens[at]), pack(df[at])))
         tidy()

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,25 @@ def test_network_is_a_distribution():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def by_hand(net, ids):
+    """log probability of one text, a token after the other, from the equations of the network."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    softmax = lambda v: v - np.log(np.exp(v).sum())
+    n = gru_lm.HIDDEN
+    h, before, total = np.zeros(n), net.end, 0.0
+    for t in ids.tolist():
+        x = net.x[before].astype(float)
+        z, r = sigmoid(x[:n] + h @ net.u[:, :n]), sigmoid(x[n : 2 * n] + h @ net.u[:, n:])
+        h = (1 - z) * h + z * np.tanh(x[2 * n :] + (r * h) @ net.c)
+        k = int(net.klass[t])
+        total += softmax(h @ net.class_w + net.class_b)[k]
+        if k < len(net.starts) - 1:
+            a, b = net.starts[k], net.starts[k + 1]
+            total += softmax(net.word_w[a:b] @ h + net.word_b[a:b])[t - a]
+        before = t
+    return total
+
+
 def test_state_is_carried_through_windows():
     """Scores of texts side by side equal those of each alone, step by step."""
     _, net = small_network()
@@ -364,19 +384,33 @@ def test_state_is_carried_through_windows():
     lengths = [1, 70, 3, 200]
     lo = np.r_[0, np.cumsum(lengths)]
     ids = rng.integers(0, net.tail + 1, lo[-1]).astype(np.int32)
-    want = []
-    for a, z in zip(lo[:-1], lo[1:]):
-        h, before, total = np.zeros((1, gru_lm.HIDDEN), np.float32), np.array([net.end]), 0.0
-        for t in ids[a:z]:
-            h = net.step(before, h)[0]
-            before = np.array([t])
-            total += float(net.outputs(h, before)[0])
-        want.append(total / math.log(10))
+    want = [by_hand(net, ids[a:z]) / math.log(10) for a, z in zip(lo[:-1], lo[1:])]
     assert np.allclose(gru_lm.score(net, ids, lo), want, rtol=1e-4)
 
 
-def test_gradients_agree_with_differences(monkeypatch):
-    monkeypatch.setattr(gru_lm, "EVERY", 1)
+def test_scores_of_a_corpus_from_its_network(spark, docs, rows, monkeypatch):
+    """score: the network's log probability, and for words without an output their add-one share of the tail class."""
+    monkeypatch.setattr(gru_lm, "HEAD", 50)
+    fitted = []
+    train = gru_lm.train
+    monkeypatch.setattr(gru_lm, "train", lambda d, v: fitted.append((v, train(d, v))) or fitted[0][1])
+    got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in gru_lm.scores(docs).collect()}
+    vocabulary, net = fitted[0]
+    taught = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2]
+    count = collections.Counter(w for r in taught for w in [*words(r[1]), None])
+    n, v = sum(count.values()), len(count)
+    numbers = {w: i for w in count if w is not None for i in [int(vocabulary.output[np.searchsorted(vocabulary.hashes, gru_lm.words(*gru_lm.text_bytes(pa.array([w])))[3])][0])]} | {None: net.end}
+    tail = (n - sum(c for w, c in count.items() if numbers[w] < net.tail)) + (v - net.tail) + 1
+    assert net.tail == 50 and tail > 100
+    for r in rows:
+        toks = [*words(r[1]), None]
+        ids = np.array([numbers.get(w, net.tail) for w in toks])
+        want = by_hand(net, ids) / math.log(10) + sum(math.log10((count[w] + 1) / tail) for w, i in zip(toks, ids) if i == net.tail)
+        key = r[0], len(toks), round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in toks), 6)
+        assert math.isclose(got[key], want, rel_tol=1e-3), key
+
+
+def test_gradients_agree_with_differences():
     vocabulary, net = small_network()
     rng = np.random.default_rng(4)
     lo = np.array([0, 12, 20])
