@@ -1,8 +1,14 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, block-max pruning, and an overlap check."""
+"""Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, and an overlap check.
 
+A term's impact on an item is its share of the score that the item's own text has. Every passage of the documents is a query. The
+passages of a batch first add up the impacts of items' rare terms together: an item of whose score all other terms make too
+little to pass alone needs some of these. Where the sum and those others leave any item a chance, the passage's posting lists are
+gone through by block-max WAND.
+"""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,21 +24,16 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Shares of the question's and of the answer's word n-grams that a passage must hold.
 QUESTION, ANSWER, GRAM = 0.5, 0.5, 5
-BLOCK = 32
+#: Postings in a block with a maximum of its own.
+BLOCK = 8
+#: An item's frequent terms, as long as they make this share of the threshold together, don't bring the item up by themselves.
+FREQUENT = 0.5
 #: Items in one index; a larger benchmark is taken in several passes over the documents.
 MAX_ITEMS = 4096
 #: Words of a passage at least; it holds twice the longest item, so that a copy lies within one passage wherever it starts.
 PASSAGE = 64
 
 
-@dataclass
-class Block:
-    """Postings of BLOCK items: its terms in ascending order, and each one's impact on each item, as a share of the item's own score."""
-
-    terms: np.ndarray
-    impacts: np.ndarray
-
-
 @dataclass
 class Whole:
     """What the scores of a part of a benchmark take from all of its items."""
@@ -47,9 +48,11 @@ class Whole:
 @dataclass
 class Index:
     terms: np.ndarray  # sorted hashes of all terms
-    most: np.ndarray  # a term's largest impact on any item
-    block_most: np.ndarray  # and within each block
-    blocks: list[Block]
+    lists: list[tuple]  # of each term: items in ascending order, impacts, the largest impact, each block's last item and largest impact
+    rare_lo: np.ndarray  # where each term's rare postings start
+    rare_items: np.ndarray
+    rare_impacts: np.ndarray
+    rest: np.ndarray  # of each item: the sum of the impacts that are no rare postings
     item_ids: list
     parts: list[tuple[int, np.ndarray, np.ndarray]]  # gram size, grams of question and answer
     passage: int
@@ -77,8 +80,8 @@ def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
-def build(items: list[tuple], k1: float = K1, b: float = B, whole: Whole | None = None) -> Index:
-    """Index of (item_id, text) rows, all or a part of them. Null and wordless texts match nothing and are left out."""
+def build(items: list[tuple], k1: float = K1, b: float = B, whole: Whole | None = None, threshold: float = THRESHOLD) -> Index:
+    """Index of (item_id, text) rows, all or a part of them, for one threshold. Null and wordless texts match nothing and are left out."""
     items = [(i, t) for i, t in items if t and len(hashed([t])[0])]
     h, at = hashed([t for _, t in items])
     lengths = np.diff(at)
@@ -94,84 +97,120 @@ def build(items: list[tuple], k1: float = K1, b: float = B, whole: Whole | None
     norm = k1 * (1 - b + b * lengths / max(1.0, whole.mean))
     impact = idf[term] * tf * (k1 + 1) / (tf + norm[item])
     impact = impact / np.bincount(item, impact, len(items))[item]
-    n_blocks = -(-len(items) // BLOCK)
-    block_most = np.zeros((len(terms), n_blocks), np.float32)
-    np.maximum.at(block_most, (term, item // BLOCK), impact)
-    blocks = []
-    for k in range(n_blocks):
-        own = item // BLOCK == k
-        near, place = np.unique(term[own], return_inverse=True)
-        table = np.zeros((len(near), min(BLOCK, len(items) - k * BLOCK)))
-        table[place, item[own] - k * BLOCK] = impact[own]
-        blocks.append(Block(near, table))
+    # an item's terms from the most frequent on, as long as their sum is small, are not rare
+    order = np.lexsort((term, -df[term], item))
+    before = np.cumsum(impact[order]) - impact[order]
+    within = before - before[runs(item[order])][item[order]] + impact[order] if len(items) else before
+    rare = np.ones(len(item), bool)
+    rare[order[within <= FREQUENT * threshold]] = False
+    rest = np.bincount(item[~rare], impact[~rare], len(items))
+    order = np.lexsort((item, term))
+    item, term, impact, rare = item[order], term[order], impact[order], rare[order]
+    cut = np.searchsorted(term, np.arange(len(terms) + 1)).tolist()
+    lists = []
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        blocks = [(lo + k, min(hi, lo + k + BLOCK)) for k in range(0, hi - lo, BLOCK)]
+        lists.append((item[lo:hi].tolist(), impact[lo:hi].tolist(), float(impact[lo:hi].max()), [int(item[z - 1]) for _, z in blocks], [float(impact[a:z].max()) for a, z in blocks]))
     parts = []
     for _, text in items:
         q, a = (hashed([x])[0] for x in split_item(text))
         n = max(1, min(GRAM, len(q) or GRAM, len(a) or GRAM))
         parts.append((n, *(np.unique(grams(x, np.array([0, len(x)]), n)[0]) for x in (q, a))))
     passage = max(PASSAGE, 2 * whole.longest)
-    return Index(terms, block_most.max(1) if n_blocks else np.zeros(0), block_most, blocks, [i for i, _ in items], parts, passage)
+    return Index(terms, lists, np.searchsorted(term[rare], np.arange(len(terms) + 1)), item[rare], impact[rare], rest, [i for i, _ in items], parts, passage)
+
+
+def wand(lists: list[tuple], threshold: float) -> list[tuple[int, float]]:
+    """Items and their scores of at least the threshold, from a query's posting lists.
+
+    Each list has a cursor. In the order of the cursors' items, the list whose largest impact brings the sum of these to the
+    threshold gives the pivot: no item before it can pass. If the blocks that the cursors' lists have there can't bring the pivot
+    to the threshold, neither can any item up to the nearest of their ends, and the cursors skip all of them; else they go up to
+    the pivot, which is scored once all stand there.
+    """
+    out = []
+    heads = sorted((own[0][0], k, 0) for k, own in enumerate(lists))
+    while heads:
+        bound, upto = 0.0, 0
+        for upto, (_, k, _) in enumerate(heads, 1):
+            bound += lists[k][2]
+            if bound >= threshold:
+                break
+        else:
+            return out
+        pivot = heads[upto - 1][0]
+        while upto < len(heads) and heads[upto][0] == pivot:
+            upto += 1
+        bound, nearest = 0.0, pivot
+        ends = []
+        for _, k, _ in heads[:upto]:
+            _, _, _, last, most = lists[k]
+            block = bisect_left(last, pivot)
+            if block < len(last):
+                bound += most[block]
+                ends.append(last[block])
+        if bound < threshold:
+            nearest = min(ends) + 1 if ends else pivot + 1
+            if upto < len(heads):
+                nearest = min(nearest, heads[upto][0])
+        elif heads[0][0] == pivot:
+            total = sum(lists[k][1][at] for _, k, at in heads[:upto])
+            if total >= threshold:
+                out.append((pivot, total))
+            nearest = pivot + 1
+        moved = []
+        for item, k, at in heads[:upto]:
+            if item < nearest:
+                at = bisect_left(lists[k][0], nearest, at)
+                if at == len(lists[k][0]):
+                    continue
+                item = lists[k][0][at]
+            moved.append((item, k, at))
+        heads = sorted(moved + heads[upto:])
+    return out
 
 
 def search(index: Index, h: np.ndarray, doc_words: np.ndarray, threshold: float = THRESHOLD):
     """Every (document, first word, word after the last, item, score) of passages with at least the threshold.
 
-    Passages are windows of index.passage words, each starting half a window after the one before. As in block-max WAND, a
-    passage is left as soon as a bound is under the threshold: first the sum of its terms' largest impacts, then the same within
-    each block of items; only blocks that remain are scored. All passages of a batch go through each bound together.
+    Passages are windows of index.passage words, each starting half a window after the one before; a last half window belongs to the
+    one before. A passage's query is its set of terms.
     """
     out = []
     if not len(index.terms) or not len(h):
         return out
-    half = index.passage // 2
-    count = np.diff(doc_words)
-    halves = -(-count // half)
+    half, n_items = index.passage // 2, len(index.item_ids)
+    halves = -(-np.diff(doc_words) // half)
     first = np.cumsum(halves) - halves
     term = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
     at = np.flatnonzero(index.terms[term] == h)
     term = term[at]
     doc = np.searchsorted(doc_words, at, "right") - 1
-    cell = first[doc] + (at - doc_words[doc]) // half
-    total = int(halves.sum())
-    bound = np.bincount(cell, index.most[term], total)
-    opens = np.ones(total, bool)
-    opens[(first + halves - 1)[halves > 1]] = False  # a last half window belongs to the one before
-    joint = bound.copy()
-    joint[:-1] += np.where(np.isin(np.arange(1, total), first[halves > 0]), 0, bound[1:])
-    slack = 1e-4  # the bounds are single precision
-    chosen = np.flatnonzero(opens & (joint >= threshold - slack))
-    if not len(chosen):
+    cell = (at - doc_words[doc]) // half
+    alone = halves[doc] == 1
+    # a word counts for the passage that starts with its half window, and for the one that ends with it
+    opens, ends = alone | (cell < halves[doc] - 1), cell > 0
+    passage = np.r_[(first[doc] + cell)[opens], (first[doc] + cell - 1)[ends]]
+    key = distinct(passage * len(index.terms) + np.r_[term[opens], term[ends]])
+    passage, term = key // len(index.terms), key % len(index.terms)
+    # rare postings, added up for each passage and item
+    n = np.diff(index.rare_lo)[term]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.rare_lo[term], n)
+    pair = np.repeat(passage, n) * n_items + index.rare_items[at]
+    order = np.argsort(pair, kind="stable")
+    lo = runs(pair[order])
+    if not len(lo):
         return out
-    # distinct terms of the chosen passages
-    where = np.full(total + 1, -1)
-    where[chosen] = np.arange(len(chosen))
-    early = np.flatnonzero(where[cell] >= 0)
-    prior = np.where(cell > first[doc], cell - 1, total)
-    late = np.flatnonzero(where[prior] >= 0)
-    key = distinct(np.r_[where[cell[early]], where[prior[late]]].astype(np.int64) * len(index.terms) + np.r_[term[early], term[late]])
-    own, term = key // len(index.terms), key % len(index.terms)
-    lo = runs(own)
-    which = own[lo]
-    near = np.add.reduceat(index.block_most[term], lo, axis=0) >= threshold - slack
-    owner = np.searchsorted(first[halves > 0], chosen, "right") - 1
-    owner = np.flatnonzero(halves > 0)[owner]
-    for k, block in enumerate(index.blocks):
-        left = np.flatnonzero(near[:, k])
-        if not len(left):
-            continue
-        keep = np.isin(own, which[left])
-        t, o = term[keep], own[keep]
-        place = np.minimum(np.searchsorted(block.terms, t), len(block.terms) - 1)
-        hit = block.terms[place] == t
-        o = o[hit]
-        if not len(o):
-            continue
-        at = runs(o)  # terms stand in the order of their passages
-        score = np.add.reduceat(block.impacts[place[hit]], at, axis=0)
-        for w, i in zip(*np.nonzero(score >= threshold - 1e-9)):
-            c, d = chosen[o[at[w]]], owner[o[at[w]]]
-            start = doc_words[d] + (c - first[d]) * half
-            out.append((int(d), int(start), int(min(start + 2 * half, doc_words[d + 1])), k * BLOCK + int(i), float(score[w, i])))
+    pair, total = pair[order[lo]], np.add.reduceat(index.rare_impacts[at[order]], lo)
+    slack = 1e-9
+    open_ = distinct(pair[total + index.rest[pair % n_items] >= threshold - slack] // n_items)
+    starts, stops = np.searchsorted(passage, open_), np.searchsorted(passage, open_, "right")
+    filled = np.flatnonzero(halves)
+    of = filled[np.searchsorted(first[filled], open_, "right") - 1]
+    for p, d, a, z in zip(open_.tolist(), of.tolist(), starts.tolist(), stops.tolist()):
+        found = wand([index.lists[t] for t in term[a:z].tolist()], threshold - slack)
+        begin = int(doc_words[d] + (p - first[d]) * half)
+        out += [(d, begin, int(min(begin + 2 * half, doc_words[d + 1])), item, total) for item, total in found]
     return out
 
 
@@ -238,7 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
     found = None
     owns = [items] if shards == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) for k in range(shards)]
     for own, whole in zip(owns, [None] if shards == 1 else _wholes(items, owns)):
-        index = build([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], whole=whole)
+        index = build([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], whole=whole, threshold=threshold)
         part = texts.mapInArrow(_leaks(index, threshold, question, answer), _HITS_DDL)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")), F.count("*").alias("n_passages"))
