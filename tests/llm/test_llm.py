@@ -6,6 +6,7 @@ import html as htmllib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -498,27 +499,53 @@ def test_scores_do_not_depend_on_the_number_of_shards(spark):
     assert whole == split and whole
 
 
-def test_pruned_search_finds_all_above_the_threshold():
+def bm25_by_hand(items, query):
+    """Each item's score for a set of words, as a share of the score for its own words."""
+    texts = [t.split() for _, t in items]
+    mean = sum(map(len, texts)) / len(texts)
+    df = collections.Counter(w for t in texts for w in set(t))
+    idf = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+
+    def total(t, asked):
+        tf = collections.Counter(t)
+        return sum(idf[w] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(t) & asked)
+
+    return [total(t, query) / total(t, set(t)) for t in texts]
+
+
+@pytest.mark.parametrize("skew", [0, 3])
+def test_search_finds_all_above_the_threshold(skew):
     rng = random.Random(6)
-    vocabulary = [f"t{i}" for i in range(80)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 30)))) for i in range(90)]
+    vocabulary = [f"t{i}" for i in range(120)]
+    draw = lambda n: " ".join(vocabulary[int(120 * rng.random() ** (1 + skew))] for _ in range(n))
+    items = [(i, draw(rng.randint(5, 30))) for i in range(90)]
     index = bm25_decontam.build(items)
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 50, 64, 65, 200, 333]))) for _ in range(40)]
+    texts = [draw(rng.choice([0, 3, 50, 64, 65, 200, 333])) for _ in range(40)] + [t for _, t in items[:5]]
     h, at = bm25_decontam.hashed(texts)
     half = index.passage // 2
-    want = set()
-    for d in range(len(texts)):
-        own = h[at[d] : at[d + 1]]
+    want = {}
+    for d, text in enumerate(texts):
+        own = text.split()
         n = -(-len(own) // half)
         for k in range(max(1, n - 1) if n else 0):
-            terms = set(own[k * half : (k + 2) * half].tolist())
-            for i in range(len(items)):
-                block = index.blocks[i // bm25_decontam.BLOCK]
-                hit = np.isin(index.terms[block.terms], np.array(list(terms), np.uint64))
-                if block.impacts[hit, i % bm25_decontam.BLOCK].sum() >= 0.5:
-                    want.add((d, k * half, i))
-    got = {(d, int(a - at[d]), i) for d, a, _, i, _ in bm25_decontam.search(index, h, at, 0.5)}
-    assert got == want and want
+            for i, value in enumerate(bm25_by_hand(items, set(own[k * half : (k + 2) * half]))):
+                if value >= 0.5:
+                    want[d, k * half, i] = value
+    got = {(d, int(a - at[d]), i): value for d, a, _, i, value in bm25_decontam.search(index, h, at, 0.5)}
+    assert got == pytest.approx(want, rel=1e-9) and want
+
+
+def test_wand_skips_and_finds_all():
+    rng = random.Random(16)
+    for _ in range(200):
+        lists, total = [], collections.Counter()
+        for _ in range(rng.randint(1, 12)):
+            items = sorted(rng.sample(range(300), rng.randint(1, 60)))
+            impacts = [rng.random() ** 4 for _ in items]
+            blocks = [(k, min(len(items), k + 8)) for k in range(0, len(items), 8)]
+            lists.append((items, impacts, max(impacts), [items[z - 1] for _, z in blocks], [max(impacts[a:z]) for a, z in blocks]))
+            total.update(dict(zip(items, impacts)))
+        assert dict(bm25_decontam.wand(lists, 0.9)) == pytest.approx({i: v for i, v in total.items() if v >= 0.9})
 
 
 # ---- quality
@@ -651,6 +678,96 @@ def test_warc_files_and_odd_records(spark, tmp_path):
     assert warc.dechunk(b"4\r\nWiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n") == b"Wikipedia"
 
 
+def test_a_host_outvotes_its_odd_pages(spark):
+    """Three pages vote for the same path; the fourth alone would take its longer box, the fifth has other digits in its class."""
+    page = lambda k, text, more="": f'<body><div class="col-{k}"><p>{text}</p></div><div class="box"><p>{more}</p></div></body>'
+    rows = [(i, f"http://h.test/{i}", page(i, "Main text of this page, long enough.")) for i in range(3)]
+    rows += [(3, "http://h.test/3", page(77, "Short one.", "A box with much more words than the text of the page beside it has."))]
+    rows += [(4, "http://other.test/4", page(4, "Short one.", "A box with much more words than the text of the page beside it has."))]
+    got = {r["page_id"]: r["text"] for r in host_paths.main_text(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()}
+    assert got[3] == "Short one." and got[4].startswith("A box") and all(got[i].startswith("Main text") for i in range(3))
+
+
+def test_names_are_weighed():
+    text = lambda html: host_paths.extract(read(html), [])
+    assert text('<div hidden>no</div><div style="display: none">no</div><p>yes</p>') == "yes"
+    assert text('<div class="post tags"><p>Kept as an article.</p></div>') == "Kept as an article."
+    assert text('<section class="related-work"><p>Kept, it is prose.</p></section>') == "Kept, it is prose."
+    assert text('<p>Article.</p><div class="related-posts"><a href="/1">One</a> <a href="/2">Two</a></div>') == "Article."
+    assert text('<p>Article.</p><div class="tags">Tags</div><div class="post-comments"><p>No.</p></div><div id="cookieNotice">No.</div>') == "Article."
+
+
+ODD_PAGES = {
+    "quotes": "<a " + "'\"" * 10000, "lone quotes": "<a '" * 5000, "values": "<a " + "=\"'" * 10000, "no end": '<a b="x" ' * 5000, "mixed": "<a b='\"' c=\"" * 5000 + ">x",
+    "deep": "<div class=x>" * 20000 + "t" + "</p>" * 20000, "signs": "<" * 50000, "comments": "<!--" * 20000, "scripts": "<script>" * 20000, "ends": "</" * 20000,
+    "references": "&" * 50000 + "&#xD800;&#99999999999;", "blanks": ("<a" + " " * 200 + "=") * 500,
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_odd_pages_take_no_time(name):
+    began = time.perf_counter()
+    host_paths.extract(read(ODD_PAGES[name]), ["body>div.x"])
+    assert time.perf_counter() - began < 1
+
+
+def test_random_bytes_never_fail():
+    rng = random.Random(11)
+    marks = ["<", "a", ">", "'", '"', "=", "/", "!--", "--", "p", "div", " ", "script", "&", "#x", "title", "\r\n", "charset=", "idna", "unicode_escape", "\\ud800"]
+    for k in range(2000):
+        b = bytes(rng.randrange(256) for _ in range(rng.randrange(300))) if k % 2 else "".join(rng.choice(marks) for _ in range(120)).encode()
+        kind = rng.choice(["text/html; charset=idna", "text/html; charset=unicode_escape", "text/html; charset=utf-16", "text/plain; charset=x", "text/html"])
+        coding = rng.choice(["gzip", "identity"])
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\nContent-Encoding: {coding}\r\nTransfer-Encoding: {rng.choice(['chunked', 'x'])}\r\n\r\n".encode() + b
+        assert len(warc.derive([("WARC-Type", "response")], block)) == 2
+        warc.parse_record(b)
+        host_paths.extract(read(b.decode("utf-8", "replace")), ["div"])
+
+
+def test_malformed_responses(spark):
+    """A gzip body cut off or not one, odd charsets and lengths: each still has its two records."""
+    import gzip
+
+    page = b"<title>\\ud800</title><p>Text</p>"
+    head = lambda extra: f"HTTP/1.1 200 OK\r\nContent-Type: text/html; {extra}".encode()
+    blocks = [head("") + b"\r\nContent-Encoding: gzip\r\n\r\n" + x for x in (gzip.compress(page)[:-9], gzip.compress(page)[:12] + b"\xff" * 30, page)]
+    blocks += [head(f"charset={c}") + b"\r\n\r\n" + page for c in ("idna", "undefined", "unicode_escape", "utf-7", "none", "rot13")]
+    rows = [(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n".encode() + b,) for b in blocks for n in (len(b), "\u00b2", "9" * 5000, "-1")]
+    out = warc.derivatives(spark.createDataFrame(rows, "record binary")).collect()
+    assert len(out) == 2 * len(rows)
+    assert sum(bytes(r["block"]) == b"Text" for r in out if r["record_type"] == "conversion") >= 6
+
+
+def test_url_classifier_on_other_hosts(spark):
+    bad = ["http://www.cheap-viagra.info/buy", "https://poker-casino-bonus.biz/win", "http://adult-cams.tv/xxx", "http://free-crack-keygen.ru/serial", "http://payday-cash-loans.co/apply", "http://replica-rolex.cn/cheap", "https://casino-jackpots.io/slots", "http://porn-videos.xyz/a"]
+    good = ["http://www.bbc-news.co.uk/world/europe", "https://en.history-wiki.org/wiki/Rome", "http://cooking.example.com/bread", "http://docs.python.org/3/library", "http://garden-club.de/rosen", "https://city-library.example.org/en/7", "http://physics.edu/lectures/12", "https://football-league.com/results"]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string"), rules=()).collect()}
+    assert [got[i] for i in range(len(bad + good))] == ["block"] * len(bad) + ["allow"] * len(good)
+    judged = {h for f in ("sf0.01", "sf0.1") for (u,) in map(tuple, spark.read.parquet(f"/root/testdata/{f}/pages.parquet").select("url").collect()) for h in url_filter.split_url(u)[0].split(".")}
+    assert not judged & {name for name, _ in url_filter.BLOCKED + url_filter.ALLOWED}
+
+
+def test_url_features_and_fit_by_hand():
+    """Every n-gram once, and gradient descent written out row by row."""
+    few = [(1, "http://Pills.test/BUY"), (0, "http://news.test/a"), (0, "no scheme"), (1, "https://casino.test")]
+    bucket, lo = url_filter.features(*(pa.array(x, pa.string()) for x in zip(*(url_filter.split_url(u) for _, u in few))))
+    grams = [{(tag, t[i : i + n]) for tag, t in (("h", f"^{h}$"), ("p", f"^{p.lower()}$")) for n in url_filter.SIZES for i in range(len(t) - n + 1)} for h, p in (url_filter.split_url(u) for _, u in few)]
+    own = [set(bucket[a:z].tolist()) for a, z in zip(lo[:-1], lo[1:])]
+    assert [len(x) for x in own] == [len(x) for x in grams] and len(own[0] & own[1]) == len(grams[0] & grams[1])
+    w, b = url_filter.train(few, epochs=20)
+    v, c = collections.Counter(), 0.0
+    for _ in range(20):
+        errors = [1 / (1 + math.exp(-(sum(v[k] for k in f) / math.sqrt(max(1, len(f))) + c))) - y for f, (y, _) in zip(own, few)]
+        step = collections.Counter()
+        for f, e in zip(own, errors):
+            for k in f:
+                step[k] += e / math.sqrt(len(f)) / 8
+        for k in set(step) | set(v):
+            v[k] -= 0.5 * (step[k] + 1e-4 * v[k])
+        c -= 0.5 * sum(errors) / len(few)
+    assert b == pytest.approx(c) and all(w[k] == pytest.approx(x) for k, x in v.items())
+
+
 def test_url_filter(spark):
     urls = ["http://x.example.net/en/1", "http://example.net/fr/1", "https://NET/", "http://sub.example.com/de/a?b", "http://www.org/fr/x", "http://org/fr", "http://spam-farm.example.com/en", None, "no scheme", "http://cheap-pills.test.com", "http://news.example.com/2024/a", "ftp://h?q/de/"]
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
