@@ -25,10 +25,10 @@ HIDDEN = 16
 CLASSES = 64
 WINDOW = 24
 HOT = 1 << 18
-RATE = 0.15
+RATE = 0.2
 #: Tokens that a task reads before it sorts their texts by length, and texts that then run side by side.
 GROUP_TOKENS = 1_500_000
-SCORE_LANES, TRAIN_LANES = 1024, 192
+SCORE_LANES, TRAIN_LANES = 1024, 384
 #: States that are held until their outputs are taken together.
 HELD = 1 << 14
 FLUSH = 1 << 20
@@ -281,8 +281,8 @@ class Trainer:
         return h
 
 
-def read_texts(column: pa.Array, vocabulary: Vocabulary):
-    """For each text's words and its end: place among the hot words (or -1), hash, output; and the texts' offsets."""
+def read_texts(column: pa.Array, vocabulary: Vocabulary, hot_too: bool = True):
+    """For each text's words and its end: place among the hot words (or -1; all -1 if not asked for), hash, output; and the texts' offsets."""
     _, _, at, h = words(*text_bytes(column))
     n = len(at) - 1
     lo = at + np.arange(n + 1)
@@ -291,9 +291,22 @@ def read_texts(column: pa.Array, vocabulary: Vocabulary):
     inside = np.ones(len(full), bool)
     inside[ends] = False
     full[ends], full[inside] = END, h
-    hot = np.minimum(np.searchsorted(vocabulary.hashes, full), len(vocabulary.hashes) - 1)
-    known = vocabulary.hashes[hot] == full
-    return np.where(known, hot, -1).astype(np.int32), full, np.where(known, vocabulary.output[hot], vocabulary.tail).astype(np.int32), lo
+    # most words are among the few with outputs, which are looked for first
+    head = np.flatnonzero(vocabulary.output < vocabulary.tail)
+    place, known = found(vocabulary.hashes[head], full)
+    ids = np.where(known, vocabulary.output[head[place]], vocabulary.tail).astype(np.int32)
+    hot = np.where(known, head[place], -1).astype(np.int32)
+    if hot_too:
+        rest = np.flatnonzero(~known)
+        place, known = found(vocabulary.hashes, full[rest])
+        hot[rest[known]] = place[known]
+    return hot, full, ids, lo
+
+
+def found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's place in a sorted table, and whether it is there."""
+    place = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return place, table[place] == values
 
 
 _COUNTS = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -369,7 +382,7 @@ def unpack_pair(h: pa.Scalar, c: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return joined(pa.chunked_array([[h.as_py()]], pa.binary()), np.uint64), joined(pa.chunked_array([[c.as_py()]], pa.binary()), np.int64)
 
 
-def groups(batches, vocabulary: Vocabulary):
+def groups(batches, vocabulary: Vocabulary, hot_too: bool = True):
     """What read_texts() gives for the texts of several pieces, about GROUP_TOKENS tokens together, and the pieces' other columns."""
 
     def together(held: list):
@@ -381,7 +394,7 @@ def groups(batches, vocabulary: Vocabulary):
     for batch in batches:
         others = [k for k, name in enumerate(batch.schema.names) if name != "text"]
         for piece in pieces(batch):
-            held.append((piece.select(others) if others else piece, *read_texts(piece.column("text"), vocabulary)))
+            held.append((piece.select(others) if others else piece, *read_texts(piece.column("text"), vocabulary, hot_too)))
             if sum(len(x[1]) for x in held) >= GROUP_TOKENS:
                 yield together(held)
                 held = []
@@ -396,7 +409,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     def trained(batches):
         vocabulary = shared()
         trainer = Trainer(Network(vocabulary))
-        for _, _, _, ids, lo in groups(batches, vocabulary):
+        for _, _, _, ids, lo in groups(batches, vocabulary, hot_too=False):
             trainer.texts(ids, lo)
         if trainer.tokens:
             for block, part in enumerate(np.array_split(trainer.net.flat(), BLOCKS)):
@@ -413,10 +426,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
             yield rows(_PARAMS, [[block], [n], [(total / n).astype(np.float32).tobytes()]])
 
     ddl = "block int, tokens long, values binary"
-    found = docs.select("text").mapInArrow(trained, ddl).repartition(BLOCKS, "block").mapInArrow(averaged, ddl).collect()  # BLOCKS rows, the size of one network
+    parts = docs.select("text").mapInArrow(trained, ddl).repartition(BLOCKS, "block").mapInArrow(averaged, ddl).collect()  # BLOCKS rows, the size of one network
     net = Network(vocabulary)
-    if found:
-        net.load(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(found, key=lambda r: r["block"])]))
+    if parts:
+        net.load(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(parts, key=lambda r: r["block"])]))
     return net
 
 
