@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))

@@ -26,7 +26,7 @@ LENGTH = 400
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 GRAM = 64
 BLOCK_BYTES = 512 << 10
-PIECE_BYTES = 512 << 10
+PIECE_BYTES = 128 << 10
 #: Stands between chunks: no byte of UTF-8.
 BETWEEN = b"\xff"
 _STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
