@@ -12,11 +12,12 @@ def duration_sec(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*(?:\d+:)?\d{1,2}:\d{2}\s*$"), part(1) * 3600 + part(2) * 60 + part(3))
 
 
-def count(text: Column) -> Column:
-    """'1.2M plays', '12,345 views' as a number, or null."""
-    number = F.regexp_replace(F.regexp_extract(text, r"(?i)(\d[\d,]*(?:\.\d+)?)\s*[kmb]?", 1), ",", "")
-    unit = F.lower(F.regexp_extract(text, r"(?i)\d[\d,]*(?:\.\d+)?\s*([kmb])(?![a-z])", 1))
-    scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
+def count(text: Column, unit: str = "plays?|views?") -> Column:
+    """'1.2M plays', '12,345 views' as a number, or null: only a number that such a word follows counts."""
+    found = rf"(?i)([\d.,]+)\s*([kmb]?)\s*(?:{unit})(?![A-Za-z0-9_])"
+    number = F.regexp_extract(F.regexp_replace(F.regexp_extract(text, found, 1), ",", ""), r"^(\d+(?:\.\d*)?|\.\d+)", 1)
+    size = F.lower(F.regexp_extract(text, found, 2))
+    scale = F.when(size == "k", 1e3).when(size == "m", 1e6).when(size == "b", 1e9).otherwise(1.0)
     return F.when(number != "", F.round(F.nullif(number, F.lit("")).cast("double") * scale).cast("long"))
 
 
@@ -40,6 +41,22 @@ def subtitle_label(parts: Column) -> Column:
     return F.get(F.filter(parts, lambda p: ~p.rlike(r"^\d+(:\d{2})+$") & ~p.rlike(r"(?i)\d.*(views|plays)")), 0)
 
 
+def clamp(text: Column, least: int, most: int, default: int) -> Column:
+    """A parameter as a whole number within its limits, or the default."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(text.try_cast("long"), F.lit(default)))).cast("long")
+
+
+def token(value: Column) -> Column:
+    """A struct as JSON in URL-safe base 64 without padding."""
+    return F.rtrim(F.translate(F.base64(F.to_json(value).cast("binary")), "+/", "-_"), F.lit("="))
+
+
+def from_token(text: Column, schema: str) -> Column:
+    """The struct that token() has written, or null."""
+    padded = F.concat(F.translate(text, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4))))
+    return F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), schema)
+
+
 def first_path(json: Column, paths: list[str], kind: str = "string") -> Column:
     """The first of alternative paths that is there."""
     return F.coalesce(*(F.try_variant_get(json, p, kind) for p in paths))

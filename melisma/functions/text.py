@@ -16,8 +16,18 @@ HEBREW = "בגדזחטכךלמםנןספףצץקרשת"
 HEBREW_SKELETON = "bgdzktkklmmnnsppcckrst"
 HEBREW_RANGE = "֐-׿"
 FOLDS = (("sh|ş", "s"), ("ch|kh|ḥ|x", "k"), ("tz|ts", "c"), ("th", "t"), ("[aeiou]", ""), ("[wyh']", ""), ("v", "b"), ("f", "p"), ("q", "k"), ("[^a-z0-9]", ""))
-#: Variants that make two recordings of one title different.
-VARIANTS = (r"(?i)acap+ella|vocal|ווקאלי", r"(?i)instrumental|karaoke|playback|אינסטרומנטל", r"(?i)(?<![A-Za-z0-9_])live(?![A-Za-z0-9_])|בהופעה", r"(?i)remix|mashup|רמיקס", r"(?i)(?<![A-Za-z0-9_])cover(?![A-Za-z0-9_])|קאבר")
+#: Marks of variants (voices only, instrumental, live, remix, cover) that make two recordings of one title different; words
+#: are bounded by what is no ASCII letter, digit or underscore.
+_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+VARIANTS = (
+    rf"(?i)a[\s-]?c+app?ell?a|{_B}vocal{_E}|ווקאל|וואקאל|אקפלה", rf"(?i){_B}instrumental{_E}", rf"(?i){_B}live{_E}|בהופעה", rf"(?i){_B}remix{_E}", rf"(?i){_B}cover{_E}|קאבר",
+)
+#: Fixed value: the strict mark of a recording with voices only, which admits it to the lists of these.
+VOICES_ONLY = rf"(?i)a[\s-]?c+app?ell?a|{_B}vocal\s+version{_E}|\(\s*vocal\s*\)|ווקאל|וואקאל|אקפלה"
+
+
+def voices_only(title: Column) -> Column:
+    return F.coalesce(title, F.lit("")).rlike(VOICES_ONLY)
 
 
 @F.pandas_udf(T.StringType())
@@ -50,19 +60,38 @@ def plain_tokens(text: Column) -> Column:
 
 
 def skeleton(word: Column) -> Column:
-    out = F.regexp_replace(F.translate(word, HEBREW, HEBREW_SKELETON), f"[{HEBREW_RANGE}]", "")
-    for pattern, to in FOLDS:
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    """The folds of FOLDS in their order. Letter pairs are replaced as plain text, the later of a step first, so that what one
+    replacement leaves is not taken for another's; single letters go by one translation."""
+    out = F.when(word.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(word, HEBREW, HEBREW_SKELETON), f"[{HEBREW_RANGE}]", "")).otherwise(word)
+    for pairs, singles, to in (("sh", "ş", "s"), ("kh ch", "ḥx", "k"), ("tz ts", "", "c"), ("th", "", "t")):
+        for pair in pairs.split():
+            out = F.replace(out, F.lit(pair), F.lit(to))
+        if singles:
+            out = F.translate(out, singles, to * len(singles))
+    out = F.translate(out, "vfqaeiouwyh'", "bpk")
+    return F.when(out.rlike("[^a-z0-9]"), F.regexp_replace(out, "[^a-z0-9]", "")).otherwise(out)
+
+
+def with_skeletons(plain: Column) -> Column:
+    """Each token w with its skeleton s; both of the next take it, so that a skeleton is made once."""
+    return F.transform(plain, lambda w: F.struct(w.alias("w"), skeleton(w).alias("s")))
+
+
+def skeletons_of(pairs: Column) -> Column:
+    return F.transform(F.filter(pairs, lambda x: F.length(x["s"]) >= 2), lambda x: x["s"])
+
+
+def key_of(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda x: F.when(F.length(x["s"]) >= 2, x["s"]).otherwise(x["w"])), " ")
 
 
 def skeleton_tokens(plain: Column) -> Column:
-    return F.filter(F.transform(plain, skeleton), lambda w: F.length(w) >= 2)
+    return skeletons_of(with_skeletons(plain))
 
 
 def skeleton_key(plain: Column) -> Column:
     """One slot for each plain token, which stands itself where its skeleton is too short."""
-    return F.array_join(F.transform(plain, lambda w: F.when(F.length(skeleton(w)) >= 2, skeleton(w)).otherwise(w)), " ")
+    return key_of(with_skeletons(plain))
 
 
 def bigrams(word: Column) -> Column:

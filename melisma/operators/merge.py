@@ -18,13 +18,26 @@ RULES = {
 }
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], rules: Mapping[str, str]) -> DataFrame:
-    """Full outer merge on the key by a rule for each column; rows that the batch lacks stay."""
-    n = new.select(*key, *(F.col(c).alias(f"_new_{c}") for c in rules if c in new.columns), F.lit(True).alias("_there"))
+def upsert(old: DataFrame, new: DataFrame, key: list[str], rules: Mapping[str, str], blocked: DataFrame | None = None) -> DataFrame:
+    """Full outer merge on the key by a rule for each column; rows that the batch lacks stay.
+
+    Of several rows that the batch has for a key the greatest in the order of its columns counts. Keys in blocked(key) are neither
+    taken from the batch nor kept.
+    """
+    there = [c for c in rules if c in new.columns]
+    one = new.groupBy(*key).agg(F.max(F.struct(*there)).alias("_row")) if there else new.select(*key).distinct().withColumn("_row", F.struct(F.lit(1)))
+    n = one.select(*key, *(F.col("_row")[c].alias(f"_new_{c}") for c in there), F.lit(True).alias("_there"))
     joined = old.join(n, key, "full_outer")
-    there = F.coalesce("_there", F.lit(False))
-    value = lambda c: F.col(f"_new_{c}") if c in new.columns else F.lit(None)
-    return joined.select(*key, *(RULES[r](F.col(c), value(c), there).alias(c) for c, r in rules.items()))
+    if blocked is not None:
+        joined = joined.join(blocked.select(*key).distinct(), key, "left_anti")
+    fresh = F.coalesce("_there", F.lit(False))
+    value = lambda c: F.col(f"_new_{c}") if c in there else F.lit(None)
+    return joined.select(*key, *(RULES[r](F.col(c), value(c), fresh).alias(c) for c, r in rules.items()))
+
+
+def put(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """A key-value table (k, v) once changes are written over it."""
+    return upsert(settings, changes, ["k"], {"v": "overwrite"})
 
 
 def replace_keys(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from melisma.functions import hashing as h
@@ -16,26 +19,93 @@ RELATED_ARTISTS, RELATED_TRACKS, STATION = 15, 5, 500
 ERA, ERA_YEARS, CLASS = 0.15, 8.0, 0.05
 
 
-def scores(seeds: DataFrame, edges: DataFrame, tracks: DataFrame, rng_seed: int = 0) -> DataFrame:
+def scores(seeds: DataFrame, edges: DataFrame, tracks: DataFrame, rng_seed: int = 0, owners: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
     """station, item, score: the head of each station.
 
-    seeds(station, item, artist_id): what a station starts from, its artist being that of the smallest seed. edges(kind, src,
-    dst, score): 'sess', 'lib' or 'art' (over artists). tracks(item, artist_id, reach, multiplier). Seeds are never scored.
+    seeds(station, item, artist_id): the tracks whose neighbours a station draws on. owners(station, artist_id): the artist it is
+    built around, by default that of the smallest seed; stations without one have neighbours only. placed(station, item): what is
+    never scored, by default the seeds. edges(kind, src, dst, score): 'sess', 'lib' or 'art' (over artists). tracks(item,
+    artist_id, reach, multiplier).
     """
     weight = F.when(F.col("kind") == "sess", SESSION).otherwise(LIBRARY)
     near = seeds.join(edges.filter("kind <> 'art'"), seeds["item"] == F.col("src")).select("station", F.col("dst").alias("item"), (weight * F.col("score")).alias("s"))
-    owner = seeds.groupBy("station").agg(F.min_by("artist_id", "item").alias("artist_id"))
+    owner = seeds.groupBy("station").agg(F.min_by("artist_id", "item").alias("artist_id")) if owners is None else owners
     heard = tracks.select("item", "artist_id", shrink(F.col("reach")).alias("pull"), F.col("reach"))
     same = owner.join(heard, "artist_id").select("station", "item", (SAME_ARTIST * F.col("pull")).alias("s"))
     related = owner.join(edges.filter("kind = 'art'"), F.col("artist_id") == F.col("src")).select("station", F.col("dst").alias("artist_id"), "score")
     related = ranked_within(related, ["station"], [F.desc("score"), F.asc("artist_id")]).filter(F.col("rank") <= RELATED_ARTISTS).drop("rank")
     first = ranked_within(heard, ["artist_id"], [F.desc("reach"), F.asc("item")]).filter(F.col("rank") <= RELATED_TRACKS)
     other = related.join(first, "artist_id").select("station", "item", (RELATED * F.col("score") * F.col("pull")).alias("s"))
-    total = near.union(same).union(other).groupBy("station", "item").agg(F.sum("s").alias("s")).join(seeds.select("station", "item"), ["station", "item"], "left_anti")
+    total = near.union(same).union(other).groupBy("station", "item").agg(F.sum("s").alias("s"))
+    total = total.join((seeds if placed is None else placed).select("station", "item"), ["station", "item"], "left_anti")
     jitter = JITTER * h.unit(F.col("item").cast("string"), rng_seed)
     return total.join(tracks.select("item", "multiplier"), "item").select("station", "item", (F.col("s") * F.col("multiplier") + jitter).alias("score"))
 
 
+#: Tracks of an artist or album and of a list or genre that a station draws on, those a genre opens with, and how far chance
+#: moves the track that opens.
+ARTIST_SEEDS, LIST_SEEDS, GENRE_LEADS, LEAD_JITTER = 8, 50, 40, 0.35
+
+
+@dataclass
+class Start:
+    """What a station starts from: seeds(station, item, artist_id), owners(station, artist_id) and opening(station, item, place)."""
+
+    seeds: DataFrame
+    owners: DataFrame
+    opening: DataFrame
+
+
+def _lead(own: DataFrame, rng_seed: int) -> DataFrame:
+    """Of each station's tracks the one to open with: by reach, moved by chance."""
+    pull = F.round(shrink(F.col("reach")) + LEAD_JITTER * h.unit(F.col("item").cast("string"), rng_seed), 9)
+    return ranked_within(own.withColumn("_pull", pull), ["station"], [F.desc("_pull"), F.asc("item")], "place").filter("place = 1").select("station", "item", "place")
+
+
+def start(kind: str, members: DataFrame, tracks: DataFrame, edges: DataFrame, rng_seed: int = 0) -> Start:
+    """Resolve stations from members(station, item, place), the tracks that a seed names in its order: a song itself, an artist's, an
+    album's, a playlist's or a genre's tracks.
+
+    song: opens with itself; without neighbours it also draws on its artist's tracks. artist, genre: open with one of their popular
+    tracks. album: plays through first. playlist: opens with nothing, and has no artist, as a genre.
+    """
+    known = members.join(tracks.select("item", "artist_id", "reach"), "item")
+    ranked = ranked_within(known, ["station"], [F.desc("reach"), F.asc("item")])
+    none = known.select("station", "artist_id").limit(0)
+    if kind == "song":
+        cold = known.join(edges.filter("kind <> 'art'").select(F.col("src").alias("item")).distinct(), "item", "left_anti").select("station", "artist_id")
+        of_artist = ranked_within(tracks.select("item", "artist_id", "reach"), ["artist_id"], [F.desc("reach"), F.asc("item")]).filter(F.col("rank") <= ARTIST_SEEDS)
+        more = cold.join(of_artist, "artist_id").select("station", "item", "artist_id")
+        return Start(known.select("station", "item", "artist_id").union(more).distinct(), known.select("station", "artist_id"), known.select("station", "item", F.lit(1).alias("place")))
+    if kind == "artist":
+        return Start(ranked.filter(F.col("rank") <= ARTIST_SEEDS).select("station", "item", "artist_id"), known.select("station", "artist_id").distinct(), _lead(known, rng_seed))
+    if kind == "album":
+        placed = ranked_within(known, ["station"], [F.asc("place"), F.asc("item")], "n")
+        owners = placed.filter("n = 1").select("station", "artist_id")
+        return Start(placed.filter(F.col("n") <= ARTIST_SEEDS).select("station", "item", "artist_id"), owners, placed.select("station", "item", F.col("n").alias("place")))
+    if kind == "playlist":
+        first = ranked_within(known, ["station"], [F.asc("place"), F.asc("item")], "n").filter(F.col("n") <= LIST_SEEDS)
+        return Start(first.select("station", "item", "artist_id"), none, known.select("station", "item", F.lit(1).alias("place")).limit(0))
+    if kind == "genre":
+        return Start(ranked.filter(F.col("rank") <= LIST_SEEDS).select("station", "item", "artist_id"), none, _lead(ranked.filter(F.col("rank") <= GENRE_LEADS), rng_seed))
+    raise ValueError(f"no such kind of station: {kind}")
+
+
+def allowed_voices(kind: str, stations: DataFrame, members: DataFrame, voices: DataFrame, in_season: bool = False) -> DataFrame:
+    """station, allowed: whether a station may play recordings with voices only, voices(item).
+
+    In season all may. Else a song must be one, an album or playlist hold one, over half of an artist's tracks be such; a genre is
+    asked for by its name.
+    """
+    if in_season:
+        return stations.select("station", F.lit(True).alias("allowed"))
+    if kind == "genre":
+        return stations.select("station", (F.col("station").cast("string") == "acapella").alias("allowed"))
+    marked = members.join(voices.select("item").distinct().withColumn("_v", F.lit(1)), "item", "left").groupBy("station").agg(F.count("_v").alias("v"), F.count("*").alias("n"))
+    rule = F.col("v") * 2 > F.col("n") if kind == "artist" else F.col("v") > 0
+    return stations.join(marked, "station", "left").select("station", F.coalesce(rule, F.lit(False)).alias("allowed"))
+
+
 def backfill(stations: DataFrame, head: DataFrame, tracks: DataFrame, n: int = STATION) -> DataFrame:
     """station, item, place: the head by score, then the most popular other tracks, by era and class, up to n.
 
@@ -88,58 +158,114 @@ def page(queue: DataFrame, offset: int, limit: int, cap: int = 5000) -> DataFram
 POWER, LEAST, PULL, ARTIST_GAP, ARTIST_MEMORY, TRACK_MEMORY = 1.6, 0.015, 3.0, 3, 12, 4000
 
 
+#: A candidate's weight varies by this share; the shortest track of a station in seconds.
+VARIATION, SHORTEST = 0.5, 30
+
+
+class Dice:
+    """Draws in [0, 1) of a linear congruential generator, any number of them at once: the n-th state is a[n] x + c[n]."""
+
+    def __init__(self, seed: int, most: int):
+        self.state = seed
+        self.a, self.c = np.empty(most, np.uint64), np.empty(most, np.uint64)
+        a, c = 1, 0
+        for n in range(most):
+            a, c = a * 1664525 % (1 << 32), (c * 1664525 + 1013904223) % (1 << 32)
+            self.a[n], self.c[n] = a, c
+
+    def draw(self, n: int) -> np.ndarray:
+        states = (self.a[:n] * np.uint64(self.state) + self.c[:n]) & np.uint64(0xFFFFFFFF)
+        self.state = int(states[-1])
+        return states / 2.0**32
+
+
 def extend(pool: list[dict], near: dict, entries: list, state: dict, until_ms: int, start_ms: int) -> tuple[list, dict]:
     """Append entries (item, start_ms, dur_sec) until the clock passes until_ms. Same inputs, same schedule.
 
-    pool: item, artist, dur, weight; near: item -> {item: strength}; state: seed, tracks, artists (what was played lately). A
-    track does not come back within half the pool, an artist within ARTIST_GAP slots, unless nothing else is left.
+    pool: item, artist, dur, weight; near: item -> {item: strength}; state: seed, slot, and in which slot each track and artist was
+    last played. A track does not come back within half the pool, an artist within ARTIST_GAP slots; where nothing else is left,
+    all that was played is forgotten. Each slot takes one track by its share of all open tracks' weights.
     """
-    pool = [x for x in pool if x["item"] is not None and x["artist"] is not None and (x["dur"] or 0) >= 30]
+    pool = [x for x in pool if x["item"] is not None and x["artist"] is not None and (x["dur"] or 0) >= SHORTEST]
     entries = list(entries)
-    seed, recent, artists = state.get("seed", 1), list(state.get("tracks", [])), list(state.get("artists", []))
+    if not pool:
+        return entries, state
+    items, weight = [x["item"] for x in pool], np.array([x["weight"] for x in pool], float)
+    names = {a: k for k, a in enumerate(dict.fromkeys(x["artist"] for x in pool))}
+    artist, place = np.array([names[x["artist"]] for x in pool]), {i: k for k, i in enumerate(items)}
+    rest = min(len(pool) // 2, TRACK_MEMORY)
+    dice, slot = Dice(state.get("seed", 1), len(pool) + 1), state.get("slot", 0)
+    never = -(1 << 60)
+    played = np.array([state.get("tracks", {}).get(i, never) for i in items])
+    heard = np.array([state.get("artists", {}).get(a, never) for a in names])
     clock = entries[-1][1] + entries[-1][2] * 1000 if entries else start_ms
-    memory = min(len(pool) // 2, TRACK_MEMORY)
-
-    def draw() -> float:
-        nonlocal seed
-        seed = (seed * 1664525 + 1013904223) % (1 << 32)
-        return seed / (1 << 32)
-
-    while pool and clock < until_ms:
-        last = near.get(entries[-1][0], {}) if entries else {}
-        blocked, resting = set(recent), set(artists[-ARTIST_GAP:])
-        open_ = [x for x in pool if x["item"] not in blocked and x["artist"] not in resting]
-        if not open_:
-            recent, artists = [], []
-            open_ = pool
-        weights = [x["weight"] * (1 + PULL * last.get(x["item"], 0.0)) * (1 + 0.5 * draw()) for x in open_]
-        mark, chosen = draw() * sum(weights), open_[-1]
-        for x, w in zip(open_, weights):
-            mark -= w
-            if mark < 0:
-                chosen = x
-                break
-        entries.append((chosen["item"], clock, chosen["dur"]))
-        clock += chosen["dur"] * 1000
-        recent = (recent + [chosen["item"]])[-memory:] if memory else []
-        artists = (artists + [chosen["artist"]])[-ARTIST_MEMORY:]
-    return entries, {"seed": seed, "tracks": recent, "artists": artists}
-
-
-def schedules(pool: DataFrame, start_ms: int, hours: int, seed: int = 1) -> DataFrame:
-    """station, place, item, start_ms, dur_sec for pool(station, item, artist_id, dur_sec, reach, multiplier)."""
+    while clock < until_ms:
+        open_ = np.flatnonzero((slot - played > rest) & (slot - heard[artist] > ARTIST_GAP))
+        if not len(open_):
+            played[:], heard[:] = never, never
+            continue
+        pull = np.zeros(len(pool))
+        for item, strength in (near.get(entries[-1][0], {}) if entries else {}).items():
+            if item in place:
+                pull[place[item]] = strength
+        draws = dice.draw(len(open_) + 1)
+        sums = np.cumsum(weight[open_] * (1 + PULL * pull[open_]) * (1 + VARIATION * draws[:-1]))
+        k = int(open_[min(np.searchsorted(sums, draws[-1] * sums[-1]), len(open_) - 1)])
+        entries.append((items[k], clock, pool[k]["dur"]))
+        clock += pool[k]["dur"] * 1000
+        played[k] = heard[artist[k]] = slot
+        slot += 1
+    recent = lambda keys, slots, most: {key: int(n) for key, n in zip(keys, slots) if slot - n <= most}
+    return entries, {"seed": dice.state, "slot": slot, "tracks": recent(items, played, rest), "artists": recent(names, heard, ARTIST_MEMORY)}
+
+
+def flow(pool: DataFrame, edges: DataFrame) -> DataFrame:
+    """station, src, dst, strength: of each station's tracks the neighbours among its own, twice the session score or the library score."""
+    pairs = edges.filter("kind <> 'art'").select("src", "dst", (F.when(F.col("kind") == "sess", 2.0).otherwise(1.0) * F.col("score")).alias("s"))
+    own = pool.select("station", "item")
+    both = own.withColumnRenamed("item", "src").join(pairs, "src").join(own.withColumnRenamed("item", "dst"), ["station", "dst"])
+    return both.groupBy("station", "src", "dst").agg(F.max("s").alias("strength"))
+
+
+def schedules(pool: DataFrame, start_ms: int, hours: int, seed: int = 1, near: DataFrame | None = None) -> DataFrame:
+    """station, place, item, start_ms, dur_sec for pool(station, item, artist_id, dur_sec, reach, multiplier).
+
+    near(station, src, dst, strength), as of flow(), draws tracks after their neighbours. A station's pool is one task's work, as each
+    slot depends on those before.
+    """
+    kind = pool.schema["station"].dataType.simpleString()
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
+    def one(frame: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("item")
         weight = ((frame["reach"] / (frame["reach"] + 3.0)) ** POWER + LEAST) * frame["multiplier"]
         tracks = [{"item": i, "artist": a, "dur": d, "weight": w} for i, a, d, w in zip(frame["item"], frame["artist_id"], frame["dur_sec"], weight)]
-        entries, _ = extend(tracks, {}, [], {"seed": seed}, start_ms + hours * 3_600_000, start_ms)
+        pulls: dict = {}
+        for a, b, s in zip(links["src"], links["dst"], links["strength"]):
+            pulls.setdefault(a, {})[b] = s
+        entries, _ = extend(tracks, pulls, [], {"seed": seed}, start_ms + hours * 3_600_000, start_ms)
         out = pd.DataFrame(entries, columns=["item", "start_ms", "dur_sec"])
-        out.insert(0, "station", frame["station"].iloc[0])
+        out.insert(0, "station", frame["station"].iloc[0] if len(frame) else None)
         out.insert(1, "place", range(1, len(out) + 1))
         return out
 
-    return pool.groupBy("station").applyInPandas(one, f"station {pool.schema['station'].dataType.simpleString()}, place long, item long, start_ms long, dur_sec long")
+    if near is None:
+        near = pool.sparkSession.createDataFrame([], f"station {kind}, src long, dst long, strength double")
+    links = near.select(F.col("station").alias("of"), "src", "dst", "strength")  # under a name of its own, as it may come from the pool
+    return pool.groupBy("station").cogroup(links.groupBy("of")).applyInPandas(one, f"station {kind}, place long, item long, start_ms long, dur_sec long")
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, name: str, each: int = 4096) -> DataFrame:
+    """df with the sum of `value` over the rows before in the order of a whole number.
+
+    Rows are added up in blocks of `each` numbers; a block's own start is the sum of the blocks before, so that no task holds more than
+    one block or one group's list of blocks.
+    """
+    blocks = df.withColumn("_block", F.floor(F.col(order) / each))
+    inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy(*group, "_block").agg(F.sum(value).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return blocks.withColumn("_own", own).join(starts, [*group, "_block"]).select(*df.columns, (F.col("_start") + F.col("_own")).alias(name))
 
 
 def on_air(schedule: DataFrame, times: DataFrame, bucket_s: int = 3600) -> DataFrame:

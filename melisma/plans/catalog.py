@@ -106,9 +106,9 @@ def playlist_expand(spark, d):
     return keep_first(albums.unionByName(single), ["playlist_id", "track_id"], [F.col("place")])
 
 
-@query("playlist_albums_kept", "SELECT m.playlist_id, x.album_id, count(*) AS kept FROM playlist_track m JOIN album_track x USING (track_id) JOIN track t ON t.track_id = m.track_id WHERE NOT t.is_video AND m.playlist_id < 100 GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("playlist_albums_kept", "SELECT m.playlist_id, x.album_id, count(*) AS kept FROM playlist_track m JOIN album_track x USING (track_id) JOIN track t ON t.track_id = m.track_id WHERE NOT t.is_video GROUP BY 1, 2 HAVING count(*) >= 2")
 def playlist_albums_kept(spark, d):
-    found = t.playlist_tracks(spark, d).filter("playlist_id < 100").join(t.tracks(spark, d).filter("NOT is_video").select("track_id"), "track_id").join(t.album_tracks(spark, d).select("album_id", "track_id"), "track_id")
+    found = t.playlist_tracks(spark, d).join(t.tracks(spark, d).filter("NOT is_video").select("track_id"), "track_id").join(t.album_tracks(spark, d).select("album_id", "track_id"), "track_id")
     return found.groupBy("playlist_id", "album_id").agg(F.count("*").alias("kept")).filter("kept >= 2")
 
 
@@ -118,9 +118,12 @@ def semi_members(spark, d):
     return t.tracks(spark, d).join(singles, "track_id", "left_semi").select("track_id", "title")
 
 
-@query("anti_members", "SELECT playlist_id, playlist_title FROM playlist WHERE playlist_id NOT IN (SELECT playlist_id FROM playlist_track)")
+@query("anti_members", "SELECT playlist_id, playlist_title FROM playlist WHERE playlist_id NOT IN (SELECT m.playlist_id FROM playlist_track m JOIN track t USING (track_id) WHERE list_contains(t.genres, 'ECONOMY'))")
 def anti_members(spark, d):
-    return t.playlists(spark, d).join(t.playlist_tracks(spark, d).select("playlist_id").distinct(), "playlist_id", "left_anti").select("playlist_id", "playlist_title")
+    """Playlists without any track of a genre, or without tracks."""
+    genre = t.tracks(spark, d).filter(F.array_contains("genres", "ECONOMY")).select("track_id")
+    having = t.playlist_tracks(spark, d).join(genre, "track_id", "left_semi").select("playlist_id").distinct()
+    return t.playlists(spark, d).join(having, "playlist_id", "left_anti").select("playlist_id", "playlist_title")
 
 
 @query("needs_date", "SELECT al.album_id, min(x.track_id) AS sample FROM album al LEFT JOIN album_track x ON x.album_id = al.album_id WHERE al.album_date IS NULL GROUP BY 1")
@@ -130,9 +133,9 @@ def needs_date(spark, d):
     return t.albums(spark, d).filter("album_date IS NULL").select("album_id").join(sample, "album_id", "left")
 
 
-@query("tracks_needing_date", "SELECT track_id FROM track t WHERE upload_date IS NULL AND NOT EXISTS (SELECT 1 FROM album_track x JOIN album a ON a.album_id = x.album_id WHERE x.track_id = t.track_id AND a.album_date IS NOT NULL)")
+@query("tracks_needing_date", "SELECT track_id FROM track t WHERE upload_date IS NULL AND NOT EXISTS (SELECT 1 FROM album_track x JOIN album a ON a.album_id = x.album_id WHERE x.track_id = t.track_id AND a.album_type = 'single' AND a.year = 1995 AND a.album_date IS NOT NULL)")
 def tracks_needing_date(spark, d):
-    dated = t.album_tracks(spark, d).join(t.albums(spark, d).filter("album_date IS NOT NULL").select("album_id"), "album_id").select("track_id")
+    dated = t.album_tracks(spark, d).join(t.albums(spark, d).filter("album_type = 'single' AND year = 1995 AND album_date IS NOT NULL").select("album_id"), "album_id").select("track_id")
     return t.tracks(spark, d).filter("upload_date IS NULL").select("track_id").join(dated, "track_id", "left_anti")
 
 
@@ -169,9 +172,9 @@ def art_fallback(spark, d):
     return shows.select(F.col("c_custkey").alias("show_id"), art.alias("art"))
 
 
-@query("page_lookahead", "WITH r AS (SELECT o_orderkey AS episode_id, o_orderdate AS published, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn, count(*) OVER () AS n FROM orders WHERE o_custkey % 10 = 3) SELECT episode_id, published, CASE WHEN n > 60 THEN CAST(60 AS INT) END AS next_offset FROM r WHERE rn > 40 AND rn <= 60")
+@query("page_lookahead", "WITH r AS (SELECT o_orderkey AS episode_id, o_orderdate AS published, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn, count(*) OVER () AS n FROM orders) SELECT episode_id, published, CASE WHEN n > 60 THEN CAST(60 AS INT) END AS next_offset FROM r WHERE rn > 40 AND rn <= 60")
 def page_lookahead(spark, d):
-    episodes = t.load(spark, d, "orders").filter("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("episode_id"), F.col("o_orderdate").alias("published"))
+    episodes = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("episode_id"), F.col("o_orderdate").alias("published"))
     return page(episodes, [F.desc("published"), F.asc("episode_id")], 40, 20)
 
 
@@ -184,9 +187,9 @@ def seed_list(spark, d):
     return every.groupBy(F.lower(F.trim("seed")).alias("seed")).agg(F.min("src").alias("src")).orderBy("src", "seed").limit(120).select("seed", "src")
 
 
-@query("missing_ids", "SELECT DISTINCT l_partkey + 1000 AS id FROM lineitem WHERE l_partkey % 3 = 0 AND l_partkey + 1000 NOT IN (SELECT p_partkey FROM part)")
+@query("missing_ids", "SELECT DISTINCT l_partkey + 1000 AS id FROM lineitem WHERE l_partkey + 1000 NOT IN (SELECT p_partkey FROM part)")
 def missing_ids(spark, d):
-    wanted = t.load(spark, d, "lineitem").filter("l_partkey % 3 = 0").select((F.col("l_partkey") + 1000).alias("id")).distinct()
+    wanted = t.load(spark, d, "lineitem").select((F.col("l_partkey") + 1000).alias("id")).distinct()
     return wanted.join(t.load(spark, d, "part").select(F.col("p_partkey").alias("id")), "id", "left_anti")
 
 

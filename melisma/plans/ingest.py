@@ -13,10 +13,12 @@ from melisma.sources import tables as t
 from melisma.streaming import telemetry as st
 
 
-@query("parse_counts", "SELECT p_partkey AS id, CAST(p_size * 60 + p_partkey % 60 AS BIGINT) AS sec, CAST(round((10 + p_partkey % 90) / 10.0 * 1000000) AS BIGINT) AS plays, CAST(1990 + p_size % 30 AS INT) AS year FROM part")
+@query("parse_counts", "SELECT p_partkey AS id, CAST(p_size * 60 + p_partkey % 60 AS BIGINT) AS sec, CASE p_partkey % 4 WHEN 3 THEN NULL WHEN 2 THEN p_partkey * 1000 ELSE CAST(round((10 + p_partkey % 90) / 10.0 * 1000000) AS BIGINT) END AS plays, CAST(1990 + p_size % 30 AS INT) AS year FROM part")
 def parse_counts(spark, d):
     k = F.col("p_partkey")
-    part = t.load(spark, d, "part").select(k.alias("id"), F.format_string("%d:%02d", "p_size", k % 60).alias("time"), F.format_string("%d.%dM plays", F.floor((k % 90 + 10) / 10), (k % 90 + 10) % 10).alias("views"), F.concat(F.lit("Album • "), (1990 + F.col("p_size") % 30).cast("string")).alias("sub"))
+    views = F.format_string("%d.%dM ", F.floor((k % 90 + 10) / 10), (k % 90 + 10) % 10)
+    views = F.when(k % 4 == 3, "2024 • 3 songs").when(k % 4 == 2, F.concat(F.lit("by 5 • "), F.format_number(k * 1000, 0), F.lit(" views • 9 tracks"))).otherwise(F.concat(views, F.lit("plays")))
+    part = t.load(spark, d, "part").select(k.alias("id"), F.format_string("%d:%02d", "p_size", k % 60).alias("time"), views.alias("views"), F.concat(F.lit("Album • "), (1990 + F.col("p_size") % 30).cast("string")).alias("sub"))
     return part.select("id", parse.duration_sec(F.col("time")).alias("sec"), parse.count(F.col("views")).alias("plays"), parse.year(F.col("sub")).alias("year"))
 
 
@@ -26,10 +28,10 @@ def subtitle_meta(spark, d):
     return t.load(spark, d, "part").select(F.col("p_partkey").alias("id"), parse.subtitle_duration(parts).alias("sec"), parse.subtitle_label(parts).alias("label"))
 
 
-@query("page_rows", "SELECT o_orderkey AS page_id, l_partkey AS track_id, 'T' || l_partkey AS title FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0")
+@query("page_rows", "SELECT o_orderkey AS page_id, l_partkey AS track_id, 'T' || l_partkey AS title FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey")
 def page_rows(spark, d):
     """Nested page JSON: alternative paths, one row for each item of its shelf."""
-    lines = t.load(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().filter("l_orderkey % 50 = 0")
+    lines = t.load(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     item = F.struct(F.col("l_partkey").alias("id"), F.struct(F.concat(F.lit("T"), F.col("l_partkey")).alias("text")).alias("title"))
     pages = lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("items")).alias("shelf"))).alias("json"))
     shelf = F.coalesce(F.try_variant_get("v", "$.contents", "array<variant>"), F.try_variant_get("v", "$.shelf.items", "array<variant>"))
@@ -53,12 +55,12 @@ def id_list(spark, d, ids: str = "[3, 14, 159, 265, 358]"):
     return t.load(spark, d, "part").join(F.broadcast(wanted), "p_partkey", "left_semi").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("title"))
 
 
-@query("merged_playlists", "WITH a AS (SELECT 'auto-' || p_type AS id, p_partkey AS track_id FROM part WHERE p_partkey % 40 = 0), c AS (SELECT CASE WHEN p_partkey % 80 = 0 THEN 'auto-' ELSE 'cur-' END || p_brand AS id, p_partkey AS track_id FROM part WHERE p_partkey % 20 = 0) SELECT 0 AS src, id, track_id FROM a UNION ALL SELECT 1, id, track_id FROM c WHERE id NOT LIKE 'auto-%'")
+@query("merged_playlists", "WITH a AS (SELECT 'auto-' || p_type AS id, p_partkey AS track_id FROM part), c AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'auto-' ELSE 'cur-' END || p_brand AS id, p_partkey AS track_id FROM part) SELECT 0 AS src, id, track_id FROM a UNION ALL SELECT 1, id, track_id FROM c WHERE id NOT LIKE 'auto-%'")
 def merged_playlists(spark, d):
     """Made lists first; curated ones may not use their names."""
     part, k = t.load(spark, d, "part"), F.col("p_partkey")
-    made = part.filter(k % 40 == 0).select(F.lit(0).alias("src"), F.concat(F.lit("auto-"), F.col("p_type")).alias("id"), k.alias("track_id"))
-    curated = part.filter(k % 20 == 0).select(F.lit(1).alias("src"), F.concat(F.when(k % 80 == 0, "auto-").otherwise("cur-"), F.col("p_brand")).alias("id"), k.alias("track_id"))
+    made = part.select(F.lit(0).alias("src"), F.concat(F.lit("auto-"), F.col("p_type")).alias("id"), k.alias("track_id"))
+    curated = part.select(F.lit(1).alias("src"), F.concat(F.when(k % 4 == 0, "auto-").otherwise("cur-"), F.col("p_brand")).alias("id"), k.alias("track_id"))
     return made.union(curated.filter(~F.col("id").startswith("auto-")))
 
 
@@ -80,7 +82,14 @@ def manifest_diff(spark, d):
     return export.changes(export.manifest(part, "p_partkey", 64), export.manifest(after, "p_partkey", 64))
 
 
-@query("season_events", None)
+#: The first and last day of the three weeks in each year of the orders, as printed calendars have them.
+_SEASONS = ", ".join(f"(CAST({y} AS INT), DATE '{a}', DATE '{z}')" for y, a, z in (
+    (5755, "1995-07-15", "1995-08-05"), (5756, "1996-07-04", "1996-07-25"), (5757, "1997-07-22", "1997-08-12"), (5758, "1998-07-11", "1998-08-01"),
+    (5759, "1999-07-01", "1999-07-22"), (5760, "2000-07-20", "2000-08-10"), (5761, "2001-07-08", "2001-07-29"),
+))
+
+
+@query("season_events", f"WITH w(heb_year, a, z) AS (VALUES {_SEASONS}) SELECT heb_year, count(*) AS n FROM orders JOIN w ON CAST(o_orderdate AS DATE) BETWEEN a AND z GROUP BY 1")
 def season_events(spark, d):
     """Orders of each year's season, by a broadcast date dimension."""
     days = calendar.dimension(spark, dt.date(1995, 1, 1), dt.date(2001, 12, 31)).filter("in_season")
@@ -98,7 +107,7 @@ def stream_tumbling(spark, d):
     return st.drain(st.tumbling(_events(spark, d))).select("start", "event_type", "n")
 
 
-@query("stream_sessions", None)
+@query("stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), g AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k) SELECT * FROM g WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_sessions(spark, d):
     return st.drain(st.sessions(_events(spark, d)))
 
@@ -113,12 +122,7 @@ def stream_state(spark, d):
 def stream_merge(spark, d):
     """Micro-batches merged into snapshots; the newest is the result."""
     folder = st.shared_folder(spark)
-    numbers: list[int] = []
-    sink = st.merge_batches(f"{folder}/snapshots", ["user_id"], {"event_type": "overwrite", "value": "overwrite"})
-
-    def write(batch, number):
-        sink(batch, number)
-        numbers.append(number)
-
-    _events(spark, d).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/snapshots/{numbers[-1]}")
+    sink = st.merge_batches(f"{folder}/state", ["user_id"], {"event_type": "overwrite", "value": "overwrite"})
+    stream = _events(spark, d)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return st.merged(spark, f"{folder}/state", stream.select("user_id", "event_type", "value").schema)

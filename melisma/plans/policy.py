@@ -79,12 +79,12 @@ def season_exclusion(spark, d):
     return t.tracks(spark, d).filter(~F.arrays_overlap("genres", slugs)).select("track_id")
 
 
-@query("pool_gates", "WITH pool AS (SELECT t.track_id, e.n FROM track t LEFT JOIN (SELECT item, count(*) AS n FROM play WHERE kind = 'play' GROUP BY 1) e ON e.item = t.track_id WHERE t.duration_sec BETWEEN 60 AND 900 AND NOT t.is_video) SELECT count(*) AS pool, count(n) AS listened, count(*) >= 150 AS big_enough, count(n) >= 0.02 * count(*) AS heard_enough FROM pool")
+@query("pool_gates", "WITH pool AS (SELECT t.track_id, e.n FROM track t LEFT JOIN (SELECT item, count(*) AS n FROM play WHERE kind = 'play' GROUP BY 1) e ON e.item = t.track_id WHERE t.duration_sec BETWEEN 60 AND 900 AND NOT t.is_video) SELECT count(*) AS pool, count(n) AS listened, count(*) >= 150 AS big_enough, count(n) >= 0.20 * count(*) AS heard_enough FROM pool")
 def pool_gates(spark, d):
     heard = t.plays(spark, d).filter("kind = 'play'").groupBy(F.col("item").alias("track_id")).agg(F.count("*").alias("n"))
     pool = t.tracks(spark, d).filter("duration_sec BETWEEN 60 AND 900 AND NOT is_video").join(heard, "track_id", "left")
     sums = pool.agg(F.count("*").alias("pool"), F.count("n").alias("listened"))
-    return sums.select("*", (F.col("pool") >= 150).alias("big_enough"), (F.col("listened") >= 0.02 * F.col("pool")).alias("heard_enough"))
+    return sums.select("*", (F.col("pool") >= 150).alias("big_enough"), (F.col("listened") >= 0.20 * F.col("pool")).alias("heard_enough"))
 
 
 @query("podcast_gates", "SELECT DISTINCT conv_id AS show_id FROM conversations WHERE conv_id % 4 <> 1 AND conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from melisma import registry
@@ -73,11 +72,11 @@ def radio_station(spark, d):
     return r.page(r.diversify(queue), 0, 50)
 
 
-@query("radio_shuffle_order", f"SELECT p_partkey AS item, row_number() OVER (ORDER BY {fnv_sql('CAST(p_partkey AS VARCHAR)', 9)}, p_partkey) AS place FROM part WHERE p_size > 45 ORDER BY place LIMIT 40")
+@query("radio_shuffle_order", f"SELECT p_partkey AS item, row_number() OVER (ORDER BY {fnv_sql('CAST(p_partkey AS VARCHAR)', 9)}, p_partkey) AS place FROM part ORDER BY place LIMIT 40")
 def radio_shuffle_order(spark, d):
     from melisma.operators.ranking import top_ranked
 
-    pool = t.load(spark, d, "part").filter("p_size > 45").select(F.col("p_partkey").alias("item"))
+    pool = t.load(spark, d, "part").select(F.col("p_partkey").alias("item"))
     return top_ranked(pool, [h.fnv1a(F.col("item").cast("string"), 9), F.asc("item")], 40, "place")
 
 
@@ -105,22 +104,22 @@ def _pool(spark, d):
 @query("schedule", None)
 def schedule(spark, d):
     """A day of each genre's station."""
-    return r.schedules(_pool(spark, d), 1_700_000_000_000, 24, 7)
+    pool = _pool(spark, d)
+    return r.schedules(pool, 1_700_000_000_000, 24, 7, r.flow(pool, edges(spark, d, LIBRARY)))
 
 
-_SCHEDULE = "sch AS (SELECT genres[1] AS station, track_id AS item, duration_sec AS dur_sec, CAST(coalesce(sum(duration_sec) OVER (PARTITION BY genres[1] ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_s FROM track WHERE track_id < 800)"
+_SCHEDULE = "sch AS (SELECT genres[1] AS station, track_id AS item, duration_sec AS dur_sec, CAST(coalesce(sum(duration_sec) OVER (PARTITION BY genres[1] ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_s FROM track)"
 
 
 @query("prefix_starts", f"WITH {_SCHEDULE} SELECT * FROM sch")
 def prefix_starts(spark, d):
     """Start times as prefix sums of the durations before."""
-    before = Window.partitionBy("station").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    return _pool(spark, d).filter("item < 800").select("station", "item", "dur_sec", F.coalesce(F.sum("dur_sec").over(before), F.lit(0)).alias("start_s"))
+    return r.prefix_sums(_pool(spark, d).select("station", "item", "dur_sec"), ["station"], "item", "dur_sec", "start_s")
 
 
-@query("schedule_at", f"WITH {_SCHEDULE}, tm AS (SELECT genres[1] AS station, track_id * 23 AS at_s FROM track WHERE track_id < 500) SELECT station, at_s, item, start_s, dur_sec FROM tm JOIN sch USING (station) WHERE at_s >= start_s AND at_s < start_s + dur_sec")
+@query("schedule_at", f"WITH {_SCHEDULE}, tm AS (SELECT genres[1] AS station, track_id * 23 AS at_s FROM track) SELECT station, at_s, item, start_s, dur_sec FROM tm JOIN sch USING (station) WHERE at_s >= start_s AND at_s < start_s + dur_sec")
 def schedule_at(spark, d):
-    times = t.tracks(spark, d).filter("track_id < 500").select(F.element_at("genres", 1).alias("station"), (F.col("track_id") * 23).alias("at_s"))
+    times = t.tracks(spark, d).select(F.element_at("genres", 1).alias("station"), (F.col("track_id") * 23).alias("at_s"))
     return r.on_air(prefix_starts(spark, d), times)
 
 

@@ -34,10 +34,10 @@ def replace_first_wins(spark, d):
     return keep_first(rows, ["home_row", "ref_id"], [F.col("o_orderkey")]).select("home_row", "ref_id", "score")
 
 
-@query("validate_document", "WITH doc AS (SELECT o_custkey % 700 AS id, CASE WHEN o_orderkey % 9 = 0 THEN year(o_orderdate) + 300 ELSE year(o_orderdate) END AS year FROM orders WHERE o_orderkey % 20 = 1) SELECT id, count(*) > 1 AS duplicate, bool_or(year NOT BETWEEN 1900 AND 2100) AS bad_year FROM doc GROUP BY 1 HAVING count(*) > 1 OR bool_or(year NOT BETWEEN 1900 AND 2100)")
+@query("validate_document", "WITH doc AS (SELECT o_orderkey - CAST(o_orderkey % 5 = 1 AS BIGINT) AS id, CASE WHEN o_orderkey % 9 = 0 THEN year(o_orderdate) + 300 ELSE year(o_orderdate) END AS year FROM orders) SELECT id, count(*) > 1 AS duplicate, bool_or(year NOT BETWEEN 1900 AND 2100) AS bad_year FROM doc GROUP BY 1 HAVING count(*) > 1 OR bool_or(year NOT BETWEEN 1900 AND 2100)")
 def validate_document(spark, d):
     year = F.year("o_orderdate")
-    doc = t.load(spark, d, "orders").filter("o_orderkey % 20 = 1").select((F.col("o_custkey") % 700).alias("id"), F.when(F.col("o_orderkey") % 9 == 0, year + 300).otherwise(year).alias("year"))
+    doc = t.load(spark, d, "orders").select((F.col("o_orderkey") - (F.col("o_orderkey") % 5 == 1).cast("long")).alias("id"), F.when(F.col("o_orderkey") % 9 == 0, year + 300).otherwise(year).alias("year"))
     return doc.groupBy("id").agg((F.count("*") > 1).alias("duplicate"), F.bool_or(~F.col("year").between(1900, 2100)).alias("bad_year")).filter("duplicate OR bad_year")
 
 

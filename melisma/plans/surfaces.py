@@ -34,7 +34,7 @@ def lead_track(spark, d):
     return tracks.groupBy("artist_id").agg(F.max_by("track_id", F.struct(F.coalesce("reach", F.lit(0)), -F.col("track_id"))).alias("lead"))
 
 
-@query("name_sort", None)
+@query("name_sort", "SELECT n_nationkey, n_name FROM nation ORDER BY lower(n_name), n_nationkey")
 def name_sort(spark, d):
     """Channels by name in the order of a reader, not of code points."""
     return t.load(spark, d, "nation").select("n_nationkey", "n_name").orderBy(F.collate("n_name", "UNICODE_CI"), "n_nationkey")
@@ -53,10 +53,10 @@ def rate_limited(spark, d, most: int = 1):
     return made.select("event_id", (n > most).alias("refused"))
 
 
-@query("live_purity", "SELECT l_orderkey AS playlist_id, l_partkey AS track_id, coalesce(t.is_video, false) AS is_video, coalesce(a.is_female, b.is_female, false) AS is_female FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 20 = 0) m LEFT JOIN (SELECT * FROM track WHERE track_id % 3 <> 0) t ON t.track_id = l_partkey LEFT JOIN artist a ON a.artist_id = t.artist_id LEFT JOIN (SELECT * FROM artist WHERE artist_id % 2 = 0) b ON b.artist_id = l_suppkey WHERE t.track_id IS NOT NULL OR b.artist_id IS NOT NULL")
+@query("live_purity", "SELECT l_orderkey AS playlist_id, l_partkey AS track_id, coalesce(t.is_video, false) AS is_video, coalesce(a.is_female, b.is_female, false) AS is_female FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) m LEFT JOIN (SELECT * FROM track WHERE track_id % 3 <> 0) t ON t.track_id = l_partkey LEFT JOIN artist a ON a.artist_id = t.artist_id LEFT JOIN (SELECT * FROM artist WHERE artist_id % 2 = 0) b ON b.artist_id = l_suppkey WHERE t.track_id IS NOT NULL OR b.artist_id IS NOT NULL")
 def live_purity(spark, d):
     """Members of a live list that are in the catalog or by a whitelisted channel; flags from the catalog, else from the channel."""
-    members = t.load(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("channel")).distinct()
+    members = t.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("channel")).distinct()
     artists = t.artists(spark, d).select("artist_id", "is_female")
     known = t.tracks(spark, d).filter("track_id % 3 <> 0").join(artists, "artist_id").select("track_id", "is_video", F.col("is_female").alias("own"), F.lit(True).alias("known"))
     white = artists.filter("artist_id % 2 = 0").select(F.col("artist_id").alias("channel"), F.col("is_female").alias("theirs"), F.lit(True).alias("white"))
@@ -72,9 +72,9 @@ def new_releases(spark, d, k: int = 20):
     return top_ranked(kept, [F.asc("rn")], k, "place").select("album_id", "album_date", "place")
 
 
-@query("curated_list", "WITH item AS (SELECT p_brand AS list, p_partkey AS track_id, p_size AS place FROM part WHERE p_partkey % 2 = 0), f AS (SELECT item.*, is_video FROM item JOIN track USING (track_id)) SELECT list, count(*) AS total, count(*) FILTER (NOT is_video) AS kept, arg_min(track_id, struct_pack(a := place, b := track_id)) FILTER (NOT is_video) AS cover FROM f GROUP BY 1 HAVING count(*) FILTER (NOT is_video) > 0")
+@query("curated_list", "WITH item AS (SELECT p_brand AS list, p_partkey AS track_id, p_size AS place FROM part), f AS (SELECT item.*, is_video FROM item JOIN track USING (track_id)) SELECT list, count(*) AS total, count(*) FILTER (NOT is_video) AS kept, arg_min(track_id, struct_pack(a := place, b := track_id)) FILTER (NOT is_video) AS cover FROM f GROUP BY 1 HAVING count(*) FILTER (NOT is_video) > 0")
 def curated_list(spark, d):
-    items = t.load(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("list"), F.col("p_partkey").alias("track_id"), F.col("p_size").alias("place")).join(t.tracks(spark, d).select("track_id", "is_video"), "track_id")
+    items = t.load(spark, d, "part").select(F.col("p_brand").alias("list"), F.col("p_partkey").alias("track_id"), F.col("p_size").alias("place")).join(t.tracks(spark, d).select("track_id", "is_video"), "track_id")
     first = F.min(F.when(~F.col("is_video"), F.struct("place", "track_id")))
     return items.groupBy("list").agg(F.count("*").alias("total"), F.count_if(~F.col("is_video")).alias("kept"), first["track_id"].alias("cover")).filter("kept > 0")
 
@@ -86,11 +86,17 @@ def servable_at(spark, d):
     return t.tracks(spark, d).filter("duration_sec >= 30 AND NOT is_video").join(ok, "artist_id", "left_semi").select("track_id", "duration_sec")
 
 
-@query("cross_script_credits", None)
+#: Guests by a track's number, and names by an artist's: the first two and the last guest are listed, the third has one letter less.
+_GUESTS, _LISTED = ("Dudi Polak", "anna bell", "Ana Bel", "", "שרה לוי"), ("דודי פולק", "Anna Bell", "שרה לוי")
+
+
+@query("cross_script_credits", "SELECT p_partkey AS track_id FROM part WHERE p_partkey % 5 IN (0, 1, 4)")
 def cross_script_credits(spark, d):
     """Credits matched to listed names: the same normalised name, or the same skeleton (from three letters) across scripts only."""
-    names = spark.createDataFrame([("דודי פולק",), ("Anna Bell",), ("שרה לוי",)], "name string")
-    titles = spark.createDataFrame([(1, "Song (feat. Dudi Polak)"), (2, "Song feat. anna bell"), (3, "Song feat. Ana Bel"), (4, "Plain"), (5, "Song (with שרה לוי)")], "track_id long, title string")
+    pick = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (k % len(values) + 1).cast("int"))
+    guest = pick(_GUESTS, F.col("p_partkey"))
+    titles = t.load(spark, d, "part").select(F.col("p_partkey").alias("track_id"), F.when(guest == "", F.col("p_name")).otherwise(F.concat("p_name", F.lit(" (feat. "), guest, F.lit(")"))).alias("title"))
+    names = t.artists(spark, d).select(pick(_LISTED, F.col("artist_id")).alias("name")).distinct()
     key = lambda c: F.array_join(tx.plain_tokens(c), " ")
     bones = lambda c: F.array_join(F.transform(tx.plain_tokens(c), tx.skeleton), "")
     hebrew = lambda c: c.rlike(f"[{tx.HEBREW_RANGE}]")
@@ -110,9 +116,9 @@ def owner_hide(spark, d):
     return keyed.join(listed, "k", "left_anti").select("playlist_id")
 
 
-@query("community_detail", "SELECT m.playlist_id, m.track_id, t.title, row_number() OVER (PARTITION BY m.playlist_id ORDER BY m.pos, m.track_id) AS place FROM playlist_track m JOIN track t USING (track_id) WHERE m.playlist_id BETWEEN 10 AND 40 AND NOT t.is_video")
+@query("community_detail", "SELECT m.playlist_id, m.track_id, t.title, row_number() OVER (PARTITION BY m.playlist_id ORDER BY m.pos, m.track_id) AS place FROM playlist_track m JOIN track t USING (track_id) WHERE NOT t.is_video")
 def community_detail(spark, d):
-    members = t.playlist_tracks(spark, d).filter("playlist_id BETWEEN 10 AND 40").join(t.tracks(spark, d).filter("NOT is_video").select("track_id", "title"), "track_id")
+    members = t.playlist_tracks(spark, d).join(t.tracks(spark, d).filter("NOT is_video").select("track_id", "title"), "track_id")
     return ranked_within(members, ["playlist_id"], [F.asc("pos"), F.asc("track_id")], "place").select("playlist_id", "track_id", "title", "place")
 
 

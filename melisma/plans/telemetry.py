@@ -171,10 +171,10 @@ def anchor_pick(spark, d):
     return runs.groupBy(o.week_start(F.col("t")).alias("week")).agg(F.min("t").alias("anchor"))
 
 
-@query("nearest_baseline", "WITH runs AS (SELECT CAST(ts AS DATE) AS day, min(ts) AS t, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), k AS (SELECT a.day, b.day AS base_day, row_number() OVER (PARTITION BY a.day ORDER BY abs(epoch_us(b.t) - epoch_us(a.t - INTERVAL 7 DAY)), b.day) AS rn FROM runs a JOIN runs b ON abs(epoch_us(b.t) - epoch_us(a.t - INTERVAL 7 DAY)) <= 48 * 3600000000) SELECT day, base_day FROM k WHERE rn = 1")
+@query("nearest_baseline", "WITH runs AS (SELECT CAST(ts AS DATE) AS day, min(ts) AS t, count(*) AS n FROM events GROUP BY 1), k AS (SELECT a.day, b.day AS base_day, row_number() OVER (PARTITION BY a.day ORDER BY abs(epoch_us(b.t) - epoch_us(a.t - INTERVAL 7 DAY)), b.day) AS rn FROM runs a JOIN runs b ON abs(epoch_us(b.t) - epoch_us(a.t - INTERVAL 7 DAY)) <= 48 * 3600000000) SELECT day, base_day FROM k WHERE rn = 1")
 def nearest_baseline(spark, d, days: int = 7, tolerance_h: int = 48):
     """As-of nearest: the run closest to a week before, within the tolerance. Equi join on the day bucket and its neighbours."""
-    runs = t.load(spark, d, "events").filter("event_id % 3 = 0").groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("t"))
+    runs = t.load(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("t"))
     reach_days = tolerance_h // 24 + 1
     a = runs.select("day", F.expr(f"t - INTERVAL {days} DAYS").alias("target")).withColumn("near", F.explode(F.transform(F.sequence(F.lit(-reach_days), F.lit(reach_days)), lambda k: F.date_add(F.to_date("target"), k))))
     b = runs.select(F.col("day").alias("near"), F.col("t").alias("bt"))

@@ -40,20 +40,47 @@ def last_good(spark: SparkSession, paths: list[str], schema: T.StructType) -> Da
 
 
 def write_if_changed(df: DataFrame, path: str, key: str) -> bool:
-    """Write a snapshot unless the one there has the same content; whether it was written."""
+    """Write a snapshot unless the newest one under path has the same content; whether it was written.
+
+    Each has a folder of its own, which counts only once Spark has marked it as complete, so a write that fails leaves the last good
+    snapshot as it is.
+    """
     from melisma.operators.export import manifest
 
     spark = df.sparkSession
-    try:
-        before = {tuple(r) for r in manifest(spark.read.parquet(path), key, 16).collect()}  # 16 rows
+    made = versions(spark, path)
+    if made:
+        before = {tuple(r) for r in manifest(spark.read.parquet(f"{path}/{made[-1]}"), key, 16).collect()}  # 16 rows
         if before == {tuple(r) for r in manifest(df, key, 16).collect()}:
             return False
-    except AnalysisException:
-        pass
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(f"{path}/v{(int(made[-1][1:]) if made else 0) + 1:08d}")
     return True
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete snapshots under path, in the order in which they were written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("v")]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.getName() for p in found if files.exists(done(p, "_SUCCESS")))
+
+
+def newest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest complete snapshot that write_if_changed() has left, or an empty table."""
+    made = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{made[-1]}") if made else spark.createDataFrame([], schema)
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file, change of two listings (file, size, modified): what was added, removed, or has another size or time."""
+    b, a = (x.select("file", F.struct("size", "modified").alias(name)) for x, name in ((before, "_b"), (after, "_a")))
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
+    return b.join(a, "file", "full_outer").select("file", change.alias("change")).filter("change IS NOT NULL")
+
+
 def append_run(df: DataFrame, path: str, day: str) -> None:
     """Append a run to the history, under its day; a run of the same day written again replaces it."""
     df.withColumn("run_day", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_day").parquet(path)

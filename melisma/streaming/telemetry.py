@@ -48,26 +48,67 @@ def running_counts(stream: DataFrame) -> DataFrame:
     return stream.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(count, "user_id long, seen long, last_ms long", "n long, last long", "update", "NoTimeout")
 
 
-def merge_batches(path: str, key: list[str], rules: dict[str, str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch is merged into the newest snapshot and written as the next, named after the batch.
+def merge_batches(path: str, key: list[str], rules: dict[str, str], parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch is merged into the state under path, of which only the touched parts are written again.
 
-    A batch that is delivered again overwrites its own snapshot, made from the one before.
+    Rows lie in `parts` folders by the hash of their key, each in a folder named after the batch that wrote it. A batch that is
+    delivered again starts from what was there before it, and overwrites its own folders.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy(*key).agg(*(F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in rules))
-        before = spark.read.parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], new.schema)
-        upsert(before, new, key, rules).write.mode("overwrite").parquet(f"{path}/{number}")
+        new = batch.groupBy(*key).agg(*(F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in rules)).withColumn("part", _part(key, parts)).persist()
+        try:
+            touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most `parts` numbers
+            if not touched:
+                return
+            before = _parts_at(spark, path, number - 1, new.schema, touched)
+            merged = upsert(before.drop("part"), new.drop("part"), key, rules).withColumn("part", _part(key, parts))
+            merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+        finally:
+            new.unpersist()
 
     return write
 
 
+def _part(key: list[str], parts: int):
+    return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+
+
+def _parts_at(spark: SparkSession, path: str, number: int, schema, only: list[int] | None = None) -> DataFrame:
+    """The rows of each part as the newest batch up to `number` left them. Only folder names are looked at to find it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last: dict[int, int] = {}
+    for batch in files.listStatus(at) if files.exists(at) else []:
+        n = batch.getPath().getName().removeprefix("batch=")
+        if n.isdigit() and int(n) <= number and files.exists(hadoop.Path(batch.getPath(), "_SUCCESS")):
+            for part in files.listStatus(batch.getPath()):
+                name = part.getPath().getName()
+                if name.startswith("part=") and (only is None or int(name[5:]) in only):
+                    last[int(name[5:])] = max(last.get(int(name[5:]), -1), int(n))
+    paths = [f"{path}/batch={n}/part={p}" for p, n in sorted(last.items())]
+    fields = [f for f in schema.fields if f.name != "part"]
+    rows = spark.read.schema(type(schema)(fields)).parquet(*paths) if paths else spark.createDataFrame([], type(schema)(fields))
+    return rows.withColumn("part", F.lit(None).cast("int"))
+
+
+def merged(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The state that merge_batches() has left under path."""
+    return _parts_at(spark, path, 1 << 62, schema).drop("part")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
+    import re
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="melisma-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = tempfile.mkdtemp(prefix="melisma-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 

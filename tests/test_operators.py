@@ -64,7 +64,7 @@ def test_duration(spark, text, sec):
     assert one(spark, text, parse.duration_sec) == sec
 
 
-@pytest.mark.parametrize("text, n", [("1.2M plays", 1_200_000), ("12,345 views", 12345), ("7K", 7000), ("no", None), (None, None)])
+@pytest.mark.parametrize("text, n", [("1.2M plays", 1_200_000), ("12,345 views", 12345), ("7K plays", 7000), ("7K", None), ("2024, 3 songs", None), ("1 view", 1), ("3 viewers", None), ("no", None), (None, None)])
 def test_count(spark, text, n):
     assert one(spark, text, parse.count) == n
 
@@ -143,6 +143,27 @@ def test_ranking(spark):
     assert {r["next_offset"] for r in page(df, [F.asc("x")], 3, 2).collect()} == {None}
 
 
+def test_upsert_takes_one_row_of_each_key(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (3, "p"), (3, None), (4, "q")], "id long, v string")
+    blocked = spark.createDataFrame([(2,), (4,)], "id long")
+    assert sorted(map(tuple, merge.upsert(old, new, ["id"], {"v": "overwrite"}).collect())) == [(1, "y"), (2, "b"), (3, "p"), (4, "q")]
+    assert sorted(map(tuple, merge.upsert(old, new, ["id"], {"v": "overwrite"}, blocked).collect())) == [(1, "y"), (3, "p")]
+
+
+def test_merged_batches_rewrite_only_touched_parts(spark, tmp_path):
+    from melisma.streaming import telemetry as st
+
+    sink = st.merge_batches(str(tmp_path / "s"), ["k"], {"v": "overwrite"}, parts=8)
+    batch = lambda rows: spark.createDataFrame(rows, "k long, v string, ts long, event_id long")
+    sink(batch([(i, "a", 1, i) for i in range(30)]), 0)
+    for _ in range(2):  # delivered twice
+        sink(batch([(3, "b", 2, 1), (3, "c", 3, 2), (99, "d", 2, 3)]), 1)
+    assert len([p for p in (tmp_path / "s" / "batch=1").iterdir() if p.name.startswith("part=")]) <= 2
+    got = {r["k"]: r["v"] for r in st.merged(spark, str(tmp_path / "s"), batch([]).select("k", "v").schema).collect()}
+    assert got == {i: "a" for i in range(30)} | {3: "c", 99: "d"}
+
+
 def test_diverse_order():
     items = list(range(12))
     artists = ["a"] * 6 + ["b"] * 3 + ["c"] * 3
@@ -168,6 +189,28 @@ def test_schedule_invariants():
     assert longer[: len(entries)] == entries
 
 
+def test_schedule_by_hand():
+    """The draws one by one, the pick by going down the weights, and neighbours that pull."""
+    tracks, near = [{**x, "weight": 0.1 + x["item"] % 7} for x in pool(12, 5)], {i: {(i + 5) % 12: 0.8} for i in range(12)}
+    got, _ = recommend.extend(tracks, near, [], {"seed": 9}, 3_600_000, 0)
+    seed, clock, entries = 9, 0, []
+    while clock < 3_600_000:
+        open_ = [x for x in tracks if x["item"] not in [e[0] for e in entries[-6:]] and x["artist"] not in [e[0] % 5 for e in entries[-3:]]]
+        weights = []
+        for x in open_:
+            seed = (seed * 1664525 + 1013904223) % 2**32
+            weights.append(x["weight"] * (1 + 3.0 * (near[entries[-1][0]].get(x["item"], 0) if entries else 0)) * (1 + 0.5 * seed / 2**32))
+        seed = (seed * 1664525 + 1013904223) % 2**32
+        left = seed / 2**32 * sum(weights)
+        for x, w in zip(open_, weights):
+            left -= w
+            if left <= 0:
+                break
+        entries.append((x["item"], clock, x["dur"]))
+        clock += x["dur"] * 1000
+    assert got == entries and len(got) > 20
+
+
 def test_schedule_of_few_artists_ends():
     assert len(recommend.extend(pool(5, 2), {}, [], {}, 3_600_000, 0)[0]) > 10
     assert recommend.extend([], {}, [], {}, 3_600_000, 0)[0] == []
@@ -206,19 +249,15 @@ def test_landing_pages_and_last_good(spark, tmp_path):
     out = str(tmp_path / "snap")
     assert landing.write_if_changed(df, out, "id") and not landing.write_if_changed(df.orderBy(F.desc("id")), out, "id")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
-    assert landing.last_good(spark, [str(tmp_path / "none"), out], schema).count() == 2
+    assert landing.last_good(spark, [str(tmp_path / "none"), f"{out}/v00000001"], schema).count() == 2
+    (tmp_path / "snap" / "v00000002").mkdir()  # a write that failed
+    assert landing.newest(spark, out, schema).count() == 2
+    assert landing.write_if_changed(df.limit(1), out, "id") and landing.newest(spark, out, schema).count() == 1
     for day in ("2024-01-01", "2024-03-01", "2024-03-01"):
         landing.append_run(df, str(tmp_path / "runs"), day)
     assert landing.history(spark, str(tmp_path / "runs"), "2024-03-02").count() == 2
 
 
-def test_cross_script_credits(spark):
-    from melisma import registry
-
-    got = {r["track_id"] for r in registry.queries()["cross_script_credits"](spark, "").collect()}
-    assert got == {1, 2, 5}
-
-
 def test_schedule_and_relevance_cover_all_tracks(spark, monkeypatch):
     from melisma.plans import recommend as plans
     from melisma.plans import retrieval
@@ -255,7 +294,7 @@ def test_radio_station_uses_whole_libraries(spark, monkeypatch):
     from melisma.sources import tables
 
     path, seen, scores = "/root/testdata/sf0.001", [], recommend.scores
-    monkeypatch.setattr(recommend, "scores", lambda seeds, edges, tracks: seen.append(edges.filter("kind = 'lib'").count()) or scores(seeds, edges, tracks))
+    monkeypatch.setattr(recommend, "scores", lambda seeds, edges, tracks, *more, **named: seen.append(edges.filter("kind = 'lib'").count()) or scores(seeds, edges, tracks, *more, **named))
     plans.radio_station(spark, path)
     held = tables.plays(spark, path).filter("kind IN ('play', 'favorite', 'download')")
     assert seen == [telemetry.cooccurrence(held, ["device"]).count()]
