@@ -31,6 +31,8 @@ GROUP_TOKENS = 1_500_000
 SCORE_LANES, TRAIN_LANES = 1024, 384
 #: States that are held until their outputs are taken together.
 HELD = 1 << 14
+#: States whose class outputs are taken at once, so that these stay in the processor's cache.
+ROWS = 1 << 10
 FLUSH = 1 << 20
 RANGE_CHARS = 48 << 20
 BLOCKS = 32
@@ -137,18 +139,25 @@ class Network:
         order = np.argsort(self.klass[targets], kind="stable")
         h, targets = h[order], targets[order]
         klass, at = self.klass[targets], np.arange(len(h))
-        e = h @ self.class_w
-        e += self.class_b
-        np.minimum(e, TOP, out=e)
-        picked = e[at, klass]
-        np.exp(e, out=e)
-        total = e.sum(1, keepdims=True)
-        logp = picked - np.log(total[:, 0])
+        logp = np.empty(len(h), np.float32)
         if train:
-            e /= total
-            e[at, klass] -= 1
-            back = e @ self.class_w.T
-            grads = {"class_w": h.T @ e, "class_b": e.sum(0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b)}
+            back, back_w = np.empty_like(h), np.ascontiguousarray(self.class_w.T)
+            grads = {name: np.zeros_like(getattr(self, name)) for name in ("class_w", "class_b", "word_w", "word_b")}
+        for lo in range(0, len(h), ROWS):
+            own, near, k = h[lo : lo + ROWS], at[: min(ROWS, len(h) - lo)], klass[lo : lo + ROWS]
+            e = own @ self.class_w
+            e += self.class_b
+            np.minimum(e, TOP, out=e)
+            picked = e[near, k]
+            np.exp(e, out=e)
+            total = e.sum(1, keepdims=True)
+            logp[lo : lo + ROWS] = picked - np.log(total[:, 0])
+            if train:
+                e *= 1 / total
+                e[near, k] -= 1
+                np.matmul(e, back_w, out=back[lo : lo + ROWS])
+                grads["class_w"] += own.T @ e
+                grads["class_b"] += e.sum(0)
         cut = np.searchsorted(klass, np.arange(len(self.starts)))
         for lo, hi, a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), self.starts[:-1].tolist(), self.starts[1:].tolist()):
             if lo == hi or z - a == 1:
@@ -162,7 +171,7 @@ class Network:
             total = e.sum(1, keepdims=True)
             logp[lo:hi] -= np.log(total[:, 0])
             if train:
-                e /= total
+                e *= 1 / total
                 e[near, t] -= 1
                 back[lo:hi] += e @ self.word_w[a:z]
                 np.matmul(e.T, h[lo:hi], out=grads["word_w"][a:z])
