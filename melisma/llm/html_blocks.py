@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -86,13 +85,15 @@ def attributes(text: str) -> dict[str, str]:
 
 def step(tag: str, attrs: dict[str, str]) -> str:
     """An element's part of a generalised path: its tag and sorted classes, digits as #."""
+    if "class" not in attrs:
+        return tag
     names = sorted({re.sub(r"\d+", "#", c.lower().replace(">", "")) for c in attrs.get("class", "").split()})
     return ".".join([tag, *names])
 
 
 def marked(above: int, step: str) -> int:
-    """The number of a path from that of the path above it."""
-    return int.from_bytes(hashlib.blake2b(f"{above} {step}".encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    """The number of a path from that of the path above it, the same within one process."""
+    return hash((above, step))
 
 
 def mark_of(path: str) -> int:
@@ -104,9 +105,11 @@ def mark_of(path: str) -> int:
 
 def judged(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
     """Whether an element is boilerplate by its tag, role and names, or may be by its names."""
+    if not attrs:
+        return tag in BOILERPLATE_TAGS, False
     if tag in BOILERPLATE_TAGS or attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").lower().replace(" ", ""):
         return True, False
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") or "class" not in attrs and "id" not in attrs:
         return False, False
     names = [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) for name in (*attrs.get("class", "").split(), attrs.get("id", ""))]
     names = [words for words in names if words]

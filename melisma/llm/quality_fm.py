@@ -1,4 +1,8 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and text metadata."""
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and a row's metadata.
+
+Of the metadata the stated number of characters counts (n_chars, where there is such a column): itself, whether it is missing, and
+how far it is from the text's own. Language, source, identifiers and labels are never looked at.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import pieces, runs, text_bytes, tidy, words
 
-BITS = 12
-RANK = 4
+BITS = 14
+RANK = 8
 STATS = (
     "log_chars", "log_words", "mean_word", "upper", "digit", "letter", "wide", "bar", "bang", "symbol", "stop_comma", "lines",
-    "distinct_words", "top_word", "repeated_lines", "symbol_ended_words",
+    "distinct_words", "top_word", "repeated_lines", "symbol_ended_words", "stated_chars", "unstated", "misstated",
 )
 #: At most so many labelled rows (those with the smallest hashes of doc_id) are gathered to fit the machine.
 MAX_LABELLED = 6000
@@ -39,7 +43,19 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))) % 5 == 0
 
 
-def featurize(data: np.ndarray, offsets: np.ndarray):
+def features_of(piece: pa.RecordBatch):
+    """featurize() of a batch's text and n_chars."""
+    stated = piece.column("n_chars")
+    return featurize(*text_bytes(piece.column("text")), np.where(stated.is_valid().to_numpy(zero_copy_only=False), stated.fill_null(0.0).to_numpy(), np.nan))
+
+
+def inputs(docs: DataFrame) -> list[Column]:
+    """What a score is made of: text, and n_chars as a number (null without such a column)."""
+    stated = F.col("n_chars").cast("string").try_cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return [F.col("text").cast("string").alias("text"), F.when(stated >= 0, stated).alias("n_chars")]
+
+
+def featurize(data: np.ndarray, offsets: np.ndarray, stated: np.ndarray):
     """For each text: distinct word buckets with L2-normalised root counts (flat, with offsets), and its statistics."""
     n = len(offsets) - 1
     starts, ends, doc_words, h = words(data, offsets)
@@ -65,10 +81,14 @@ def featurize(data: np.ndarray, offsets: np.ndarray):
     if len(ends):
         last = kinds[ends - 1]
         ended = np.diff(np.r_[0, np.cumsum((last == 6) | (last == 7))][doc_words]) / per
+    chars = np.diff(np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets])  # bytes that begin a character
+    missing = np.isnan(stated)
+    told = np.log1p(np.where(missing, chars, stated))
     stats = np.column_stack([
         np.log1p(np.diff(offsets)), np.log1p(counts), np.diff(np.r_[0, np.cumsum(ends - starts)][doc_words]) / per,
         share(1), share(3), share(2), share(4), share(5), share(6), share(7), share(8), lines / per,
         np.diff(lo) / per, top / per, np.log1p(lines) / np.log1p(per + 1), ended,
+        told, missing, np.minimum(np.abs(told - np.log1p(chars)), 4),
     ])
     return bucket, x, lo, stats
 
@@ -131,7 +151,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 def _sampled(batches):
     for batch in batches:
         for piece in pieces(batch):
-            bucket, x, lo, stats = featurize(*text_bytes(piece.column("text")))
+            bucket, x, lo, stats = features_of(piece)
             cut = [(lo[i], lo[i + 1]) for i in range(piece.num_rows)]
             yield pa.record_batch([
                 piece.column("doc_id"), piece.column("label"),
@@ -151,16 +171,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = chosen.collect()
     table = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in rows], "doc_id long, label int")
-    found = docs.select("doc_id", "text").join(F.broadcast(table), "doc_id")  # bounded by max_labelled
-    found = found.select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, bucket binary, x binary, stats binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *inputs(docs)).join(F.broadcast(table), "doc_id")  # bounded by max_labelled
+    found = found.select("doc_id", "label", "text", "n_chars").mapInArrow(_sampled, "doc_id long, label int, bucket binary, x binary, stats binary")
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "stats", "label").limit(max_labelled).collect()
     return fit([(r["label"], np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), np.frombuffer(r["stats"])) for r in got])
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; nothing but the text enters a score.
+    """doc_id, held_out, score, predicted for every row of docs; nothing but the text and n_chars enters a score.
 
-    Null and empty texts are scored by the bias and the statistics of the empty text. Repeated rows give repeated results. With
+    Null and empty texts are scored by the bias and the statistics of the empty text; an n_chars that is null, negative or no number
+    counts as missing. Repeated rows give repeated results. With
     no labels the score is the prior 0.5. An empty table gives an empty result; further columns are dropped.
     """
     held = held_out()
@@ -170,10 +191,10 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None,
     def scored(batches):
         for batch in batches:
             for piece in pieces(batch):
-                value = margins(machine, *featurize(*text_bytes(piece.column("text"))))
+                value = margins(machine, *features_of(piece))
                 yield pa.record_batch([piece.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(value, -30, 30))))], schema=_SCORES)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *inputs(docs)).mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -182,10 +203,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows: Column | None = No
     machine = learn(docs, labels.filter(~held_out() if train_rows is None else train_rows), max_labelled)
     least = float(np.log(threshold / (1 - threshold)))
 
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    names = docs.columns
+
     def kept(batches):
         for batch in batches:
             for piece in pieces(batch):
-                yield piece.filter(pa.array(margins(machine, *featurize(*text_bytes(piece.column("text")))) >= least))
+                rows = pa.record_batch([piece.column(c) for c in columns], names=names)
+                yield rows.filter(pa.array(margins(machine, *features_of(piece)) >= least))
         tidy()
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.select(*(F.col(f"`{name}`").alias(c) for name, c in zip(names, columns)), *inputs(docs)).mapInArrow(kept, docs.schema)

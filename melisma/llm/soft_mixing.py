@@ -47,7 +47,7 @@ def classifier(docs: DataFrame, labels: DataFrame, domains: Mapping[str, str] =
     count = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row for each domain
     total = sum(count.values())
     prior = {d: (count.get(d, 0) + 1) / (total + len(domains)) for d in domains}
-    seen = _words(docs.join(F.broadcast(chosen), "doc_id"), "domain")  # bounded by max_labelled
+    seen = _words(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "domain")  # bounded by max_labelled
     counts = seen.filter("bucket IS NOT NULL").groupBy("bucket").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"c_{d}") for d in domains))
     counts = durable(counts)  # at most BUCKETS rows
     sums = counts.agg(*(F.coalesce(F.sum(f"c_{d}"), F.lit(0)).alias(d) for d in domains)).first().asDict()

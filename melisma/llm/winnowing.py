@@ -6,12 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers
+from .common import mix, pieces, powers, tidy
 
 #: Every common run of K + WINDOW - 1 code points leaves a common hash in both fingerprints.
 K = 16
@@ -94,7 +93,7 @@ _OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def _neighbours(batches) -> Iterator[tuple[int | None, str, str]]:
     """(doc_id, text, next text) of a partition's own rows; guests come last, and the first of them follows the last own row."""
     before = None
-    for batch in batches:
+    for batch in (piece for batch in batches for piece in pieces(batch)):
         for doc_id, text, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "guest"))):
             if before is not None:
                 yield (*before, text)
@@ -121,38 +120,54 @@ def _compare(batches, k: int, window: int):
             yield pa.record_batch([pa.array(c, t.type) for c, t in zip(out, _OUT)], schema=_OUT)
             out, size = [[] for _ in _OUT], 0
     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(out, _OUT)], schema=_OUT)
+    tidy()
+
+
+def places_of(cuts: np.ndarray, ids: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The range of each (id, spread in [0, 1)): an id that takes several cuts is dealt over their ranges in the order of spread."""
+    lo, hi = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    return np.where(hi - lo > 1, lo + 1 + np.minimum((spread * (hi - lo)).astype(np.int64), hi - lo - 1), hi).astype(np.int32)
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Fingerprint of every text and of its edited text: the last half replaced by the start of the next document's.
 
-    The next document follows in ascending order of (doc_id, text), nulls first; the first follows the last. Null texts are
-    empty. Repeated rows are documents of their own, and for one single document the next is itself. Empty tables give empty
-    results; further columns are dropped. Positions are those of code points.
+    The next document follows in ascending order of doc_id, nulls first, then of a hash of the text, then of the text; the first
+    follows the last. Null texts are empty. Repeated rows are documents of their own, and for one single document the next is
+    itself. Empty tables give empty results; further columns are dropped. Positions are those of code points.
 
-    Documents are dealt out by ranges of doc_id, so each text is shuffled once; the first document of each range also goes to
-    the range before it. A task reads its range in order and holds two documents at a time.
+    Documents are dealt out by ranges of doc_id, so each text is shuffled once; a doc_id that many rows have (or none) takes several
+    ranges, by the hash. The first document of each range also goes to the range before it. A task reads its range in order and holds
+    a slice of it and two documents' fingerprints at a time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_LOWEST))
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     parts = int(min(1 << 16, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // PARTITION_CHARS)))
     at = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (2 * parts)) if parts > 1 else []
-    cuts = np.unique(np.array(at, np.float64).astype(np.int64))
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
-
-    heads = docs.select(key.alias("key")).groupBy(part_of("key").alias("part")).agg(F.min("key").alias("head")).orderBy("part").collect()  # a row for each range
-    before = {h["head"]: heads[i - 1]["part"] for i, h in enumerate(heads)}
-    last = {heads[0]["head"]} if heads else set()
-
-    @F.pandas_udf("array<struct<part:int,guest:int>>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, ids.to_numpy(np.int64), "right")
-        return pd.Series([[{"part": int(p), "guest": 0}] + ([{"part": before[i], "guest": 2 if i in last else 1}] if i in before else []) for p, i in zip(own, ids)])
-
-    dealt = docs.withColumn("place", F.explode(places(key))).select("doc_id", "text", "place.part", "place.guest")
-    ordered = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("guest", F.asc_nulls_first("doc_id"), "text")
+    cuts = np.array(at, np.float64).astype(np.int64)
+    rank = F.xxhash64("text")
+
+    def spread(ranks: pa.Array) -> np.ndarray:
+        return ranks.to_numpy(zero_copy_only=False) / 2.0**64 + 0.5
+
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array, ranks: pa.Array) -> pa.Array:
+        return pa.array(places_of(cuts, ids.to_numpy(zero_copy_only=False), spread(ranks)), pa.int32())
+
+    keyed = docs.withColumns({"key": key, "rank": rank}).withColumn("part", part_of("key", "rank"))
+    heads = keyed.groupBy("part").agg(F.min(F.struct("key", "rank")).alias("head")).orderBy("part").collect()  # a row for each range
+    first = {(h["head"]["key"], h["head"]["rank"]): heads[i - 1]["part"] for i, h in enumerate(heads)}
+    earliest = (heads[0]["head"]["key"], heads[0]["head"]["rank"]) if heads else None
+
+    @F.arrow_udf("array<struct<part:int,guest:int>>")
+    def places(parts: pa.Array, ids: pa.Array, ranks: pa.Array) -> pa.Array:
+        out = [[{"part": p, "guest": 0}] for p in parts.to_pylist()]
+        for own, i, r in zip(out, ids.to_pylist(), ranks.to_pylist()):
+            if (i, r) in first:
+                own.append({"part": first[i, r], "guest": 2 if (i, r) == earliest else 1})
+        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("guest", pa.int32())])))
+
+    dealt = keyed.withColumn("place", F.explode(places("part", "key", "rank"))).select("doc_id", "text", "rank", "place.part", "place.guest")
+    ordered = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("guest", F.asc_nulls_first("doc_id"), "rank", "text")
     return ordered.select("doc_id", "text", "guest").mapInArrow(lambda batches: _compare(batches, k, window), _OUT_DDL)

@@ -277,23 +277,19 @@ def test_suffix_array_and_common_prefixes(share):
 # ---- fingerprints
 
 
-def test_fingerprints(docs, rows):
-    got = winnowing.fingerprints(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    want = []
-    for k, r in enumerate(order):
-        text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
-        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
-        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), winnowing.as_string(*winnow_by_hand(text)), winnowing.as_string(*winnow_by_hand(edited))))
-    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    long = [r for r in got if r["n_chars"] > 600]
-    assert np.mean([r["near_edited"] for r in long]) > 0.2 > np.mean([r["near_next"] for r in long])
+def gram_by_hand(codes, k):
+    """The hash of a gram from its code points: a polynomial, scaled so that its place doesn't count, with its bits spread."""
+    m, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    h = sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(codes)) & m
+    h ^= 0 if len(codes) == k else len(codes)  # a shorter text is one gram, apart from longer ones
+    h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & m
+    h = ((h ^ (h >> 29)) * 0xA3B195354A39B70D) & m
+    return h ^ (h >> 32)
 
 
 def winnow_by_hand(text, k=winnowing.K, window=winnowing.WINDOW):
-    codes = np.array([ord(c) for c in text], np.uint32)
-    grams = winnowing.gram_hashes(codes, k).tolist()
+    codes = [ord(c) for c in text]
+    grams = [gram_by_hand(codes[i : i + k], k) for i in range(max(1, len(codes) - k + 1))] if codes else []
     chosen = []
     for i in range(max(1, len(grams) - window + 1)) if grams else ():
         part = [(g >> 32, -p) for p, g in enumerate(grams[i : i + window], i)]
@@ -303,6 +299,50 @@ def winnow_by_hand(text, k=winnowing.K, window=winnowing.WINDOW):
     return np.array([h for h, _ in chosen], np.uint32), np.array([p for _, p in chosen], np.uint32)
 
 
+def likeness_by_hand(a, b):
+    a, b = set(a.tolist()), set(b.tolist())
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def fingerprints_by_hand(spark, rows):
+    ranks = {r["t"]: r["h"] for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ranks[r[1] or ""], r[1] or ""))
+    want = []
+    for k, r in enumerate(order):
+        text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, other, following = map(winnow_by_hand, (text, edited, after))
+        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), winnowing.as_string(*own), winnowing.as_string(*other), likeness_by_hand(own[0], other[0]), likeness_by_hand(own[0], following[0])))
+    return sorted(want, key=repr)
+
+
+def test_fingerprints(spark, docs, rows):
+    got = winnowing.fingerprints(docs).collect()
+    assert sorted(map(tuple, got), key=repr) == fingerprints_by_hand(spark, rows)
+    long = [r for r in got if r["n_chars"] > 600]
+    assert np.mean([r["near_edited"] for r in long]) > 0.2 > np.mean([r["near_next"] for r in long])
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_fingerprints_of_one_hot_id(spark, monkeypatch, hot):
+    """Most rows share one doc_id, or have none: they are dealt over several ranges in their order."""
+    monkeypatch.setattr(winnowing, "PARTITION_CHARS", 400)
+    rng = random.Random(18)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90)))
+    rows = [(hot, text()) for _ in range(80)] + [(i, text()) for i in range(20)] + [(3, "same"), (3, "same")]
+    got = winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == fingerprints_by_hand(spark, rows)
+
+
+def test_ranges_keep_the_order():
+    rng = np.random.default_rng(4)
+    cuts = np.array([2, 5, 5, 5, 9])
+    ids, spread = rng.integers(0, 12, 500), rng.random(500)
+    part = winnowing.places_of(cuts, ids, spread)
+    order = np.lexsort((spread, ids))
+    assert (np.diff(part[order]) >= 0).all() and set(part[ids == 5]) == {2, 3, 4} and set(part) <= set(range(6))
+
+
 def test_a_common_run_leaves_a_common_hash():
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -567,6 +607,28 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got)
 
 
+def test_metadata_enters_the_score(spark):
+    """Rows whose stated length is far from the text's are the bad ones; nothing else tells them apart."""
+    rng = random.Random(19)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
+    rows = [(i, t, str(len(t) if i % 2 else 7 * len(t))) for i in range(400) for t in [text()]] + [(900, text(), None), (901, text(), "many"), (902, text(), "-3")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars string")
+    held = [r for r in quality_fm.score(docs, labels).collect() if r["held_out"] and r["doc_id"] < 400]
+    assert len(held) > 50 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.95
+    assert quality_fm.score(docs.drop("n_chars"), labels).count() == 403 and quality_fm.keep_good(docs, labels).columns == docs.columns
+
+
+def test_quality_of_held_out_labels(spark):
+    """Area under the curve on the labels that teach nothing."""
+    read_table = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    scored = quality_fm.score(read_table("documents"), read_table("labels")).filter("held_out").join(read_table("labels"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in scored if r["quality"] == q] for q in (1, 0))
+    order = np.argsort(np.argsort(np.r_[good, bad]))
+    area = (order[: len(good)].sum() - len(good) * (len(good) - 1) / 2) / (len(good) * len(bad))
+    assert len(good) > 100 and len(bad) > 20 and area > 0.95
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(7)
     width = (1 << quality_fm.BITS) + len(quality_fm.STATS)
@@ -587,6 +649,36 @@ def test_mixing(spark, docs, rows):
     assert all(r["rate"] >= 0 and math.isclose(sum(r[f"p_{d}"] for d in names), 1, abs_tol=1e-9) for r in out)
 
 
+def test_posteriors_by_hand(spark, docs, rows):
+    """Naive Bayes written out, with the smoothing shared out as the buckets stand in all domains."""
+    labels, names = labels_of(spark, rows), list(soft_mixing.DOMAINS)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower())
+    every = sorted({w for r in rows for w in split(r[1])})
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(soft_mixing.BUCKETS)).alias("b")).collect()}
+    domain: dict = {}
+    for doc_id, quality, toxic in labels.collect():
+        found = "toxic" if toxic == 1 else "low" if quality == 0 else "good" if quality == 1 else None
+        if doc_id is not None and found:
+            domain[doc_id] = min(found, domain.get(doc_id, found))
+    count = {d: collections.Counter(bucket[w] for r in rows if domain.get(r[0]) == d for w in split(r[1])) for d in names}
+    sums = {d: sum(c.values()) for d, c in count.items()}
+    pseudo = soft_mixing.SMOOTHING * soft_mixing.BUCKETS
+    known = set().union(*count.values())
+    prior = {d: math.log((sum(x == d for x in domain.values()) + 1) / (len(domain) + len(names))) for d in names}
+    want = []
+    for r in rows:
+        logs = dict(prior)
+        for b in (bucket[w] for w in split(r[1])):
+            if b in known:
+                share = sum(c[b] for c in count.values()) / sum(sums.values())
+                for d in names:
+                    logs[d] += math.log((count[d][b] + pseudo * share) / (sums[d] + pseudo))
+        whole = sum(math.exp(v - max(logs.values())) for v in logs.values())
+        want.append((str(r[0]), len(split(r[1])), *(math.exp(logs[d] - max(logs.values())) / whole for d in names)))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], *(r[f"p_{d}"] for d in names)) for r in soft_mixing.mix(docs, labels).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and np.allclose([x[2:] for x in got], [x[2:] for x in sorted(want)], atol=1e-9)
+
+
 def test_mixing_reaches_its_targets(spark):
     read_table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
     out = soft_mixing.mix(read_table("documents"), read_table("labels")).collect()
@@ -781,6 +873,36 @@ def test_url_filter(spark):
 # ---- all of them
 
 
+def test_clashing_columns(spark):
+    """Further columns under the names that the operators use inside change nothing."""
+    pages = spark.createDataFrame(PAGES, PAGE_SCHEMA)
+    odd = pages.withColumns({c: F.lit("x") for c in ("host", "path", "paths", "votes", "rule", "ruled", "record", "salt", "text", "block_probability")})
+    for f in (host_paths.main_text, url_filter.judge, lambda p: warc.derivatives(warc.as_responses(p))):
+        same = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert same(f(odd)) == same(f(pages))
+    docs = spark.createDataFrame([(i, f"word{i % 3} text {i} " * 9) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    extra = {c: F.lit("y") for c in ("label", "score", "bucket", "held_out", "domain", "p", "n_tokens", "rate", "token")}
+    for f in (quality_fm.score, soft_mixing.mix):
+        assert sorted(map(str, f(docs.withColumns(extra), labels.withColumns(extra)).collect())) == sorted(map(str, f(docs, labels).collect()))
+
+
+def test_texts_of_20000_words(spark):
+    rng = random.Random(20)
+    text = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    long = text(20_000)
+    rows = [(1, long), (2, long + " end"), (3, text(20_000)), (4, "short text here"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    cut = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digests(docs).collect()}
+    assert cut == {1: len(long), 2: len(long), 3: 0, 4: 0, 5: 0}
+    assert all(r["n_tokens"] == len((t or "").split()) + 1 for r in gru_lm.scores(docs).collect() for i, t in rows if i == r["doc_id"])
+    item = spark.createDataFrame([(9, f"{text(40)}. {text(20)}.")], "item_id long, text string")
+    holder = docs.union(spark.createDataFrame([(6, f"{text(15_000)} {item.first()['text']} {text(5_000)}")], "doc_id long, text string"))
+    assert [r["doc_id"] for r in bm25_decontam.leaks(holder, item).collect()] == [6]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
