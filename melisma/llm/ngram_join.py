@@ -24,6 +24,8 @@ PERCENT = 75
 #: Postings that a task holds before it sends them on, and characters of text whose postings meet in one range.
 FLUSH = 2 << 20
 RANGE_CHARS = 12 << 20
+#: The frequency that a heavy token counts as, and the fewest sets of one task's share that make a token heavy.
+HEAVY, LEAST_HEAVY = 1 << 30, 16
 #: Bits of the parity bitmap that bounds the overlap of two sets before their tokens are fetched.
 BITMAP = 512
 #: Cheap rounds against one representative go on until at most this many unlinked pairs are left for each posting.
@@ -56,7 +58,7 @@ def signature(tokens: np.ndarray) -> int:
 
 
 _INFO = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
-_POSTINGS = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary())])
+_POSTINGS = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("heavy", pa.binary())])
 _SHARED = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
 _SETS = pa.schema([
     ("sig", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), *((f"bits{k}", pa.int64()) for k in range(BITMAP // 64)),
@@ -84,8 +86,12 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
 
 
-def _postings(bits: int, n: int):
-    """Each distinct set's tokens, sorted and cut into hash ranges; sets that a task meets again are left out."""
+def _postings(bits: int, n: int, heavy: int):
+    """Each distinct set's tokens, sorted and cut into hash ranges; sets that a task meets again are left out.
+
+    A token that over `heavy` of the sets held have is shared by any count. It goes straight to its sets' ranges, and its own range
+    only learns that it is heavy, so that no range holds more of a token than `heavy` postings from each share.
+    """
 
     def flush(sets: dict):
         tokens = np.concatenate(list(sets.values()))
@@ -94,12 +100,26 @@ def _postings(bits: int, n: int):
         own = np.repeat(np.arange(len(sigs), dtype=np.int32), sizes)
         order = np.argsort(tokens)
         tokens, own = tokens[order], own[order]
+        lo = runs(tokens)
+        count = np.diff(np.r_[lo, len(tokens)])
+        loud = tokens[lo[count > heavy]]
+        told = {part: loud[a:z] for part, a, z in by_range(loud, bits)}
+        if len(loud):
+            mask = np.repeat(count > heavy, count)
+            far, of = tokens[mask], own[mask]
+            tokens, own = tokens[~mask], own[~mask]
+            order = np.argsort(sigs[of].view(np.uint64), kind="stable")
+            far, of = far[order], of[order]
+            for part, a, z in by_range(sigs[of].view(np.uint64), bits):
+                yield rows(_POSTINGS, [[part], [pack(far[a:z])], [None], [sigs[of[a:z]].tobytes()], [sizes[of[a:z]].tobytes()], [None]])
         for part, a, z in by_range(tokens, bits):
             here = np.zeros(len(sigs), bool)
             here[own[a:z]] = True
             near = np.flatnonzero(here)
             place = (np.cumsum(here) - 1)[own[a:z]].astype(np.uint16 if len(near) <= 1 << 16 else np.uint32)
-            yield rows(_POSTINGS, [[part], [pack(tokens[a:z])], [pack(place)], [sigs[near].tobytes()], [sizes[near].tobytes()]])
+            yield rows(_POSTINGS, [[part], [pack(tokens[a:z])], [pack(place)], [sigs[near].tobytes()], [sizes[near].tobytes()], [told.pop(part, loud[:0]).tobytes()]])
+        for part, own_loud in told.items():
+            yield rows(_POSTINGS, [[part], [b""], [b""], [b""], [b""], [own_loud.tobytes()]])
 
     def posted(batches):
         sets: dict = {}
@@ -124,17 +144,23 @@ def _shared(bits: int):
     """Of one hash range the tokens that several sets have, with their frequencies, sent on by set."""
 
     def shared(table: pa.Table) -> pa.Table:
-        tokens, sigs, sizes = [], [], []
-        for t, p, s, z in zip(*(table.column(c) for c in ("tokens", "place", "sigs", "sizes"))):
+        tokens, sigs, sizes, loud, out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], []
+        for part, t, p, s, z, h in zip(*(table.column(c) for c in _POSTINGS.names)):
             t = unpack(t.as_buffer(), np.uint64)
+            s, z = raw(s.as_buffer(), np.int64), raw(z.as_buffer(), np.int32)
+            if not p.is_valid:  # heavy tokens of sets of this range
+                out.append((part.as_py(), s.tobytes(), z.tobytes(), pack(t), pack(np.full(len(t), HEAVY, np.int32))))
+                continue
             p = unpack(p.as_buffer(), np.uint16 if len(p.as_buffer()) == 2 * len(t) else np.uint32)
             tokens.append(t)
-            sigs.append(raw(s.as_buffer(), np.int64)[p])
-            sizes.append(raw(z.as_buffer(), np.int32)[p])
-        tokens, sigs, sizes = map(np.concatenate, (tokens, sigs, sizes))
+            sigs.append(s[p])
+            sizes.append(z[p])
+            loud.append(raw(h.as_buffer(), np.uint64))
+        tokens, sigs, sizes, loud = map(np.concatenate, (tokens, sigs, sizes, loud))
         order = np.argsort(tokens)
         lo = runs(tokens[order])
-        often = np.repeat(np.diff(np.r_[lo, len(order)]) > 1, np.diff(np.r_[lo, len(order)]))
+        count = np.diff(np.r_[lo, len(order)])
+        often = np.repeat((count > 1) | np.isin(tokens[order][lo], loud), count)
         order = order[often]
         order = order[np.lexsort((sigs[order], tokens[order]))]  # the same set can come from several tasks
         tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
@@ -142,9 +168,9 @@ def _shared(bits: int):
         first[1:] = (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])
         tokens, sigs, sizes = tokens[first], sigs[first], sizes[first]
         lo = runs(tokens)
-        df = np.repeat(np.diff(np.r_[lo, len(tokens)]), np.diff(np.r_[lo, len(tokens)])).astype(np.int32)
+        count = np.diff(np.r_[lo, len(tokens)])
+        df = np.repeat(np.where(np.isin(tokens[lo], loud), HEAVY, count), count).astype(np.int32)
         tokens, sigs, sizes, df = (x[df > 1] for x in (tokens, sigs, sizes, df))
-        out = []
         order = np.argsort(sigs.view(np.uint64) >> np.uint64(64 - bits), kind="stable")
         for k, a, z in by_range(sigs.view(np.uint64)[order], bits):
             at = order[a:z]
@@ -167,6 +193,10 @@ def _sets(percent: int):
     def whole(table: pa.Table) -> pa.Table:
         sigs, sizes = joined(table.column("sigs"), np.int64, raw), joined(table.column("sizes"), np.int32, raw)
         tokens, df = joined(table.column("tokens"), np.uint64), joined(table.column("df"), np.int32)
+        if len(df) and df.max() == HEAVY:  # these may come from several tasks
+            order = np.lexsort((tokens, sigs))
+            order = order[np.r_[True, (sigs[order][1:] != sigs[order][:-1]) | (tokens[order][1:] != tokens[order][:-1])]]
+            sigs, sizes, tokens, df = sigs[order], sizes[order], tokens[order], df[order]
         order = np.argsort(sigs, kind="stable")
         lo = runs(sigs[order])
         count = np.diff(np.r_[lo, len(order)])
@@ -212,7 +242,8 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     all other pairs that share a prefix token are verified, so no component is missed.
     """
     bits = range_bits(docs, RANGE_CHARS)
-    postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_postings(bits, n), "part int, tokens binary, place binary, sigs binary, sizes binary")
+    heavy = max(LEAST_HEAVY, FLUSH >> bits)  # a range has about FLUSH postings, and there are about as many shares as ranges
+    postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_postings(bits, n, heavy), "part int, tokens binary, place binary, sigs binary, sizes binary, heavy binary")
     shared = postings.groupBy("part").applyInArrow(_shared(bits), "part int, sigs binary, sizes binary, tokens binary, df binary")
     sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens array<long>, second array<long>, third array<long>"))
     posts = sets.select("sig", "n", "shared", "tokens").mapInArrow(_prefix(percent), "token long, sig long, n long, rest long")

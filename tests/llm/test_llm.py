@@ -123,6 +123,25 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == expected_groups(rows)
 
 
+def test_heavy_shingles(spark, monkeypatch):
+    """Shingles that stand in most texts, in some tasks' shares more often than in others, change no result."""
+    monkeypatch.setattr(ngram_join, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(ngram_join, "FLUSH", 600)
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = [[word() for _ in range(12)] for _ in range(4)]
+    rows = []
+    for k in range(160):
+        own = [word() for _ in range(rng.choice([8, 16, 24]))]
+        rows.append((k, " ".join(sum(rng.sample(common, rng.randint(0, 4)), own)), None, None, None, None, None))
+        if k % 5 == 0:
+            rows.append((1000 + k, rows[-1][1] + " more", None, None, None, None, None))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect()), key=repr) == expected_groups(rows)
+    flushed = [r for b in ngram_join._postings(3, 5, 3)([pa.record_batch({"text": [r[1] for r in rows]})]) for r in b.to_pylist()]
+    assert any(r["place"] is None for r in flushed) and any(r["heavy"] for r in flushed)
+
+
 def test_keep_first(spark, docs, rows):
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
