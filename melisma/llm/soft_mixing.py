@@ -81,6 +81,12 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, tokens
     TOLERANCE of their targets or after `steps`.
     """
     names = list(targets)
+    memberships = F.array(*(F.col(f"p_{d}") for d in names))
+
+    def pull(force: list[float]) -> Column:
+        """Σ force · membership. The forces are one array, so that every step compiles to the same code."""
+        return F.aggregate(F.zip_with(memberships, F.array(*map(F.lit, force)), lambda p, f: p * f), F.lit(0.0), lambda a, x: a + x)
+
     expected = lambda rate: [F.coalesce(F.sum(rate * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in names]
     now = durable(members.withColumn("rate", F.lit(1.0)))
     have = now.agg(*expected(F.col("rate"))).first().asDict()
@@ -92,7 +98,7 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, tokens
         force = {d: (totals[d] - aim[d]) / have[d] if have[d] > 0 else 0.0 for d in names}
         if all(abs(totals[d] - aim[d]) <= TOLERANCE * max(1.0, whole) for d in names):
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(STEP_SIZE * force[d]) * F.col(f"p_{d}") for d in names), F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0), rate - pull([STEP_SIZE * force[d] for d in names]))
         if step % 8 == 0:
             now, rate = durable(now.withColumn("rate", rate)), F.col("rate")
         totals = now.agg(*expected(rate)).first().asDict()
