@@ -302,8 +302,8 @@ def test_radio_station_uses_whole_libraries(spark, monkeypatch):
 
 def test_search_batch_reads_whole_texts(spark, tmp_path):
     late = "opening words that say nothing of interest to anybody at all here\nthen comes quixotic zeppelin at last"
-    rows = [(10, "a quixotic zeppelin", "en", "x"), (11, late, "en", "x"), (12, "nothing like it", "en", "x")]
+    rows = [(100, "a quixotic zeppelin", "en", "x"), (101, late, "en", "x"), (102, "nothing like it", "en", "x")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     from melisma.plans import retrieval
 
-    assert {r["doc_id"] for r in retrieval.search_batch(spark, str(tmp_path)).filter("qid = 10").collect()} == {10, 11}
+    assert {r["doc_id"] for r in retrieval.search_batch(spark, str(tmp_path)).filter("qid = 100").collect()} == {100, 101}
