@@ -9,7 +9,8 @@ from melisma.functions import pages, parse
 from melisma.functions import text as tx
 from melisma.operators import merge
 from melisma.operators import recommend as r
-from melisma.operators.ranking import ranked_within
+from melisma.operators import telemetry as o
+from melisma.operators.ranking import keep_first, ranked_within, top_ranked
 from melisma.plans import recommend as radio
 from melisma.plans.recommend import fnv_sql
 from melisma.registry import query
@@ -184,3 +185,49 @@ def ask(spark, path: str, text: str, k: int = 10):
     from melisma.operators import search as s
 
     return s.search(s.open_saved(spark, path), s.query_tokens(spark.createDataFrame([(1, text)], "qid long, text string")), k).orderBy("category", "rank")
+
+
+_NOW, _SPLIT = "2024-01-30", "2024-01-16"
+
+
+@query("top_loved", f"""WITH s AS (SELECT item, count(DISTINCT device) FILTER (kind = 'play' AND t < TIMESTAMP '{_SPLIT}') AS bp, count(DISTINCT device) FILTER (kind = 'play' AND t >= TIMESTAMP '{_SPLIT}') AS lp,
+  count(DISTINCT device) FILTER (kind = 'favorite') AS fav, count(DISTINCT device) FILTER (kind = 'download') AS dl, coalesce(avg(CASE WHEN kind IN ('play', 'skip') AND t >= TIMESTAMP '{_SPLIT}' THEN CAST(kind = 'skip' AS INT) END), 0.0) AS skip FROM play GROUP BY 1),
+ k AS (SELECT item, title, artist_id, round(bp / (bp + 3.0) + 0.6 * lp / (lp + 3.0) * (1 - least(skip, 0.8)), 9) AS score, round(1.2 * fav / (fav + 3.0) + 0.3 * dl / (dl + 3.0), 9) AS tie FROM s JOIN track ON track_id = item),
+ r AS (SELECT *, row_number() OVER (PARTITION BY title, artist_id ORDER BY score DESC, tie DESC, item) AS rn FROM k) SELECT item, title, score, tie, row_number() OVER (ORDER BY score DESC, tie DESC, item) AS rank FROM r WHERE rn = 1 ORDER BY rank LIMIT 50""")
+def top_loved(spark, d, n: int = 50):
+    """The chart of what is loved: earlier plays, and later ones less their skips; favourites and downloads only break ties."""
+    live = F.col("t") >= F.lit(_SPLIT).cast("timestamp")
+    devices = lambda condition, name: F.count_distinct(F.when(condition, F.col("device"))).alias(name)
+    is_kind = lambda k: F.col("kind") == k
+    skip = F.coalesce(F.avg(F.when(F.col("kind").isin("play", "skip") & live, is_kind("skip").cast("int"))), F.lit(0.0))
+    s = t.plays(spark, d).groupBy("item").agg(devices(is_kind("play") & ~live, "bp"), devices(is_kind("play") & live, "lp"), devices(is_kind("favorite"), "fav"), devices(is_kind("download"), "dl"), skip.alias("skip"))
+    score = F.round(o.shrink(F.col("bp")) + 0.6 * o.shrink(F.col("lp")) * (1 - F.least("skip", F.lit(0.8))), 9)
+    tie = F.round(1.2 * o.shrink(F.col("fav")) + 0.3 * o.shrink(F.col("dl")), 9)
+    order = [F.desc("score"), F.desc("tie"), F.asc("item")]
+    named = s.select("item", score.alias("score"), tie.alias("tie")).join(t.tracks(spark, d).select(F.col("track_id").alias("item"), "title", "artist_id"), "item")
+    return top_ranked(keep_first(named, ["title", "artist_id"], order), order, n).select("item", "title", "score", "tie", "rank")
+
+
+@query("trending", f"""WITH e AS (SELECT * FROM play WHERE t >= TIMESTAMP '{_NOW}' - INTERVAL 7 DAY AND t < TIMESTAMP '{_NOW}'),
+ cur AS (SELECT item, count(DISTINCT device) FILTER (kind = 'play') AS d, coalesce(avg(CASE WHEN kind IN ('play', 'skip') THEN CAST(kind = 'skip' AS INT) END), 0.0) AS skip, count(DISTINCT device) FILTER (kind = 'impression') AS seen FROM e GROUP BY 1),
+ prev AS (SELECT item, count(DISTINCT device) AS p FROM play WHERE kind = 'play' AND t >= TIMESTAMP '{_NOW}' - INTERVAL 14 DAY AND t < TIMESTAMP '{_NOW}' - INTERVAL 7 DAY GROUP BY 1 ORDER BY p DESC, item LIMIT 60), cap AS (SELECT CASE WHEN count(*) >= 60 THEN min(p) ELSE 0 END AS absent FROM prev),
+ every AS (SELECT count(DISTINCT device) AS n FROM e WHERE kind = 'impression'),
+ k AS (SELECT item, title, artist_id, round(greatest(0, d - coalesce(p, absent)) * (1 - 0.5 * least(1, skip)) * (1 - 0.35 * least(1.0, seen / n)), 9) AS score, round(d * (1 - 0.5 * least(1, skip)) * (1 - 0.35 * least(1.0, seen / n)), 9) AS tie
+  FROM cur LEFT JOIN prev USING (item) JOIN track ON track_id = item, cap, every WHERE d >= 3 AND skip < 0.5 AND item % 10 <> 3),
+ r AS (SELECT *, row_number() OVER (PARTITION BY title, artist_id ORDER BY score DESC, tie DESC, item) AS rn FROM k) SELECT item, title, score, tie, row_number() OVER (ORDER BY score DESC, tie DESC, item) AS rank FROM r WHERE rn = 1 ORDER BY rank LIMIT 25""")
+def trending(spark, d, cap: int = 60, n: int = 25):
+    """What rises: this week's devices over those of a capped list of the week before, less skips and exposure. Recordings of voices only are
+    out (here every tenth track), and of one title and artist one stays; ties go by the week's own reach."""
+    plays, now = t.plays(spark, d), F.lit(_NOW).cast("timestamp")
+    week = plays.filter((F.col("t") >= now - F.expr("INTERVAL 7 DAYS")) & (F.col("t") < now))
+    before = plays.filter((F.col("kind") == "play") & (F.col("t") >= now - F.expr("INTERVAL 14 DAYS")) & (F.col("t") < now - F.expr("INTERVAL 7 DAYS")))
+    devices = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("device")))
+    skip = F.coalesce(F.avg(F.when(F.col("kind").isin("play", "skip"), (F.col("kind") == "skip").cast("int"))), F.lit(0.0))
+    cur = week.groupBy("item").agg(devices("play").alias("d"), skip.alias("skip"), devices("impression").alias("seen")).filter("d >= 3 AND skip < 0.5 AND item % 10 <> 3")
+    prev = o.reach(before, "item").withColumnRenamed("reach", "p").orderBy(F.desc("p"), "item").limit(cap)
+    one = o.capped_default(prev, "p", cap).join(week.agg(devices("impression").alias("n")))  # a row each
+    damp = (1 - 0.5 * F.least(F.lit(1.0), "skip")) * o.exposure_multiplier(F.col("seen"), F.col("n"))
+    found = cur.join(prev, "item", "left").join(F.broadcast(one)).join(t.tracks(spark, d).select(F.col("track_id").alias("item"), "title", "artist_id"), "item")
+    scored = found.select("item", "title", "artist_id", F.round(F.greatest(F.lit(0), F.col("d") - F.coalesce("p", "absent")) * damp, 9).alias("score"), F.round(F.col("d") * damp, 9).alias("tie"))
+    order = [F.desc("score"), F.desc("tie"), F.asc("item")]
+    return top_ranked(keep_first(scored, ["title", "artist_id"], order), order, n).select("item", "title", "score", "tie", "rank")
