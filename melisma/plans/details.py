@@ -231,3 +231,54 @@ def trending(spark, d, cap: int = 60, n: int = 25):
     scored = found.select("item", "title", "artist_id", F.round(F.greatest(F.lit(0), F.col("d") - F.coalesce("p", "absent")) * damp, 9).alias("score"), F.round(F.col("d") * damp, 9).alias("tie"))
     order = [F.desc("score"), F.desc("tie"), F.asc("item")]
     return top_ranked(keep_first(scored, ["title", "artist_id"], order), order, n).select("item", "title", "score", "tie", "rank")
+
+
+@query("day_numbers", "SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS day FROM events")
+def day_numbers(spark, d):
+    """ISO times as milliseconds, and the number of the day."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    at = F.to_timestamp(iso)
+    return t.load(spark, d, "events").select("event_id", F.unix_millis(at).alias("ms"), F.datediff(at, F.lit("1970-01-01").cast("date")).alias("day"))
+
+
+@query("genre_lead", f"WITH {_HEARD}, m0 AS (SELECT unnest(genres) AS station, track_id AS item, 1 AS place FROM track), mb AS (SELECT m0.*, round(reach / (reach + 3.0) + 0.35 * {_UNIT}, 9) AS pull, row_number() OVER (PARTITION BY station ORDER BY reach DESC, item) AS pop FROM m0 JOIN hd USING (item)) {_LEAD.format(n=40)}")
+def genre_lead(spark, d):
+    """The track that a genre's station opens with: one of its forty most heard, by reach and chance."""
+    members = t.tracks(spark, d).select(F.explode("genres").alias("station"), F.col("track_id").alias("item"), F.lit(1).alias("place"))
+    return r.start("genre", members, radio.heard(spark, d), radio.edges(spark, d, ["favorite"])).opening.select("station", "item")
+
+
+_NOW_S = 9000
+
+
+@query("schedule_upcoming", f"""WITH sch AS (SELECT genres[1] AS station, track_id AS item, duration_sec AS dur_sec, is_video, CAST(coalesce(sum(duration_sec) OVER (PARTITION BY genres[1] ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_s FROM track),
+ k AS (SELECT station, item, start_s, start_s - {_NOW_S} AS offset_s, row_number() OVER (PARTITION BY station ORDER BY start_s, item) AS place FROM sch WHERE start_s + dur_sec > {_NOW_S} AND dur_sec >= 30 AND NOT is_video) SELECT * FROM k WHERE place <= 5""")
+def schedule_upcoming(spark, d, now_s: int = _NOW_S, n: int = 5):
+    """What each station plays now, if it may be served, else what comes next, and the entries after it; an entry that runs has a negative offset."""
+    ok = t.tracks(spark, d).filter("NOT is_video").select(F.col("track_id").alias("item"))
+    entries = radio.prefix_starts(spark, d).filter((F.col("start_s") + F.col("dur_sec") > now_s) & (F.col("dur_sec") >= 30)).join(ok, "item", "left_semi")
+    ranked = ranked_within(entries, ["station"], [F.asc("start_s"), F.asc("item")], "place").filter(F.col("place") <= n)
+    return ranked.select("station", "item", "start_s", (F.col("start_s") - now_s).alias("offset_s"), "place")
+
+
+@query("validate_sources", "WITH doc AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 4 < 2 THEN 2 ELSE 0 END AS ids FROM orders) SELECT id, CASE WHEN year IS NOT NULL THEN 'both' ELSE 'neither' END AS fault FROM doc WHERE (year IS NOT NULL) = (ids > 0)")
+def validate_sources(spark, d):
+    """Lists that name a year and ids, or none of them: a list is made from exactly one. Nothing is written."""
+    k = F.col("o_orderkey")
+    doc = t.load(spark, d, "orders").select(k.alias("id"), F.when(k % 3 != 0, F.year("o_orderdate")).alias("year"), F.when(k % 4 < 2, F.array(k, k + 1)).otherwise(F.array().cast("array<bigint>")).alias("ids"))
+    dated, named = F.col("year").isNotNull(), F.size("ids") > 0
+    return doc.filter(dated == named).select("id", F.when(dated, "both").otherwise("neither").alias("fault"))
+
+
+@query("podcast_stats", "WITH e AS (SELECT DISTINCT conv_id, turn FROM conversations) SELECT count(DISTINCT conv_id) AS shows, count(*) AS episodes, max(n) AS longest FROM e JOIN (SELECT conv_id, count(*) AS n FROM e GROUP BY 1) USING (conv_id)")
+def podcast_stats(spark, d):
+    eps = t.load(spark, d, "conversations").select("conv_id", "turn").distinct().groupBy("conv_id").agg(F.count("*").alias("n"))
+    return eps.agg(F.count("*").alias("shows"), F.sum("n").alias("episodes"), F.max("n").alias("longest"))
+
+
+@query("rejected_names", "WITH k AS (SELECT l_suppkey AS channel_id, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R') SELECT channel_id, count(*) AS rejected, any_value(s_name) AS name, arg_min('T' || l_partkey, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey)) AS title FROM k JOIN supplier ON s_suppkey = channel_id GROUP BY 1")
+def rejected_names(spark, d):
+    """Rejected uploads of each channel: how many, its name, and the title that was met first."""
+    lines = t.load(spark, d, "lineitem").filter("l_returnflag = 'R'")
+    tally = lines.groupBy(F.col("l_suppkey").alias("channel_id")).agg(F.count("*").alias("rejected"), F.min_by(F.concat(F.lit("T"), "l_partkey"), F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("title"))
+    return tally.join(t.load(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("name")), "channel_id").select("channel_id", "rejected", "name", "title").orderBy(F.desc("rejected"), "channel_id")
