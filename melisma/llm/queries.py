@@ -1,10 +1,11 @@
-"""The ten operators as queries over the test tables, with their production parameters."""
+"""The operators as queries over the test tables, with their production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bm25_decontam, gru_lm, host_paths, ngram_join, quality_fm, soft_mixing, suffix_dedup, url_filter, warc, winnowing
+from . import best_fit_packing, bm25_decontam, fill_in_middle, gru_lm, host_paths, ngram_join, quality_fm, soft_mixing, suffix_dedup, url_filter, vp_negatives, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,24 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vp_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    given = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("anchor"), F.col("embedding").alias("vector"),
+    )
+    return vp_negatives.hard_negatives(given, scale=256.0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_warc_derivatives": op1_warc_derivatives,
@@ -63,6 +82,9 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_quality_fm": op10_quality_fm,
+        "op11_vp_hard_negatives": op11_vp_hard_negatives,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
@@ -101,6 +123,36 @@ FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN pas
 """
 
 
+#: All scores of all anchors, by brute force.
+HARD_NEGATIVES = r"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT ar, anchor_id, br, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, other, br) <= 5),
+n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.other, s.br) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: Tokens as a list of matches; pieces are slices of it.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS w, list_transform(range(4), lambda i: CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT)) AS r FROM d),
+c AS (SELECT doc_id, t, w, len(w) AS n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS lo, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:lo], '') AS p, array_to_string(w[lo + 1:hi], '') AS m, array_to_string(w[hi + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators' results depend on hashes, models or text rules that SQL doesn't have; tests/llm holds them against brute force."""
-    return {"op5_ngram_jaccard_join": NEAR_DUPLICATES, "op9_suffix_array_dedup": REPEATED_STRINGS}
+    return {
+        "op5_ngram_jaccard_join": NEAR_DUPLICATES, "op9_suffix_array_dedup": REPEATED_STRINGS, "op11_vp_hard_negatives": HARD_NEGATIVES,
+        "op12_fill_in_middle": FILL_IN_MIDDLE,
+    }
