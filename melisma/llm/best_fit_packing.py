@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import collections
 import os
+import re
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -21,16 +23,78 @@ from .common import durable, pieces, tidy
 
 ROOM = 1024
 END = 2
+#: Words that a task remembers the ids of (about 250 bytes each).
+REMEMBERED = 1 << 19
+_WORD = re.compile(r" (?=\S)")
+#: Words of ASCII characters but the apostrophe and of Latin letters, and their runs of letters, digits and others.
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ʯ]+")
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ʯ]+|[0-9]+|[^A-Za-z0-9À-ÖØ-öø-ʯ]+")
+#: How a byte-level vocabulary shows each byte: printable characters of Latin-1 as themselves, the others from U+0100 on, in order.
+_SHOWN = [chr(b) if b in range(33, 127) or b in range(161, 173) or b in range(174, 256) else "" for b in range(256)]
+for _n, _b in enumerate([b for b in range(256) if not _SHOWN[b]]):
+    _SHOWN[_b] = chr(256 + _n)
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
-def encoder(path: str):
-    """A function from texts to their ids, by a file of the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers, by a file of the tokenizers library with a byte-level vocabulary.
 
-    model = Tokenizer.from_file(path)
-    return lambda texts: (e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False))
+    Such a vocabulary never joins what stands before a space to a word behind it, and the word takes the space ("Ġ") along. So texts are
+    looked up word by word, and only words not met before are encoded: a plain one as runs of letters, digits and others, which
+    the vocabulary keeps apart, any other by the library's whole path. The ids are those of the whole text.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.whole_path = Tokenizer.from_file(path)
+        self.model = self.whole_path.model
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        words = set().union(*(w[1:] for w in split))
+        odd = {w for w in words if not w or w[0].isspace()}
+        if odd:  # a space before white space can belong to it
+            split = [w if odd.isdisjoint(w[1:]) else _WORD.split(t) for w, t in zip(split, texts)]
+            words = set().union(*(w[1:] for w in split))
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known, self.runs = {}, {}
+        known = self.known
+        known.update(self.words(words.difference(known)))
+        own = {w: known[w] for w in words}
+        return [h + b"".join([own[w] for w in w[1:]]) for h, w in zip(self.whole([w[0] for w in split]), split)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in self.whole_path.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def words(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of each word with a space before it."""
+        found, others, runs = {}, [], self.runs
+        for w in new:
+            if not _PLAIN.fullmatch(w):
+                others.append(w)
+                continue
+            if not w.isascii():
+                first, *rest = ("".join(map(_SHOWN.__getitem__, r.encode())) for r in _RUNS.findall(w))
+            elif w.isalpha():
+                first, rest = w, ()
+            else:
+                first, *rest = _RUNS.findall(w)
+            ids = b""
+            for r in ("Ġ" + first, *rest):
+                own = runs.get(r)
+                if own is None:
+                    own = runs[r] = packed([t.id for t in self.model.tokenize(r)])
+                ids += own
+            found[w] = ids
+        return found | dict(zip(others, self.whole([" " + w for w in others])))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def cuts(n: int, room: int = ROOM) -> list[int]:
@@ -39,16 +103,17 @@ def cuts(n: int, room: int = ROOM) -> list[int]:
 
 
 def _encode(batches, path: str, room: int, end: int):
-    encode, met = encoder(path), collections.Counter()
+    encode, met = Encoder(path), collections.Counter()
+    last = packed([end])
     context = TaskContext.get()
     task = context.partitionId() if context else 0
     for batch in (p for b in batches for p in pieces(b, "text", 1 << 20)):
         out = []
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").fill_null("").to_pylist())):
-            ids = np.array([*ids, end], "<u4")
-            starts = cuts(len(ids), room)
-            for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-                out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b]), task, met[b - a]))
+            ids += last
+            starts = cuts(len(ids) // 4, room)
+            for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids) // 4])):
+                out.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), task, met[b - a]))
                 met[b - a] += 1
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "number")
@@ -203,10 +268,10 @@ def pack(docs: DataFrame, vocabulary: str, room: int = ROOM, end: int = END) ->
 
 
 def _spans(batches, path: str, end: int):
-    encode = encoder(path)
+    encode, last = Encoder(path), packed([end])
     for batch in (p for b in batches for p in pieces(b, "text", 1 << 20)):
         columns = [batch.column(c).to_pylist() for c in ("start", "length", "sequence_id", "offset")]
-        ids = [([*i, end][a : a + n], s, o) for i, a, n, s, o in zip(encode(batch.column("text").fill_null("").to_pylist()), *columns)]
+        ids = [(np.frombuffer(i + last, "<u4")[a : a + n].tolist(), s, o) for i, a, n, s, o in zip(encode(batch.column("text").fill_null("").to_pylist()), *columns)]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*ids), (pa.list_(pa.int32()), pa.int64(), pa.int64()))], names=("ids", "sequence_id", "offset"))
 
 
