@@ -36,61 +36,66 @@ for _n, _b in enumerate([b for b in range(256) if not _SHOWN[b]]):
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
-class Encoder:
+class Odd(Exception):
+    """White space begins a word: its space can belong to what stands before."""
+
+
+class Encoder(dict):
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers, by a file of the tokenizers library with a byte-level vocabulary.
 
     Such a vocabulary never joins what stands before a space to a word behind it, and the word takes the space ("Ġ") along. So texts are
-    looked up word by word, and only words not met before are encoded: a plain one as runs of letters, digits and others, which
-    the vocabulary keeps apart, any other by the library's whole path. The ids are those of the whole text.
+    looked up word by word, in this dictionary, and only words not met before are encoded: a plain one as runs of letters, digits and
+    others, which the vocabulary keeps apart, any other by the library's whole path. The ids are those of the whole text.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.whole_path = Tokenizer.from_file(path)
-        self.model = self.whole_path.model
-        self.known: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.runs: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        words = set().union(*(w[1:] for w in split))
-        odd = {w for w in words if not w or w[0].isspace()}
-        if odd:  # a space before white space can belong to it
-            split = [w if odd.isdisjoint(w[1:]) else _WORD.split(t) for w, t in zip(split, texts)]
-            words = set().union(*(w[1:] for w in split))
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known, self.runs = {}, {}
-        known = self.known
-        known.update(self.words(words.difference(known)))
-        own = {w: known[w] for w in words}
-        return [h + b"".join([own[w] for w in w[1:]]) for h, w in zip(self.whole([w[0] for w in split]), split)]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.whole_path.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def words(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of each word with a space before it."""
-        found, others, runs = {}, [], self.runs
-        for w in new:
-            if not _PLAIN.fullmatch(w):
-                others.append(w)
-                continue
-            if not w.isascii():
-                first, *rest = ("".join(map(_SHOWN.__getitem__, r.encode())) for r in _RUNS.findall(w))
-            elif w.isalpha():
-                first, rest = w, ()
-            else:
-                first, *rest = _RUNS.findall(w)
-            ids = b""
-            for r in ("Ġ" + first, *rest):
-                own = runs.get(r)
-                if own is None:
-                    own = runs[r] = packed([t.id for t in self.model.tokenize(r)])
-                ids += own
-            found[w] = ids
-        return found | dict(zip(others, self.whole([" " + w for w in others])))
+    def __call__(self, text: str) -> bytes:
+        head, *words = text.split(" ")
+        try:
+            ids = b"".join(map(self.__getitem__, words))
+        except Odd:
+            head, *words = _WORD.split(text)
+            ids = b"".join(map(self.__getitem__, words))
+        return self.of(head) + ids if head else ids
+
+    def of(self, text: str) -> bytes:
+        return packed(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, w: str) -> bytes:
+        """The ids of a word with a space before it."""
+        if not w or w[0].isspace():
+            raise Odd
+        if not _PLAIN.fullmatch(w):
+            ids = self.of(" " + w)
+        elif w.isascii() and w.isalpha():
+            ids = self.of_runs([w])
+        elif w.isascii():
+            ids = self.of_runs(_RUNS.findall(w))
+        else:
+            ids = self.of_runs(["".join(map(_SHOWN.__getitem__, r.encode())) for r in _RUNS.findall(w)])
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.runs.clear()
+        self[w] = ids
+        return ids
+
+    def of_runs(self, runs: list[str]) -> bytes:
+        ids, known = b"", self.runs
+        runs[0] = "Ġ" + runs[0]
+        for r in runs:
+            own = known.get(r)
+            if own is None:
+                own = known[r] = packed([t.id for t in self.model.tokenize(r)])
+            ids += own
+        return ids
 
 
 def packed(ids: list[int]) -> bytes:
@@ -109,7 +114,7 @@ def _encode(batches, path: str, room: int, end: int):
     task = context.partitionId() if context else 0
     for batch in (p for b in batches for p in pieces(b, "text", 1 << 20)):
         out = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").fill_null("").to_pylist())):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").fill_null("").to_pylist())):
             ids += last
             starts = cuts(len(ids) // 4, room)
             for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids) // 4])):
@@ -271,7 +276,7 @@ def _spans(batches, path: str, end: int):
     encode, last = Encoder(path), packed([end])
     for batch in (p for b in batches for p in pieces(b, "text", 1 << 20)):
         columns = [batch.column(c).to_pylist() for c in ("start", "length", "sequence_id", "offset")]
-        ids = [(np.frombuffer(i + last, "<u4")[a : a + n].tolist(), s, o) for i, a, n, s, o in zip(encode(batch.column("text").fill_null("").to_pylist()), *columns)]
+        ids = [(np.frombuffer(i + last, "<u4")[a : a + n].tolist(), s, o) for i, a, n, s, o in zip(map(encode, batch.column("text").fill_null("").to_pylist()), *columns)]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*ids), (pa.list_(pa.int32()), pa.int64(), pa.int64()))], names=("ids", "sequence_id", "offset"))
 
 

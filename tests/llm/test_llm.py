@@ -849,13 +849,60 @@ def test_malformed_responses(spark):
     assert sum(bytes(r["block"]) == b"Text" for r in out if r["record_type"] == "conversion") >= 6
 
 
-def test_url_classifier_on_other_hosts(spark):
-    bad = ["http://www.cheap-viagra.info/buy", "https://poker-casino-bonus.biz/win", "http://adult-cams.tv/xxx", "http://free-crack-keygen.ru/serial", "http://payday-cash-loans.co/apply", "http://replica-rolex.cn/cheap", "https://casino-jackpots.io/slots", "http://porn-videos.xyz/a"]
-    good = ["http://www.bbc-news.co.uk/world/europe", "https://en.history-wiki.org/wiki/Rome", "http://cooking.example.com/bread", "http://docs.python.org/3/library", "http://garden-club.de/rosen", "https://city-library.example.org/en/7", "http://physics.edu/lectures/12", "https://football-league.com/results"]
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string"), rules=()).collect()}
-    assert [got[i] for i in range(len(bad + good))] == ["block"] * len(bad) + ["allow"] * len(good)
-    judged = {h for f in ("sf0.01", "sf0.1") for (u,) in map(tuple, spark.read.parquet(f"/root/testdata/{f}/pages.parquet").select("url").collect()) for h in url_filter.split_url(u)[0].split(".")}
-    assert not judged & {name for name, _ in url_filter.BLOCKED + url_filter.ALLOWED}
+#: Addresses of well-known kinds, written down without a look at any table.
+HELD_OUT_BAD = """
+https://www.1xbet.com/en https://www.pornhub.com/video https://www.xvideos.com/tags https://www.pokerstars.com/poker/games https://www.888casino.com/promotions
+https://www.bet365.com/betting https://thepiratebay.org/top https://nulledscripts.net/forum http://free-viagra-online.ru/order https://cialis-without-rx.biz/buy
+http://crackedgames.net/keygen https://serialkeys.org/windows http://live-sex-cams.tv/girls https://escort-berlin.com/hookup http://fake-rolex-replica.cn/watches
+https://paydayloans.us/apply https://lottery-winner-prize.info/claim http://buybacklinks.io/cheap http://linkfarm-network.biz/links http://click.adserver.net/popunder
+https://spam-mailer.info/bulkmail http://phishing-login.tk/bank http://malware-host.ru/spyware.exe https://bitcoin-doubler.org/ponzi http://hentai-porn.xxx/
+""".split()
+HELD_OUT_GOOD = """
+https://github.com/features https://www.ikea.com/catalogue https://www.amazon.com/books https://kubernetes.io/docs/concepts https://en.wikipedia.org/wiki/Rome
+https://www.bbc.co.uk/news/world https://www.nytimes.com/section/politics https://docs.python.org/library/json.html https://www.mit.edu/research https://arxiv.org/abs
+https://www.lemonde.fr/international https://www.spiegel.de/kultur https://elpais.com/economia https://www.nature.com/articles https://stackoverflow.com/questions
+https://www.gov.uk/browse/driving https://www.who.int/health-topics https://www.nasa.gov/missions https://www.louvre.fr/en/visit https://www.allrecipes.com/bread
+https://www.weather.gov/forecast https://www.imdb.com/title https://www.booking.com/hotels https://www.ams.org/journals https://www.mozilla.org/firefox
+""".split()
+
+
+def blocked_share(urls, w=None):
+    w = url_filter.train() if w is None else w
+    hosts, paths = (pa.array(x, pa.string()) for x in zip(*map(url_filter.split_url, urls)))
+    return float(np.mean(1 / (1 + np.exp(-url_filter.logits(w, *url_filter.features(hosts, paths)))) >= url_filter.THRESHOLD))
+
+
+def test_url_classifier_on_held_out_addresses():
+    """What it is worth on addresses that it hasn't seen; README has the figures."""
+    assert blocked_share(HELD_OUT_BAD) >= 0.6
+    assert blocked_share(HELD_OUT_GOOD) <= 0.1
+
+
+def test_url_table_owes_nothing_to_the_pages(spark):
+    hosts, paths = set(), set()
+    for f in ("sf0.001", "sf0.01", "sf0.1"):
+        for r in spark.read.parquet(f"/root/testdata/{f}/pages.parquet").select("url").collect():
+            host, path = url_filter.split_url(r["url"])
+            hosts.add(host)
+            paths.add(path)
+    for _, url in url_filter.LABELLED:
+        host, path = url_filter.split_url(url)
+        assert host not in hosts and (path == "/" or path not in paths) and not re.search(r"\d", url)
+    assert not {label for h in hosts for label in re.split(r"[.-]", h)[:1]} & {w for w in url_filter.ALLOWED}
+    assert {re.sub("|".join(url_filter.BLOCKED), "?", u) for y, u in url_filter.LABELLED if y}  # both labels have the same forms
+    used = {y: {n for n, form in enumerate(url_filter.FORMS) for z, u in url_filter.LABELLED if z == y and re.fullmatch(re.escape(form).replace(r"\{a\}", "[a-z]+").replace(r"\{b\}", "[a-z]+"), u)} for y in (0, 1)}
+    assert used[0] == used[1] == set(range(len(url_filter.FORMS)))
+
+
+def test_url_verdicts_do_not_lean_on_few_rows(spark):
+    """Ten rows of either label taken away move the share of blocked ordinary pages by less than 0.02."""
+    pages = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect() if r["url"]]
+    ordinary = [u for u in pages if not any(w in url_filter.split_url(u)[0] for w in ("spam", "pills", "bets", "adult", "casino", "track"))]
+    whole, rng = blocked_share(ordinary), random.Random(7)
+    for side in (0, 1, 0, 1):
+        gone = set(rng.sample([n for n, (y, _) in enumerate(url_filter.LABELLED) if y == side], 10))
+        w = url_filter.train([x for n, x in enumerate(url_filter.LABELLED) if n not in gone])
+        assert abs(blocked_share(ordinary, w) - whole) < 0.02
 
 
 def test_url_features_and_fit_by_hand():
@@ -865,26 +912,25 @@ def test_url_features_and_fit_by_hand():
     grams = [{(tag, t[i : i + n]) for tag, t in (("h", f"^{h}$"), ("p", f"^{p.lower()}$")) for n in url_filter.SIZES for i in range(len(t) - n + 1)} for h, p in (url_filter.split_url(u) for _, u in few)]
     own = [set(bucket[a:z].tolist()) for a, z in zip(lo[:-1], lo[1:])]
     assert [len(x) for x in own] == [len(x) for x in grams] and len(own[0] & own[1]) == len(grams[0] & grams[1])
-    w, b = url_filter.train(few, epochs=20)
-    v, c = collections.Counter(), 0.0
+    w = url_filter.train(few, epochs=20)
+    v = collections.Counter()
     for _ in range(20):
-        errors = [1 / (1 + math.exp(-(sum(v[k] for k in f) / math.sqrt(max(1, len(f))) + c))) - y for f, (y, _) in zip(own, few)]
+        errors = [1 / (1 + math.exp(-(sum(v[k] for k in f) / math.sqrt(max(1, len(f)))))) - y for f, (y, _) in zip(own, few)]
         step = collections.Counter()
         for f, e in zip(own, errors):
             for k in f:
                 step[k] += e / math.sqrt(len(f)) / 8
         for k in set(step) | set(v):
-            v[k] -= 0.5 * (step[k] + 1e-4 * v[k])
-        c -= 0.5 * sum(errors) / len(few)
-    assert b == pytest.approx(c) and all(w[k] == pytest.approx(x) for k, x in v.items())
+            v[k] -= 0.5 * (step[k] + 1e-3 * v[k])
+    assert all(w[k] == pytest.approx(x) for k, x in v.items())
 
 
 def test_url_filter(spark):
-    urls = ["http://x.example.net/en/1", "http://example.net/fr/1", "https://NET/", "http://sub.example.com/de/a?b", "http://www.org/fr/x", "http://org/fr", "http://spam-farm.example.com/en", None, "no scheme", "http://cheap-pills.test.com", "http://news.example.com/2024/a", "ftp://h?q/de/"]
+    urls = ["http://x.example.net/en/1", "http://example.net/fr/1", "https://NET/", "http://sub.example.com/de/a?b", "http://www.org/fr/x", "http://org/fr", "http://free-casino-poker.example.com/en", None, "no scheme", "http://porn-escort.test.com", "http://news.example.com/2024/a", "ftp://h?q/de/"]
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     rules = ["example.net/en/", "net/", "net/", "example.com/de/", "org/fr/", None, None, None, None, None, None, None]
     assert [got[i]["rule"] for i in range(len(urls))] == rules
-    assert [got[i]["verdict"] for i in (0, 1, 3, 4, 6, 9, 10)] == ["allow", "block", "block", "allow", "block", "block", "allow"]
+    assert [got[i]["verdict"] for i in (0, 1, 3, 4, 6, 7, 8, 9, 10)] == ["allow", "block", "block", "allow", "block", "allow", "allow", "block", "allow"]
     for i, u in enumerate(urls):
         assert (got[i]["host"], got[i]["path"]) == url_filter.split_url(u)
 
