@@ -23,8 +23,8 @@ from .common import durable, pieces, tidy
 
 ROOM = 1024
 END = 2
-#: Words that a task remembers the ids of (about 250 bytes each).
-REMEMBERED = 1 << 19
+#: Words that a Python worker remembers the ids of (about 250 bytes each).
+REMEMBERED = 1 << 20
 _WORD = re.compile(r" (?=\S)")
 #: Words of ASCII characters but the apostrophe and of Latin letters, and their runs of letters, digits and others.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ʯ]+")
@@ -57,6 +57,16 @@ class Encoder(dict):
         self.model = self.whole.model
         self.runs: dict[str, bytes] = {}
 
+    @classmethod
+    def here(cls, path: str) -> Encoder:
+        """This process's encoder for a file: Spark's Python workers go on to further tasks, and the words they know go along."""
+        made = cls.__dict__.get("made")  # never set on the driver, so the class arrives without it and keeps what it has
+        if made is None:
+            cls.made = made = {}
+        if path not in made:
+            made[path] = cls(path)
+        return made[path]
+
     def __call__(self, text: str) -> bytes:
         head, *words = text.split(" ")
         try:
@@ -108,7 +118,7 @@ def cuts(n: int, room: int = ROOM) -> list[int]:
 
 
 def _encode(batches, path: str, room: int, end: int):
-    encode, met = Encoder(path), collections.Counter()
+    encode, met = Encoder.here(path), collections.Counter()
     last = packed([end])
     context = TaskContext.get()
     task = context.partitionId() if context else 0
@@ -273,7 +283,7 @@ def pack(docs: DataFrame, vocabulary: str, room: int = ROOM, end: int = END) ->
 
 
 def _spans(batches, path: str, end: int):
-    encode, last = Encoder(path), packed([end])
+    encode, last = Encoder.here(path), packed([end])
     for batch in (p for b in batches for p in pieces(b, "text", 1 << 20)):
         columns = [batch.column(c).to_pylist() for c in ("start", "length", "sequence_id", "offset")]
         ids = [(np.frombuffer(i + last, "<u4")[a : a + n].tolist(), s, o) for i, a, n, s, o in zip(map(encode, batch.column("text").fill_null("").to_pylist()), *columns)]
