@@ -117,12 +117,14 @@ def duplicate_key(title: Column, artist: Column, traits: Column) -> Column:
     return F.concat_ws("|", artist, traits, marks, flat)
 
 
-_SEPARATORS = r"(?i)\s*(?:,|&|\+|·|/|×|(?<![A-Za-z0-9_])(?:x|feat|ft|featuring|with|and|vs)(?![A-Za-z0-9_])\.?|\sעם\s)\s*"
+_SEPARATORS = r"(?i)\s*(?:,|&|\+|·|/|×|(?<![A-Za-z0-9_])(?:x|feat|ft|featuring|with|and|vs)(?![A-Za-z0-9_])\.?|עם)\s*"
 
 
 def credits(title: Column) -> Column:
-    """Guests that a title names: in brackets after feat, ft, featuring, duet with or with; outside only after the first three."""
-    inside = F.regexp_extract_all(title, F.lit(r"(?i)[(\[{]\s*(?:featuring|feat|ft|duet\s+with|duet|with)\.?\s+([^)\]}]+)[)\]}]"), F.lit(1))
+    """Guests that a title names: within brackets after feat, ft, featuring, duet, duet with or with, wherever that stands in them; outside
+    only after the first three."""
+    brackets = F.regexp_extract_all(title, F.lit(r"[(\[{]([^)\]}]*)[)\]}]"), F.lit(1))
+    inside = F.transform(brackets, lambda c: F.regexp_extract(c, r"(?i)(?:feat\.?|ft\.?|featuring|duet(?:\s+with)?|with)\s+(.+)", 1))
     bare = F.regexp_replace(title, r"[(\[{][^)\]}]*[)\]}]", " ")
     tail = F.regexp_extract_all(bare, F.lit(r"(?i)(?<![A-Za-z0-9_])(?:featuring|feat|ft)\.?\s+(.+)$"), F.lit(1))
     names = F.flatten(F.transform(F.concat(inside, tail), lambda x: F.split(x, _SEPARATORS)))

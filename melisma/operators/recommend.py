@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from melisma.functions import hashing as h
 from melisma.operators.ranking import ranked_within
 from melisma.operators.telemetry import shrink
+from melisma.sources import shared
 
 #: Weights of session and library neighbours, of the seed's artist and of related artists, and of the jitter.
 SESSION, LIBRARY, SAME_ARTIST, RELATED, JITTER = 2.0, 1.25, 0.2, 0.08, 0.03
@@ -268,6 +269,15 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, name: s
     return blocks.withColumn("_own", own).join(starts, [*group, "_block"]).select(*df.columns, (F.col("_start") + F.col("_own")).alias(name))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with each row's number from 1 in an order that must be total: rows are range-partitioned by it, numbered within their partition, and
+    moved on by the number of rows in the partitions before."""
+    ranged = shared.stored(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # a row for each partition
+    before = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1).drop("_part", "_id", "_first", "_n", "_before")
+
+
 def on_air(schedule: DataFrame, times: DataFrame, bucket_s: int = 3600) -> DataFrame:
     """The entry of schedule(station, item, start_s, dur_sec) that contains each of times(station, at_s); half-open, by time buckets."""
     ends = F.col("start_s") + F.col("dur_sec")

@@ -41,7 +41,7 @@ def _station_sql(members: str, seed: str, owner: str, placed: str) -> str:
 
 def _station(spark, d, kind: str, members):
     """The first page of what follows each station's opening."""
-    tracks, edges = radio.heard(spark, d), radio.edges(spark, d, ["favorite"])
+    tracks, edges = radio.heard(spark, d), radio.edges(spark, d)
     begin = r.start(kind, members, tracks, edges)
     placed = begin.opening.select("station", "item")
     scored = r.scores(begin.seeds, edges, tracks, owners=begin.owners, placed=placed).withColumn("score", F.round("score", 6))
@@ -68,12 +68,12 @@ def radio_artist(spark, d):
 
 
 @query("radio_album", _station_sql(
-    "SELECT album_id AS station, track_id AS item, x.pos AS place FROM album_track x JOIN album USING (album_id) WHERE album_type = 'ep'",
+    "SELECT album_id AS station, track_id AS item, x.pos AS place FROM album_track x JOIN album USING (album_id)",
     "SELECT station, item FROM mb WHERE n <= 8", "SELECT station, artist_id FROM mb WHERE n = 1", "SELECT station, item FROM mb"))
 def radio_album(spark, d):
-    """A station of each EP, which plays through first."""
-    short = t.albums(spark, d).filter("album_type = 'ep'").select("album_id")
-    return _station(spark, d, "album", t.album_tracks(spark, d).join(short, "album_id").select(F.col("album_id").alias("station"), F.col("track_id").alias("item"), F.col("pos").alias("place")))
+    """A station of each album, which plays through first."""
+    known = t.albums(spark, d).select("album_id")
+    return _station(spark, d, "album", t.album_tracks(spark, d).join(known, "album_id").select(F.col("album_id").alias("station"), F.col("track_id").alias("item"), F.col("pos").alias("place")))
 
 
 @query("radio_playlist", _station_sql("SELECT playlist_id AS station, track_id AS item, pos AS place FROM playlist_track", "SELECT station, item FROM mb WHERE n <= 50", _NONE, "SELECT station, item FROM mb WHERE false"))
@@ -182,9 +182,10 @@ def changed_files(spark, d):
 
 def ask(spark, path: str, text: str, k: int = 10):
     """One query over a saved index, as from a command line."""
+    from melisma.operators import impact
     from melisma.operators import search as s
 
-    return s.search(s.open_saved(spark, path), s.query_tokens(spark.createDataFrame([(1, text)], "qid long, text string")), k).orderBy("category", "rank")
+    return impact.search(impact.open_saved(spark, path), s.query_tokens(spark.createDataFrame([(1, text)], "qid long, text string")), k).orderBy("category", "rank")
 
 
 _NOW, _SPLIT = "2024-01-30", "2024-01-16"
@@ -245,7 +246,7 @@ def day_numbers(spark, d):
 def genre_lead(spark, d):
     """The track that a genre's station opens with: one of its forty most heard, by reach and chance."""
     members = t.tracks(spark, d).select(F.explode("genres").alias("station"), F.col("track_id").alias("item"), F.lit(1).alias("place"))
-    return r.start("genre", members, radio.heard(spark, d), radio.edges(spark, d, ["favorite"])).opening.select("station", "item")
+    return r.start("genre", members, radio.heard(spark, d), radio.edges(spark, d)).opening.select("station", "item")
 
 
 _NOW_S = 9000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from melisma.operators import policy as p
+from melisma.functions import text as tx
 from melisma.registry import query
 from melisma.sources import tables as t
 
@@ -79,12 +80,31 @@ def season_exclusion(spark, d):
     return t.tracks(spark, d).filter(~F.arrays_overlap("genres", slugs)).select("track_id")
 
 
-@query("pool_gates", "WITH pool AS (SELECT t.track_id, e.n FROM track t LEFT JOIN (SELECT item, count(*) AS n FROM play WHERE kind = 'play' GROUP BY 1) e ON e.item = t.track_id WHERE t.duration_sec BETWEEN 60 AND 900 AND NOT t.is_video) SELECT count(*) AS pool, count(n) AS listened, count(*) >= 150 AS big_enough, count(n) >= 0.20 * count(*) AS heard_enough FROM pool")
+#: Shares and sizes from which a station goes on air: tracks of a genre, heard ones among them, artists with a required tag.
+MIN_POOL, MIN_HEARD, MIN_TAGGED = 150, 0.20, 0.30
+
+
+@query("pool_gates", f"""WITH p AS (SELECT track_id, genres, is_kid, is_class, n.item IS NOT NULL AS heard FROM track JOIN artist USING (artist_id) LEFT JOIN (SELECT DISTINCT item FROM play WHERE kind = 'play') n ON n.item = track_id
+  WHERE NOT is_video AND NOT is_female AND duration_sec >= 30 AND NOT contains(lower(title), 'capella')),
+g AS (SELECT unnest(genres) AS station, 'genre' AS kind, heard, 1.0 AS share FROM p UNION ALL SELECT 'kid', 'tag', heard, (SELECT avg(CAST(is_kid AS INT)) FROM artist) FROM p WHERE is_kid UNION ALL SELECT 'class', 'tag', heard, (SELECT avg(CAST(is_class AS INT)) FROM artist) FROM p WHERE is_class)
+SELECT station, kind, count(*) AS pool, count(*) FILTER (heard) AS listened, CASE WHEN kind = 'tag' THEN max(share) >= {MIN_TAGGED} ELSE count(*) >= {MIN_POOL} AND count(*) FILTER (heard) >= {MIN_HEARD} * count(*) END AS on_air FROM g GROUP BY 1, 2""")
 def pool_gates(spark, d):
-    heard = t.plays(spark, d).filter("kind = 'play'").groupBy(F.col("item").alias("track_id")).agg(F.count("*").alias("n"))
-    pool = t.tracks(spark, d).filter("duration_sec BETWEEN 60 AND 900 AND NOT is_video").join(heard, "track_id", "left")
-    sums = pool.agg(F.count("*").alias("pool"), F.count("n").alias("listened"))
-    return sums.select("*", (F.col("pool") >= 150).alias("big_enough"), (F.col("listened") >= 0.20 * F.col("pool")).alias("heard_enough"))
+    """What of each genre's or tag's tracks a station may play, and whether that is enough to go on air.
+
+    The pool: songs of at least 30 s, without an upper bound, of artists that the strictest filter keeps, no voices-only recording. A genre
+    needs MIN_POOL tracks of which MIN_HEARD were heard; a tag needs MIN_TAGGED of the artists to carry it.
+    """
+    heard = t.plays(spark, d).filter("kind = 'play'").select(F.col("item").alias("track_id"), F.lit(True).alias("heard")).distinct()
+    artists = t.artists(spark, d)
+    tracks = t.tracks(spark, d).filter("NOT is_video AND duration_sec >= 30").filter(~tx.voices_only(F.col("title")))
+    pool = tracks.join(artists.filter("NOT is_female").select("artist_id", "is_kid", "is_class"), "artist_id").join(heard, "track_id", "left")
+    tag = lambda name, column: F.when(F.col(column), F.struct(F.lit(name).alias("station"), F.lit("tag").alias("kind")))
+    stations = F.concat(F.transform("genres", lambda g: F.struct(g.alias("station"), F.lit("genre").alias("kind"))), F.array_compact(F.array(tag("kid", "is_kid"), tag("class", "is_class"))))
+    sums = pool.select(F.explode(stations).alias("s"), "heard").groupBy("s.station", "s.kind").agg(F.count("*").alias("pool"), F.count("heard").alias("listened"))
+    shares = artists.agg(F.avg(F.col("is_kid").cast("int")).alias("kid"), F.avg(F.col("is_class").cast("int")).alias("class"))  # one row
+    tagged = F.when(F.col("station") == "kid", F.col("kid")).otherwise(F.col("class")) >= MIN_TAGGED
+    on_air = F.when(F.col("kind") == "tag", tagged).otherwise((F.col("pool") >= MIN_POOL) & (F.col("listened") >= MIN_HEARD * F.col("pool")))
+    return sums.crossJoin(F.broadcast(shares)).select("station", "kind", "pool", "listened", on_air.alias("on_air"))
 
 
 @query("podcast_gates", "SELECT DISTINCT conv_id AS show_id FROM conversations WHERE conv_id % 4 <> 1 AND conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from melisma.functions import hashing as h
 from melisma.functions import text as tx
+from melisma.operators import impact
 from melisma.operators import search as s
 from melisma.operators.ranking import keep_first
 from melisma.registry import query
@@ -62,8 +63,10 @@ def dup_key(spark, d):
 
 @query("credits", "SELECT p_partkey AS track_id, list_sort(list_distinct([split_part(p_name, ' ', 1), p_brand])) AS guests FROM part")
 def credits(spark, d):
-    """Guests named in a title, here one composed of the row's own words."""
-    title = F.concat(F.col("p_name"), F.lit(" (feat. "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" & "), F.col("p_brand"), F.lit(")"))
+    """Guests named in a title, here two composed of the row's own words, in each place where a title can name them."""
+    names = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" & "), F.col("p_brand"))
+    forms = ((" (feat. ", ")"), (" (Live feat. ", ")"), (" [Remix] {duet with ", "} [Bonus]"), (" ft. ", " (Live)"), (" (Acoustic, with ", ")"))
+    title = F.concat("p_name", F.element_at(F.array(*(F.concat(F.lit(a), names, F.lit(b)) for a, b in forms)), (F.col("p_partkey") % len(forms) + 1).cast("int")))
     return t.load(spark, d, "part").select(F.col("p_partkey").alias("track_id"), F.array_sort(tx.credits(title)).alias("guests"))
 
 
@@ -162,7 +165,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid, category ORDER BY round(sc
 @query("search_score", _search_sql(10))
 def search_score(spark, d):
     """The whole retrieval engine over two categories and a batch of queries."""
-    return s.search(s.stored(s.build(_docs(spark, d))), s.query_tokens(_queries(spark)), 10)
+    return impact.search(impact.build(_docs(spark, d)), s.query_tokens(_queries(spark)), 10)
 
 
 @query("search_grouped", f"WITH hit AS ({_search_sql(40).strip()}), ok AS (SELECT h.*, row_number() OVER (PARTITION BY qid, category ORDER BY rank) AS place FROM hit h JOIN track ON track_id = doc_id JOIN artist USING (artist_id) WHERE NOT is_female) SELECT qid, category, doc_id, place FROM ok WHERE place <= 10".replace("WITH hit AS (WITH", "WITH hit AS (WITH"))
@@ -170,7 +173,7 @@ def search_grouped(spark, d):
     """Four times as many results are fetched, filtered, and then cut: the filter must not move below the first cut."""
     from melisma.operators.ranking import ranked_within
 
-    found = s.search(s.stored(s.build(_docs(spark, d))), s.query_tokens(_queries(spark)), 40)
+    found = impact.search(impact.build(_docs(spark, d)), s.query_tokens(_queries(spark)), 40)
     owners = t.tracks(spark, d).join(t.artists(spark, d), "artist_id").filter("NOT is_female").select(F.col("track_id").alias("doc_id"))
     kept = ranked_within(found.join(owners, "doc_id", "left_semi"), ["qid", "category"], [F.col("rank")], "place")
     return kept.filter("place <= 10").select("qid", "category", "doc_id", "place")
@@ -181,7 +184,7 @@ def search_batch(spark, d):
     """A batch over the whole texts of all documents by language: the second and third word of every hundredth document, both finished."""
     docs = t.load(spark, d, "documents").select(F.col("lang").alias("category"), "doc_id", F.col("text").alias("title"), F.col("source").alias("artist"))
     asked = t.load(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.concat(F.array_join(F.slice(F.split("text", r"\s+", 5), 2, 2), " "), F.lit(" ")).alias("text"))
-    return s.search(s.stored(s.build(docs)), s.query_tokens(asked), 10)
+    return impact.search(impact.build(docs), s.query_tokens(asked), 10)
 
 
 #: Synonyms, and what they add to the tokens of the queries below.
@@ -195,7 +198,7 @@ def search_names(spark, d):
     """Other names of a title are found, though never by a typo, and synonyms bring in each other's tokens."""
     docs = _docs(spark, d).withColumn("alt_title", F.when(F.col("doc_id") % 50 == 0, "Gizmo"))
     asked = spark.createDataFrame(list(NAMED), "qid long, text string")
-    return s.search(s.stored(s.build(docs)), s.query_tokens(asked, SYNONYMS), 10)
+    return impact.search(impact.build(docs), s.query_tokens(asked, SYNONYMS), 10)
 
 
 _TITLES = _search_ctes("SELECT CAST(row_number() OVER (ORDER BY title) AS BIGINT) AS qid, title AS text FROM (SELECT DISTINCT title FROM track WHERE NOT is_video)", "track JOIN artist USING (artist_id) WHERE NOT is_video")
@@ -208,7 +211,7 @@ def relevance_metrics(spark, d):
     """Each distinct title asked for in full: how often a track of that title comes first."""
     docs = _docs(spark, d).filter("category = 'songs'")
     truth = docs.select(F.xxhash64("title").alias("qid"), "doc_id", "title")
-    found = s.search(s.stored(s.build(docs)), s.query_tokens(truth.select("qid", F.col("title").alias("text")).distinct()), 5)
+    found = impact.search(impact.build(docs), s.query_tokens(truth.select("qid", F.col("title").alias("text")).distinct()), 5)
     return s.metrics(found, truth.select("qid", "doc_id"))
 
 

@@ -136,11 +136,51 @@ def home_videos(spark, d):
     return round_robin(v, "artist_id", [F.desc("best"), F.asc("artist_id")], [F.desc("reach"), F.asc("track_id")], 60).select("track_id", "artist_id", "turn", "rank")
 
 
-@query("community_top", "WITH m AS (SELECT playlist_id, CAST(sum(duration_sec) AS BIGINT) AS runtime, bool_or(track_id < 100) AS engaged FROM playlist_track JOIN track USING (track_id) GROUP BY 1) SELECT p.playlist_id, view_count, runtime FROM playlist p JOIN m USING (playlist_id) WHERE view_count IS NOT NULL AND runtime >= 2400 AND engaged ORDER BY view_count DESC, playlist_id LIMIT 40")
+#: A community row: runtime in seconds from which a playlist counts, its pool by views, places, and how many of them are fixed.
+MIN_RUNTIME, ROW_POOL, ROW_PLACES, ROW_ANCHORS = 2400, 400, 32, 8
+
+
+def community_sql(engaged: str) -> str:
+    """Common table expressions up to cp(playlist_id, view_count, runtime, members, kept, cover), the pool by views."""
+    return f"""eng AS ({engaged}), mem AS (SELECT playlist_id, track_id, pos, duration_sec, is_female FROM playlist_track JOIN track USING (track_id) JOIN artist USING (artist_id)),
+m AS (SELECT playlist_id, CAST(sum(duration_sec) AS BIGINT) AS runtime, count(*) AS members, bool_or(track_id IN (SELECT item FROM eng)) OR (SELECT count(*) FROM eng) = 0 AS engaged,
+  count(*) FILTER (NOT is_female) AS kept, arg_min(track_id, struct_pack(a := pos, b := track_id)) FILTER (NOT is_female) AS cover FROM mem GROUP BY 1),
+cp AS (SELECT playlist_id, view_count, runtime, members, kept, cover FROM playlist JOIN m USING (playlist_id) WHERE view_count IS NOT NULL AND runtime >= {MIN_RUNTIME} AND engaged ORDER BY view_count DESC, members DESC, playlist_id LIMIT {ROW_POOL})"""
+
+
+def _engaged_sql() -> str:
+    from melisma import registry
+
+    return " UNION ".join(f"SELECT item FROM ({registry._FOUND[name][1]})" for name in ("top_played", "trending_velocity", "favorites"))
+
+
+def community_pool(spark, d, engaged):
+    """Playlists with views that are long enough and hold a track of the engaged ones (a small table of items; if it is empty, all do).
+
+    kept and cover are those of the members that the strictest filter keeps.
+    """
+    some = not engaged.isEmpty()
+    listed = F.broadcast(engaged.select(F.col("item").alias("track_id"), F.lit(True).alias("listed")).distinct())
+    owners = t.artists(spark, d).select("artist_id", "is_female")
+    members = t.playlist_tracks(spark, d).join(t.tracks(spark, d).select("track_id", "duration_sec", "artist_id").join(owners, "artist_id"), "track_id").join(listed, "track_id", "left")
+    free = ~F.col("is_female")
+    m = members.groupBy("playlist_id").agg(
+        F.sum("duration_sec").alias("runtime"), F.count("*").alias("members"), F.count("listed").alias("hits"), F.count_if(free).alias("kept"), F.min(F.when(free, F.struct("pos", "track_id")))["track_id"].alias("cover")
+    )
+    fit = m.filter(F.col("runtime") >= MIN_RUNTIME).filter((F.col("hits") > 0) | F.lit(not some))
+    found = t.playlists(spark, d).filter("view_count IS NOT NULL").join(fit, "playlist_id").orderBy(F.desc("view_count"), F.desc("members"), "playlist_id").limit(ROW_POOL)
+    return found.select("playlist_id", "view_count", "runtime", "members", "kept", "cover")
+
+
+def engaged(spark, d):
+    """The items of the charts that listeners make."""
+    return top_played(spark, d).select("item").union(trending_velocity(spark, d).select("item")).union(favorites(spark, d).select("item"))
+
+
+@query("community_top", f"WITH {community_sql(_engaged_sql())} SELECT playlist_id, view_count, runtime FROM cp ORDER BY view_count DESC, members DESC, playlist_id LIMIT 40")
 def community_top(spark, d):
     """Playlists long enough that hold an engaged track, by views."""
-    m = t.playlist_tracks(spark, d).join(t.tracks(spark, d).select("track_id", "duration_sec"), "track_id").groupBy("playlist_id").agg(F.sum("duration_sec").alias("runtime"), F.bool_or(F.col("track_id") < 100).alias("engaged"))
-    return t.playlists(spark, d).filter("view_count IS NOT NULL").join(m.filter("runtime >= 2400 AND engaged"), "playlist_id").orderBy(F.desc("view_count"), "playlist_id").limit(40).select("playlist_id", "view_count", "runtime")
+    return community_pool(spark, d, engaged(spark, d)).orderBy(F.desc("view_count"), F.desc("members"), "playlist_id").limit(40).select("playlist_id", "view_count", "runtime")
 
 
 @query("rank_gaps", "WITH r AS (SELECT item, row_number() OVER (ORDER BY count(DISTINCT device) DESC, item) AS rank FROM play WHERE kind = 'play' GROUP BY 1) SELECT item, rank FROM r JOIN track ON track_id = item WHERE NOT is_video AND rank <= 50")
@@ -243,30 +283,27 @@ def new_release_artists(spark, d):
     return t.load(spark, d, "lineitem").filter(F.expr("l_shipdate >= timestamp'2001-06-01'")).join(known, "l_partkey", "left_anti").select(F.col("l_suppkey").alias("artist_id")).distinct()
 
 
-@query("cooc_session", "WITH g AS (SELECT device, item, t, event_id, CASE WHEN t - lag(t) OVER (PARTITION BY device ORDER BY t, event_id) >= INTERVAL 30 MINUTE OR lag(t) OVER (PARTITION BY device ORDER BY t, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM play), s AS (SELECT DISTINCT device, sum(new) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session, item FROM g), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n, count(DISTINCT x.device) AS devices FROM s x JOIN s y ON x.device = y.device AND x.session = y.session AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE devices >= 2")
-def cooc_session(spark, d):
-    return o.cooccurrence(o.sessions(t.plays(spark, d)), ["device", "session"]).withColumn("score", F.round("score", 9))
+#: Kinds of events that put a track into a device's library; history comes as plays.
+LIBRARY = ["play", "favorite", "download"]
 
 
-@query("cooc_library", "WITH s AS (SELECT DISTINCT device, item FROM play WHERE kind = 'favorite'), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")
-def cooc_library(spark, d):
-    return library_graph(spark, d, ["favorite"])
+@query("cooc_session", "WITH g AS (SELECT device, item, t, event_id, CASE WHEN t - lag(t) OVER (PARTITION BY device ORDER BY t, event_id) >= INTERVAL 30 MINUTE OR lag(t) OVER (PARTITION BY device ORDER BY t, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM play WHERE kind = 'play'), s AS (SELECT DISTINCT device, sum(new) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session, item FROM g), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n, count(DISTINCT x.device) AS devices FROM s x JOIN s y ON x.device = y.device AND x.session = y.session AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE devices >= 2")
+def cooc_session(spark, d):
+    """Tracks played in the same listening sessions; only live plays make sessions here."""
+    return o.cooccurrence(o.sessions(t.plays(spark, d).filter("kind = 'play'")), ["device", "session"]).withColumn("score", F.round("score", 9))
 
 
-def library_graph(spark, d, kinds):
-    """Tracks that stand in the same devices' libraries, which are made of events of these kinds."""
-    return o.cooccurrence(t.plays(spark, d).filter(F.col("kind").isin(kinds)), ["device"]).withColumn("score", F.round("score", 9))
+@query("cooc_library", "WITH s AS (SELECT DISTINCT device, item FROM play WHERE kind IN ('play', 'favorite', 'download')), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")
+def cooc_library(spark, d):
+    """Tracks that stand in the same devices' libraries."""
+    return o.cooccurrence(t.plays(spark, d).filter(F.col("kind").isin(LIBRARY)), ["device"]).withColumn("score", F.round("score", 9))
 
 
-@query("cooc_artist", "WITH s AS (SELECT DISTINCT device, artist_id AS item FROM play JOIN track ON track_id = play.item WHERE kind = 'favorite'), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")
+@query("cooc_artist", "WITH s AS (SELECT DISTINCT device, artist_id AS item FROM play JOIN track ON track_id = play.item WHERE kind IN ('play', 'favorite', 'download')), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")
 def cooc_artist(spark, d):
-    return artist_graph(spark, d, ["favorite"])
-
-
-def artist_graph(spark, d, kinds):
     """Artists of which the same devices hold anything."""
     by = t.tracks(spark, d).select(F.col("track_id").alias("item"), "artist_id")
-    plays = t.plays(spark, d).filter(F.col("kind").isin(kinds)).join(by, "item").select("device", F.col("artist_id").alias("item"))
+    plays = t.plays(spark, d).filter(F.col("kind").isin(LIBRARY)).join(by, "item").select("device", F.col("artist_id").alias("item"))
     return o.cooccurrence(plays, ["device"]).withColumn("score", F.round("score", 9))
 
 

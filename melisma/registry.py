@@ -8,7 +8,7 @@ from collections.abc import Callable
 from melisma.sources.tables import with_roles
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
-MODULES = ("catalog", "policy", "snapshots", "telemetry", "retrieval", "recommend", "ingest", "surfaces", "pages", "details")
+MODULES = ("catalog", "policy", "snapshots", "telemetry", "retrieval", "recommend", "ingest", "surfaces", "pages", "details", "history", "feeds")
 
 
 def query(name: str, sql: str | None = None):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from melisma.functions import calendar, hashing, parse
 from melisma.functions import text as tx
-from melisma.operators import merge, policy, recommend, search, telemetry
+from melisma.operators import impact, merge, policy, recommend, search, telemetry
 from melisma.operators.ranking import cap_per_group, keep_first, page, top_ranked
 
 
@@ -103,14 +103,6 @@ def test_search_nothing_and_empty(spark):
     assert results(spark, None) == []
 
 
-def test_saved_index_answers_the_same(spark, tmp_path):
-    index = search.build(spark.createDataFrame(DOCS, "category string, doc_id long, title string, artist string"))
-    search.save(index, str(tmp_path / "index"))
-    tokens = search.query_tokens(spark.createDataFrame([(1, "hello world"), (2, "wrold")], "qid long, text string"))
-    rows = lambda i: sorted(map(tuple, search.search(i, tokens).collect()))
-    assert rows(search.open_saved(spark, str(tmp_path / "index"))) == rows(index) != []
-
-
 def test_flags_default_open_and_exact_conjunction(spark):
     row = spark.createDataFrame([(None, None, None)], "f boolean, k boolean, v boolean")
     check = lambda flags: row.select(policy.allowed(flags, F.col("f"), F.col("k"), F.col("v"))).first()[0]
@@ -262,9 +254,9 @@ def test_schedule_and_relevance_cover_all_tracks(spark, monkeypatch):
     from melisma.plans import recommend as plans
     from melisma.plans import retrieval
 
-    path, indexed, build = "/root/testdata/sf0.01", [], search.build
+    path, indexed, build = "/root/testdata/sf0.01", [], impact.build
     assert plans.schedule(spark, path).agg(F.max("item")).first()[0] >= 800
-    monkeypatch.setattr(search, "build", lambda docs: indexed.append(docs.count()) or build(docs))
+    monkeypatch.setattr(impact, "build", lambda docs: indexed.append(docs.count()) or build(docs))
     retrieval.relevance_metrics(spark, path)
     assert indexed == [retrieval._docs(spark, path).filter("category = 'songs'").count()]
 
