@@ -25,6 +25,9 @@ PUNCTUATION = ~(((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 65) & (_BYTES <
 BASE = 0x9E3779B97F4A7C15
 
 
+_LOCAL: list[str] = []
+
+
 def durable(df: DataFrame, parts: int = 0) -> DataFrame:
     """Cut the lineage: write df as Parquet into the folder that the cluster shares (spark.checkpoint.dir) and read it again.
 
@@ -37,8 +40,9 @@ def durable(df: DataFrame, parts: int = 0) -> DataFrame:
     if shared is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        shared = tempfile.mkdtemp(prefix="melisma-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="melisma-"))
+        shared = _LOCAL[0]
     path = f"{shared}/melisma-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.parquet(path)
     _WRITTEN.get([]).append(path)

@@ -25,15 +25,22 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body center div main section td blockquote dd details".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form button select svg menu dialog".split()) | RAW
-#: A container with a class or id that begins or ends with one of the first words is boilerplate; the others count when they are all
-#: of a name, and within longer names or beside a name for articles only if half of the container's text stands in links.
+#: A container is boilerplate by a class or id made of the first words and of words for parts of a layout or of an article alone (but not
+#: for an article's head), or of the suspect words alone where no other name is one for articles. Any of these words within a longer name counts only if half of the container's
+#: text stands in links; so it does for paragraphs and headings, whatever their names.
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer "
     "header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted replies reply share sharing sidebar "
     "sidebars social sponsor sponsored subscribe".split()
 )
+LAYOUT_WORDS = frozenset(
+    "area bar block bottom box button buttons column container desktop fixed form global group holder icons inner item items left link links list lists "
+    "main mobile overlay page panel primary region right row secondary section site slot sticky top unit wrap wrapper zone".split()
+)
+HEAD_WORDS = frozenset("banner header masthead".split())
 SUSPECT_WORDS = frozenset("login promotion related responses signup skip subscription tags toolbar widget widgets".split())
 ARTICLE_WORDS = frozenset("article main content entry post story text body".split())
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 
@@ -103,6 +110,14 @@ def mark_of(path: str) -> int:
     return mark
 
 
+def _decides(words: list[str]) -> bool:
+    """Whether a name says by itself that its container is boilerplate. Heads of articles are none."""
+    found = BOILERPLATE_WORDS.intersection(words)
+    if not found or not (BOILERPLATE_WORDS | LAYOUT_WORDS | ARTICLE_WORDS).issuperset(words):
+        return False
+    return bool(found - HEAD_WORDS) or (ARTICLE_WORDS - LAYOUT_WORDS).isdisjoint(words)
+
+
 def judged(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
     """Whether an element is boilerplate by its tag, role and names, or may be by its names."""
     if not attrs:
@@ -113,16 +128,22 @@ def judged(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
         return False, False
     names = [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) for name in (*attrs.get("class", "").split(), attrs.get("id", ""))]
     names = [words for words in names if words]
-    if any(words[0] in BOILERPLATE_WORDS or words[-1] in BOILERPLATE_WORDS for words in names):
+    bad = BOILERPLATE_WORDS | SUSPECT_WORDS
+    if tag in TEXT_TAGS:
+        return False, any(not bad.isdisjoint(words) for words in names)
+    if any(_decides(words) for words in names):
         return True, False
     for_articles = any(ARTICLE_WORDS.issuperset(words) for words in names)
     if any(SUSPECT_WORDS.issuperset(words) for words in names) and not for_articles:
         return True, False
-    return False, any(not SUSPECT_WORDS.isdisjoint(words) or not BOILERPLATE_WORDS.isdisjoint(words) for words in names)
+    return False, any(not bad.isdisjoint(words) for words in names)
 
 
 def weigh(elements: list[Element], blocks: list[Block]) -> None:
-    """Suspect elements with half of their text in links are boilerplate, and all that is inside boilerplate; also each element's last."""
+    """Suspect elements with half of their text in links are boilerplate, and all that is inside boilerplate; also each element's last.
+
+    A header inside an article or main loses all but its headings.
+    """
     for k in range(len(elements) - 1, -1, -1):
         elements[k].last = max(elements[k].last, k)
         if k:
@@ -137,8 +158,16 @@ def weigh(elements: list[Element], blocks: list[Block]) -> None:
             size[elements[k].parent] += size[k]
             linked[elements[k].parent] += linked[k]
             elements[k].boilerplate |= elements[k].suspect and 2 * linked[k] >= size[k]
-    for e in elements[1:]:
-        e.boilerplate |= elements[e.parent].boilerplate
+    within, headed = [False] * len(elements), [False] * len(elements)  # inside an article; boilerplate by such a header alone
+    for k, e in enumerate(elements[1:], 1):
+        above = elements[e.parent]
+        within[k] = within[e.parent] or e.tag in ("article", "main")
+        own_header = e.tag == "header" and within[e.parent] and not above.boilerplate and "banner" not in e.attributes.get("role", "").lower()
+        headed[k] = own_header or headed[e.parent] and not e.boilerplate
+        if headed[e.parent] and not e.boilerplate and e.tag in TEXT_TAGS and e.tag != "p":
+            headed[k] = False
+            continue
+        e.boilerplate |= above.boilerplate
 
 
 def read(html: str | None) -> Page:

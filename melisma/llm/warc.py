@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import gzip
 import hashlib
 import re
 import uuid
@@ -114,14 +113,45 @@ def payload(block: bytes) -> tuple[str, Headers, bytes]:
         return "", [], block
     if "chunked" in (header(headers, "Transfer-Encoding") or "").lower():
         body = dechunk(body)
-    if (header(headers, "Content-Encoding") or "").lower() in ("gzip", "x-gzip"):
-        try:
-            body = gzip.decompress(body)
-        except (OSError, EOFError, zlib.error, ValueError):
-            pass
+    for coding in reversed([c.strip() for c in (header(headers, "Content-Encoding") or "").lower().split(",")]):
+        body, state = unpacked(body, coding)
+        if state:
+            headers = [*headers, (UNPACKING, state)]
+        if state.startswith("unknown"):
+            break
     return status, headers, body
 
 
+#: The most bytes that a body is unpacked to; what is beyond is cut off, and the metadata record says so.
+MOST_BYTES = 32 << 20
+#: A field added to a response's headers: how unpacking went, if not well.
+UNPACKING = "X-Unpacking"
+
+
+def unpacked(body: bytes, coding: str) -> tuple[bytes, str]:
+    """The body without one content coding, and what went wrong: nothing, "cut", "malformed", or "unknown" for a coding that can't be read,
+    of which nothing is left. A malformed body stays as it is. Never more than MOST_BYTES are made."""
+    if coding in ("", "identity"):
+        return body, ""
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for window in ((31,) if coding != "deflate" else (15, -15)):  # deflate comes with zlib's frame or without
+            out, rest, left = [], body, MOST_BYTES
+            try:
+                while rest and left > 0:  # a gzip body can have several members
+                    unpack = zlib.decompressobj(window)
+                    out.append(unpack.decompress(rest, left))
+                    left -= len(out[-1])
+                    if unpack.unconsumed_tail or not unpack.eof:
+                        return b"".join(out), "cut" if unpack.unconsumed_tail else "malformed"
+                    rest = unpack.unused_data if window == 31 and unpack.unused_data[:2] == b"\x1f\x8b" else b""
+                return b"".join(out), "cut" if rest else ""
+            except zlib.error:
+                if any(out):
+                    return b"".join(out), "malformed"
+        return body, "malformed"
+    return b"", f"unknown {coding}"
+
+
 def decoded(body: bytes, content_type: str | None) -> str:
     m = re.search(r"charset=[\"']?([\w.:-]+)", content_type or "", re.I) or re.search(r"charset=[\"']?([\w.:-]+)", body[:2048].decode("ascii", "ignore"), re.I)
     try:
@@ -154,7 +184,7 @@ def derive(headers: Headers, block: bytes) -> list[tuple[str, Headers, bytes]]:
     links = list(dict.fromkeys(_absolute(uri, x) for x in page.links if x and not x.startswith(("#", "javascript:", "mailto:"))))
     fields = [("source-record-id", source), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest)]
     fields += [("source-status", status)] * bool(status) + [("title", page.title)] * bool(page.title)
-    fields += [(f"source-warc-{k.lower().removeprefix('warc-')}", v) for k, v in headers] + [(f"source-http-{k.lower()}", v) for k, v in http]
+    fields += [(f"source-warc-{k.lower().removeprefix('warc-')}", v) for k, v in headers] + [("unpacking" if k == UNPACKING else f"source-http-{k.lower()}", v) for k, v in http]
     fields += [("outlink", f"{x} L a/@href") for x in links]
     ids = {name: record_id(name, source) for name in ("metadata", "conversion")}
     out = []
@@ -188,8 +218,10 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two rows (metadata, conversion) for every response in records(record binary).
 
     Other record types, null and malformed records give none. Repeated responses give repeated rows with the same identifiers.
-    `record` is the whole derivative, ready to be written; block its content. Further columns of records are dropped. Bodies that can't
-    be unpacked stay as they are, and encodings that aren't known are read as UTF-8.
+    `record` is the whole derivative, ready to be written; block its content. Further columns of records are dropped. Bodies are
+    unpacked (gzip, deflate) up to MOST_BYTES; "unpacking" in the metadata says cut, malformed (what can't be unpacked stays as it is), or
+    unknown and the coding, of which the conversion is empty. Encodings of text that aren't known are read as UTF-8. A task holds one record
+    at a time with its body of at most that many bytes.
     """
 
     def derived(batches):

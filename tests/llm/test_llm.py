@@ -808,6 +808,16 @@ def test_names_are_weighed():
     assert text('<p>Article.</p><div class="tags">Tags</div><div class="post-comments"><p>No.</p></div><div id="cookieNotice">No.</div>') == "Article."
 
 
+def test_names_within_longer_ones_and_article_heads_keep_their_text():
+    text = lambda html: host_paths.extract(read(html), [])
+    for inner in ('<section id="Header_files">{}</section>', '<div class="share-prices">{}</div>', '<div class="entry-header">{}</div>', '<p id="notice-1">{}</p>', '<p class="comment">{}</p>', '<h2 id="Social_life">{}</h2>', "<header><h1>{}</h1></header>"):
+        assert text(f"<article>{inner.format('Kept words.')}<p>The article goes on.</p></article>") == "Kept words. The article goes on."
+    assert text("<article><header><h1>Title</h1><div>By me</div><nav><h2>No</h2></nav></header><p>Text.</p></article>") == "Title Text."
+    assert text("<header><h1>Site</h1></header><article><p>Text.</p></article>") == "Text."
+    for name in ("comments", "share-buttons", "site-header", "top-nav", "cookie-banner", "post-comments", "sidebar_left", "adBox", "social-links-list"):
+        assert text(f'<article><p>Text.</p><div class="{name}"><p>Gone.</p></div></article>') == "Text."
+
+
 ODD_PAGES = {
     "quotes": "<a " + "'\"" * 10000, "lone quotes": "<a '" * 5000, "values": "<a " + "=\"'" * 10000, "no end": '<a b="x" ' * 5000, "mixed": "<a b='\"' c=\"" * 5000 + ">x",
     "deep": "<div class=x>" * 20000 + "t" + "</p>" * 20000, "signs": "<" * 50000, "comments": "<!--" * 20000, "scripts": "<script>" * 20000, "ends": "</" * 20000,
@@ -849,6 +859,26 @@ def test_malformed_responses(spark):
     assert sum(bytes(r["block"]) == b"Text" for r in out if r["record_type"] == "conversion") >= 6
 
 
+def test_content_codings(spark):
+    """Deflate with and without its frame, two codings, several members, a bomb, and codings that can't be read."""
+    import gzip
+    import zlib as z
+
+    page = b"<p>Read me</p>"
+    raw = lambda x: (c := z.compressobj(wbits=-15)).compress(x) + c.flush()
+    bodies = [("gzip", gzip.compress(page)), ("deflate", z.compress(page)), ("deflate", raw(page)), ("deflate, gzip", gzip.compress(z.compress(page))), ("x-gzip", gzip.compress(page[:5]) + gzip.compress(page[5:]))]
+    bodies += [("br", b"\x0b\x02"), ("zstd", b"(\xb5/\xfd"), ("gzip", gzip.compress(b"<p>" + b"0" * (warc.MOST_BYTES + 5))), ("deflate", b"no")]
+    rows = []
+    for coding, body in bodies:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: {coding}\r\n\r\n".encode() + body
+        rows.append((f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r{len(rows)}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block,))
+    out = {(r["refers_to"], r["record_type"]): bytes(r["block"]) for r in warc.derivatives(spark.createDataFrame(rows, "record binary")).collect()}
+    texts = [out[f"<r{n}>", "conversion"] for n in range(len(bodies))]
+    assert texts[:5] == [b"Read me"] * 5 and texts[5:7] == [b"", b""] and len(texts[7]) == warc.MOST_BYTES - 3 and texts[8] == b"no"
+    said = [re.findall(rb"unpacking: ([^\r]*)", out[f"<r{n}>", "metadata"]) for n in range(len(bodies))]
+    assert said == [[]] * 5 + [[b"unknown br"], [b"unknown zstd"], [b"cut"], [b"malformed"]]
+
+
 #: Addresses of well-known kinds, written down without a look at any table.
 HELD_OUT_BAD = """
 https://www.1xbet.com/en https://www.pornhub.com/video https://www.xvideos.com/tags https://www.pokerstars.com/poker/games https://www.888casino.com/promotions
