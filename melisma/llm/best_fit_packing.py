@@ -81,30 +81,29 @@ class Encoder(dict):
 
     def __missing__(self, w: str) -> bytes:
         """The ids of a word with a space before it."""
-        if not w or w[0].isspace():
+        if w.isascii() and w.isalpha():
+            ids = self.of_run("Ġ" + w)
+        elif not w or w[0].isspace():
             raise Odd
-        if not _PLAIN.fullmatch(w):
+        elif not _PLAIN.fullmatch(w):
             ids = self.of(" " + w)
-        elif w.isascii() and w.isalpha():
-            ids = self.of_runs([w])
-        elif w.isascii():
-            ids = self.of_runs(_RUNS.findall(w))
         else:
-            ids = self.of_runs(["".join(map(_SHOWN.__getitem__, r.encode())) for r in _RUNS.findall(w)])
+            first, *rest = _RUNS.findall(w)
+            ids = self[first] + b"".join(map(self.later, rest)) if rest else self.of_run("Ġ" + shown(w))
         if len(self) >= REMEMBERED:
             self.clear()
             self.runs.clear()
         self[w] = ids
         return ids
 
-    def of_runs(self, runs: list[str]) -> bytes:
-        ids, known = b"", self.runs
-        runs[0] = "Ġ" + runs[0]
-        for r in runs:
-            own = known.get(r)
-            if own is None:
-                own = known[r] = packed([t.id for t in self.model.tokenize(r)])
-            ids += own
+    def of_run(self, run: str) -> bytes:
+        return packed([t.id for t in self.model.tokenize(run)])
+
+    def later(self, run: str) -> bytes:
+        """The ids of a run within a word."""
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self.runs[run] = self.of_run(shown(run))
         return ids
 
 
@@ -112,6 +111,10 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def shown(run: str) -> str:
+    return run if run.isascii() else "".join(map(_SHOWN.__getitem__, run.encode()))
+
+
 def cuts(n: int, room: int = ROOM) -> list[int]:
     """Where the pieces of n ids begin: all have `room` ids, but for the first."""
     return [0, *range((n - 1) % room + 1, n, room)]
