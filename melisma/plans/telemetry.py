@@ -287,10 +287,19 @@ def new_release_artists(spark, d):
 LIBRARY = ["play", "favorite", "download"]
 
 
-@query("cooc_session", "WITH g AS (SELECT device, item, t, event_id, CASE WHEN t - lag(t) OVER (PARTITION BY device ORDER BY t, event_id) >= INTERVAL 30 MINUTE OR lag(t) OVER (PARTITION BY device ORDER BY t, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM play WHERE kind = 'play'), s AS (SELECT DISTINCT device, sum(new) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session, item FROM g), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n, count(DISTINCT x.device) AS devices FROM s x JOIN s y ON x.device = y.device AND x.session = y.session AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE devices >= 2")
-def cooc_session(spark, d):
+_SESSIONS = "WITH g AS (SELECT device, item, t, event_id, CASE WHEN t - lag(t) OVER (PARTITION BY device ORDER BY t, event_id) >= INTERVAL {gap} MINUTE OR lag(t) OVER (PARTITION BY device ORDER BY t, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM play WHERE kind = 'play'), s AS (SELECT DISTINCT device, sum(new) OVER (PARTITION BY device ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session, item FROM g), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n, count(DISTINCT x.device) AS devices FROM s x JOIN s y ON x.device = y.device AND x.session = y.session AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE devices >= 2"
+
+
+@query("cooc_session", _SESSIONS.format(gap=30))
+def cooc_session(spark, d, gap: int = 30):
     """Tracks played in the same listening sessions; only live plays make sessions here."""
-    return o.cooccurrence(o.sessions(t.plays(spark, d).filter("kind = 'play'")), ["device", "session"]).withColumn("score", F.round("score", 9))
+    return o.cooccurrence(o.sessions(t.plays(spark, d).filter("kind = 'play'"), gap), ["device", "session"]).withColumn("score", F.round("score", 9))
+
+
+@query("cooc_session_days", _SESSIONS.format(gap=36 * 60))
+def cooc_session_days(spark, d):
+    """The same where a session ends after a day and a half without a play, for telemetry in which plays are far apart."""
+    return cooc_session(spark, d, 36 * 60)
 
 
 @query("cooc_library", "WITH s AS (SELECT DISTINCT device, item FROM play WHERE kind IN ('play', 'favorite', 'download')), n AS (SELECT item, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_n FROM s x JOIN s y ON x.device = y.device AND x.item <> y.item GROUP BY 1, 2) SELECT src, dst, round(both_n / sqrt(a.n * c.n), 9) AS score FROM b JOIN n a ON a.item = src JOIN n c ON c.item = dst WHERE both_n >= 2")

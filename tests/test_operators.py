@@ -299,3 +299,28 @@ def test_search_batch_reads_whole_texts(spark, tmp_path):
     from melisma.plans import retrieval
 
     assert {r["doc_id"] for r in retrieval.search_batch(spark, str(tmp_path)).filter("qid = 100").collect()} == {100, 101}
+
+
+CREDITS = [
+    ("Shiru (Remix) (feat. Anna)", ["Anna"]), ("Song (Live feat. Anna & Bo)", ["Anna", "Bo"]), ("Song [duet with Anna]", ["Anna"]), ("Song {Acoustic, with Anna, Bo}", ["Anna", "Bo"]),
+    ("Take Me with Your Words", []), ("Song ft. Anna (Live)", ["Anna"]), ("Niggun (feat. אנהעםבני)", ["אנה", "בני"]), ("Song (Live)", []), ("", []), (None, None),
+]
+
+
+@pytest.mark.parametrize("title, names", CREDITS)
+def test_credits_anywhere(spark, title, names):
+    found = spark.createDataFrame([(title,)], "t string").select(tx.credits(F.col("t"))).first()[0]
+    assert found == names
+
+
+def test_history_of_one_list(spark):
+    """An anchor of this week must be half a day old; what is first seen counts as new for a day."""
+    from melisma.operators import history
+
+    runs = lambda *rows: spark.createDataFrame([(dt.datetime.fromisoformat(t), True, "l", f, 7, p, i, 1) for t, f, items in rows for p, i in enumerate(items, 1)], history.DDL)
+    of = lambda h, now: {r["item"]: (r["badge"], r["delta"]) for r in history.badges(h, F.lit(now)).collect()}
+    week = runs(("2024-01-22T00:00:00", "a", [1, 2, 3]), ("2024-01-20T00:00:00", "a", [9]), ("2024-01-29T00:00:00", "a", [2, 1, 5]), ("2024-01-30T00:00:00", "a", [2, 5, 9, 6]))
+    assert of(week, "2024-01-30 06:00:00") == {2: ("move", 1), 5: (None, None), 9: ("reentry", None), 6: ("new", None)}
+    young = runs(("2024-01-29T00:00:00", "a", [1]), ("2024-01-30T00:00:00", "b", [1, 2]))
+    assert of(young, "2024-01-30 06:00:00") == {1: (None, None), 2: (None, None)}
+    assert of(young, "2024-01-30 12:00:00") == {1: ("move", 0), 2: ("move", 0)}
