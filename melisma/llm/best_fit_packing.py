@@ -59,10 +59,13 @@ class Encoder(dict):
 
     @classmethod
     def here(cls, path: str) -> Encoder:
-        """This process's encoder for a file: Spark's Python workers go on to further tasks, and the words they know go along."""
-        made = cls.__dict__.get("made")  # never set on the driver, so the class arrives without it and keeps what it has
-        if made is None:
-            cls.made = made = {}
+        """This process's encoder for a file: Spark's Python workers go on to further tasks, and the words they know go along.
+
+        It is kept beside the library's module, as classes of this subpackage are made anew for each task.
+        """
+        import tokenizers
+
+        made = tokenizers.__dict__.setdefault("_melisma_encoders", {})
         if path not in made:
             made[path] = cls(path)
         return made[path]
