@@ -30,6 +30,11 @@ def listed(v: Column, *paths: str) -> Column:
     return F.coalesce(at(v, *paths, kind=_LIST), F.array().cast(_LIST))
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it: expressions within lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def first(values: Column, test) -> Column:
     return F.get(F.filter(values, test), 0)
 
@@ -79,22 +84,46 @@ def every_other(values: Column) -> Column:
     return F.filter(values, lambda _, i: i % 2 == 0)
 
 
-def song(row: Column) -> Column:
-    """video_id, title, artist_id, artist_name (the row's own channel), explicit, duration_sec, plays, thumbnail."""
-    column = lambda i: listed(row, f"flexColumns[{i}].{COLUMN}")
-    owner = channel_run(F.concat(column(1), column(2)))
-    plays = F.get(F.filter(F.transform(F.concat(column(1), column(2), column(3)), lambda r: count(at(r, "text"), "plays?")), lambda n: n.isNotNull()), 0)
-    fixed = texts(listed(row, "fixedColumns[0].musicResponsiveListItemFixedColumnRenderer.text.runs"))
-    return F.struct(
-        at(row, "playlistItemData.videoId", f"flexColumns[0].{COLUMN}[0].navigationEndpoint.watchEndpoint.videoId", PLAYED).alias("video_id"), at(row, f"flexColumns[0].{COLUMN}[0].text").alias("title"),
-        at(owner, "navigationEndpoint.browseEndpoint.browseId").alias("artist_id"), at(owner, "text").alias("artist_name"),
-        F.exists(listed(row, "badges"), lambda b: F.coalesce(at(b, "musicInlineBadgeRenderer.icon.iconType") == EXPLICIT, F.lit(False))).alias("explicit"),
-        duration_sec(fixed).alias("duration_sec"), plays.alias("plays"), image(row, "thumbnail").alias("thumbnail"),
-    )
+_RUN_LIST = "array<struct<text: string, navigationEndpoint: struct<browseEndpoint: struct<browseId: string>, watchEndpoint: struct<videoId: string>>>>"
+_RUNS = f"struct<text: struct<runs: {_RUN_LIST}>>"
+_IMAGES = "struct<thumbnail: struct<thumbnails: array<struct<url: string>>>>"
+#: What song() reads of a row, so that one pass over the variant takes it all.
+_SONG_ROW = f"""struct<playlistItemData: struct<videoId: string>, flexColumns: array<struct<musicResponsiveListItemFlexColumnRenderer: {_RUNS}>>,
+ fixedColumns: array<struct<musicResponsiveListItemFixedColumnRenderer: {_RUNS}>>, badges: array<struct<musicInlineBadgeRenderer: struct<icon: struct<iconType: string>>>>,
+ overlay: struct<musicItemThumbnailOverlayRenderer: struct<content: struct<musicPlayButtonRenderer: struct<playNavigationEndpoint: struct<watchEndpoint: struct<videoId: string>>>>>>,
+ thumbnail: struct<musicThumbnailRenderer: {_IMAGES}, croppedSquareThumbnailRenderer: {_IMAGES}>>"""
+
+
+def song(element: Column) -> Column:
+    """video_id, title, artist_id, artist_name (the row's own channel), explicit, duration_sec, plays, thumbnail of an element that holds a row."""
+    return bound(F.try_variant_get(element, f"$.{ROW}", _SONG_ROW), _columns_of_song)
+
+
+def _columns_of_song(r: Column) -> Column:
+    column = lambda i: F.coalesce(F.get(r["flexColumns"], i)["musicResponsiveListItemFlexColumnRenderer"]["text"]["runs"], F.array().cast(_RUN_LIST))
+    return bound(F.struct(r.alias("r"), column(0).alias("c0"), column(1).alias("c1"), column(2).alias("c2"), column(3).alias("c3")), _song_of)
+
+
+def _song_of(x: Column) -> Column:
+    r, named = x["r"], F.get(x["c0"], 0)
+    owner = first(F.concat(x["c1"], x["c2"]), lambda c: c["navigationEndpoint"]["browseEndpoint"]["browseId"].startswith("UC"))
+    counted = F.filter(F.transform(F.concat(x["c1"], x["c2"], x["c3"]), lambda c: c["text"]), lambda t: t.rlike("(?i)plays?(?![A-Za-z0-9_])"))
+    plays = first(F.transform(counted, lambda t: count(t, "plays?")), lambda n: n.isNotNull())
+    fixed = F.array_join(F.transform(F.coalesce(F.get(r["fixedColumns"], 0)["musicResponsiveListItemFixedColumnRenderer"]["text"]["runs"], F.array().cast(_RUN_LIST)), lambda c: c["text"]), "")
+    image = lambda k: r["thumbnail"][k]["thumbnail"]["thumbnails"]
+    every = F.coalesce(image("musicThumbnailRenderer"), image("croppedSquareThumbnailRenderer"))
+    played = r["overlay"]["musicItemThumbnailOverlayRenderer"]["content"]["musicPlayButtonRenderer"]["playNavigationEndpoint"]["watchEndpoint"]["videoId"]
+    whole = lambda o: F.struct(
+        F.coalesce(r["playlistItemData"]["videoId"], named["navigationEndpoint"]["watchEndpoint"]["videoId"], played).alias("video_id"), named["text"].alias("title"),
+        o["navigationEndpoint"]["browseEndpoint"]["browseId"].alias("artist_id"), o["text"].alias("artist_name"),
+        F.coalesce(F.exists(r["badges"], lambda b: F.coalesce(b["musicInlineBadgeRenderer"]["icon"]["iconType"] == EXPLICIT, F.lit(False))), F.lit(False)).alias("explicit"),
+        bound(fixed, duration_sec).alias("duration_sec"), plays.alias("plays"), F.try_element_at(every, F.lit(-1))["url"].alias("thumbnail"),
+    )
+    return bound(owner, whole)
 
 
 def songs(contents: Column) -> Column:
-    return F.filter(F.transform(rows_of(contents), song), lambda s: F.coalesce((s["video_id"] != "") & (s["title"] != ""), F.lit(False)))
+    return F.filter(F.transform(contents, song), lambda s: F.coalesce((s["video_id"] != "") & (s["title"] != ""), F.lit(False)))
 
 
 def card(row: Column) -> Column:
@@ -118,38 +147,62 @@ def artist_page(page: Column) -> Column:
     """sections (kind, title, is_video, songs, cards, more), thumbnail and channel_id (where the artist uploads otherwise)."""
 
     def section(c: Column) -> Column:
-        shelf, row = at(c, SHELF, kind=_ANY), at(c, CAROUSEL, kind=_ANY)
+        return bound(F.struct(at(c, SHELF, kind=_ANY).alias("shelf"), at(c, CAROUSEL, kind=_ANY).alias("row")), lambda x: of_parts(x["shelf"], x["row"]))
+
+    def of_parts(shelf: Column, row: Column) -> Column:
         header = "header.musicCarouselShelfBasicHeaderRenderer"
         title = F.coalesce(F.when(shelf.isNotNull(), at(shelf, "title.runs[0].text")).otherwise(at(row, f"{header}.title.runs[0].text")), F.lit(""))
         more = F.when(shelf.isNotNull(), at(shelf, "title.runs[0].navigationEndpoint.browseEndpoint.browseId")).otherwise(at(row, f"{header}.moreContentButton.buttonRenderer.navigationEndpoint.browseEndpoint.browseId"))
         kind = F.when(shelf.isNotNull(), "songs").when(row.isNotNull(), "carousel")
         return F.struct(kind.alias("kind"), title.alias("title"), (shelf.isNotNull() & title.rlike("(?i)video")).alias("is_video"), songs(listed(shelf, "contents")).alias("songs"), cards(listed(row, "contents")).alias("cards"), more.alias("more"))
 
-    sections = F.filter(F.transform(listed(page, f"{ONE}.{TAB}"), section), lambda s: s["kind"].isNotNull())
-    head = at(page, "header.musicImmersiveHeaderRenderer", "header.musicVisualHeaderRenderer", kind=_ANY)
-    return F.struct(sections.alias("sections"), F.coalesce(image(head, "foregroundThumbnail"), image(head, "thumbnail")).alias("thumbnail"), at(head, "subscriptionButton.subscribeButtonRenderer.channelId").alias("channel_id"))
+    def of_page(page: Column) -> Column:
+        sections = F.filter(F.transform(listed(page, f"{ONE}.{TAB}"), section), lambda s: s["kind"].isNotNull())
+        head = at(page, "header.musicImmersiveHeaderRenderer", "header.musicVisualHeaderRenderer", kind=_ANY)
+        return F.struct(sections.alias("sections"), F.coalesce(image(head, "foregroundThumbnail"), image(head, "thumbnail")).alias("thumbnail"), at(head, "subscriptionButton.subscribeButtonRenderer.channelId").alias("channel_id"))
+
+    return bound(page, of_page)
 
 
 def items_page(page: Column) -> Column:
     """songs, cards, continuation of a page of one artist's items, the first (a grid or a shelf) or a later one."""
-    grid = F.coalesce(at(F.get(listed(page, f"{ONE}.{TAB}"), 0), "gridRenderer", kind=_ANY), at(page, "continuationContents.gridContinuation", kind=_ANY))
-    shelf = F.coalesce(at(F.get(listed(page, f"{ONE}.{TAB}"), 0), LIST_SHELF, kind=_ANY), at(page, "continuationContents.musicPlaylistShelfContinuation", kind=_ANY))
-    added = listed(page, "onResponseReceivedActions[0].appendContinuationItemsAction.continuationItems")
-    rows = F.when(shelf.isNotNull(), listed(shelf, "contents")).otherwise(added)
-    none = F.array().cast(_LIST)
-    token = F.when(grid.isNotNull(), continuation(grid, listed(grid, "items"))).when(shelf.isNotNull(), continuation(shelf, rows)).otherwise(more_of(rows))
-    return F.struct(songs(F.when(grid.isNull(), rows).otherwise(none)).alias("songs"), cards(listed(grid, "items")).alias("cards"), token.alias("continuation"))
+
+    def parts(page: Column) -> Column:
+        first_of = lambda p: F.get(listed(p, f"{ONE}.{TAB}"), 0)
+        grid = F.coalesce(at(first_of(page), "gridRenderer", kind=_ANY), at(page, "continuationContents.gridContinuation", kind=_ANY))
+        shelf = F.coalesce(at(first_of(page), LIST_SHELF, kind=_ANY), at(page, "continuationContents.musicPlaylistShelfContinuation", kind=_ANY))
+        return F.struct(grid.alias("grid"), shelf.alias("shelf"), listed(page, "onResponseReceivedActions[0].appendContinuationItemsAction.continuationItems").alias("added"))
+
+    def lists(x: Column) -> Column:
+        rows = F.when(x["shelf"].isNotNull(), listed(x["shelf"], "contents")).otherwise(x["added"])
+        return F.struct(x["grid"].alias("grid"), x["shelf"].alias("shelf"), rows.alias("rows"), listed(x["grid"], "items").alias("items"))
+
+    def read(x: Column) -> Column:
+        token = F.when(x["grid"].isNotNull(), continuation(x["grid"], x["items"])).when(x["shelf"].isNotNull(), continuation(x["shelf"], x["rows"])).otherwise(more_of(x["rows"]))
+        return F.struct(songs(F.when(x["grid"].isNull(), x["rows"]).otherwise(F.array().cast(_LIST))).alias("songs"), cards(x["items"]).alias("cards"), token.alias("continuation"))
+
+    return bound(bound(bound(page, parts), lists), read)
 
 
 def playlist_page(page: Column) -> Column:
     """songs, continuation and views of an album's or a playlist's page, in one or two columns."""
-    shelf = having(listed(page, f"{TWO}.secondaryContents.sectionListRenderer.contents", f"{ONE}.{TAB}"), LIST_SHELF, SHELF)
-    head = F.coalesce(
-        having(listed(page, f"{TWO}.{TAB}"), "musicResponsiveHeaderRenderer"),
-        at(page, "header.musicDetailHeaderRenderer", "header.musicResponsiveHeaderRenderer", "header.musicEditablePlaylistDetailHeaderRenderer.header.musicDetailHeaderRenderer", kind=_ANY),
-    )
-    views = F.coalesce(*(count(texts(listed(head, f"{k}.runs")), "views?") for k in ("secondSubtitle", "subtitle", "straplineTextOne")))
-    return F.struct(songs(listed(shelf, "contents")).alias("songs"), continuation(shelf, listed(shelf, "contents")).alias("continuation"), views.alias("views"))
+
+    def parts(page: Column) -> Column:
+        shelf = having(listed(page, f"{TWO}.secondaryContents.sectionListRenderer.contents", f"{ONE}.{TAB}"), LIST_SHELF, SHELF)
+        head = F.coalesce(
+            having(listed(page, f"{TWO}.{TAB}"), "musicResponsiveHeaderRenderer"),
+            at(page, "header.musicDetailHeaderRenderer", "header.musicResponsiveHeaderRenderer", "header.musicEditablePlaylistDetailHeaderRenderer.header.musicDetailHeaderRenderer", kind=_ANY),
+        )
+        return F.struct(shelf.alias("shelf"), head.alias("head"))
+
+    def lists(x: Column) -> Column:
+        return F.struct(x["shelf"].alias("shelf"), x["head"].alias("head"), listed(x["shelf"], "contents").alias("rows"))
+
+    def read(x: Column) -> Column:
+        views = F.coalesce(*(count(texts(listed(x["head"], f"{k}.runs")), "views?") for k in ("secondSubtitle", "subtitle", "straplineTextOne")))
+        return F.struct(songs(x["rows"]).alias("songs"), continuation(x["shelf"], x["rows"]).alias("continuation"), views.alias("views"))
+
+    return bound(bound(bound(page, parts), lists), read)
 
 
 def episode(item: Column) -> Column:
@@ -169,36 +222,44 @@ def episode(item: Column) -> Column:
 
 def podcast_page(page: Column) -> Column:
     """name, author, channel_id, categories, episode_count, episodes and continuation of a show's first or later page."""
-    head = F.coalesce(having(listed(page, f"{TWO}.{TAB}"), "musicResponsiveHeaderRenderer"), having(listed(page, f"{ONE}.{TAB}"), "musicResponsiveHeaderRenderer"))
-    shelf = F.coalesce(
-        having(listed(page, f"{TWO}.secondaryContents.sectionListRenderer.contents"), SHELF, LIST_SHELF), having(listed(page, f"{ONE}.{TAB}"), SHELF, LIST_SHELF),
-        at(page, "continuationContents.musicShelfContinuation", "continuationContents.musicPlaylistShelfContinuation", kind=_ANY),
-    )
-    contents = F.when(shelf.isNotNull(), listed(shelf, "contents")).otherwise(listed(page, "onResponseReceivedActions[0].appendContinuationItemsAction.continuationItems"))
-    strap = "straplineTextOne.runs[0]"
-    channel = at(head, f"{strap}.navigationEndpoint.browseEndpoint.browseId")
-    episodes = F.filter(F.transform(contents, episode), lambda e: F.coalesce((e["video_id"] != "") & (e["title"] != ""), F.lit(False)))
-    return F.struct(
-        F.coalesce(at(head, "title.runs[0].text"), F.lit("")).alias("name"), at(head, f"{strap}.text").alias("author"), F.when(channel.startswith("UC"), channel).alias("channel_id"),
-        F.filter(F.transform(listed(head, "subtitle.runs"), lambda r: at(r, "text")), lambda x: F.trim(x) != "•").alias("categories"), at(head, "secondSubtitle.runs[0].text").alias("episode_count"),
-        episodes.alias("episodes"), continuation(shelf, contents).alias("continuation"),
-    )
+
+    def of_page(page: Column) -> Column:
+        head = F.coalesce(having(listed(page, f"{TWO}.{TAB}"), "musicResponsiveHeaderRenderer"), having(listed(page, f"{ONE}.{TAB}"), "musicResponsiveHeaderRenderer"))
+        shelf = F.coalesce(
+            having(listed(page, f"{TWO}.secondaryContents.sectionListRenderer.contents"), SHELF, LIST_SHELF), having(listed(page, f"{ONE}.{TAB}"), SHELF, LIST_SHELF),
+            at(page, "continuationContents.musicShelfContinuation", "continuationContents.musicPlaylistShelfContinuation", kind=_ANY),
+        )
+        contents = F.when(shelf.isNotNull(), listed(shelf, "contents")).otherwise(listed(page, "onResponseReceivedActions[0].appendContinuationItemsAction.continuationItems"))
+        strap = "straplineTextOne.runs[0]"
+        channel = at(head, f"{strap}.navigationEndpoint.browseEndpoint.browseId")
+        episodes = F.filter(F.transform(contents, episode), lambda e: F.coalesce((e["video_id"] != "") & (e["title"] != ""), F.lit(False)))
+        return F.struct(
+            F.coalesce(at(head, "title.runs[0].text"), F.lit("")).alias("name"), at(head, f"{strap}.text").alias("author"), F.when(channel.startswith("UC"), channel).alias("channel_id"),
+            F.filter(F.transform(listed(head, "subtitle.runs"), lambda r: at(r, "text")), lambda x: F.trim(x) != "•").alias("categories"), at(head, "secondSubtitle.runs[0].text").alias("episode_count"),
+            episodes.alias("episodes"), continuation(shelf, contents).alias("continuation"),
+        )
+
+    return bound(page, of_page)
 
 
 def search_shelf(page: Column) -> Column:
     """rows and continuation of a search's first page or a later one; of the rows the playlists (id, title, author)."""
-    shelf = F.coalesce(having(listed(page, "contents.tabbedSearchResultsRenderer." + TAB, "contents.sectionListRenderer.contents"), SHELF), at(page, "continuationContents.musicShelfContinuation", kind=_ANY))
-
-    def playlist(row: Column) -> Column:
-        browse, second = at(row, "navigationEndpoint.browseEndpoint.browseId"), listed(row, f"flexColumns[1].{COLUMN}")
-        kind = at(row, "navigationEndpoint.browseEndpoint.browseEndpointContextSupportedConfigs.browseEndpointContextMusicConfig.pageType")
-        author = F.coalesce(at(first(second, lambda r: at(r, "navigationEndpoint.browseEndpoint.browseId").isNotNull()), "text"), at(F.get(second, 0), "text"))
-        ident = F.when(browse.startswith("VL"), F.substring(browse, 3, 1 << 30)).otherwise(browse)
-        return F.struct(F.when(kind == "MUSIC_PAGE_TYPE_PLAYLIST", ident).alias("id"), at(row, f"flexColumns[0].{COLUMN}[0].text").alias("title"), author.alias("author"))
-
-    rows = rows_of(listed(shelf, "contents"))
-    found = F.filter(F.transform(rows, playlist), lambda p: F.coalesce((p["id"] != "") & (p["title"] != ""), F.lit(False)))
-    return F.struct(F.size(rows).alias("n_rows"), found.alias("playlists"), continuation(shelf, listed(shelf, "contents")).alias("continuation"))
+
+    def of_page(page: Column) -> Column:
+        shelf = F.coalesce(having(listed(page, "contents.tabbedSearchResultsRenderer." + TAB, "contents.sectionListRenderer.contents"), SHELF), at(page, "continuationContents.musicShelfContinuation", kind=_ANY))
+
+        def playlist(row: Column) -> Column:
+            browse, second = at(row, "navigationEndpoint.browseEndpoint.browseId"), listed(row, f"flexColumns[1].{COLUMN}")
+            kind = at(row, "navigationEndpoint.browseEndpoint.browseEndpointContextSupportedConfigs.browseEndpointContextMusicConfig.pageType")
+            author = F.coalesce(at(first(second, lambda r: at(r, "navigationEndpoint.browseEndpoint.browseId").isNotNull()), "text"), at(F.get(second, 0), "text"))
+            ident = F.when(browse.startswith("VL"), F.substring(browse, 3, 1 << 30)).otherwise(browse)
+            return F.struct(F.when(kind == "MUSIC_PAGE_TYPE_PLAYLIST", ident).alias("id"), at(row, f"flexColumns[0].{COLUMN}[0].text").alias("title"), author.alias("author"))
+
+        rows = rows_of(listed(shelf, "contents"))
+        found = F.filter(F.transform(rows, playlist), lambda p: F.coalesce((p["id"] != "") & (p["title"] != ""), F.lit(False)))
+        return F.struct(F.size(rows).alias("n_rows"), found.alias("playlists"), continuation(shelf, listed(shelf, "contents")).alias("continuation"))
+
+    return bound(page, of_page)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())])))

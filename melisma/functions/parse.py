@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 def duration_sec(text: Column) -> Column:
     """h:mm:ss or m:ss in seconds, or null."""
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*(?:(\d+):)?(\d{1,2}):(\d{2})\s*$", i), F.lit("")).cast("long"), F.lit(0))
-    return F.when(text.rlike(r"^\s*(?:\d+:)?\d{1,2}:\d{2}\s*$"), part(1) * 3600 + part(2) * 60 + part(3))
+    part = lambda i: F.regexp_extract(text, r"^\s*(?:(\d+):)?(\d{1,2}):(\d{2})\s*$", i)
+    return F.when(text.rlike(r"^\s*(?:\d+:)?\d{1,2}:\d{2}\s*$"), F.concat(F.lit("0"), part(1)).try_cast("long") * 3600 + part(2).cast("long") * 60 + part(3).cast("long"))
 
 
 def count(text: Column, unit: str = "plays?|views?") -> Column:
-    """'1.2M plays', '12,345 views' as a number, or null: only a number that such a word follows counts."""
+    """'1.2M plays', '12,345 views' as a number, or null: only a number that such a word follows counts. Each part of the text is named once, as
+    expressions within lambdas are computed wherever they are named."""
     found = rf"(?i)([\d.,]+)\s*([kmb]?)\s*(?:{unit})(?![A-Za-z0-9_])"
     number = F.regexp_extract(F.regexp_replace(F.regexp_extract(text, found, 1), ",", ""), r"^(\d+(?:\.\d*)?|\.\d+)", 1)
-    size = F.lower(F.regexp_extract(text, found, 2))
-    scale = F.when(size == "k", 1e3).when(size == "m", 1e6).when(size == "b", 1e9).otherwise(1.0)
-    return F.when(number != "", F.round(F.nullif(number, F.lit("")).cast("double") * scale).cast("long"))
+    size = F.instr(F.lit(" kmb"), F.translate(F.regexp_extract(text, found, 2), "KMB", "kmb"))  # 1 for none
+    return F.round(number.try_cast("double") * F.get(F.array(*(F.lit(x) for x in (1.0, 1e3, 1e6, 1e9))), size - 1)).cast("long")
 
 
 def year(text: Column) -> Column:

@@ -36,15 +36,20 @@ def _song_row(ident: Column, title: Column, channel: Column, plays: Column, time
     return F.struct(_nested("videoId", F.when(direct, ident)).alias("playlistItemData"), columns, badge.alias("badges"), fixed.alias("fixedColumns"))
 
 
-def _lines(spark, d):
-    """page_id, pos, row: a song's row for each line of an order."""
-    line = t.load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
-    p = F.col("p")
-    row = _song_row(
-        F.when(p % 11 != 0, F.concat(F.lit("v"), p)), F.concat(F.lit("T"), p), F.col("s").cast("string"), F.when(p % 3 == 0, F.concat(p, F.lit("K plays"))).otherwise(F.lit("2001")),
-        F.concat((p % 60).cast("string"), F.lit(":07")), p % 2 == 0, p % 5 == 0,
-    )
-    return line.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("pos"), row.alias("row"))
+def _order_pages(spark, d):
+    """page_id, contents: the songs of each order, a row for each of its lines. Only their keys are shuffled, once; rows are composed after that."""
+    line = t.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number keeps few bytes from becoming one task
+    keys = line.repartition(tasks, "page_id").groupBy("page_id", "pos").agg(F.min("p").alias("p"), F.min("s").alias("s"))
+
+    def row(p: Column, s: Column) -> Column:
+        return _song_row(
+            F.when(p % 11 != 0, F.concat(F.lit("v"), p)), F.concat(F.lit("T"), p), s.cast("string"), F.when(p % 3 == 0, F.concat(p, F.lit("K plays"))).otherwise(F.lit("2001")),
+            F.concat((p % 60).cast("string"), F.lit(":07")), p % 2 == 0, p % 5 == 0,
+        )
+
+    lines = keys.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "s"))).alias("lines"))
+    return lines.select("page_id", F.transform("lines", lambda x: F.struct(row(x["p"], x["s"]).alias(pg.ROW))).alias("contents"))
 
 
 def _page(rows, renderer: str = pg.ROW):
@@ -60,7 +65,8 @@ _FIELDS = ("video_id", "title", "artist_id", "artist_name", "explicit", "duratio
 
 
 def _songs_of(df, column: str, *more: str):
-    rows = df.select("page_id", *more, F.posexplode(column).alias("place", "x"))
+    """The songs of each page. The outer form, as the other one filters by the list's size, which would parse each page once more."""
+    rows = df.select("page_id", *more, F.posexplode_outer(column).alias("place", "x")).filter("place IS NOT NULL")
     return rows.select("page_id", (F.col("place") + 1).cast("long").alias("place"), *(F.col(f"x.{c}").alias(c) for c in _FIELDS), *more)
 
 
@@ -68,7 +74,7 @@ def _songs_of(df, column: str, *more: str):
 def playlist_page(spark, d):
     """Playlist pages of either layout: their songs, the token of the next page and the views in the header."""
     k = F.col("page_id")
-    parts = _page(_lines(spark, d))
+    parts = _order_pages(spark, d)
     shelf = F.struct("contents", F.when(k % 2 == 0, F.array(_nested("nextContinuationData.continuation", F.concat(F.lit("next"), k)))).alias("continuations"))
     head = _nested("musicDetailHeaderRenderer.secondSubtitle.runs", F.array(_nested("text", F.concat(F.when(k % 3 == 0, "5 tracks").otherwise(F.concat(F.format_string("%d.%d", F.floor(k % 50 / 10) + 1, k % 10), F.lit("K views"))))), _nested("text", F.lit(" • 50+ hours"))))
     wide = _nested("secondaryContents.sectionListRenderer.contents", F.array(F.struct(shelf.alias(pg.LIST_SHELF))))
@@ -82,7 +88,7 @@ def playlist_page(spark, d):
 def items_page(spark, d):
     """An artist's items: a first shelf, a later one, or rows that were only added."""
     k = F.col("page_id")
-    parts = _page(_lines(spark, d))
+    parts = _order_pages(spark, d)
     shelf = F.struct("contents", F.array(_nested("nextRadioContinuationData.continuation", F.concat(F.lit("more"), k))).alias("continuations"))
     first = _nested("singleColumnBrowseResultsRenderer.tabs", F.array(_nested("tabRenderer.content.sectionListRenderer.contents", F.array(F.struct(shelf.alias(pg.LIST_SHELF))))))
     page = F.struct(
