@@ -57,7 +57,12 @@ def cooccurrence(pairs: DataFrame, unit: list[str], support: int = 2, block: int
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
     a = dealt.select(*dict.fromkeys([*unit, "device"]), F.col("item").alias("src"), F.col("_own").alias("_a"), every.alias("_b"))
     b = dealt.select(*unit, F.col("item").alias("dst"), every.alias("_a"), F.col("_own").alias("_b"))
-    both = a.join(b, [*unit, "_a", "_b"]).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("both"), F.count_distinct("device").alias("devices")).filter(F.col("devices") >= support)
+    met = a.join(b, [*unit, "_a", "_b"]).filter("src <> dst")
+    if list(unit) == ["device"]:  # a device has a pair once, so the count says it all, and adds up before the exchange
+        both = met.groupBy("src", "dst").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
+    else:
+        by_device = met.groupBy("src", "dst", "device").agg(F.count("*").alias("both"))
+        both = by_device.groupBy("src", "dst").agg(F.sum("both").alias("both"), F.count("*").alias("devices")).filter(F.col("devices") >= support)
     na, nb = n.select(F.col("item").alias("src"), F.col("n").alias("na")), n.select(F.col("item").alias("dst"), F.col("n").alias("nb"))
     return both.join(na, "src").join(nb, "dst").select("src", "dst", (F.col("both") / F.sqrt(F.col("na") * F.col("nb"))).alias("score"))
 

@@ -14,7 +14,7 @@ from melisma.operators.ranking import keep_first, ranked_within, top_ranked
 from melisma.plans import recommend as radio
 from melisma.plans.recommend import fnv_sql
 from melisma.registry import query
-from melisma.sources import landing
+from melisma.sources import landing, shared
 from melisma.sources import tables as t
 
 
@@ -41,11 +41,10 @@ def _station_sql(members: str, seed: str, owner: str, placed: str) -> str:
 
 def _station(spark, d, kind: str, members):
     """The first page of what follows each station's opening."""
-    tracks, edges = radio.heard(spark, d), radio.edges(spark, d)
+    tracks, edges = shared.stored(radio.heard(spark, d), "heard"), shared.stored(radio.edges(spark, d), "edges")  # read many times below
     begin = r.start(kind, members, tracks, edges)
     placed = begin.opening.select("station", "item")
-    scored = r.scores(begin.seeds, edges, tracks, owners=begin.owners, placed=placed).withColumn("score", F.round("score", 6))
-    return ranked_within(scored, ["station"], [F.desc("score"), F.asc("item")], "place").filter("place <= 25")
+    return r.best(begin.seeds, edges, tracks, begin.owners, placed, 25)
 
 
 _NONE = "SELECT station, artist_id FROM mb WHERE false"

@@ -11,6 +11,7 @@ from melisma.operators import telemetry as o
 from melisma.operators.ranking import keep_first, ranked_within, top_ranked
 from melisma.plans import telemetry as charts
 from melisma.registry import query
+from melisma.sources import shared
 from melisma.sources import tables as t
 
 _FNV = "CAST(list_reduce(list_prepend(CAST({seed} AS BIGINT), list_transform(string_split({s}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS BIGINT)"
@@ -55,7 +56,7 @@ def song_seeds(spark, d):
   UNION ALL SELECT station, hd.item, 0.2 * reach / (reach + 3.0) FROM seed JOIN hd USING (artist_id) UNION ALL SELECT station, ft.item, 0.08 * score * reach / (reach + 3.0) FROM rel JOIN ft USING (artist_id) WHERE rel.rn <= 15 AND ft.rn <= 5)
  SELECT station, s.item, round(sum(s) * any_value(multiplier) + 0.03 * (any_value({fnv_sql('CAST(s.item AS VARCHAR)')}) >> 8) / 16777216.0, 6) AS score FROM s JOIN hd ON hd.item = s.item WHERE s.item <> station GROUP BY 1, 2""")
 def radio_score(spark, d):
-    return r.scores(song_seeds(spark, d), edges(spark, d), heard(spark, d)).withColumn("score", F.round("score", 6))
+    return r.scores(song_seeds(spark, d), shared.stored(edges(spark, d), "edges"), shared.stored(heard(spark, d), "heard")).withColumn("score", F.round("score", 6))
 
 
 @query("radio_station", None)

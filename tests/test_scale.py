@@ -18,3 +18,27 @@ def test_a_page_is_parsed_once(spark, name):
 def test_hours_that_no_number_holds(spark):
     rows = spark.createDataFrame([("1:02:03",), ("2:03",), ("9" * 24 + ":10:11",)], "t string").select(parse.duration_sec(F.col("t"))).collect()
     assert [r[0] for r in rows] == [3723, 123, None]
+
+
+def test_best_is_the_head_of_scores(spark):
+    """Stations that share an artist's list, with neighbours in and beside it, tracks already placed, equal scores and a short limit."""
+    from melisma.operators import recommend as r
+
+    tracks = spark.createDataFrame([(i, i % 3, (i * 7) % 5, 1.0 - (i % 4) / 10) for i in range(90)], "item long, artist_id long, reach long, multiplier double")
+    edges = [("sess", 0, 3, 0.5), ("sess", 0, 4, 0.25), ("lib", 0, 3, 0.1), ("lib", 3, 6, 0.9), ("lib", 1, 0, 0.4), ("art", 0, 1, 0.7), ("art", 0, 2, 0.2), ("art", 1, 0, 0.3)]
+    edges = spark.createDataFrame(edges, "kind string, src long, dst long, score double")
+    seeds = spark.createDataFrame([(100, 0, 0), (100, 3, 0), (101, 1, 1), (102, 2, 2), (103, 0, 0)], "station long, item long, artist_id long")
+    owners = spark.createDataFrame([(100, 0), (101, 1), (102, 2)], "station long, artist_id long")
+    placed = spark.createDataFrame([(100, i) for i in range(0, 60, 3)] + [(101, 1), (102, 77)], "station long, item long")
+    whole = r.scores(seeds, edges, tracks, owners=owners, placed=placed).withColumn("score", F.round("score", 6)).collect()
+    for n in (4, 25):
+        want = {(s, *row) for s in (100, 101, 102, 103) for row in ((x["item"], x["score"], i + 1) for i, x in enumerate(sorted((x for x in whole if x["station"] == s), key=lambda x: (-x["score"], x["item"]))[:n]))}
+        assert {tuple(x) for x in r.best(seeds, edges, tracks, owners, placed, n).select("station", "item", "score", "place").collect()} == want
+
+
+def test_pairs_of_a_device_add_up_before_the_exchange(spark):
+    from melisma.operators import telemetry
+
+    held = spark.createDataFrame([(d, i) for d in range(3) for i in range(4)], "device long, item long")
+    plan = telemetry.cooccurrence(held, ["device"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "devices" not in plan and "count(distinct" not in plan
