@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -30,11 +31,6 @@ def voices_only(title: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike(VOICES_ONLY)
 
 
-@F.pandas_udf(T.StringType())
-def _strip_marks(s: pd.Series) -> pd.Series:
-    return s.map(strip_marks, na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -44,9 +40,29 @@ def strip_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
+def _marks() -> tuple[str, str, str]:
+    """All nonspacing marks as a class of a regular expression, and the characters that lose one in NFD, with what is left of each. Only those
+    are listed of which a character is left that tokens hold or that joins two parts of a word; others separate words, with marks or without."""
+    ranges, composed = [], {}
+    for i in range(128, sys.maxunicode + 1):
+        c = chr(i)
+        if unicodedata.category(c) == "Mn":
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+        elif unicodedata.decomposition(c) and (left := strip_marks(c)) != c and len(left) == 1 and (left.isascii() or left in JOIN_MARKS or re.match(f"[{HEBREW_RANGE}]", left)):
+            composed[c] = left
+    return r"(?:(?=[^\x00-\x{2ff}])[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "])+", "".join(composed), "".join(composed.values())
+
+
+_MARKS, _COMPOSED, _BARE = _marks()
+
+
 def without_marks(text: Column) -> Column:
-    """NFD without nonspacing marks. Spark has no normaliser, so this one step is an Arrow function."""
-    return F.when(text.rlike("[^\\x00-\\x7f]"), _strip_marks(text)).otherwise(text)
+    """Text whose tokens are those of its NFD without nonspacing marks. Spark has no normaliser; what this needs of one are the marks and some
+    thousand characters, so no text goes through Python."""
+    return F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(F.regexp_replace(text, _MARKS, ""), _COMPOSED, _BARE)).otherwise(text)
 
 
 def tokens_of_plain(text: Column) -> Column:

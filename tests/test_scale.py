@@ -42,3 +42,15 @@ def test_pairs_of_a_device_add_up_before_the_exchange(spark):
     held = spark.createDataFrame([(d, i) for d in range(3) for i in range(4)], "device long, item long")
     plan = telemetry.cooccurrence(held, ["device"])._jdf.queryExecution().optimizedPlan().toString()
     assert "devices" not in plan and "count(distinct" not in plan
+
+
+def test_tokens_need_no_python(spark):
+    """Every character between two letters and alone, against Python's normaliser; and no text leaves the JVM."""
+    from melisma.functions import text as tx
+
+    every = [(i, f"a{chr(i)}b {chr(i)}") for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    wanted = {i: tx.strip_marks(t) for i, t in every}
+    rows = spark.createDataFrame([(i, t, wanted[i]) for i, t in every], "i long, t string, w string")
+    found = rows.select("i", tx.plain_tokens(F.col("t")).alias("a"), tx.tokens_of_plain(F.col("w")).alias("b"))
+    assert found.filter("a <> b").count() == 0
+    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
