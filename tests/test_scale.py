@@ -54,3 +54,29 @@ def test_tokens_need_no_python(spark):
     found = rows.select("i", tx.plain_tokens(F.col("t")).alias("a"), tx.tokens_of_plain(F.col("w")).alias("b"))
     assert found.filter("a <> b").count() == 0
     assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_skeletons_of_a_line_are_those_of_its_words(spark):
+    """Pairs, folds that meet only over a space, words without a skeleton; and the index of long texts makes no skeleton word by word."""
+    from melisma.functions import text as tx
+
+    rows = [(0, []), (1, ["a"]), (2, ["cats", "hat", "t", "zoo", "s", "h", "xkhqu", "whyaeiou", "tsh", "thsch"]), (3, ["שלום", "אבג", "eye", "tzץx", "12v"])]
+    got = spark.createDataFrame(rows, "i long, w array<string>").select(tx.skeletons_in_line(F.col("w")).alias("a"), F.transform("w", tx.skeleton).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and [len(r["a"]) for r in got] == [len(w) for _, w in rows]
+
+
+def test_of_long_texts_only_asked_terms_become_rows(spark, monkeypatch, tmp_path):
+    """The same scores whether the asked tokens go to the documents as an array or not, and fewer rows where they do."""
+    from melisma.operators import impact, search
+
+    docs = spark.range(60).select(F.lit("en").alias("category"), F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(300)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") + 1)) % 997)), " ").alias("title"), F.lit("red").alias("artist"))
+    index = impact.save(docs, str(tmp_path / "index"))
+    tokens = search.query_tokens(spark.createDataFrame([(1, "w7 w12 "), (2, "w1"), (3, "red w600 ")], "qid long, text string"))
+    lists = impact.matches(index, tokens)
+    whole = tokens.select("qid", "orig", "need", "key_p", "key_s").distinct()
+    found = index.docs.select("category", "doc_id").crossJoin(spark.range(1, 4).select(F.col("id").alias("qid")))
+    got = {}
+    for most in (impact.ASKED, 0):
+        monkeypatch.setattr(impact, "ASKED", most)
+        got[most] = sorted(map(tuple, impact.scores(index, lists, whole, found).withColumn("score", F.round("score", 6)).collect()))
+    assert len(got[0]) > 20 and got[0] == got[1 << 12]
