@@ -78,6 +78,18 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidied(function):
+    """The function of one table, with tidy() once its own arrays have gone: a call from within would find all of them in use."""
+
+    def held(table):
+        try:
+            return function(table)
+        finally:
+            tidy()
+
+    return held
+
+
 #: A table of ids up to so many rows goes to every task.
 BROADCAST_ROWS = 1 << 18
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_range, distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidy, unpack, unused, without, words
+from .common import by_range, distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidied, tidy, unpack, unused, without, words
 from .graph import merge
 
 WORDS = 5
@@ -59,7 +59,8 @@ def signature(tokens: np.ndarray) -> int:
 
 _INFO = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 _POSTINGS = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("heavy", pa.binary())])
-_SHARED = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
+_SHARED = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("df", pa.binary())])
+_SHARED_DDL = "part int, tokens binary, place binary, sigs binary, sizes binary, df binary"
 _SETS = pa.schema([
     ("sig", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), *((f"bits{k}", pa.int64()) for k in range(BITMAP // 64)),
     ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int64())), ("third", pa.list_(pa.int64())),
@@ -94,9 +95,10 @@ def _postings(bits: int, n: int, heavy: int):
     """
 
     def flush(sets: dict):
-        tokens = np.concatenate(list(sets.values()))
-        sizes = np.array([len(s) for s in sets.values()], np.int32)
-        sigs = np.array(list(sets), np.int64)
+        sigs = np.sort(np.array(list(sets), np.int64).view(np.uint64)).view(np.int64)  # in order, so that their upper bytes shrink
+        held = [sets[s] for s in sigs.tolist()]
+        tokens = np.concatenate(held)
+        sizes = np.array([len(s) for s in held], np.int32)
         own = np.repeat(np.arange(len(sigs), dtype=np.int32), sizes)
         order = np.argsort(tokens)
         tokens, own = tokens[order], own[order]
@@ -111,13 +113,13 @@ def _postings(bits: int, n: int, heavy: int):
             order = np.argsort(sigs[of].view(np.uint64), kind="stable")
             far, of = far[order], of[order]
             for part, a, z in by_range(sigs[of].view(np.uint64), bits):
-                yield rows(_POSTINGS, [[part], [pack(far[a:z])], [None], [sigs[of[a:z]].tobytes()], [sizes[of[a:z]].tobytes()], [None]])
+                yield rows(_POSTINGS, [[part], [pack(far[a:z])], [None], [pack(sigs[of[a:z]])], [pack(sizes[of[a:z]])], [None]])
         for part, a, z in by_range(tokens, bits):
             here = np.zeros(len(sigs), bool)
             here[own[a:z]] = True
             near = np.flatnonzero(here)
             place = (np.cumsum(here) - 1)[own[a:z]].astype(np.uint16 if len(near) <= 1 << 16 else np.uint32)
-            yield rows(_POSTINGS, [[part], [pack(tokens[a:z])], [pack(place)], [sigs[near].tobytes()], [sizes[near].tobytes()], [told.pop(part, loud[:0]).tobytes()]])
+            yield rows(_POSTINGS, [[part], [pack(tokens[a:z])], [pack(place)], [pack(sigs[near])], [pack(sizes[near])], [told.pop(part, loud[:0]).tobytes()]])
         for part, own_loud in told.items():
             yield rows(_POSTINGS, [[part], [b""], [b""], [b""], [b""], [own_loud.tobytes()]])
 
@@ -135,6 +137,7 @@ def _postings(bits: int, n: int, heavy: int):
                     sets, size = {}, 0
         if sets:
             yield from flush(sets)
+        del sets
         tidy()
 
     return posted
@@ -143,13 +146,19 @@ def _postings(bits: int, n: int, heavy: int):
 def _shared(bits: int):
     """Of one hash range the tokens that several sets have, with their frequencies, sent on by set."""
 
+    def told(part: int, tokens, sigs, sizes, df) -> tuple:
+        """A row for the range of these sets: each set once, in order, and the place of each token's set among them."""
+        own, first, place = np.unique(sigs.view(np.uint64), return_index=True, return_inverse=True)
+        place = place.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+        return part, pack(tokens), pack(place), pack(own), pack(sizes[first]), pack(df)
+
     def shared(table: pa.Table) -> pa.Table:
         tokens, sigs, sizes, loud, out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], []
         for part, t, p, s, z, h in zip(*(table.column(c) for c in _POSTINGS.names)):
             t = unpack(t.as_buffer(), np.uint64)
-            s, z = raw(s.as_buffer(), np.int64), raw(z.as_buffer(), np.int32)
+            s, z = unpack(s.as_buffer(), np.int64), unpack(z.as_buffer(), np.int32)
             if not p.is_valid:  # heavy tokens of sets of this range
-                out.append((part.as_py(), s.tobytes(), z.tobytes(), pack(t), pack(np.full(len(t), HEAVY, np.int32))))
+                out.append(told(part.as_py(), t, s, z, np.full(len(t), HEAVY, np.int32)))
                 continue
             p = unpack(p.as_buffer(), np.uint16 if len(p.as_buffer()) == 2 * len(t) else np.uint32)
             tokens.append(t)
@@ -174,11 +183,10 @@ def _shared(bits: int):
         order = np.argsort(sigs.view(np.uint64) >> np.uint64(64 - bits), kind="stable")
         for k, a, z in by_range(sigs.view(np.uint64)[order], bits):
             at = order[a:z]
-            out.append((k, sigs[at].tobytes(), sizes[at].tobytes(), pack(tokens[at]), pack(df[at])))
-        tidy()
-        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * 5, _SHARED)], schema=_SHARED)
+            out.append(told(k, tokens[at], sigs[at], sizes[at], df[at]))
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_SHARED), _SHARED)], schema=_SHARED)
 
-    return shared
+    return tidied(shared)
 
 
 def parity(tokens: np.ndarray) -> list[int]:
@@ -191,8 +199,12 @@ def _sets(percent: int):
     """The sets of one range that share enough tokens to have any partner, their shared tokens in the first order."""
 
     def whole(table: pa.Table) -> pa.Table:
-        sigs, sizes = joined(table.column("sigs"), np.int64, raw), joined(table.column("sizes"), np.int32, raw)
-        tokens, df = joined(table.column("tokens"), np.uint64), joined(table.column("df"), np.int32)
+        sigs, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for t, p, s, z in zip(*(table.column(c) for c in ("tokens", "place", "sigs", "sizes"))):
+            p = unpack(p.as_buffer(), np.uint16 if 4 * len(p.as_buffer()) == len(t.as_buffer()) else np.uint32)
+            sigs.append(unpack(s.as_buffer(), np.int64)[p])
+            sizes.append(unpack(z.as_buffer(), np.int32)[p])
+        sigs, sizes, tokens, df = np.concatenate(sigs), np.concatenate(sizes), joined(table.column("tokens"), np.uint64), joined(table.column("df"), np.int32)
         if len(df) and df.max() == HEAVY:  # these may come from several tasks
             order = np.lexsort((tokens, sigs))
             order = order[np.r_[True, (sigs[order][1:] != sigs[order][:-1]) | (tokens[order][1:] != tokens[order][:-1])]]
@@ -207,10 +219,9 @@ def _sets(percent: int):
             at = at[np.lexsort((tokens[at], df[at]))]
             second, third = other_prefixes(tokens[at], df[at], int(size[k]), percent)
             out.append((int(sigs[at[0]]), int(size[k]), len(at), *parity(tokens[at]), *(x.view(np.int64) for x in (tokens[at], second, third))))
-        tidy()
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_SETS), _SETS)], schema=_SETS)
 
-    return whole
+    return tidied(whole)
 
 
 def _prefix(percent: int):
@@ -244,7 +255,7 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     bits = range_bits(docs, RANGE_CHARS)
     heavy = max(LEAST_HEAVY, FLUSH >> bits)  # a range has about FLUSH postings, and there are about as many shares as ranges
     postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_postings(bits, n, heavy), "part int, tokens binary, place binary, sigs binary, sizes binary, heavy binary")
-    shared = postings.groupBy("part").applyInArrow(_shared(bits), "part int, sigs binary, sizes binary, tokens binary, df binary")
+    shared = postings.groupBy("part").applyInArrow(_shared(bits), _SHARED_DDL)
     sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens array<long>, second array<long>, third array<long>"))
     posts = sets.select("sig", "n", "shared", "tokens").mapInArrow(_prefix(percent), "token long, sig long, n long, rest long")
     posts = durable(posts.join(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "token"))

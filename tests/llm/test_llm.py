@@ -1030,3 +1030,13 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[3] == sizes[2] and sizes[-1] > 50
     assert corpus_pipeline.run(spark, path).count() == sizes[-1]
+
+
+def test_a_token_costs_few_bytes_in_many_ranges():
+    """In many hash ranges each holds few tokens of a set; what says which set they belong to must stay small beside them, once compressed."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, n)) for n in rng.integers(100, 900, 600)]
+    batches = list(ngram_join._postings(10, 5, 1 << 20)([pa.record_batch({"text": texts})]))
+    n = sum(len(x.as_buffer()) // 8 for b in batches for x in b.column("tokens"))
+    told = sum(len(pa.compress(x.as_buffer(), "lz4_raw", asbytes=True)) for b in batches for c in ("sigs", "sizes") for x in b.column(c))
+    assert n > 250_000 and told < 8.2 * n
