@@ -26,6 +26,8 @@ FLUSH = 2 << 20
 RANGE_CHARS = 12 << 20
 #: The frequency that a heavy token counts as, and the fewest sets of one task's share that make a token heavy.
 HEAVY, LEAST_HEAVY = 1 << 30, 16
+#: Upper bits of a token that tell the slices apart in which a task sorts its postings; hash ranges have at least as many.
+SLICE_BITS = 3
 #: Bits of the parity bitmap that bounds the overlap of two sets before their tokens are fetched.
 BITMAP = 512
 #: Cheap rounds against one representative go on until at most this many unlinked pairs are left for each posting.
@@ -96,32 +98,41 @@ def _postings(bits: int, n: int, heavy: int):
 
     def flush(sets: dict):
         sigs = np.sort(np.array(list(sets), np.int64).view(np.uint64)).view(np.int64)  # in order, so that their upper bytes shrink
-        held = [sets[s] for s in sigs.tolist()]
-        tokens = np.concatenate(held)
+        held = [sets.pop(s) for s in sigs.tolist()]
         sizes = np.array([len(s) for s in held], np.int32)
-        own = np.repeat(np.arange(len(sigs), dtype=np.int32), sizes)
-        order = np.argsort(tokens)
-        tokens, own = tokens[order], own[order]
-        lo = runs(tokens)
-        count = np.diff(np.r_[lo, len(tokens)])
-        loud = tokens[lo[count > heavy]]
-        told = {part: loud[a:z] for part, a, z in by_range(loud, bits)}
-        if len(loud):
-            mask = np.repeat(count > heavy, count)
-            far, of = tokens[mask], own[mask]
-            tokens, own = tokens[~mask], own[~mask]
+        every = np.concatenate(held)
+        del held
+        owner = np.repeat(np.arange(len(sigs), dtype=np.int32), sizes)
+        top = (every >> np.uint64(64 - SLICE_BITS)).astype(np.uint8)
+        far, of = [], []
+        for k in range(1 << SLICE_BITS):  # sorted slice by slice, so that what a sort takes is small beside the sets
+            at = np.flatnonzero(top == k)
+            at = at[np.argsort(every[at])]
+            tokens, own = every[at], owner[at]
+            del at
+            lo = runs(tokens)
+            count = np.diff(np.r_[lo, len(tokens)])
+            loud = tokens[lo[count > heavy]]
+            told = {part: loud[a:z] for part, a, z in by_range(loud, bits)}
+            if len(loud):
+                mask = np.repeat(count > heavy, count)
+                far.append(tokens[mask])
+                of.append(own[mask])
+                tokens, own = tokens[~mask], own[~mask]
+            for part, a, z in by_range(tokens, bits):
+                here = np.zeros(len(sigs), bool)
+                here[own[a:z]] = True
+                near = np.flatnonzero(here)
+                place = (np.cumsum(here) - 1)[own[a:z]].astype(np.uint16 if len(near) <= 1 << 16 else np.uint32)
+                yield rows(_POSTINGS, [[part], [pack(tokens[a:z])], [pack(place)], [pack(sigs[near])], [pack(sizes[near])], [told.pop(part, loud[:0]).tobytes()]])
+            for part, own_loud in told.items():
+                yield rows(_POSTINGS, [[part], [b""], [b""], [b""], [b""], [own_loud.tobytes()]])
+        if far:
+            far, of = np.concatenate(far), np.concatenate(of)
             order = np.argsort(sigs[of].view(np.uint64), kind="stable")
             far, of = far[order], of[order]
             for part, a, z in by_range(sigs[of].view(np.uint64), bits):
                 yield rows(_POSTINGS, [[part], [pack(far[a:z])], [None], [pack(sigs[of[a:z]])], [pack(sizes[of[a:z]])], [None]])
-        for part, a, z in by_range(tokens, bits):
-            here = np.zeros(len(sigs), bool)
-            here[own[a:z]] = True
-            near = np.flatnonzero(here)
-            place = (np.cumsum(here) - 1)[own[a:z]].astype(np.uint16 if len(near) <= 1 << 16 else np.uint32)
-            yield rows(_POSTINGS, [[part], [pack(tokens[a:z])], [pack(place)], [pack(sigs[near])], [pack(sizes[near])], [told.pop(part, loud[:0]).tobytes()]])
-        for part, own_loud in told.items():
-            yield rows(_POSTINGS, [[part], [b""], [b""], [b""], [b""], [own_loud.tobytes()]])
 
     def posted(batches):
         sets: dict = {}
@@ -167,10 +178,11 @@ def _shared(bits: int):
             loud.append(raw(h.as_buffer(), np.uint64))
         tokens, sigs, sizes, loud = map(np.concatenate, (tokens, sigs, sizes, loud))
         order = np.argsort(tokens)
-        lo = runs(tokens[order])
+        lo = runs(in_order := tokens[order])
         count = np.diff(np.r_[lo, len(order)])
-        often = np.repeat((count > 1) | np.isin(tokens[order][lo], loud), count)
+        often = np.repeat((count > 1) | np.isin(in_order[lo], loud), count)
         order = order[often]
+        del in_order
         order = order[np.lexsort((sigs[order], tokens[order]))]  # the same set can come from several tasks
         tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
         first = np.ones(len(tokens), bool)

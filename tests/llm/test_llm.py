@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -1040,3 +1041,19 @@ def test_a_token_costs_few_bytes_in_many_ranges():
     n = sum(len(x.as_buffer()) // 8 for b in batches for x in b.column("tokens"))
     told = sum(len(pa.compress(x.as_buffer(), "lz4_raw", asbytes=True)) for b in batches for c in ("sigs", "sizes") for x in b.column(c))
     assert n > 250_000 and told < 8.2 * n
+
+
+def test_postings_are_sorted_in_little_memory():
+    """What a task takes to sort its postings stays small beside the sets themselves."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 1000))) for _ in range(600)]
+    batch = pa.record_batch({"text": texts})
+    n = 600 * 996
+    tracemalloc.start()
+    try:
+        out = [b.column("tokens")[0].as_py() for b in ngram_join._postings(3, 5, 1 << 20)([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, out)) == 8 * n
+    assert peak < 48 * n
