@@ -117,72 +117,104 @@ class Network:
 
     def halves(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of the gates (halved) and of the candidate for each id."""
-        a = self.x[ids]
+        a = np.take(self.x, ids, 0)
         a[:, : 2 * HIDDEN] *= np.float32(0.5)
         return a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]
 
-    def step(self, gates: np.ndarray, cand: np.ndarray, h: np.ndarray, half_u: np.ndarray):
-        """The next states from inputs of halves(); half_u is u / 2, as the gates are (1 + tanh) / 2."""
-        zr = h @ half_u
+    def step(self, gates: np.ndarray, cand: np.ndarray, h: np.ndarray, half_u: np.ndarray, zr: np.ndarray, rh: np.ndarray, new: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The next states from inputs of halves(), into `after`, with all on the way; half_u is u / 2, as the gates are (1 + tanh) / 2."""
+        np.matmul(h, half_u, out=zr)
         zr += gates
         np.tanh(zr, out=zr)
         zr += 1
         zr *= np.float32(0.5)
-        rh = zr[:, HIDDEN:] * h
-        new = rh @ self.c
+        np.multiply(zr[:, HIDDEN:], h, out=rh)
+        np.matmul(rh, self.c, out=new)
         new += cand
         np.tanh(new, out=new)
-        return h + zr[:, :HIDDEN] * (new - h), zr, rh, new
+        np.subtract(new, h, out=after)
+        after *= zr[:, :HIDDEN]
+        after += h
+        return after
 
     def outputs(self, h: np.ndarray, targets: np.ndarray, train: bool = False):
-        """log probabilities of the targets; in training also the gradients with respect to h and the output parameters."""
-        order = np.argsort(self.klass[targets], kind="stable")
-        h, targets = h[order], targets[order]
-        klass, at = self.klass[targets], np.arange(len(h))
-        logp = np.empty(len(h), np.float32)
+        """log probabilities of the targets; in training also the gradients with respect to h and the output parameters.
+
+        States get a one for the biases, and weights a one for the sums of powers, so that products give both. The targets' own
+        terms are added for all rows together: rows lie in the order of their targets, and so of their classes.
+        """
+        order = np.argsort(targets.astype(np.uint16) if self.tail < 1 << 16 else targets, kind="stable")
+        h, targets = np.take(h, order, 0), targets[order]
+        klass = self.klass[targets]
+        cut = np.searchsorted(klass, np.arange(len(self.starts)))
+        inner = int(cut[-1])  # what follows has the tail as its class
+        one = np.ones((max(len(h), self.tail, len(self.class_b)), 1), np.float32)
+        h1 = np.hstack([h, one[: len(h)]])
+        class_w, word_w = np.hstack([self.class_w.T, self.class_b[:, None]]), np.hstack([self.word_w, self.word_b[:, None]])
+        class_1, word_1 = np.hstack([self.class_w.T, one[: len(class_w)]]), np.hstack([self.word_w, one[: len(word_w)]])
+        # no state is beyond 1, so few networks have scores to be cut
+        high = any(len(w) and (np.abs(w[:, :-1]).sum(1) + w[:, -1]).max() > TOP for w in (class_w, word_w))
+        own_class, own_word = np.take(class_w, klass, 0), np.take(word_w, targets[:inner], 0)
+        picked, picked_word = np.einsum("ij,ij->i", h1, own_class), np.einsum("ij,ij->i", h1[:inner], own_word)
+        if high:
+            np.minimum(picked, TOP, out=picked)
+            np.minimum(picked_word, TOP, out=picked_word)
+        total, total_word = np.empty(len(h), np.float32), np.ones(inner, np.float32)
         if train:
-            back, back_w = np.empty_like(h), np.ascontiguousarray(self.class_w.T)
-            grads = {name: np.zeros_like(getattr(self, name)) for name in ("class_w", "class_b", "word_w", "word_b")}
+            back, back_word = np.empty_like(h), np.zeros((inner, HIDDEN), np.float32)
+            grad, grad_word = np.zeros_like(class_w), np.zeros_like(word_w)
+
+        def powers(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+            e = rows @ w.T
+            if high:
+                np.minimum(e, TOP, out=e)
+            return np.exp(e, out=e)
+
+        def shares(e: np.ndarray, w_1: np.ndarray, total: np.ndarray, back: np.ndarray) -> np.ndarray:
+            """Fills the sums and what goes back to the states; gives what rows are multiplied by on the way to the weights."""
+            both = e @ w_1
+            total[:] = both[:, -1]
+            inverse = 1 / both[:, -1:]
+            np.multiply(both[:, :-1], inverse, out=back)
+            return inverse
+
         for lo in range(0, len(h), ROWS):
-            own, near, k = h[lo : lo + ROWS], at[: min(ROWS, len(h) - lo)], klass[lo : lo + ROWS]
-            e = own @ self.class_w
-            e += self.class_b
-            np.minimum(e, TOP, out=e)
-            picked = e[near, k]
-            np.exp(e, out=e)
-            total = e.sum(1, keepdims=True)
-            logp[lo : lo + ROWS] = picked - np.log(total[:, 0])
+            own = h1[lo : lo + ROWS]
+            e = powers(own, class_w)
             if train:
-                e *= 1 / total
-                e[near, k] -= 1
-                np.matmul(e, back_w, out=back[lo : lo + ROWS])
-                grads["class_w"] += own.T @ e
-                grads["class_b"] += e.sum(0)
-        cut = np.searchsorted(klass, np.arange(len(self.starts)))
+                grad += e.T @ (own * shares(e, class_1, total[lo : lo + ROWS], back[lo : lo + ROWS]))
+            else:
+                np.matmul(e, one[: len(class_w), 0], out=total[lo : lo + ROWS])
         for lo, hi, a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), self.starts[:-1].tolist(), self.starts[1:].tolist()):
-            if lo == hi or z - a == 1:
+            if lo == hi:
+                continue
+            if z - a == 1:  # its one word is certain
+                picked_word[lo:hi] = 0
+                if train:
+                    back_word[lo:hi] = self.word_w[a]
+                    grad_word[a] = h1[lo:hi].sum(0)
                 continue
-            e = h[lo:hi] @ self.word_w[a:z].T
-            e += self.word_b[a:z]
-            np.minimum(e, TOP, out=e)
-            near, t = at[: hi - lo], targets[lo:hi] - a
-            logp[lo:hi] += e[near, t]
-            np.exp(e, out=e)
-            total = e.sum(1, keepdims=True)
-            logp[lo:hi] -= np.log(total[:, 0])
+            own = h1[lo:hi]
+            e = powers(own, word_w[a:z])
             if train:
-                e *= 1 / total
-                e[near, t] -= 1
-                back[lo:hi] += e @ self.word_w[a:z]
-                np.matmul(e.T, h[lo:hi], out=grads["word_w"][a:z])
-                np.sum(e, 0, out=grads["word_b"][a:z])
+                np.matmul(e.T, own * shares(e, word_1[a:z], total_word[lo:hi], back_word[lo:hi]), out=grad_word[a:z])
+            else:
+                np.matmul(e, one[: z - a, 0], out=total_word[lo:hi])
+        logp = picked - np.log(total)
+        logp[:inner] += picked_word - np.log(total_word)
         out = np.empty_like(logp)
         out[order] = logp
         if not train:
             return out
+        back -= own_class[:, :-1]
+        back_word -= own_word[:, :-1]
+        back[:inner] += back_word
+        for g, at, of in ((grad, runs(klass), klass), (grad_word, runs(targets[:inner]), targets)):
+            if len(at):
+                g[of[at]] -= np.add.reduceat(h1[: inner if g is grad_word else len(h1)], at)
         ordered = np.empty_like(back)
         ordered[order] = back
-        return out, ordered, grads
+        return out, ordered, {"class_w": grad[:, :-1].T, "class_b": grad[:, -1], "word_w": grad_word[:, :-1], "word_b": grad_word[:, -1]}
 
 
 def packed(lo: np.ndarray, lanes: int):
@@ -220,9 +252,10 @@ def score(net: Network, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
             cut, lane, prior, targets = side_by_side(ids, first, active, begin, end, net.end)
             gates, cand = net.halves(prior)
             states = np.empty((cut[-1], HIDDEN), np.float32)
+            zr, rh, new = (np.empty((cut[1], k * HIDDEN), np.float32) for k in (2, 1, 1))
             for a, z in zip(cut[:-1], cut[1:]):
-                h = net.step(gates[a:z], cand[a:z], h[: z - a], half_u)[0]
-                states[a:z] = h
+                n = z - a
+                h = net.step(gates[a:z], cand[a:z], h[:n], half_u, zr[:n], rh[:n], new[:n], states[a:z])
             total += np.bincount(lane, net.outputs(states, targets).astype(np.float64), len(own))
             begin = end
         out[own] = total / np.log(10)
@@ -256,12 +289,12 @@ class Trainer:
         before, zr, rh, new, after = (np.empty((size, k * HIDDEN), np.float32) for k in (1, 2, 1, 1, 1))
         for a, z in zip(cut[:-1], cut[1:]):
             before[a:z] = h[: z - a]
-            h, zr[a:z], rh[a:z], new[a:z] = net.step(gates[a:z], cand[a:z], h[: z - a], half_u)
-            after[a:z] = h
+            h = net.step(gates[a:z], cand[a:z], h[: z - a], half_u, zr[a:z], rh[a:z], new[a:z], after[a:z])
         _, back, grads = net.outputs(after, targets, train=True)
         # what a state's gradient is multiplied by on its way to the gates' and the candidate's inputs, for all times together
         update, reset = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        to_update = (new - before) * update * (1 - update)
+        keep = 1 - update
+        to_update = (new - before) * update * keep
         to_new = update * (1 - new * new)
         to_reset = before * reset * (1 - reset)
         gate = np.empty((size, 3 * HIDDEN), np.float32)
@@ -276,12 +309,12 @@ class Trainer:
             np.multiply(dh, to_update[a:z], out=own[:, :HIDDEN])
             np.multiply(through, to_reset[a:z], out=own[:, HIDDEN : 2 * HIDDEN])
             carry = own[:, : 2 * HIDDEN] @ back_u
-            carry += dh * (1 - update[a:z])
+            carry += dh * keep[a:z]
             carry += through * reset[a:z]
         scale = np.float32(1 / max(size, 256))
-        by = np.argsort(prior, kind="stable")
+        by = np.argsort(prior.astype(np.uint16) if net.tail < 1 << 16 else prior, kind="stable")
         at = runs(prior[by])
-        self.move("x", np.add.reduceat(gate[by], at) * scale, prior[by][at])
+        self.move("x", np.add.reduceat(np.take(gate, by, 0), at) * scale, prior[by][at])
         self.move("u", before.T @ gate[:, : 2 * HIDDEN] * scale)
         self.move("c", rh.T @ gate[:, 2 * HIDDEN :] * scale)
         for name, grad in grads.items():

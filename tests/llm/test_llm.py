@@ -1057,3 +1057,32 @@ def test_postings_are_sorted_in_little_memory():
         tracemalloc.stop()
     assert sum(map(len, out)) == 8 * n
     assert peak < 48 * n
+
+
+def test_outputs_are_those_of_a_plain_softmax():
+    """Also with classes of one word, the tail, and scores to be cut; a step writes where it is told to."""
+    rng = np.random.default_rng(5)
+    for n, scale in ((5, 1), (300, 1), (300, 60)):
+        counts = np.sort((1e6 / np.arange(1, n + 1)).astype(np.int64))[::-1]
+        vocabulary = gru_lm.build_vocabulary(np.arange(1, n + 1).astype(np.uint64), counts, int(counts.sum()) + 5000, n + 300, 900)
+        net = gru_lm.Network(vocabulary)
+        net.word_w *= scale
+        h, targets = np.tanh(rng.normal(size=(500, gru_lm.HIDDEN))).astype(np.float32), rng.integers(0, net.tail + 1, 500).astype(np.int32)
+        log_class = np.minimum(h @ net.class_w + net.class_b, gru_lm.TOP)
+        log_class -= np.log(np.exp(log_class).sum(1, keepdims=True))
+        expected = []
+        for row, (state, t) in enumerate(zip(h, targets)):
+            k = net.klass[t]
+            value = log_class[row, k]
+            if t < net.tail:
+                a, z = net.starts[k], net.starts[k + 1]
+                e = np.minimum(net.word_w[a:z] @ state + net.word_b[a:z], gru_lm.TOP)
+                value += e[t - a] - np.log(np.exp(e).sum()) if z - a > 1 else 0
+            expected.append(value)
+        logp, back, grads = net.outputs(h, targets, train=True)
+        assert np.allclose(logp, expected, atol=1e-4) and np.allclose(net.outputs(h, targets), expected, atol=1e-4)
+        assert np.allclose(grads["class_b"].sum(), 0, atol=1e-2) and np.isfinite(back).all() and grads["word_w"].shape == net.word_w.shape
+        gates, cand = net.halves(targets)
+        zr, rh, new, after = (np.empty((500, k * gru_lm.HIDDEN), np.float32) for k in (2, 1, 1, 1))
+        assert net.step(gates, cand, h, net.u * np.float32(0.5), zr, rh, new, after) is after
+        assert np.allclose(after, h + zr[:, : gru_lm.HIDDEN] * (new - h), atol=1e-6)
