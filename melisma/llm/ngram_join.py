@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_range, distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidied, tidy, unpack, unused, without, words
+from .common import BROADCAST_ROWS, by_range, distinct, durable, grams, joined, mix, pack, pieces, range_bits, raw, rows, runs, text_bytes, tidied, tidy, unpack, unused, without, words
 from .graph import merge
 
 WORDS = 5
@@ -65,7 +65,7 @@ _SHARED = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("place", pa
 _SHARED_DDL = "part int, tokens binary, place binary, sigs binary, sizes binary, df binary"
 _SETS = pa.schema([
     ("sig", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), *((f"bits{k}", pa.int64()) for k in range(BITMAP // 64)),
-    ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int64())), ("third", pa.list_(pa.int64())),
+    ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())),
 ])
 _BITS = [f"bits{k}" for k in range(BITMAP // 64)]
 _PREFIX = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("rest", pa.int64())])
@@ -230,7 +230,7 @@ def _sets(percent: int):
             at = order[lo[k] : lo[k] + count[k]]
             at = at[np.lexsort((tokens[at], df[at]))]
             second, third = other_prefixes(tokens[at], df[at], int(size[k]), percent)
-            out.append((int(sigs[at[0]]), int(size[k]), len(at), *parity(tokens[at]), *(x.view(np.int64) for x in (tokens[at], second, third))))
+            out.append((int(sigs[at[0]]), int(size[k]), len(at), *parity(tokens[at]), tokens[at].view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in (second, third))))  # half of a token will do where a match is checked again
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_SETS), _SETS)], schema=_SETS)
 
     return tidied(whole)
@@ -268,7 +268,7 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     heavy = max(LEAST_HEAVY, FLUSH >> bits)  # a range has about FLUSH postings, and there are about as many shares as ranges
     postings = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_postings(bits, n, heavy), "part int, tokens binary, place binary, sigs binary, sizes binary, heavy binary")
     shared = postings.groupBy("part").applyInArrow(_shared(bits), _SHARED_DDL)
-    sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens array<long>, second array<long>, third array<long>"))
+    sets = durable(shared.groupBy("part").applyInArrow(_sets(percent), f"sig long, n long, shared long, {' long, '.join(_BITS)} long, tokens array<long>, second array<int>, third array<int>"))
     posts = sets.select("sig", "n", "shared", "tokens").mapInArrow(_prefix(percent), "token long, sig long, n long, rest long")
     posts = durable(posts.join(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "token"))
 
@@ -277,18 +277,24 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
         differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in _BITS), F.lit(0))
         return (100 + percent) * (F.col(f"{x}shared") + F.col(f"{y}shared") - differ) >= 2 * percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
-    def both(pairs: DataFrame, *names: str) -> DataFrame:
-        """pairs(a, b) with columns of either side's set, as x and y."""
-        for c, side in (("a", "x"), ("b", "y")):
-            pairs = pairs.join(sets.select(F.col("sig").alias(c), *(F.col(k).alias(f"{side}_{k}") for k in names)), c)
-        return pairs
+    def few(table: DataFrame) -> bool:
+        """Whether a stored table goes to every task, so that what it is joined to stays where it is."""
+        return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def both(pairs: DataFrame, *names: str, known: bool = False) -> DataFrame:
+        """pairs(a, b) with columns of either side's set, as x and y. known: few stored pairs, beside which no other set is moved."""
+        sides = [sets.select(F.col("sig").alias(c), *(F.col(k).alias(f"{side}_{k}") for k in names)) for c, side in (("a", "x"), ("b", "y"))]
+        if known:
+            x, y = (side.join(F.broadcast(pairs), c) for c, side in zip("ab", sides))
+            return x.join(y, ["a", "b"])
+        return pairs.join(sides[0], "a").join(sides[1], "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """a, b, linked of the pairs that the bitmaps and the other orders leave: these are filtered before tokens are fetched."""
-        near = both(pairs, "n", "shared", *_BITS).filter(overlap("x_", "y_")).select("a", "b")
-        found = both(near, "second", "third").filter(F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")).select("a", "b")
+        near = durable(both(pairs, "n", "shared", *_BITS).filter(overlap("x_", "y_")).select("a", "b"))
+        found = durable(both(near, "second", "third", known=few(near)).filter(F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")).select("a", "b"))
         common = F.size(F.array_intersect("x_tokens", "y_tokens"))
-        return durable(both(found, "n", "tokens").select("a", "b", (100 * common >= percent * (F.col("x_n") + F.col("y_n") - common)).alias("linked")))
+        return durable(both(found, "n", "tokens", known=few(found)).select("a", "b", (100 * common >= percent * (F.col("x_n") + F.col("y_n") - common)).alias("linked")))
 
     def close(x: str, y: str) -> Column:
         """Whether sizes allow the similarity and, if this is the first token that both have, what follows in both allows it too."""
@@ -309,7 +315,8 @@ def linked_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
         if not fresh.filter("linked").limit(1).count():
             break
         labels = merge(labels, fresh.filter("linked"))
-        labelled = posts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        named = labels.withColumnRenamed("node", "sig")
+        labelled = posts.join(F.broadcast(named) if few(labels) else named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         groups = labelled.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         left = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross"), F.sum("n").alias("posts")).first()
         if not left["cross"] or left["cross"] <= CROSS_PER_POSTING * left["posts"]:

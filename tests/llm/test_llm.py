@@ -1086,3 +1086,12 @@ def test_outputs_are_those_of_a_plain_softmax():
         zr, rh, new, after = (np.empty((500, k * gru_lm.HIDDEN), np.float32) for k in (2, 1, 1, 1))
         assert net.step(gates, cand, h, net.u * np.float32(0.5), zr, rh, new, after) is after
         assert np.allclose(after, h + zr[:, : gru_lm.HIDDEN] * (new - h), atol=1e-6)
+
+
+def test_few_and_many_pairs_give_the_same_links(spark, monkeypatch):
+    """Few pairs go to every task, and no other set is moved; many are shuffled."""
+    text = " ".join(map(str, range(60)))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "another text of seven words in all")], "doc_id long, text string")
+    for rows in (0, 1 << 18):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
