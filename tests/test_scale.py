@@ -89,3 +89,19 @@ def test_pairs_of_albums_and_playlists_travel_as_lists(spark):
     plan = catalog.playlist_albums_kept(spark, PATH)._jdf.queryExecution().executedPlan().toString()
     assert "explode(lows" in plan and "hashpartitioning(playlist_id" in plan.split("explode(lows")[1]
     assert "hashpartitioning" not in plan.split("explode(lows")[0]
+
+
+def test_documents_that_tie_are_not_all_scored(spark, monkeypatch, tmp_path):
+    """Of 500 documents with both words, all of one score, no more than the likeliest are scored in full; and typos need no grams."""
+    from melisma.operators import impact, search
+
+    titles = [(i, " ".join((f"t{i}", *["red"] * (i % 2), *["blue"] * (i % 3 == 0), *["pad"] * (i % 7)))) for i in range(3000)]
+    docs = spark.createDataFrame([("songs", i, title, "") for i, title in titles], "category string, doc_id long, title string, artist string")
+    seen, scores = [], impact.scores
+    monkeypatch.setattr(impact, "scores", lambda index, lists, whole, found: seen.append(found.count()) or scores(index, lists, whole, found))
+    got = impact.search(impact.save(docs, str(tmp_path / "index")), search.query_tokens(spark.createDataFrame([(1, "red blue ")], "qid long, text string")), 10)
+    both = sorted((len(title), i) for i, title in titles if "red" in title and "blue" in title)
+    assert [r["doc_id"] for r in got.orderBy("rank").collect()] == [i for _, i in both[:10]] and len(both) == 500
+    assert sum(seen) <= 2 * impact.EARLY * 10
+    words = spark.createDataFrame([("abcd",), ("abdc",), ("abc",), ("xbcd",), ("abcde",), ("wxyz",)], "w string").withColumn("h", impact.less_a_letter(F.col("w")))
+    assert [r["w"] for r in words.filter(F.arrays_overlap("h", impact.less_a_letter(F.lit("abcd")))).orderBy("w").collect()] == ["abc", "abcd", "abcde", "abdc", "xbcd"]
